@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import packing, token_files
+from . import fingerprints, html_text, packing, token_files, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
+        "op3_url_filter": url_filter.op3_url_filter,
         "op6_token_files": token_files.op6_token_files,
+        "op9_html_text": html_text.op9_html_text,
+        "op10_fingerprints": fingerprints.op10_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filter": url_filter.OP3_SQL}
