@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import fingerprints, html_text, packing, token_files, url_filter
+from . import fingerprints, html_text, packing, quality, simhash, token_files, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
         "op3_url_filter": url_filter.op3_url_filter,
+        "op4_quality_rules": quality.op4_quality_rules,
         "op6_token_files": token_files.op6_token_files,
+        "op8_simhash": simhash.op8_simhash,
         "op9_html_text": html_text.op9_html_text,
         "op10_fingerprints": fingerprints.op10_fingerprints,
     }
