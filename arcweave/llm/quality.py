@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -33,9 +34,9 @@ SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 UPPER = str.maketrans("", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 LEAST_WORDS, WINDOW_WORDS, REPEAT_PERCENT = 20, 8, 30
 #: Added to the variance of each feature, in the order of features().
-RIDGE = (0.01, 0.25, 0.25, 0.25, 0.25)
+RIDGE = (0.01, 0.25, 0.25, 0.25, 0.5, 0.25)
 DIM = len(RIDGE)
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_shouts")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_shouts", "n_echoes")
 
 
 def repeated_words(words: list[bytes], size: int = WINDOW_WORDS) -> int:
@@ -70,7 +71,7 @@ def counts_of(text: str) -> tuple[int, ...]:
     joined = b"".join(words)
     chars = len(joined) if text.isascii() else len(joined.decode("utf-8", "surrogatepass"))
     upper = sum(map(str.isupper, text)) if not text.isascii() else len(text) - len(text.translate(UPPER))
-    return (n, chars, len(text) - len(text.translate(SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), upper, text.count("!") + text.count("?"))
+    return (n, chars, len(text) - len(text.translate(SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), upper, text.count("!") + text.count("?"), sum(map(eq, words, words[1:])))
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
 
 def features() -> list[Column]:
     per = lambda a, b: F.log1p(F.lit(100.0) * F.col(a) / F.col(b))
-    return [F.log(F.col("word_chars") / F.col("n_words")), per("n_symbols", "n_words"), per("n_upper", "word_chars"), per("n_shouts", "n_words"), per("n_repeat_words", "n_words")]
+    return [F.log(F.col("word_chars") / F.col("n_words")), per("n_symbols", "n_words"), per("n_upper", "word_chars"), per("n_shouts", "n_words"), per("n_repeat_words", "n_words"), per("n_echoes", "n_words")]
 
 
 def gamma_p(a: float, x: float) -> float:

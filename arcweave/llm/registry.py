@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from . import fingerprints, html_text, packing, quality, simhash, token_files, url_filter
+import corpus_pipeline
+
+from . import fingerprints, html_text, lattice, mixing, packing, passages, quality, simhash, token_files, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_mixing": mixing.op2_mixing,
         "op3_url_filter": url_filter.op3_url_filter,
         "op4_quality_rules": quality.op4_quality_rules,
+        "op5_passages": passages.op5_passages,
         "op6_token_files": token_files.op6_token_files,
+        "op7_lattice_score": lattice.op7_lattice_score,
         "op8_simhash": simhash.op8_simhash,
         "op9_html_text": html_text.op9_html_text,
         "op10_fingerprints": fingerprints.op10_fingerprints,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -21,34 +21,30 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, read_table, slices
 from .components import connected_components
+from .shingles import shingle_hashes, words_of
 
 BITS = 64
+#: Ids whose texts are wanted are broadcast up to this number (16 MB) and joined by shuffle beyond it.
+MOST_BROADCAST_IDS = 1_000_000
 
 
 def fingerprint(text: str, words_in_shingle: int, seed: int = 42) -> int:
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, ASCII white space only
+    words = words_of(text)
     if not words:
         return 0
-    line, n = b" ".join(words), len(words) - words_in_shingle + 1
-    if n <= 1:
-        return xxhash.xxh64_intdigest(line, seed)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    starts = (np.cumsum(sizes + 1) - sizes - 1).tolist()
-    ends = (np.cumsum(sizes + 1) - 1)[words_in_shingle - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], seed) for a, b in zip(starts, ends, strict=False)), np.uint64, n)
+    hashes = shingle_hashes(words, words_in_shingle, seed)
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 4096):
+    for at in range(0, len(hashes), 4096):
         bits = np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.uint16)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def with_fingerprints(docs: DataFrame, words_in_shingle: int) -> DataFrame:
@@ -129,27 +125,30 @@ def _longs(values: list[int]) -> Column:
     return F.array(*(F.lit(v).cast("long") for v in values))
 
 
-def links(fps: DataFrame, most_bits: int, partitions: int | None = None, most_in_bucket: int = 24, sample_rows: int = 4096) -> DataFrame:
-    """Edges (a, b) over distinct fingerprints (fp) whose components are those of all pairs within most_bits. sample_rows bounds what
-    the grouping of bits and the estimates are fitted on."""
-    if most_bits % 2:
-        raise ValueError("most_bits has to be even")
-    rows = fps.count()
+def buckets(fps: DataFrame, most_bits: int, partitions: int, rows: int, sample_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(part, value, fp) of the fingerprints themselves, and of all values that they probe. sample_rows bounds what the grouping of bits
+    and the estimates are fitted on."""
     share = min(1.0, 4 * sample_rows / max(1, rows))
     sample = np.array([r[0] for r in fps.sample(share, seed=1).limit(sample_rows).collect()] or [0], np.int64)
-    parts = correlated_partitions(sample, partitions or most_bits + 1)
+    parts = correlated_partitions(sample, partitions)
     limits = thresholds(sample, parts, most_bits, rows)
     held = probed = None
     for i, (own, t) in enumerate(zip(parts, limits, strict=True)):
         if t < 0:
             continue
         mask = F.lit(_signed(sum(1 << b for b in own))).cast("long")
-        value = F.col("fp").bitwiseAND(mask)
-        row = fps.select(F.lit(i).alias("part"), value.alias("value"), "fp")
+        row = fps.select(F.lit(i).alias("part"), F.col("fp").bitwiseAND(mask).alias("value"), "fp")
         flips = F.explode(_longs(_flips(own, t)))
-        probe = row if t == 0 else fps.select(F.lit(i).alias("part"), value.alias("own"), "fp", flips.alias("flip")).select("part", F.col("own").bitwiseXOR(F.col("flip")).alias("value"), "fp")
+        probe = row if t == 0 else row.select("part", "value", "fp", flips.alias("flip")).select("part", F.col("value").bitwiseXOR(F.col("flip")).alias("value"), "fp")
         held, probed = row if held is None else held.union(row), probe if probed is None else probed.union(probe)
-    probed = materialize(probed, "probes") if max(limits) > 0 else probed
+    return held, materialize(probed, "probes") if max(limits) > 0 else probed
+
+
+def links(fps: DataFrame, most_bits: int, partitions: int | None = None, most_in_bucket: int = 24, sample_rows: int = 4096) -> DataFrame:
+    """Edges (a, b) over distinct fingerprints (fp) whose components are those of all pairs within most_bits."""
+    if most_bits % 2:
+        raise ValueError("most_bits has to be even")
+    held, probed = buckets(fps, most_bits, partitions or most_bits + 1, fps.count(), sample_rows)
     sizes = probed.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("least"), F.max("fp").alias("greatest")).filter("n > 1 and least < greatest")
     sizes = materialize(sizes.select("part", "value", "n"), "buckets")
     small, large = sizes.filter(F.col("n") <= most_in_bucket), sizes.filter(F.col("n") > most_in_bucket)
@@ -161,6 +160,27 @@ def links(fps: DataFrame, most_bits: int, partitions: int | None = None, most_in
     return pairs.union(star_links(crowd, most_bits)).distinct()
 
 
+def candidates(fps: DataFrame, most_bits: int, most_in_bucket: int = 1024, sample_rows: int = 4096) -> DataFrame:
+    """Pairs (a, b) within most_bits that a partition brings together, for a later check of the texts. The partitions are as wide as
+    the number of fingerprints asks for (about log2 of it less two bits), each but one is probed one bit around, and so all pairs
+    within 2 * (partitions - 1) bits come up, and of wider ones those whose differing bits lie in few partitions. In a bucket with over
+    most_in_bucket pairs of a holder and a prober each is paired with the least holder; pairs within two bits there all get links."""
+    rows = fps.count()
+    partitions = max(2, min(4, int(BITS / max(1.0, np.log2(max(2, rows)) - 2))))
+    held, probed = buckets(fps, 2 * (partitions - 1), partitions, rows, sample_rows)
+    probers = probed.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
+    holders = held.groupBy("part", "value").agg(F.count(F.lit(1)).alias("k"), F.min("fp").alias("least"))
+    sizes = materialize(holders.join(probers, ["part", "value"]).filter("n > 1"), "buckets")
+    small, large = sizes.filter(F.col("n") * F.col("k") <= most_in_bucket).select("part", "value"), sizes.filter(F.col("n") * F.col("k") > most_in_bucket).select("part", "value", "least")
+    near = held.join(small, ["part", "value"], "left_semi").select("part", "value", F.col("fp").alias("a"))
+    close = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most_bits)
+    pairs = near.join(probed.withColumnRenamed("fp", "b"), ["part", "value"]).filter(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    crowd = probed.withColumnRenamed("fp", "b").join(large.withColumnRenamed("least", "a"), ["part", "value"]).filter(close)
+    crowd = materialize(crowd.select("a", "b").distinct(), "crowds")
+    members = crowd.select("a").union(crowd.select("b")).distinct().withColumnRenamed("a", "fp")
+    return pairs.union(crowd.select(F.least("a", "b"), F.greatest("a", "b"))).union(star_links(members, 2)).distinct()
+
+
 def star_links(fps: DataFrame, most_bits: int) -> DataFrame:
     """Links of all pairs within most_bits by shared neighbours: two fingerprints within 2r bits share a value within r bits of both,
     and all holders of such a value are within 2r bits of each other."""
@@ -171,17 +191,42 @@ def star_links(fps: DataFrame, most_bits: int) -> DataFrame:
     return near.join(least, "value").filter("fp > a").select("a", F.col("fp").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, words_in_shingle: int = 3, most_bits: int = 2) -> DataFrame:
-    """doc_id, fingerprint (hex) and component_id (the least doc_id that links reach) of each (doc_id, text)."""
-    rows = materialize(with_fingerprints(docs, words_in_shingle), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = connected_components(links(nodes.select("fp"), most_bits))
-    grouped = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+def components_of(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (hex) and component_id (the least doc_id that links reach) of rows (doc_id, fp)."""
+    grouped = nodes.join(connected_components(edges), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     named = materialize(grouped.join(ids, "component").select("fp", "component_id"), "components")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_duplicates(docs: DataFrame, words_in_shingle: int = 3, most_bits: int = 2) -> DataFrame:
+    """Components of documents (doc_id, text) whose fingerprints differ in most_bits bits at most."""
+    rows = materialize(with_fingerprints(docs, words_in_shingle), "fingerprints")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    return components_of(rows, nodes, links(nodes.select("fp"), most_bits))
+
+
+def near_duplicates_verified(docs: DataFrame, words_in_shingle: int = 5, similarity: float = 0.8, most_bits: int = 14) -> DataFrame:
+    """Components of documents whose sets of shingles have the Jaccard similarity: candidates by fingerprint, verified on the texts of the
+    least document of each fingerprint. Equal fingerprints are one group."""
+    rows = materialize(with_fingerprints(docs, words_in_shingle), "fingerprints")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    pairs = materialize(candidates(nodes.select("fp"), most_bits), "candidates")
+    wanted = materialize(pairs.select("a").union(pairs.select("b")).distinct().join(nodes, F.col("a") == F.col("fp")).select("fp", F.col("least").alias("doc_id")), "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST_IDS else wanted
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id").groupBy("fp").agg(F.min("text").alias("text"))
+    texts = materialize(texts, "texts")
+
+    @F.pandas_udf("boolean")
+    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        sets = {x: np.unique(shingle_hashes(w, words_in_shingle)) if (w := words_of(x)) else np.empty(0, np.uint64) for x in {*left, *right}}
+        same = lambda x, y: len(np.intersect1d(sets[x], sets[y], assume_unique=True)) if x != y else len(sets[x])
+        return pd.Series([x == y or (n := same(x, y)) >= similarity * (len(sets[x]) + len(sets[y]) - n) for x, y in zip(left, right, strict=True)])
+
+    with_texts = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
+    return components_of(rows, nodes, with_texts.filter(alike("left", "right")).select("a", "b"))
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprints and components of all documents."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
