@@ -165,7 +165,7 @@ def with_word_arc(lattice: np.ndarray, c: np.ndarray, total: int, distinct: int)
 SCORED = "k1 long, k2 long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>"
 
 
-def score_documents(docs: DataFrame, model_path: str, rounds: int = 1, prior: float = 1000.0, hot: int = 200_000) -> DataFrame:
+def score_documents(docs: DataFrame, model_path: str, rounds: int = 1, prior: float = 1000.0, hot: int = 150_000) -> DataFrame:
     spark = docs.sparkSession
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT_FOLD, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold.alias("held_out"))
