@@ -7,6 +7,9 @@ are chained in both texts' order, with a cost for gaps, by a Fenwick tree for pr
 both texts are aligned in both directions, over edits of up to `resync` words; what has at least `least_words` equal words, and
 `identity` of the longer side equal, is a repeated passage of the later document. The first holder keeps it.
 
+Of a document's chains those are tried first that hold a match outside of the spans of longer ones; the others follow where an accepted
+passage doesn't cover all their matches, so no chain is left out but for passages that are found already.
+
 Only documents with enough close matches have their texts moved, and of the first holders only the parts that chains point to. A document
 is aligned in one task with matches bounded by its own length.
 
@@ -154,15 +157,17 @@ def align(words: list[bytes], other: list[bytes], offset: int, chain: list[tuple
     return out
 
 
-CHAIN = "doc_id long, other long, low int, high int, pairs array<struct<a:int,b:int>>"
+CHAINS = "doc_id long, chains array<struct<other:long,low:int,high:int,leads:boolean,pairs:array<struct<a:int,b:int>>>>"
 
 
 def find_chains(found: DataFrame) -> DataFrame:
-    """Chains of the matches that have two others close by, with the part of `other` that they need."""
+    """Each document's chains of the matches that have two others close by, with the part of `other` that a chain needs. leads: the chain has
+    matches outside of the spans of those with more matches."""
+    shape = pa.list_(pa.struct([("other", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("leads", pa.bool_()), ("pairs", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))]))
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            ids, out = [], []
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), batch.column("matches").to_pylist(), strict=True):
                 own.sort(key=lambda m: m["pos"])
                 at = np.array([m["pos"] for m in own])
@@ -171,14 +176,21 @@ def find_chains(found: DataFrame) -> DataFrame:
                 for m, ok in zip(own, near, strict=True):
                     if ok:
                         by_other[m["other"]].append((m["other_pos"], m["pos"]))
-                for other, pairs in by_other.items():
-                    for c in chains(pairs):
-                        rows.append((doc_id, other, max(0, c[0][0] - MARGIN) // GRID * GRID, -(-(c[-1][0] + K + MARGIN) // GRID) * GRID, [{"a": a, "b": b} for a, b in c]))
-            if rows:
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "other", "low", "high", "pairs"])
+                if not by_other:
+                    continue
+                found = sorted(((other, c) for other, pairs in by_other.items() for c in chains(pairs)), key=lambda x: (-len(x[1]), x[0], x[1]))
+                covered, rows = np.zeros(int(at[-1]) + 1, bool), []
+                for other, c in found:
+                    leads = not all(covered[b] for _, b in c)
+                    if leads:
+                        covered[c[0][1] : c[-1][1] + K] = True
+                    rows.append({"other": other, "low": max(0, c[0][0] - MARGIN) // GRID * GRID, "high": -(-(c[-1][0] + K + MARGIN) // GRID) * GRID, "leads": leads, "pairs": [{"a": a, "b": b} for a, b in c]})
+                ids.append(doc_id)
+                out.append(rows)
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, shape)], ["doc_id", "chains"])
 
-    return found.mapInArrow(chain, CHAIN)
+    return found.mapInArrow(chain, CHAINS)
 
 
 PASSAGES = "doc_id long, start_word int, end_word int, n_words int, other_doc_id long, other_start_word int, other_end_word int, equal_words int"
@@ -187,7 +199,21 @@ PASSAGES = "doc_id long, start_word int, end_word int, n_words int, other_doc_id
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """Passages of each document (doc_id, text) that an earlier one (by doc_id) has, with their places in words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # repeated rows of an id count as one document
+        docs = docs.groupBy("doc_id").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
     linked = materialize(find_chains(matches(docs)), "chains")
+    one = lambda df: df.select("doc_id", F.explode("own").alias("c")).select("doc_id", "c.other", "c.low", "c.high", "c.pairs")
+    first = materialize(align_chains(docs, materialize(one(linked.select("doc_id", F.filter("chains", lambda c: c["leads"]).alias("own"))), "leading")), "passages")
+    spans = first.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+    rest = linked.select("doc_id", F.filter("chains", lambda c: ~c["leads"]).alias("others")).filter(F.size("others") > 0).join(spans, "doc_id", "left")
+    outside = lambda p: ~F.exists("spans", lambda s: (p["b"] >= s["start_word"]) & (p["b"] < s["end_word"]))
+    left = F.when(F.col("spans").isNull(), F.col("others")).otherwise(F.filter("others", lambda c: F.exists(c["pairs"], outside)))
+    rest = materialize(one(rest.select("doc_id", left.alias("own"))), "other-chains")
+    return first.union(align_chains(docs, rest))
+
+
+def align_chains(docs: DataFrame, linked: DataFrame) -> DataFrame:
+    """Passages that the texts confirm for chains (doc_id, other, low, high, pairs)."""
     parts = materialize(linked.groupBy("other").agg(F.collect_set(F.struct("low", "high")).alias("parts")), "parts")
 
     def only(ids: DataFrame) -> DataFrame:
@@ -203,24 +229,24 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["other", "low", "high", "words"])
 
-    # one text for each doc_id: repeated rows of an id count as one document
-    one = lambda df: df.groupBy("doc_id").agg(F.max_by("text", F.xxhash64("text")).alias("text")) if repeated else df
-    counted = docs.agg(F.count("doc_id"), F.approx_count_distinct("doc_id", 0.01)).first()
-    repeated = counted[0] > 1.05 * counted[1] or bool(docs.groupBy("doc_id").count().filter("count > 1").limit(1).count())
-    holders = one(docs.join(only(parts.select(F.col("other").alias("doc_id"))), "doc_id", "left_semi"))
+    holders = docs.join(only(parts.select(F.col("other").alias("doc_id"))), "doc_id", "left_semi")
     pieces = holders.join(parts.withColumnRenamed("other", "doc_id"), "doc_id").select("doc_id", "text", "parts").mapInArrow(cut, "other long, low int, high int, words string")
     with_words = linked.join(pieces, ["other", "low", "high"]).groupBy("doc_id").agg(F.collect_list(F.struct("other", "low", "pairs", "words")).alias("chains"))
-    later = one(docs.join(only(linked.select("doc_id")), "doc_id", "left_semi"))
+    later = docs.join(only(linked.select("doc_id")), "doc_id", "left_semi")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             rows = []
             for doc_id, own, text in zip(part.column("doc_id").to_pylist(), part.column("chains").to_pylist(), texts, strict=True):
-                words, seen = words_of(text), set()
+                words = words_of(text)
+                covered = np.zeros(len(words) + 1, bool)
                 for c in sorted(own, key=lambda c: (-len(c["pairs"]), c["other"], c["low"])):
-                    for start, end, a0, a1, same in align(words, c["words"].encode("utf-8", "surrogatepass").split(), c["low"], [(p["a"], p["b"]) for p in c["pairs"]]):
-                        if (start, end, c["other"]) not in seen:
-                            seen.add((start, end, c["other"]))
+                    pairs = [(p["a"], p["b"]) for p in c["pairs"]]
+                    if all(covered[min(b, len(words))] for _, b in pairs):
+                        continue  # the passage is found already
+                    for start, end, a0, a1, same in align(words, c["words"].encode("utf-8", "surrogatepass").split(), c["low"], pairs):
+                        if not covered[start:end].all():
+                            covered[start:end] = True
                             rows.append((doc_id, start, end, end - start, c["other"], a0, a1, same))
             if rows:
                 types = [pa.int64(), *[pa.int32()] * 3, pa.int64(), *[pa.int32()] * 3]
