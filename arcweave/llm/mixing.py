@@ -4,8 +4,8 @@ A naive Bayes classifier from the label table gives each document posteriors ove
 most `most_labelled` labelled documents (those with the least hashed ids) and has the `most_words` words that tell the domains
 apart best; a document is judged by which of these words it has and lacks. Rates r >= 0 (and <= most_rate) then minimise the squared
 difference between expected domain tokens sum(r * tokens * posterior) and their targets, by projected gradient steps from r = 1.
-A step is scaled by the inverse of sum(tokens * posterior * posterior') over the rates that can still move, so that without
-bounds one step solves it; each step is one aggregation to a few sums, which are all that the driver sees.
+A step is scaled by the inverse of sum(tokens * posterior * posterior') over all documents, which bounds the curvature: no step
+overshoots, and without bounds one step solves it; each step is one aggregation to a few sums, which are all that the driver sees.
 
 Null texts have no tokens and lack all words; null labels and labels without a document are left out (an unlabelled corpus gives every
 domain the same prior); repeated rows are rows of their own; an empty table gives no rows.
@@ -72,8 +72,7 @@ def fit_rates(rows: DataFrame, targets: list[float] | None, multiples: list[floa
     pairs = [(i, j) for i in dims for j in dims if i <= j]
     goal = None
     for _ in range(steps):
-        free = (rate > 0) & (rate < most_rate) if goal is not None else F.lit(True)
-        sums = rows.agg(*(F.coalesce(F.sum(rate * t * x), F.lit(0.0)) for x in p), *(F.coalesce(F.sum(F.when(free, t * p[i] * p[j])), F.lit(0.0)) for i, j in pairs)).first()
+        sums = rows.agg(*(F.coalesce(F.sum(rate * t * x), F.lit(0.0)) for x in p), *(F.coalesce(F.sum(t * p[i] * p[j]), F.lit(0.0)) for i, j in pairs)).first()
         now = np.array(sums[: len(p)])
         if goal is None:
             goal = np.array(targets) * now.sum() / sum(targets) if targets else np.array(multiples) * now
@@ -90,7 +89,7 @@ def fit_rates(rows: DataFrame, targets: list[float] | None, multiples: list[floa
     return rate
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, multiples: dict[str, float] | None = None, most_rate: float = 4.0, steps: int = 10, nearest: bool = False) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, multiples: dict[str, float] | None = None, most_rate: float = 4.0, steps: int = 16, nearest: bool = False) -> DataFrame:
     """doc_id, n_tokens, p_<domain>, rate and copies. copies has the rate as its mean, by the hash of doc_id; nearest: it is the nearest number."""
     rows = posteriors(docs, labels)
     listed = lambda x: [float(x[d]) for d in DOMAINS] if x else None
