@@ -30,11 +30,12 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long, sequence_tokens long, tier long, step_group long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, window: int = TIERS[-1], end_id: int = 0, keep_space: bool = True) -> DataFrame:
-    """One row for each full window and for each tail of (doc_id, text), with the unsigned crc32 of its ids."""
+def token_pieces(docs: DataFrame, tokenizer: str, window: int = TIERS[-1], end_id: int = 0, keep_space: bool = True, keep_encoder: bool = True) -> DataFrame:
+    """One row for each full window and for each tail of (doc_id, text), with the unsigned crc32 of its ids.
+    keep_encoder: workers hold their chunk tables for later tasks, which other stages of one job may not have the memory for."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, keep_space).encode
+        encode = encoder(tokenizer, keep_space, keep_encoder).encode
         for part, texts in slices(batches):
             rows = []
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(texts), strict=True):

@@ -125,8 +125,10 @@ class ChunkEncoder:
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
 
 
-def encoder(path: str, keep_space: bool) -> ChunkEncoder:
-    """One encoder for each Python worker, which serves many tasks."""
+def encoder(path: str, keep_space: bool, keep: bool = True) -> ChunkEncoder:
+    """One encoder for each Python worker, which serves many tasks; keep=False: a smaller one that goes with its task."""
+    if not keep:
+        return ChunkEncoder(path, keep_space, 300_000)
     if (path, keep_space) not in _ENCODERS:
         _ENCODERS[path, keep_space] = ChunkEncoder(path, keep_space)
     return _ENCODERS[path, keep_space]
