@@ -52,3 +52,26 @@ def test_merge_parts_and_sites(spark):
     assert [(f["name"], f["type"]) for f in declarations.merge_parts(parts).first()["fields"]] == [("z", "int"), ("y", "long"), ("x", "int")]
     links = spark.createDataFrame([("s", "m", 2), ("s", "n", 0)], "site_id string, method_id string, confidence int")
     assert tuple(declarations.call_sites(links).first()) == ("s", 0, 2)
+
+
+def test_facts_of_nothing(spark):
+    kinds = "array<struct<name string, type_name string, attrs array<string>, default string>>"
+    df = spark.createDataFrame([(None, None, None), ([("id", "Dto", None, None), ("x", None, None, None)], "POST", "a/{ID:int}")], f"p {kinds}, v string, r string")
+    got = [r[0] for r in df.select(rules.bind_parameters(F.col("p"), F.col("v"), F.col("r"))).collect()]
+    assert got[0] == [] and [(r["name"], r["source"], r["required"]) for r in got[1]] == [("id", "route", True)]
+    answers = spark.createDataFrame([(None, None), ([], "void"), ([(None, None)], "Dto"), (None, "Dto")], "d array<struct<status_code int, type_name string>>, t string")
+    assert [[tuple(x) for x in r[0]] for r in answers.select(rules.responses_of(F.col("d"), F.col("t"))).collect()] == [[], [], [(200, "")], [(200, "Dto")]]
+
+
+def test_links_with_nulls_and_empty_tables(spark):
+    refs = spark.createDataFrame([("r1", "T", None, "p", "a"), ("r2", None, 0, "p", "a"), ("r3", "T", 1, "q", "b")], "ref_id string, name string, arity int, project_id string, repo string")
+    decls = spark.createDataFrame([("d1", "T", 0, "x", "a"), ("d2", "T", 0, "y", "c"), ("d3", None, 0, "p", "a")], "decl_id string, name string, arity int, project_id string, repo string")
+    reach = spark.createDataFrame([], "project_id string, target_id string, rank int")
+    got = {(r["ref_id"], r["decl_id"], r["level"], r["candidates"]) for r in declarations.resolve_types(refs, decls, reach).collect()}
+    assert got == {("r1", "d1", 2, 1), ("r3", "d1", 3, 2), ("r3", "d2", 3, 2)}
+    assert declarations.resolve_types(refs.limit(0), decls, reach).count() == 0
+    calls = spark.createDataFrame([("c", "s", "p", "C?", "Get", None, None), ("d", "s", "p", None, "Get", 1, None)], "call_id string, site_id string, project_id string, declared_type string, member string, n_args int, usings array<string>")
+    methods = spark.createDataFrame([("m", "t", None, "C", "Get", 1, None)], "id string, project_id string, project_name string, type_name string, method_name string, min_args int, max_args int")
+    to = spark.createDataFrame([("p", "t"), ("p", "t")], "project_id string, target_id string")
+    assert [tuple(r) for r in declarations.link_calls(calls, methods, to).collect()] == [("s", "m", 2)]
+    assert declarations.link_calls(calls.limit(0), methods, to).count() == 0
