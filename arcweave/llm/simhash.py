@@ -35,27 +35,47 @@ BITS = 64
 MOST_BROADCAST_IDS = 1_000_000
 
 
-def fingerprint(text: str, words_in_shingle: int, seed: int = 42) -> int:
+def _rehashed(hashes: np.ndarray, count: int) -> np.ndarray:
+    """count independent hashes of each hash, itself first (64-bit finalisers of evenly spaced offsets)."""
+    x = hashes[:, None] + np.arange(count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    x[:, 0] = hashes
+    return x
+
+
+def fingerprint_words(text: str, words_in_shingle: int, count: int, seed: int = 42) -> np.ndarray:
+    """A fingerprint of 64 * count bits; the first 64 are those of a fingerprint of 64."""
     words = words_of(text)
     if not words:
-        return 0
+        return np.zeros(count, np.uint64)
     hashes = shingle_hashes(words, words_in_shingle, seed)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 4096):
-        bits = np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.uint16)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    ones, block = np.zeros(BITS * count, np.int64), max(64, 4096 // count)
+    for at in range(0, len(hashes), block):
+        own = hashes[at : at + block]
+        own = _rehashed(own, count) if count > 1 else np.ascontiguousarray(own)
+        ones += np.unpackbits(own.view(np.uint8).reshape(-1, 8 * count), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
+def fingerprint(text: str, words_in_shingle: int, seed: int = 42) -> int:
+    return int(fingerprint_words(text, words_in_shingle, 1, seed)[0])
 
 
-def with_fingerprints(docs: DataFrame, words_in_shingle: int) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long."""
+def with_fingerprints(docs: DataFrame, words_in_shingle: int, count: int = 1) -> DataFrame:
+    """(doc_id, fp): fp holds the 64 bits as a signed long. With a count over 1, words holds all 64 * count bits."""
+    more = count > 1
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            fps = np.array([fingerprint(x, words_in_shingle) for x in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            words = np.array([fingerprint_words(x, words_in_shingle, count) for x in texts], np.uint64).reshape(-1, count).view(np.int64)
+            columns = [part.column("doc_id"), pa.array(words[:, 0])]
+            if more:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, words.size + 1, count), pa.int32()), pa.array(words.ravel())))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "words"][: len(columns)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, fp long" + ", words array<long>" * more)
 
 
 def correlated_partitions(sample: np.ndarray, partitions: int) -> list[list[int]]:
@@ -76,15 +96,15 @@ def correlated_partitions(sample: np.ndarray, partitions: int) -> list[list[int]
     return out
 
 
-def thresholds(sample: np.ndarray, parts: list[list[int]], most_bits: int, rows: int) -> list[int]:
-    """For each partition -1..most_bits, with the sum that the pigeonhole asks for, at the least estimated work: probe rows plus candidates,
+def thresholds(sample: np.ndarray, parts: list[list[int]], most_bits: int, rows: int, most_each: int | None = None) -> list[int]:
+    """For each partition -1..most_each (most_bits if that is not given), with the sum that the pigeonhole asks for, at the least estimated work: probe rows plus candidates,
     the latter from the share of the sample's pairs that lie within the threshold."""
-    bits = np.unpackbits(sample.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(np.ascontiguousarray(sample.astype("<i8")).view(np.uint8).reshape(len(sample), -1), axis=1, bitorder="little")
     shift = np.roll(bits, 1 + len(bits) // 3, axis=0)
     costs = []
     for own in parts:
         apart, probes, row = (bits[:, own] != shift[:, own]).sum(axis=1), 0, [0.0]
-        for t in range(most_bits + 1):
+        for t in range((most_bits if most_each is None else most_each) + 1):
             probes += _choose(len(own), t)
             share = max(float((apart <= t).mean()) if len(apart) else 0.0, probes / 2 ** len(own))
             row.append(rows * probes + rows * rows * share / 2)
@@ -160,25 +180,55 @@ def links(fps: DataFrame, most_bits: int, partitions: int | None = None, most_in
     return pairs.union(star_links(crowd, most_bits)).distinct()
 
 
-def candidates(fps: DataFrame, most_bits: int, most_in_bucket: int = 1024, sample_rows: int = 4096) -> DataFrame:
-    """Pairs (a, b) within most_bits that a partition brings together, for a later check of the texts. The partitions are as wide as
-    the number of fingerprints asks for (about log2 of it less two bits), each but one is probed one bit around, and so all pairs
-    within 2 * (partitions - 1) bits come up, and of wider ones those whose differing bits lie in few partitions. In a bucket with over
-    most_in_bucket pairs of a holder and a prober each is paired with the least holder; pairs within two bits there all get links."""
-    rows = fps.count()
-    partitions = max(2, min(4, int(BITS / max(1.0, np.log2(max(2, rows)) - 2))))
-    held, probed = buckets(fps, 2 * (partitions - 1), partitions, rows, sample_rows)
+def words_for(rows: int, similarity: float, recall: float) -> tuple[int, int]:
+    """(partitions in 64 bits, fingerprint words): partitions are as wide as the number of fingerprints asks for (its log2 less four bits, in whole
+    fractions of 64), and there are as many as bring pairs of the similarity together with the recall, at every number of rows: two
+    fingerprints agree in a bit with the probability 1 - angle / pi, where the angle's cosine is that of sets with the Jaccard similarity."""
+    partitions = max(2, min(4, int(BITS / max(1.0, np.log2(max(2, rows)) - 4))))
+    agree = (1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi) ** (BITS / partitions)
+    return partitions, max(2, int(np.ceil(np.log(1 - recall) / np.log1p(-agree) / partitions)))
+
+
+def wide_buckets(fps: DataFrame, partitions: int, count: int, rows: int, sample_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """As buckets, for (fp, words): each word has its own partitions, and the thresholds of all of them sum to 0, so all pairs with fewer
+    differing bits than there are partitions come up. Each fingerprint is read once."""
+    share = min(1.0, 4 * sample_rows / max(1, rows))
+    sample = np.array([r[0] for r in fps.select("words").sample(share, seed=1).limit(sample_rows).collect()] or [[0] * count], np.int64)
+    parts = [[BITS * k + b for b in own] for k in range(count) for own in correlated_partitions(sample[:, k], partitions)]
+    limits = thresholds(sample, parts, len(parts) - 1, rows, most_each=2)
+    entry = lambda i, value: F.struct(F.lit(i).alias("part"), value.alias("value"))
+    held, probed = [], []
+    for i, (own, t) in enumerate(zip(parts, limits, strict=True)):
+        if t < 0:
+            continue
+        bits = [b % BITS for b in own]
+        value = F.get("words", F.lit(own[0] // BITS)).bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))).cast("long"))
+        held.append(entry(i, value))
+        probed.extend(entry(i, value.bitwiseXOR(F.lit(m).cast("long"))) for m in _flips(bits, t))
+    return tuple(fps.select("fp", F.inline(F.array(*entries))).select("part", "value", "fp") for entries in (held, probed))
+
+
+def candidates(fps: DataFrame, partitions: int, count: int, most_share: float, most_in_bucket: int = 1024) -> DataFrame:
+    """Pairs (a, b) of (fp, words) that a partition brings together and that differ in most_share of all bits at most, for a later check of
+    the texts. In a bucket with over most_in_bucket pairs of a holder and a prober each is paired with the least holder; pairs within two
+    bits of the first word there all get links."""
+    held, probed = wide_buckets(fps, partitions, count, fps.count())
     probers = probed.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
     holders = held.groupBy("part", "value").agg(F.count(F.lit(1)).alias("k"), F.min("fp").alias("least"))
     sizes = materialize(holders.join(probers, ["part", "value"]).filter("n > 1"), "buckets")
     small, large = sizes.filter(F.col("n") * F.col("k") <= most_in_bucket).select("part", "value"), sizes.filter(F.col("n") * F.col("k") > most_in_bucket).select("part", "value", "least")
     near = held.join(small, ["part", "value"], "left_semi").select("part", "value", F.col("fp").alias("a"))
-    close = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most_bits)
-    pairs = near.join(probed.withColumnRenamed("fp", "b"), ["part", "value"]).filter(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    apart = lambda a, b: F.bit_count(a.bitwiseXOR(b))
+    # One word says less than all: a third of its bits may differ before a pair is left out.
+    close = (F.col("a") != F.col("b")) & (apart(F.col("a"), F.col("b")) <= max(BITS // 3, int(BITS * most_share)))
+    pairs = near.join(probed.withColumnRenamed("fp", "b"), ["part", "value"]).filter(close)
     crowd = probed.withColumnRenamed("fp", "b").join(large.withColumnRenamed("least", "a"), ["part", "value"]).filter(close)
-    crowd = materialize(crowd.select("a", "b").distinct(), "crowds")
-    members = crowd.select("a").union(crowd.select("b")).distinct().withColumnRenamed("a", "fp")
-    return pairs.union(crowd.select(F.least("a", "b"), F.greatest("a", "b"))).union(star_links(members, 2)).distinct()
+    ordered = lambda x: x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    members = probed.join(large, ["part", "value"], "left_semi").select("fp").distinct()
+    found = materialize(ordered(pairs).union(ordered(crowd)).union(star_links(members, 2)).distinct(), "pairs")
+    wide = found.join(fps.toDF("a", "left"), "a").join(fps.toDF("b", "right"), "b")
+    total = F.aggregate(F.zip_with("left", "right", apart), F.lit(0), lambda n, x: n + x)
+    return wide.filter(total <= int(BITS * count * most_share)).select("a", "b")
 
 
 def star_links(fps: DataFrame, most_bits: int) -> DataFrame:
@@ -206,12 +256,14 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 3, most_bits: int =
     return components_of(rows, nodes, links(nodes.select("fp"), most_bits))
 
 
-def near_duplicates_verified(docs: DataFrame, words_in_shingle: int = 5, similarity: float = 0.8, most_bits: int = 14) -> DataFrame:
-    """Components of documents whose sets of shingles have the Jaccard similarity: candidates by fingerprint, verified on the texts of the
-    least document of each fingerprint. Equal fingerprints are one group."""
-    rows = materialize(with_fingerprints(docs, words_in_shingle), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    pairs = materialize(candidates(nodes.select("fp"), most_bits), "candidates")
+def near_duplicates_verified(docs: DataFrame, words_in_shingle: int = 5, similarity: float = 0.8, recall: float = 0.95, most_share: float = 0.22) -> DataFrame:
+    """Components of documents whose sets of shingles have the Jaccard similarity: candidates by fingerprints long enough for the recall at
+    that similarity (closer pairs are found more often), verified on the texts of the least document of each fingerprint. Documents with
+    the same first 64 bits are one group."""
+    partitions, count = words_for(docs.count(), similarity, recall)
+    rows = materialize(with_fingerprints(docs, words_in_shingle, count), "fingerprints")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min_by("words", "doc_id").alias("words")), "nodes")
+    pairs = materialize(candidates(nodes.select("fp", "words"), partitions, count, most_share), "candidates")
     wanted = materialize(pairs.select("a").union(pairs.select("b")).distinct().join(nodes, F.col("a") == F.col("fp")).select("fp", F.col("least").alias("doc_id")), "wanted")
     few = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST_IDS else wanted
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id").groupBy("fp").agg(F.min("text").alias("text"))
@@ -224,7 +276,7 @@ def near_duplicates_verified(docs: DataFrame, words_in_shingle: int = 5, similar
         return pd.Series([x == y or (n := same(x, y)) >= similarity * (len(sets[x]) + len(sets[y]) - n) for x, y in zip(left, right, strict=True)])
 
     with_texts = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
-    return components_of(rows, nodes, with_texts.filter(alike("left", "right")).select("a", "b"))
+    return components_of(rows.select("doc_id", "fp"), nodes, with_texts.filter(alike("left", "right")).select("a", "b"))
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
