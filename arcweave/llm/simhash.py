@@ -195,8 +195,9 @@ def wide_buckets(fps: DataFrame, partitions: int, count: int, rows: int, sample_
     share = min(1.0, 4 * sample_rows / max(1, rows))
     sample = np.array([r[0] for r in fps.select("words").sample(share, seed=1).limit(sample_rows).collect()] or [[0] * count], np.int64)
     parts = [[BITS * k + b for b in own] for k in range(count) for own in correlated_partitions(sample[:, k], partitions)]
-    limits = thresholds(sample, parts, len(parts) - 1, rows, most_each=2)
+    limits = thresholds(sample, parts, len(parts) - 1, max(1, rows), most_each=2)
     entry = lambda i, value: F.struct(F.lit(i).alias("part"), value.alias("value"))
+    probes = lambda i, value, flips: F.transform(flips, lambda m: entry(i, value.bitwiseXOR(m)))
     held, probed = [], []
     for i, (own, t) in enumerate(zip(parts, limits, strict=True)):
         if t < 0:
@@ -204,8 +205,8 @@ def wide_buckets(fps: DataFrame, partitions: int, count: int, rows: int, sample_
         bits = [b % BITS for b in own]
         value = F.get("words", F.lit(own[0] // BITS)).bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))).cast("long"))
         held.append(entry(i, value))
-        probed.extend(entry(i, value.bitwiseXOR(F.lit(m).cast("long"))) for m in _flips(bits, t))
-    return tuple(fps.select("fp", F.inline(F.array(*entries))).select("part", "value", "fp") for entries in (held, probed))
+        probed.append(probes(i, value, F.expr(f"array({','.join(f'{m}L' for m in _flips(bits, t))})")))
+    return tuple(fps.select("fp", F.inline(entries)).select("part", "value", "fp") for entries in (F.array(*held), F.flatten(F.array(*probed))))
 
 
 def candidates(fps: DataFrame, partitions: int, count: int, most_share: float, most_in_bucket: int = 1024) -> DataFrame:
