@@ -82,7 +82,24 @@ def call_links(spark: SparkSession, folder: str) -> DataFrame:
     return declarations.link_calls(calls.distinct(), methods, _reach(e))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (type_names, endpoint_facts, inherited_properties, central_versions, type_declarations, call_links)}
+def project_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("c_custkey")
+    suffix = F.when(key % 4 == 0, ".Tests").when(key % 4 == 1, ".Client").otherwise("")
+    given = lambda when, value: F.when(when, value).otherwise("")
+    properties = F.create_map(F.lit("packageid"), given(key % 3 == 0, _text("Id?", "c_custkey")), F.lit("version"), given(key % 2 == 0, _text("1.0.?", "c_custkey")), F.lit("ispackable"), given(key % 7 == 0, F.lit("False")))
+    packages = F.when(key % 11 == 0, F.array(F.lit("Microsoft.NET.Test.Sdk"))).otherwise(F.array().cast("array<string>"))
+    rows = Estate(spark, folder).raw("customer").select(F.concat(_text("P?", "c_custkey"), suffix).alias("name"), F.when(key % 5 == 0, "Microsoft.NET.Sdk.Web").alias("sdk"), properties.alias("properties"), packages.alias("packages"), (key % 13 == 0).alias("has_endpoints"), (key % 2 == 1).alias("has_http"), "c_custkey")
+    forced = rows.filter("c_custkey % 17 = 0").select("name", F.when(key % 2 == 0, "LIBRARY").otherwise("unknown").alias("kind"))
+    return projects.describe_projects(rows, forced).select("name", F.col("is_test").cast("int").alias("is_test"), F.col("is_packable").cast("int").alias("is_packable"), "effective_id", "version", "kind")
+
+
+def merged_types(spark: SparkSession, folder: str) -> DataFrame:
+    field = lambda text, column: F.struct(_text(text, column).alias("name"))
+    parts = Estate(spark, folder).raw("lineitem").select((F.col("l_partkey") % 5).alias("project_id"), _text("T?", "l_partkey").alias("full_name"), _text("f?", "l_linenumber").alias("path"), F.col("l_orderkey").alias("span_start"), F.array(field("F?", "l_suppkey % 7"), field("G?", "l_linenumber")).alias("fields"))
+    return declarations.merge_parts(parts).select("project_id", "full_name", F.array_join(F.transform("fields", lambda f: f["name"]), ",").alias("fields"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (type_names, endpoint_facts, inherited_properties, central_versions, type_declarations, call_links, project_kinds, merged_types)}
 _SEEN = """folders AS (SELECT c_custkey AS project_id, c_nationkey AS repo, 'area' || c_custkey % 3 || '/group' || c_custkey % 4 || '/p' || c_custkey AS folder FROM customer),
 files AS (SELECT s_nationkey AS repo, CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'area' || s_suppkey % 2 ELSE 'area' || s_suppkey % 2 || '/group' || s_suppkey % 4 END AS folder, 'prop' || s_suppkey % 2 AS name_key, 'v' || s_suppkey AS value, s_suppkey AS seq FROM supplier),
 seen AS (SELECT project_id, f.* FROM folders p JOIN files f ON p.repo = f.repo AND (f.folder = '' OR starts_with(p.folder, f.folder || '/')))"""
@@ -104,4 +121,11 @@ ORACLES = {
         f AS (SELECT call_id, site_id, p_partkey AS method_id, args BETWEEN p_partkey % 3 AND p_partkey % 3 + 1 AS takes, p_partkey % 10 = hint AS near FROM c JOIN reach r ON r.project_id = c.p JOIN part ON p_partkey % 10 = r.target_id AND p_partkey // 8 = t AND p_partkey % 2 = m),
         a AS (SELECT * FROM f QUALIFY takes OR NOT bool_or(takes) OVER (PARTITION BY call_id)), b AS (SELECT * FROM a QUALIFY near OR NOT bool_or(near) OVER (PARTITION BY call_id)), k AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY call_id) > 1 THEN 0 ELSE 2 END AS c FROM b)
         SELECT site_id, method_id, min(c) AS confidence FROM k GROUP BY ALL""",
+    "project_kinds": """WITH p AS (SELECT c_custkey AS k, 'P' || c_custkey || CASE c_custkey % 4 WHEN 0 THEN '.Tests' WHEN 1 THEN '.Client' ELSE '' END AS name, c_custkey % 4 = 0 OR c_custkey % 11 = 0 AS test FROM customer),
+        q AS (SELECT *, NOT test AND k % 7 <> 0 AND k % 3 = 0 AS pack FROM p)
+        SELECT name, CAST(test AS int) AS is_test, CAST(pack AS int) AS is_packable, CASE WHEN k % 3 = 0 THEN 'Id' || k ELSE name END AS effective_id, CASE WHEN k % 2 = 0 THEN '1.0.' || k END AS version,
+        CASE WHEN k % 34 = 0 THEN 'Library' WHEN test THEN 'Test' WHEN k % 5 = 0 OR k % 13 = 0 THEN 'Api' WHEN (pack OR k % 4 = 1) AND k % 2 = 1 THEN 'Client' WHEN pack THEN 'Library' ELSE 'Other' END AS kind FROM q""",
+    "merged_types": """WITH f AS (SELECT l_partkey AS k, 'f' || l_linenumber AS path, l_orderkey AS s, unnest(['F' || l_suppkey % 7, 'G' || l_linenumber]) AS name, unnest([1, 2]) AS pos FROM lineitem),
+        once AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY k, name ORDER BY path, s, pos) = 1)
+        SELECT k % 5 AS project_id, 'T' || k AS full_name, string_agg(name, ',' ORDER BY path, s, pos) AS fields FROM once GROUP BY k""",
 }
