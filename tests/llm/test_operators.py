@@ -174,6 +174,20 @@ def test_verified_copies(spark):
     assert got.tolist() == [0, 0, 2, 0]
 
 
+def test_copies_at_the_similarity(spark):
+    """Eight words of 400 changed: similarity 0.82, grouped; twelve: 0.74, not."""
+    texts = []
+    for k in range(12):
+        base = prose(100 + k, 400).split()
+        for n in (0, 8, 12):
+            own = base.copy()
+            for at in range(n):
+                own[20 + 30 * at] = f"changed{k}x{n}x{at}"
+            texts.append(" ".join(own))
+    got = simhash.near_duplicates_verified(table(spark, texts)).toPandas().set_index("doc_id").component_id
+    assert sum(got[3 * k + 1] == 3 * k for k in range(12)) >= 11 and all(got[3 * k + 2] == 3 * k + 2 for k in range(12))
+
+
 def test_fingerprints(spark):
     got = fingerprints.fingerprints(table(spark, ["Ab  c", "ab C ", None, "ab c"]), bytes_per_range=4).toPandas().sort_values("doc_id")
     assert got.fingerprint.nunique() == 2 and got.near_next.tolist() == [1, 0, 0, 1] and got.n_chars.tolist() == [5, 5, 0, 4]
