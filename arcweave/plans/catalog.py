@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import routes
-from ..operators import findings, graph, linking
+from ..operators import details, findings, graph, linking
 from ..sources import documents
 from .estate import ESTATE_SQL, Estate
 
@@ -119,6 +119,11 @@ def repo_summary(spark: SparkSession, folder: str) -> DataFrame:
     return findings.repo_summary(e.repos(), {"n_clients": e.clients(), "n_apis": e.apis(), "n_endpoints": e.endpoints(), "n_methods": e.methods()}, depends)
 
 
+def repo_packages(spark: SparkSession, folder: str) -> DataFrame:
+    e = Estate(spark, folder)
+    return details.repo_packages(e.references(), _produced(e))
+
+
 def fuzzy_search(spark: SparkSession, folder: str) -> DataFrame:
     part = Estate(spark, folder).raw("part").select(F.concat(F.lit("pkg:Part"), "p_partkey").alias("id"), F.col("p_name").alias("label"))
     return findings.fuzzy(list(SEARCHES), part)
@@ -166,7 +171,7 @@ def endpoint_search(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (route_rules, client_links, repo_dependencies, ambiguous_producers, version_drift, unused_endpoints, unused_methods, endpoint_callers, hotspots, link_findings, cycles, neighbors_up, trace_down, impact, impact_totals, repo_summary, fuzzy_search, resolve_names, integrity, unique_ids, changed_files, file_snippets, endpoint_search)
+    for f in (route_rules, client_links, repo_dependencies, ambiguous_producers, version_drift, unused_endpoints, unused_methods, endpoint_callers, hotspots, link_findings, cycles, neighbors_up, trace_down, impact, impact_totals, repo_summary, fuzzy_search, resolve_names, integrity, unique_ids, changed_files, file_snippets, endpoint_search, repo_packages)
 }
 
 _IMPACT = """,
@@ -204,6 +209,9 @@ _BODIES = {
     "repo_summary": """, d AS (SELECT from_repo, to_repo FROM blocks WHERE a < b AND b - a <= 4)
         SELECT repo, (SELECT count(*) FROM clients c WHERE c.repo = r.repo) AS n_clients, (SELECT count(*) FROM apis c WHERE c.repo = r.repo) AS n_apis, (SELECT count(*) FROM endpoints c WHERE c.repo = r.repo) AS n_endpoints, (SELECT count(*) FROM methods c WHERE c.repo = r.repo) AS n_methods,
         coalesce((SELECT string_agg(to_repo, ',' ORDER BY to_repo) FROM d WHERE from_repo = r.repo), '') AS depends_on, coalesce((SELECT string_agg(from_repo, ',' ORDER BY from_repo) FROM d WHERE to_repo = r.repo), '') AS depended_on_by FROM repos r""",
+    "repo_packages": """, first AS (SELECT package_key, arg_min(repo, project_id) AS producer_repo FROM produced GROUP BY 1)
+        SELECT repo, 'publishes' AS role, package_key, version, project_id, repo AS producer_repo FROM produced
+        UNION ALL SELECT repo, 'consumes', package_key, version, project_id, producer_repo FROM refs JOIN first USING (package_key) WHERE producer_repo <> repo""",
     "fuzzy_search": f""", n AS (SELECT 'pkg:Part' || p_partkey AS id, lower('pkg:Part' || p_partkey) AS a, lower(p_name) AS b FROM part), q AS (SELECT unnest({list(SEARCHES)}) AS query),
         ranked AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY CASE WHEN contains(a, query) OR contains(b, query) THEN 0 ELSE 1 END, least(levenshtein(a, query), levenshtein(b, query)), id) AS int) AS rank, id FROM n, q) SELECT * FROM ranked WHERE rank <= 5""",
     "resolve_names": """, nodes AS (SELECT id, repo AS label FROM repos UNION ALL SELECT id, verb || ' /' || norm FROM endpoints), names AS (SELECT verb || ' /' || norm AS name FROM endpoints UNION SELECT repo FROM repos UNION SELECT id FROM methods)
