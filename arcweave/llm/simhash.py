@@ -18,7 +18,7 @@ Null and empty texts, and any without words, have the fingerprint zero and link
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -209,27 +209,71 @@ def wide_buckets(fps: DataFrame, partitions: int, count: int, rows: int, sample_
     return tuple(fps.select("fp", F.inline(entries)).select("part", "value", "fp") for entries in (F.array(*held), F.flatten(F.array(*probed))))
 
 
-def candidates(fps: DataFrame, partitions: int, count: int, most_share: float, most_in_bucket: int = 1024) -> DataFrame:
+def _apart(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def _near_first(most_share: float) -> Column:
+    """One word says less than all: a third of its bits may differ before a pair (a, b) is left out."""
+    return (F.col("a") != F.col("b")) & (_apart(F.col("a"), F.col("b")) <= max(BITS // 3, int(BITS * most_share)))
+
+
+def _near_all(pairs: DataFrame, fps: DataFrame, count: int, most_share: float) -> DataFrame:
+    """The pairs (a, b), the lesser first, that differ in most_share of all bits of (fp, words) at most."""
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    wide = pairs.join(fps.toDF("a", "left"), "a").join(fps.toDF("b", "right"), "b")
+    total = F.aggregate(F.zip_with("left", "right", _apart), F.lit(0), lambda n, x: n + x)
+    return wide.filter(total <= int(BITS * count * most_share)).select("a", "b")
+
+
+def candidates(fps: DataFrame, partitions: int, count: int, most_share: float, most_in_bucket: int = 1024) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of (fp, words) that a partition brings together and that differ in most_share of all bits at most, for a later check of
-    the texts. In a bucket with over most_in_bucket pairs of a holder and a prober each is paired with the least holder; pairs within two
-    bits of the first word there all get links."""
+    the texts, and the members (part, value, fp, own) of the buckets with over most_in_bucket pairs of a holder and a prober, own for the
+    holders. Of those only pairs with the least holder and pairs within two bits of the first word are there; crowd_links does the rest."""
     held, probed = wide_buckets(fps, partitions, count, fps.count())
     probers = probed.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
     holders = held.groupBy("part", "value").agg(F.count(F.lit(1)).alias("k"), F.min("fp").alias("least"))
     sizes = materialize(holders.join(probers, ["part", "value"]).filter("n > 1"), "buckets")
     small, large = sizes.filter(F.col("n") * F.col("k") <= most_in_bucket).select("part", "value"), sizes.filter(F.col("n") * F.col("k") > most_in_bucket).select("part", "value", "least")
     near = held.join(small, ["part", "value"], "left_semi").select("part", "value", F.col("fp").alias("a"))
-    apart = lambda a, b: F.bit_count(a.bitwiseXOR(b))
-    # One word says less than all: a third of its bits may differ before a pair is left out.
-    close = (F.col("a") != F.col("b")) & (apart(F.col("a"), F.col("b")) <= max(BITS // 3, int(BITS * most_share)))
-    pairs = near.join(probed.withColumnRenamed("fp", "b"), ["part", "value"]).filter(close)
-    crowd = probed.withColumnRenamed("fp", "b").join(large.withColumnRenamed("least", "a"), ["part", "value"]).filter(close)
-    ordered = lambda x: x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    members = probed.join(large, ["part", "value"], "left_semi").select("fp").distinct()
-    found = materialize(ordered(pairs).union(ordered(crowd)).union(star_links(members, 2)).distinct(), "pairs")
-    wide = found.join(fps.toDF("a", "left"), "a").join(fps.toDF("b", "right"), "b")
-    total = F.aggregate(F.zip_with("left", "right", apart), F.lit(0), lambda n, x: n + x)
-    return wide.filter(total <= int(BITS * count * most_share)).select("a", "b")
+    pairs = near.join(probed.withColumnRenamed("fp", "b"), ["part", "value"]).filter(_near_first(most_share))
+    tagged = held.withColumn("own", F.lit(True)).union(probed.withColumn("own", F.lit(False))).join(large, ["part", "value"])
+    members = materialize(tagged.groupBy("part", "value", "fp").agg(F.max("own").alias("own"), F.min("least").alias("least")), "crowds")
+    crowd = members.select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct().filter(_near_first(most_share))
+    found = pairs.select("a", "b").union(crowd).union(star_links(members.select("fp").distinct(), 2))
+    return _near_all(found, fps, count, most_share), members.select("part", "value", "fp", "own")
+
+
+def crowd_links(fps: DataFrame, members: DataFrame, edges: DataFrame, verified: Callable[[DataFrame], DataFrame], count: int, most_share: float, rounds: int = 4, block: int = 512) -> DataFrame:
+    """edges (a, b) with those that the members (part, value, fp, own) of large buckets lack, so that components are those of all pairs of a
+    bucket. In a round each bucket with several components takes a new representative from its largest one and verifies the members of the
+    others against it; a star of edits is done when its base comes up. After the rounds, or when one finds nothing, all pairs of different
+    components that are left are verified, whatever their number, in blocks so that no bucket is one task's work."""
+    seen = None
+    for last in [False] * rounds + [True]:
+        parts = connected_components(edges).withColumnRenamed("node", "fp")
+        now = members.join(parts, "fp", "left").select("part", "value", "fp", "own", F.coalesce("component", "fp").alias("component"))
+        several = now.groupBy("part", "value").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count_if("own").alias("k")).filter("x < y").select("part", "value", "k")
+        now = materialize(now.join(several, ["part", "value"]), "crowds")
+        if now.isEmpty():
+            break
+        if last:
+            blocks = F.ceil(F.col("k") / block).cast("int")
+            left = now.filter("own").select("part", "value", F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("at"), F.col("fp").alias("a"), F.col("component").alias("ca"))
+            right = now.select("part", "value", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("at"), F.col("fp").alias("b"), F.col("component").alias("cb"))
+            pairs = left.join(right, ["part", "value", "at"]).filter("ca <> cb")
+        else:
+            fresh = now.filter("own") if seen is None else now.filter("own").join(seen, ["part", "value", "fp"], "left_anti")
+            sizes = now.groupBy("part", "value", "component").agg(F.count(F.lit(1)).alias("n"))
+            heads = fresh.groupBy("part", "value", "component").agg(F.min("fp").alias("a"))
+            heads = heads.join(sizes, ["part", "value", "component"]).groupBy("part", "value").agg(F.max_by(F.struct("a", F.col("component").alias("ca")), F.struct("n", -F.col("component"))).alias("head"))
+            heads = materialize(heads.select("part", "value", "head.a", "head.ca"), "heads")
+            own = heads.select("part", "value", F.col("a").alias("fp"))
+            seen = own if seen is None else seen.union(own)
+            pairs = now.select("part", "value", F.col("fp").alias("b"), F.col("component").alias("cb")).join(heads, ["part", "value"]).filter("ca <> cb")
+        more = verified(_near_all(pairs.filter(_near_first(most_share)).select("a", "b"), fps, count, most_share))
+        edges = materialize(edges.union(more).distinct(), "links")
+    return edges
 
 
 def star_links(fps: DataFrame, most_bits: int) -> DataFrame:
@@ -257,18 +301,15 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 3, most_bits: int =
     return components_of(rows, nodes, links(nodes.select("fp"), most_bits))
 
 
-def near_duplicates_verified(docs: DataFrame, words_in_shingle: int = 5, similarity: float = 0.8, recall: float = 0.95, most_share: float = 0.22) -> DataFrame:
+def near_duplicates_verified(docs: DataFrame, words_in_shingle: int = 5, similarity: float = 0.8, recall: float = 0.95, most_share: float = 0.22, most_in_bucket: int = 1024) -> DataFrame:
     """Components of documents whose sets of shingles have the Jaccard similarity: candidates by fingerprints long enough for the recall at
     that similarity (closer pairs are found more often), verified on the texts of the least document of each fingerprint. Documents with
     the same first 64 bits are one group."""
     partitions, count = words_for(docs.count(), similarity, recall)
     rows = materialize(with_fingerprints(docs, words_in_shingle, count), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min_by("words", "doc_id").alias("words")), "nodes")
-    pairs = materialize(candidates(nodes.select("fp", "words"), partitions, count, most_share), "candidates")
-    wanted = materialize(pairs.select("a").union(pairs.select("b")).distinct().join(nodes, F.col("a") == F.col("fp")).select("fp", F.col("least").alias("doc_id")), "wanted")
-    few = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST_IDS else wanted
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id").groupBy("fp").agg(F.min("text").alias("text"))
-    texts = materialize(texts, "texts")
+    fps = nodes.select("fp", "words")
+    pairs, members = candidates(fps, partitions, count, most_share, most_in_bucket)
 
     @F.pandas_udf("boolean")
     def alike(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -276,8 +317,17 @@ def near_duplicates_verified(docs: DataFrame, words_in_shingle: int = 5, similar
         same = lambda x, y: len(np.intersect1d(sets[x], sets[y], assume_unique=True)) if x != y else len(sets[x])
         return pd.Series([x == y or (n := same(x, y)) >= similarity * (len(sets[x]) + len(sets[y]) - n) for x, y in zip(left, right, strict=True)])
 
-    with_texts = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
-    return components_of(rows.select("doc_id", "fp"), nodes, with_texts.filter(alike("left", "right")).select("a", "b"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "candidates")
+        wanted = materialize(pairs.select("a").union(pairs.select("b")).distinct().join(nodes, F.col("a") == F.col("fp")).select("fp", F.col("least").alias("doc_id")), "wanted")
+        few = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST_IDS else wanted
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id").groupBy("fp").agg(F.min("text").alias("text"))
+        texts = materialize(texts, "texts")
+        with_texts = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
+        return materialize(with_texts.filter(alike("left", "right")).select("a", "b"), "links")
+
+    edges = crowd_links(fps, members, verified(pairs), verified, count, most_share)
+    return components_of(rows.select("doc_id", "fp"), nodes, edges)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -188,6 +188,37 @@ def test_copies_at_the_similarity(spark):
     assert sum(got[3 * k + 1] == 3 * k for k in range(12)) >= 11 and all(got[3 * k + 2] == 3 * k + 2 for k in range(12))
 
 
+def star_of_edits(at: int, edits: int = 60) -> list[str]:
+    """Edits of one base, each about 0.85 to it and 0.73 to one another, with the base last."""
+    base, texts = prose(at, 400).split(), []
+    for n in range(edits):
+        own, r = base.copy(), random.Random(at + n)
+        for place in sorted(r.sample(range(10, 390, 8), 7)):
+            own[place] = f"edit{n}x{place}"
+        texts.append(" ".join(own))
+    return [*texts, " ".join(base)]
+
+
+def brute_components(texts: list[str], similarity: float = 0.8) -> list[int]:
+    """The least place of each text's component over all pairs."""
+    sets = [set(simhash.shingle_hashes(simhash.words_of(t), 5).tolist()) for t in texts]
+    own = list(range(len(texts)))
+    for a, b in itertools.combinations(own.copy(), 2):
+        if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+            low, high = sorted((own[a], own[b]))
+            own = [low if x == high else x for x in own]
+    return own
+
+
+@pytest.mark.parametrize("crowd", [1, 1024])
+def test_crowds_of_edits(spark, crowd):
+    """Where the least fingerprint of a large bucket is an edit, the edits meet through their base all the same."""
+    texts = [*star_of_edits(500), *star_of_edits(700), *(prose(900 + i, 400) for i in range(20))]
+    got = simhash.near_duplicates_verified(table(spark, texts), most_in_bucket=crowd).toPandas().set_index("doc_id").component_id.sort_index()
+    want = brute_components(texts)
+    assert len(set(want)) == 22 and got.tolist() == want
+
+
 def test_fingerprints(spark):
     got = fingerprints.fingerprints(table(spark, ["Ab  c", "ab C ", None, "ab c"]), bytes_per_range=4).toPandas().sort_values("doc_id")
     assert got.fingerprint.nunique() == 2 and got.near_next.tolist() == [1, 0, 0, 1] and got.n_chars.tolist() == [5, 5, 0, 4]
