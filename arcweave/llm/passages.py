@@ -7,6 +7,10 @@ are chained in both texts' order, with a cost for gaps, by a Fenwick tree for pr
 both texts are aligned in both directions, over edits of up to `resync` words; what has at least `least_words` equal words, and
 `identity` of the longer side equal, is a repeated passage of the later document. The first holder keeps it.
 
+The first holder of a seed may lack the passage, or hold a stray phrase before it. So where matched words stay without a passage, runs of
+LEAST_WORDS words and of two and three seeds in a row are matched again, each with its own first holder and place: an exact passage meets a
+document that has it whole, whatever documents hold its pieces.
+
 Of a document's chains those are tried first that hold a match outside of the spans of longer ones; the others follow where an accepted
 passage doesn't cover all their matches, so no chain is left out but for passages that are found already.
 
@@ -36,6 +40,8 @@ from .shingles import shingle_hashes, words_of
 K, WINDOW = 8, 12
 #: Three matched seeds at this distance in words: less can't be a passage of LEAST_WORDS words.
 CLOSE, LEAST_WORDS, IDENTITY = 64, 50, 0.8
+#: Hashes of runs that are sent to every task up to this number (32 MB) and joined by shuffle beyond it.
+MOST_BROADCAST_RUNS = 4_000_000
 #: Words that a first holder's part reaches over its chain, and the grid on which parts begin and end.
 MARGIN, GRID = 128, 64
 #: Ids whose texts are wanted are broadcast up to this number (16 MB) and joined by shuffle beyond it.
@@ -82,6 +88,77 @@ def matches(docs: DataFrame) -> DataFrame:
     return pairs.groupBy("doc_id").agg(F.collect_list(F.struct("other", "other_pos", "pos")).alias("matches"))
 
 
+def runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, pos, words, whole) of all runs of LEAST_WORDS words, and of two and three seeds in a row (not whole: words between may differ)."""
+    n = len(words) - LEAST_WORDS + 1
+    found = [(shingle_hashes(words, LEAST_WORDS, 50), np.arange(n), np.full(n, LEAST_WORDS), np.ones(n, bool))] if n > 0 else []
+    if len(words) >= K:
+        hashes = shingle_hashes(words, K)
+        at = winnow(hashes)
+        own = mixed = hashes[at]
+        for m in (1, 2):
+            mixed = mixed[: len(own) - m] * np.uint64(0x9E3779B97F4A7C15) ^ own[m:]
+            found.append((mixed, at[: len(mixed)], at[m:] - at[: len(mixed)] + K, np.zeros(len(mixed), bool)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.zeros(0, t) for t in (np.uint64, int, int, bool))
+
+
+def open_runs(words: list[bytes], matched: list[int], spans: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, pos, shift) of the runs that an earlier document may have and no passage covers; shift leads to a word outside of passages. In
+    equal words every window has a matched seed, so runs with a wider gap between matched places are left out."""
+    hashes, pos, size, whole = runs(words)
+    n = len(words)
+    close, covered = np.zeros(n + 2, int), np.zeros(n + 1, bool)
+    at = np.array(matched)
+    np.add.at(close, np.maximum(0, at - WINDOW + 1), 1)
+    np.add.at(close, np.minimum(n + 1, at + WINDOW), -1)
+    far = np.concatenate([[0], np.cumsum(np.cumsum(close) <= 0)])
+    for x in spans:
+        covered[x["start_word"] : x["end_word"]] = True
+    covered[n] = False
+    after = np.minimum.accumulate(np.where(covered, n, np.arange(n + 1))[::-1])[::-1]
+    shift = np.where(whole, after[pos] - pos, np.where(covered[pos], size - K, 0))
+    ok = (far[pos + size - K + 1] == far[pos]) & (shift < size) & ~covered[np.minimum(pos + shift, n)]
+    return hashes[ok], pos[ok], shift[ok]
+
+
+def run_matches(docs: DataFrame, matched: DataFrame, passages: DataFrame) -> DataFrame:
+    """As matches, of the runs in documents (doc_id, places) with matched places that the passages don't cover."""
+    spans = passages.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+    asking = docs.join(matched.join(spans, "doc_id", "left"), "doc_id").select("doc_id", "text", "places", F.coalesce("spans", F.array().cast("array<struct<start_word:int,end_word:int>>")).alias("spans"))
+    names, types = ["run", "doc_id", "pos", "shift"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches):
+            for doc_id, places, spans, text in zip(part.column("doc_id").to_pylist(), part.column("places").to_pylist(), part.column("spans").to_pylist(), texts, strict=True):
+                own, pos, shift = open_runs(words_of(text), places, spans)
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((own.view(np.int64), np.full(len(own), doc_id), pos, shift), types, strict=True)], names)
+
+    asked = materialize(asking.mapInArrow(ask, "run long, doc_id long, pos int, shift int"), "asked-runs")
+    wanted = materialize(asked.select("run").distinct(), "runs")
+    few = wanted.count() <= MOST_BROADCAST_RUNS
+    known = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toPandas()["run"].to_numpy(np.int64))) if few else None
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches):
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), texts, strict=True):
+                own, pos = (x for x in runs(words_of(text))[:2])
+                own = own.view(np.int64)
+                if known is not None:
+                    if not len(known.value):
+                        continue
+                    ok = known.value[np.minimum(np.searchsorted(known.value, own), len(known.value) - 1)] == own
+                    own, pos = own[ok], pos[ok]
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((own, np.full(len(own), doc_id), pos), types[:3], strict=True)], names[:3])
+
+    held = docs.filter("doc_id is not null").mapInArrow(hold, "run long, doc_id long, pos int")
+    held = held if few else held.join(wanted, "run", "left_semi")
+    first = held.groupBy("run").agg(F.min(F.struct("doc_id", "pos")).alias("first")).select("run", F.col("first.doc_id").alias("other"), F.col("first.pos").alias("other_pos"))
+    pairs = asked.join(first, "run").filter("other < doc_id").select("doc_id", "other", (F.col("other_pos") + F.col("shift")).alias("other_pos"), (F.col("pos") + F.col("shift")).alias("pos"))
+    return pairs.groupBy("doc_id").agg(F.collect_set(F.struct("other", "other_pos", "pos")).alias("matches"))
+
+
 def chains(own: list[tuple[int, int]], gap_cost: float = 0.02) -> list[list[tuple[int, int]]]:
     """Disjoint chains of (other_pos, pos), both rising, best first. A match counts 1 and a step its words in both texts times gap_cost."""
     own = sorted(set(own))
@@ -144,24 +221,29 @@ def walk(a: list[bytes], b: list[bytes], i: int, j: int, step: int, resync: int
 
 def align(words: list[bytes], other: list[bytes], offset: int, chain: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
     """(start, end, other start, other end, equal words) around the chain's matches; other is the part from word `offset` on."""
-    out, reached = [], -1
+    out, reached = [], {16: -1, 0: -1}
     for a, b in chain:
         a -= offset
-        if b < reached or not (0 <= a < len(other) and b < len(words)) or other[a] != words[b]:
+        if b < min(reached.values()) or not (0 <= a < len(other) and b < len(words)) or other[a] != words[b]:
             continue
-        a1, b1, ahead = walk(other, words, a, b, 1)
-        a0, b0, behind = walk(other, words, a - 1, b - 1, -1)
-        reached = b1
-        if (same := ahead + behind) >= LEAST_WORDS and same >= IDENTITY * max(a1 - a0 - 1, b1 - b0 - 1):
-            out.append((b0 + 1, b1, a0 + 1 + offset, a1 + offset, same))
+        for resync in reached:  # with 0 equal words alone, where the edits around them are too many
+            if b < reached[resync]:
+                continue
+            a1, b1, ahead = walk(other, words, a, b, 1, resync)
+            a0, b0, behind = walk(other, words, a - 1, b - 1, -1, resync)
+            reached[resync] = b1
+            if (same := ahead + behind) >= LEAST_WORDS and same >= IDENTITY * max(a1 - a0 - 1, b1 - b0 - 1):
+                out.append((b0 + 1, b1, a0 + 1 + offset, a1 + offset, same))
+                reached = dict.fromkeys(reached, b1)
+                break
     return out
 
 
 CHAINS = "doc_id long, chains array<struct<other:long,low:int,high:int,leads:boolean,pairs:array<struct<a:int,b:int>>>>"
 
 
-def find_chains(found: DataFrame) -> DataFrame:
-    """Each document's chains of the matches that have two others close by, with the part of `other` that a chain needs. leads: the chain has
+def find_chains(found: DataFrame, close: int = 3) -> DataFrame:
+    """Each document's chains of the matches that are `close` together, with themselves, with the part of `other` that a chain needs. leads: the chain has
     matches outside of the spans of those with more matches."""
     shape = pa.list_(pa.struct([("other", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("leads", pa.bool_()), ("pairs", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))]))
 
@@ -171,7 +253,7 @@ def find_chains(found: DataFrame) -> DataFrame:
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), batch.column("matches").to_pylist(), strict=True):
                 own.sort(key=lambda m: m["pos"])
                 at = np.array([m["pos"] for m in own])
-                near = np.searchsorted(at, at + CLOSE, "right") - np.searchsorted(at, at - CLOSE, "left") >= 3
+                near = np.searchsorted(at, at + CLOSE, "right") - np.searchsorted(at, at - CLOSE, "left") >= close
                 by_other = defaultdict(list)
                 for m, ok in zip(own, near, strict=True):
                     if ok:
@@ -201,7 +283,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # repeated rows of an id count as one document
         docs = docs.groupBy("doc_id").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
-    linked = materialize(find_chains(matches(docs)), "chains")
+    matched = materialize(matches(docs), "matches")
+    linked = materialize(find_chains(matched), "chains")
     one = lambda df: df.select("doc_id", F.explode("own").alias("c")).select("doc_id", "c.other", "c.low", "c.high", "c.pairs")
     first = materialize(align_chains(docs, materialize(one(linked.select("doc_id", F.filter("chains", lambda c: c["leads"]).alias("own"))), "leading")), "passages")
     spans = first.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
@@ -209,7 +292,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     outside = lambda p: ~F.exists("spans", lambda s: (p["b"] >= s["start_word"]) & (p["b"] < s["end_word"]))
     left = F.when(F.col("spans").isNull(), F.col("others")).otherwise(F.filter("others", lambda c: F.exists(c["pairs"], outside)))
     rest = materialize(one(rest.select("doc_id", left.alias("own"))), "other-chains")
-    return first.union(align_chains(docs, rest))
+    found = materialize(first.union(align_chains(docs, rest)), "passages")
+    again = run_matches(docs, matched.select("doc_id", F.col("matches.pos").alias("places")), found)
+    return found.union(align_chains(docs, materialize(one(find_chains(again, 1).withColumnRenamed("chains", "own")), "run-chains")))
 
 
 def align_chains(docs: DataFrame, linked: DataFrame) -> DataFrame:

@@ -235,6 +235,18 @@ def test_passages_are_found_and_cut(spark):
     assert cut[1] == prose(22, 80).split() and cut[3] == prose(24, 40).split()
 
 
+def test_passage_whose_pieces_come_first(spark):
+    """Overlapping pieces hold every seed of the passage first, and a later document meets the one that has it whole."""
+    whole = [f"piece{i}" for i in range(70)]
+    line = lambda seed, own: " ".join([*prose(seed, 40).split(), *own, *prose(seed + 50, 40).split()])
+    texts = [prose(40, 100), line(41, whole[:40]), line(42, whole[30:]), prose(43, 80), prose(44, 80), line(45, whole), prose(46, 80), prose(47, 80), prose(48, 80), line(49, whole)]
+    found = passages.repeated_passages(table(spark, texts)).collect()
+    assert {(r["doc_id"], r["other_doc_id"], r["start_word"], r["end_word"]) for r in found} == {(9, 5, 40, 110)}
+    stray = [" ".join([*whole[:40], *prose(60, 30).split(), *whole[30:], *prose(62, 30).split(), *whole]), prose(61, 40) + " " + " ".join(whole)]  # stray phrases before the passage
+    found = passages.repeated_passages(table(spark, stray)).collect()
+    assert {(r["doc_id"], r["other_doc_id"], r["start_word"], r["end_word"], r["other_start_word"]) for r in found} == {(1, 0, 40, 110, 140)}
+
+
 def test_chains_are_collinear():
     r = random.Random(4)
     own = [(i * 9, i * 9 + 500) for i in range(20)] + [(r.randint(0, 900), r.randint(0, 900)) for _ in range(30)]
