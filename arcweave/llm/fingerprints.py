@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, slices, text_or_empty
+from .common import join_counted, materialize, read_table, slices, text_or_empty
 from .ranges import cut_points, range_of
 
 LEAST_ID = -(2**63)
@@ -47,17 +47,20 @@ def with_next(docs: DataFrame, bytes_per_range: int) -> DataFrame:
     cuts = cut_points(docs, bytes_per_range)
     ranged = docs.select("doc_id", text_or_empty().alias("text"), key.alias("key"), range_of(F.col("doc_id"), cuts).alias("own"))
     firsts = sorted(ranged.groupBy("own").agg(F.min("key")).collect())  # a row for each range
-    present, keys = [r[0] for r in firsts], [r[1] for r in firsts]
-    if not present:
-        return ranged.select("doc_id", "text", F.col("own").alias("range_id"), F.lit(0).alias("later"))
-    array = lambda x: F.from_json(F.lit(json.dumps(x)), "array<long>")
-    before = F.get(array(present[-1:] + present[:-1]), F.array_position(array(present), F.col("own")).cast("int") - 1)
+    first_key, before, last = [None] * (len(cuts) + 1), [None] * (len(cuts) + 1), None
+    for own, least in firsts:
+        first_key[own], before[own], last = least, last, own
+    if firsts:
+        before[firsts[0][0]] = last
+    array = lambda x, kind: F.from_json(F.lit(json.dumps(x)), f"array<{kind}>")
     own = F.struct(F.col("own").alias("range_id"), F.lit(0).alias("later"))
-    places = F.when(F.array_contains(array(keys), F.col("key")), F.array(own, F.struct(before.alias("range_id"), F.lit(1).alias("later")))).otherwise(F.array(own))
+    earlier = F.struct(F.get(array(before, "int"), F.col("own")).alias("range_id"), F.lit(1).alias("later"))
+    places = F.when(F.get(array(first_key, "long"), F.col("own")) == F.col("key"), F.array(own, earlier)).otherwise(F.array(own))
     dealt = ranged.select("doc_id", "text", "key", F.explode(places).alias("at")).select("doc_id", "text", "key", "at.*")
-    return dealt.repartition(len(present), "range_id").sortWithinPartitions("range_id", "later", "key", "text").drop("key")
+    return dealt.repartitionById(len(cuts) + 1, "range_id").sortWithinPartitions("later", "key", "text").drop("key")
 
 
+#: A document's edited text, digests and likenesses, in one pass over sorted ranges.
 DIGESTS = "doc_id long, n_chars long, edited_sha256 string, digest string, tail string, edited_digest string, edited_tail string, near_edited double, near_next double"
 
 
@@ -92,8 +95,8 @@ def digest_rows(docs: DataFrame, bytes_per_range: int) -> DataFrame:
 def fingerprints(docs: DataFrame, bytes_per_range: int = 24_000_000) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(digest_rows(docs, bytes_per_range), "digests")
-    shared = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
-    ids = materialize(rows.join(shared, "digest", "left_semi").select("doc_id").distinct(), "shared-ids")
+    shared = materialize(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-digests")
+    ids = materialize(join_counted(rows.select("digest", "doc_id"), shared, "digest", "left_semi").select("doc_id").distinct(), "shared-ids")
     ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,13 +106,15 @@ def fingerprints(docs: DataFrame, bytes_per_range: int = 24_000_000) -> DataFram
 
     texts = docs.join(ids, "doc_id", "left_semi").select(text_or_empty().alias("text"))
     compared = texts.mapInArrow(forms, "digest string, form binary").groupBy("digest").agg(F.min("form").alias("least"), F.max("form").alias("greatest"))
-    unequal = compared.filter("least <> greatest").select("digest", F.lit(True).alias("unequal"))
+    unequal = materialize(compared.filter("least <> greatest").select("digest"), "unequal-digests")
     named = lambda digest, tail, mark: F.when(mark, F.concat_ws("-", digest, tail)).otherwise(F.col(digest))
-    out = rows.join(unequal, "digest", "left")
-    again = unequal.select(F.col("digest").alias("edited_digest"), F.col("unequal").alias("edited_unequal"))
-    return out.join(again, "edited_digest", "left").select(
-        "doc_id", "n_chars", "edited_sha256", named("digest", "tail", F.col("unequal")).alias("fingerprint"), named("edited_digest", "edited_tail", F.col("edited_unequal")).alias("edited_fingerprint"), "near_edited", "near_next"
-    )
+    own, again, out = F.lit(False), F.lit(False), rows
+    if not unequal.isEmpty():  # only where two texts have one digest
+        mark = F.broadcast(unequal) if unequal.count() <= MOST_BROADCAST_IDS else unequal
+        out = out.join(mark.withColumn("unequal", F.lit(True)), "digest", "left")
+        out = out.join(mark.select(F.col("digest").alias("edited_digest"), F.lit(True).alias("edited_unequal")), "edited_digest", "left")
+        own, again = F.col("unequal"), F.col("edited_unequal")
+    return out.select("doc_id", "n_chars", "edited_sha256", named("digest", "tail", own).alias("fingerprint"), named("edited_digest", "edited_tail", again).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def op10_fingerprints(spark, sf_dir: str) -> DataFrame:

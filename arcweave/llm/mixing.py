@@ -3,16 +3,20 @@
 A naive Bayes classifier from the label table gives each document posteriors over the domains good, poor and toxic. It is fitted on at
 most `most_labelled` labelled documents (those with the least hashed ids) and has the `most_words` words that tell the domains
 apart best; a document is judged by which of these words it has and lacks. Rates r >= 0 (and <= most_rate) then minimise the squared
-difference between expected domain tokens sum(r * tokens * posterior) and their targets, by projected gradient steps from r = 1.
-A step is scaled by the inverse of sum(tokens * posterior * posterior') over all documents, which bounds the curvature: no step
-overshoots, and without bounds one step solves it; each step is one aggregation to a few sums, which are all that the driver sees.
+difference between expected domain tokens sum(r * tokens * posterior) and their targets, by projected gradient steps from r = 1. A rate is
+the projection of 1 - posterior * moved, where `moved` adds up the steps, so a step is three numbers. A step follows the gradient, scaled by
+the inverse curvature of the documents that no bound holds; several lengths of it are tried in the one aggregation that also gives the next
+gradient and curvature, and the best is taken. Steps end when the targets are met to `close` of all tokens, or when none comes nearer, which
+means that no rates in the bounds meet them; then the rates are those that come nearest, and a warning says by how much they miss.
 
 Null texts have no tokens and lack all words; null labels and labels without a document are left out (an unlabelled corpus gives every
-domain the same prior); repeated rows are rows of their own; an empty table gives no rows.
+domain the same prior); repeated rows are rows of their own; an empty table gives no rows; other columns are ignored or carried along.
 """
 
 from __future__ import annotations
 
+import json
+import warnings
 from functools import reduce
 from operator import add
 
@@ -50,53 +54,88 @@ def classifier(docs: DataFrame, labels: DataFrame, most_labelled: int, most_word
     return [float(np.log(x) + y) for x, y in zip(share, none, strict=True)], chosen.select("word", *(f"l{k}" for k in range(len(DOMAINS))))
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, most_words: int = 1000) -> DataFrame:
-    """docs' doc_id, n_tokens (words) and p0.. for the domains."""
+def posteriors(docs: DataFrame, labels: DataFrame, carry: list[str], most_labelled: int = 20_000, most_words: int = 1000) -> DataFrame:
+    """docs' doc_id, n_tokens (words), p0.. for the domains and the carried columns. A word's weights are found by a binary search in the list
+    of most_words at most, row by row, so that no document meets another."""
     prior, weights = classifier(docs, labels, most_labelled, most_words)
-    names = [r[0] for r in weights.select("word").collect()]  # most_words at most
-    own = words(F.col("text"))
-    listed = F.array_distinct(F.filter(own, lambda w: w.isin(names))) if names else F.array().cast("array<string>")
-    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(own).cast("long").alias("n_tokens"), listed.alias("listed")), "listed")
-    kinds = rows.select("listed").distinct()  # what is added up once for each set of words
-    sums = kinds.select("listed", F.explode("listed").alias("word")).join(F.broadcast(weights), "word").groupBy("listed").agg(*(F.sum(f"l{k}").alias(f"s{k}") for k in range(len(DOMAINS))))
-    logit = [F.coalesce(f"s{k}", F.lit(0.0)) + p for k, p in enumerate(prior)]
-    best = F.greatest(*logit)
-    total = reduce(add, (F.exp(x - best) for x in logit))
-    return materialize(rows.join(sums, "listed", "left").select("doc_id", "n_tokens", *((F.exp(x - best) / total).alias(f"p{k}") for k, x in enumerate(logit))), "posteriors")
-
-
-def fit_rates(rows: DataFrame, targets: list[float] | None, multiples: list[float] | None, most_rate: float, steps: int) -> Column:
+    known = sorted(tuple(r) for r in weights.collect())  # most_words at most
+    own, dims = words(F.col("text")), range(len(DOMAINS))
+    logit = [F.lit(p) for p in prior]
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, own.alias("all_words"))
+    if known:
+        names = F.from_json(F.lit(json.dumps([k[0] for k in known])), "array<string>")
+        table = F.from_json(F.lit(json.dumps([k[1:] for k in known])), "array<array<double>>")
+        strides = F.array(*(F.lit(1 << k) for k in range(len(known).bit_length() - 1, -1, -1)))
+        place = lambda w: F.aggregate(strides, F.lit(0), lambda at, s: F.when(F.get(names, at + s - 1) <= w, at + s).otherwise(at)) - 1
+        listed = F.array_distinct(F.filter("all_words", lambda w: w.isin([k[0] for k in known])))
+        added = F.transform(listed, lambda w: F.get(table, place(w)))
+        held = held.withColumn("sums", F.aggregate(added, F.array(*(F.lit(0.0) for _ in dims)), lambda total, x: F.zip_with(total, x, lambda u, v: u + v)))
+        logit = [F.get("sums", F.lit(k)) + p for k, p in enumerate(prior)]
+    logits = materialize(held.select("doc_id", *carry, F.size("all_words").cast("long").alias("n_tokens"), *(x.alias(f"s{k}") for k, x in enumerate(logit))), "logits")
+    best = F.greatest(*(f"s{k}" for k in dims))
+    total = reduce(add, (F.exp(F.col(f"s{k}") - best) for k in dims))
+    return logits.select("doc_id", *carry, "n_tokens", *((F.exp(F.col(f"s{k}") - best) / total).alias(f"p{k}") for k in dims))
+
+
+#: Lengths of a step that are tried at once.
+LENGTHS = (0.0, 0.02, 0.1, 0.3, 0.6, 1.0, 1.5)
+
+
+def fit_rates(rows: DataFrame, targets: list[float] | None, multiples: list[float] | None, most_rate: float, close: float, most_steps: int) -> Column:
     """A column over rows (n_tokens, p0..): the rate. targets: shares of all tokens; multiples: of what each domain has at rate 1."""
     dims = range(len(DOMAINS))
-    p, t, rate = [F.col(f"p{k}") for k in dims], F.col("n_tokens"), F.lit(1.0)
+    p, t = [F.col(f"p{k}") for k in dims], F.col("n_tokens")
     pairs = [(i, j) for i in dims for j in dims if i <= j]
-    goal = None
-    for _ in range(steps):
-        sums = rows.agg(*(F.coalesce(F.sum(rate * t * x), F.lit(0.0)) for x in p), *(F.coalesce(F.sum(t * p[i] * p[j]), F.lit(0.0)) for i, j in pairs)).first()
-        now = np.array(sums[: len(p)])
-        if goal is None:
-            goal = np.array(targets) * now.sum() / sum(targets) if targets else np.array(multiples) * now
+    free_rate = lambda moved: F.lit(1.0) - reduce(add, (x * float(m) for x, m in zip(p, moved, strict=True)))
+    rate = lambda moved: F.least(F.greatest(free_rate(moved), F.lit(0.0)), F.lit(float(most_rate)))
+
+    def measured(points: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The domains' tokens and the curvature at each point, from one aggregation."""
+        sums = []
+        for moved in points:
+            inside = F.when((free_rate(moved) >= 0) & (free_rate(moved) <= float(most_rate)), t).otherwise(0)
+            sums += [F.sum(rate(moved) * t * x) for x in p] + [F.sum(inside * p[i] * p[j]) for i, j in pairs]
+        values = np.array(rows.agg(*(F.coalesce(x, F.lit(0.0)) for x in sums)).first(), float).reshape(len(points), -1)
+        out = []
+        for v in values:
+            gram = np.zeros((len(p), len(p)))
+            for (i, j), x in zip(pairs, v[len(p) :], strict=True):
+                gram[i, j] = gram[j, i] = x
+            out.append((v[: len(p)], gram))
+        return out
+
+    moved = np.zeros(len(p))
+    now, gram = measured([moved])[0]
+    every, tokens = gram, max(1.0, now.sum())
+    goal = np.array(targets) * now.sum() / sum(targets) if targets else np.array(multiples) * now
+    for _ in range(most_steps):
         gap = now - goal
-        if now.sum() <= 0 or np.abs(gap).max() <= 1e-6 * max(1.0, now.sum()):
+        if np.abs(gap).max() <= close * tokens or not every.any():
             break
-        gram = np.zeros((len(p), len(p)))
-        for (i, j), v in zip(pairs, sums[len(p) :], strict=True):
-            gram[i, j] = gram[j, i] = v
-        if not gram.any():
+        step = np.linalg.pinv(gram + 1e-6 * every, rcond=1e-12, hermitian=True) @ gap
+        points = [moved + length * step for length in LENGTHS]
+        tried = measured(points)
+        best = min(range(len(points)), key=lambda k: float(((tried[k][0] - goal) ** 2).sum()))
+        nearer = ((tried[best][0] - goal) ** 2).sum() < (1 - 1e-4) * (gap**2).sum()
+        moved, (now, gram) = points[best], tried[best]
+        if not nearer:
             break
-        move = np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ gap
-        rate = F.least(F.greatest(rate - reduce(add, (x * float(m) for x, m in zip(p, move, strict=True))), F.lit(0.0)), F.lit(float(most_rate)))
-    return rate
+    if (miss := np.abs(now - goal).max() / tokens) > 100 * close:
+        warnings.warn(f"the rates that come nearest miss a target by {miss:.2%} of all tokens", stacklevel=2)
+    return rate(moved)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, multiples: dict[str, float] | None = None, most_rate: float = 4.0, steps: int = 16, nearest: bool = False) -> DataFrame:
-    """doc_id, n_tokens, p_<domain>, rate and copies. copies has the rate as its mean, by the hash of doc_id; nearest: it is the nearest number."""
-    rows = posteriors(docs, labels)
+def mix(
+    docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, multiples: dict[str, float] | None = None, most_rate: float = 4.0, close: float = 1e-6, most_steps: int = 40, nearest: bool = False, carry: list[str] | None = None
+) -> DataFrame:
+    """doc_id, n_tokens, p_<domain>, rate and copies, and the carried columns. copies has the rate as its mean, by the hash of doc_id; nearest: it is the nearest number."""
+    carry = carry or []
+    rows = posteriors(docs, labels, carry)
     listed = lambda x: [float(x[d]) for d in DOMAINS] if x else None
-    fitted = rows.withColumn("rate", fit_rates(rows, listed(targets), listed(multiples), most_rate, steps))
+    fitted = rows.withColumn("rate", fit_rates(rows, listed(targets), listed(multiples), most_rate, close, most_steps))
     point = F.pmod(F.xxhash64(F.lit("copies"), "doc_id"), F.lit(1_000_003)) / 1_000_003.0
     copies = F.floor(F.col("rate") + (F.lit(0.5) if nearest else point))
-    return fitted.select("doc_id", "n_tokens", *(F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)), "rate", copies.cast("int").alias("copies"))
+    return fitted.select("doc_id", "n_tokens", *(F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)), "rate", copies.cast("int").alias("copies"), *carry)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

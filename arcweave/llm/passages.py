@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, read_table, slices
+from .common import join_counted, materialize, read_table, slices
 from .shingles import shingle_hashes, words_of
 
 K, WINDOW = 8, 12
@@ -83,8 +83,9 @@ def seeds(docs: DataFrame) -> DataFrame:
 def matches(docs: DataFrame) -> DataFrame:
     """(doc_id, matches: array of (other, other_pos, pos)) of documents with seeds that an earlier one holds."""
     found = materialize(seeds(docs), "seeds")
-    holders = found.filter("first").groupBy("seed").agg(F.min("doc_id").alias("other"), F.min_by("pos", "doc_id").alias("other_pos"), F.max("doc_id").alias("last")).filter("other < last").drop("last")
-    pairs = found.drop("first").join(holders, "seed").filter("doc_id <> other")
+    holders = found.groupBy("seed").agg(F.min(F.when(F.col("first"), F.struct("doc_id", "pos"))).alias("holder"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    holders = holders.filter("holder.doc_id < last").select("seed", F.col("holder.doc_id").alias("other"), F.col("holder.pos").alias("other_pos"), "n")
+    pairs = join_counted(found.drop("first"), materialize(holders, "holders"), "seed").filter("doc_id <> other")
     return pairs.groupBy("doc_id").agg(F.collect_list(F.struct("other", "other_pos", "pos")).alias("matches"))
 
 
@@ -278,10 +279,10 @@ def find_chains(found: DataFrame, close: int = 3) -> DataFrame:
 PASSAGES = "doc_id long, start_word int, end_word int, n_words int, other_doc_id long, other_start_word int, other_end_word int, equal_words int"
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """Passages of each document (doc_id, text) that an earlier one (by doc_id) has, with their places in words."""
+def repeated_passages(docs: DataFrame, distinct_ids: bool = False) -> DataFrame:
+    """Passages of each document (doc_id, text) that an earlier one (by doc_id) has, with their places in words. distinct_ids: no id comes twice."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # repeated rows of an id count as one document
+    if not distinct_ids and docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # repeated rows of an id count as one document
         docs = docs.groupBy("doc_id").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
     matched = materialize(matches(docs), "matches")
     linked = materialize(find_chains(matched), "chains")
@@ -344,8 +345,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """docs without the words of the passages; a document that has no word left goes. Other columns stay as they are."""
+    """docs without the words of the passages; a document that has no word left goes. Other columns stay as they are, whatever their names."""
     spans = passages.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("cut_spans"))
+    columns, docs = docs.columns, docs.select("doc_id", "text", F.struct(*docs.columns).alias("own_columns"))
     marked = docs.join(spans, "doc_id", "left")
 
     def without(text: str, spans: list[dict]) -> str | None:
@@ -364,7 +366,7 @@ def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
         return text.combine(spans, lambda t, s: without(t, s))
 
     edited = F.when(F.col("cut_spans").isNotNull(), cut(F.coalesce("text", F.lit("")), F.coalesce("cut_spans", F.array().cast("array<struct<start_word:int,end_word:int>>")))).otherwise(F.col("text"))
-    return marked.withColumn("text", edited).filter("cut_spans is null or text is not null").select(*docs.columns)
+    return marked.withColumn("text", edited).filter("cut_spans is null or text is not null").select(*(F.col("text") if c == "text" else F.col("own_columns").getField(c).alias(c) for c in columns))
 
 
 def op5_passages(spark, sf_dir: str) -> DataFrame:

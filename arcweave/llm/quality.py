@@ -1,34 +1,38 @@
 """Quality rules with robust multivariate outliers (operator 4).
 
 Base rules count words, symbols, repeated lines and repeated 8-word windows. Documents that pass them become vectors of log
-ratios, and each language and source gets a minimum-covariance-determinant estimate of its centre and covariance: starting from
-medians, each concentration step keeps the documents of least Mahalanobis distance (a share `support` of the group) and
-estimates again from them. A document is rejected where its distance to its group's estimate passes the chi-square quantile.
+ratios, and each language and source gets a minimum-covariance-determinant estimate of its centre and covariance, whatever its size.
+Three deterministic starts (medians with median deviations, means with the covariance, medians with the correlation of tanh scores) take two
+concentration steps each: the documents of least Mahalanobis distance (a share `support`) are estimated from again. The start of least
+determinant goes on until its determinant falls no more. A document is rejected where its distance to its group's estimate passes the
+chi-square quantile.
 
-Every step is an aggregation with map-side combining over all documents: the group's size never meets one task. The cut at the
-share `support` is read off a histogram of the log distances (32 bins to an octave), so it is exact to a bin whatever the order
-of rows. Groups under `least_group` documents are judged with their language's other small groups, and those with each other. A
-ridge keeps features that are constant in a group (often zero symbols) from making small deviations look large.
+Estimates of few documents are drawn towards their language's, and those of a language towards fixed spreads, with the weight of
+DRAWN documents; a group of any size so has its own. A ridge keeps features that are constant in a group (often zero symbols) from making
+small deviations look large.
+
+A step is one aggregation over all documents: sums of the vectors by group and by the log distance (32 bins to an octave), with
+map-side combining, so a group's size never meets one task; the cut at the share `support` is exact to a bin whatever the order of rows.
+Estimates go to the documents by broadcast up to MOST_BROADCAST_GROUPS groups, and beyond it by a join in which groups of many
+documents are broadcast.
 
 Null texts have no words and fail the base rules; null languages or sources form groups of their own; repeated rows stay; an
-empty table gives no rows.
+empty table gives no rows; other columns are ignored or carried along as they are.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialize, read_table, slices
+from .common import join_counted, materialize, read_table, text_or_empty
 
 SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 UPPER = str.maketrans("", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -74,13 +78,15 @@ def counts_of(text: str) -> tuple[int, ...]:
     return (n, chars, len(text) - len(text.translate(SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), upper, text.count("!") + text.count("?"), sum(map(eq, words, words[1:])))
 
 
-def with_counts(docs: DataFrame) -> DataFrame:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches):
-            columns = zip(*map(counts_of, texts), strict=True)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "lang", "source")), *(pa.array(x, pa.int64()) for x in columns)], ["doc_id", "lang", "source", *COUNTS])
+def with_counts(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """doc_id, lang, source, the counts of text, and the carried columns."""
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
+    def count(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([counts_of(x) for x in texts], columns=list(COUNTS))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", "text").mapInArrow(count, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
+    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", *carry, count(text_or_empty()).alias("counts"))
+    return counted.select("doc_id", "lang", "source", *carry, "counts.*")
 
 
 def features() -> list[Column]:
@@ -112,19 +118,39 @@ def chi_square_quantile(p: float, dim: int) -> float:
 PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def precision_of(covariance: pd.Series) -> pd.Series:
-    """The inverse of each group's covariance with the ridge, as its upper triangle."""
+#: Documents that the prior of an estimate's covariance and of its centre counts as.
+DRAWN, DRAWN_CENTRE = 50.0, 5.0
+#: Spreads that languages of few documents are drawn towards, in the order of features().
+PRIOR = (0.05, 1.0, 1.0, 1.0, 2.0, 1.0)
+MOST_BROADCAST_GROUPS = 50_000
+_LIST = T.ArrayType(T.DoubleType())
+ESTIMATE = T.StructType([T.StructField("mean", _LIST), T.StructField("covariance", _LIST), T.StructField("precision", _LIST), T.StructField("log_det", T.DoubleType())])
+
+
+def _full(values: np.ndarray) -> np.ndarray:
+    m = np.zeros((DIM, DIM))
+    for (i, j), v in zip(PAIRS, values, strict=True):
+        m[i, j] = m[j, i] = v
+    return m
+
+
+def estimate_of(n: float, mean: np.ndarray, covariance: np.ndarray, prior_mean: np.ndarray | None, prior: np.ndarray) -> tuple:
+    """An estimate (mean, covariance, precision, log_det) from n documents, drawn towards the prior."""
+    s, p = _full(covariance), _full(prior)
+    if prior_mean is not None:
+        apart = mean - prior_mean
+        s = s + np.outer(apart, apart) * DRAWN_CENTRE / (n + DRAWN_CENTRE)
+        mean = (n * mean + DRAWN_CENTRE * prior_mean) / (n + DRAWN_CENTRE)
+    s = (n * s + DRAWN * p) / (n + DRAWN)
+    ridged = s + np.diag(RIDGE)
+    precision = np.linalg.inv(ridged)
+    return mean.tolist(), [float(s[i, j]) for i, j in PAIRS], [float(precision[i, j]) for i, j in PAIRS], float(np.linalg.slogdet(ridged)[1])
 
-    def inverse(values: np.ndarray) -> list[float]:
-        m = np.diag(RIDGE).astype(float)
-        for (i, j), v in zip(PAIRS, values, strict=True):
-            m[i, j] += v
-            m[j, i] = m[i, j]
-        p = np.linalg.inv(m)
-        return [float(p[i, j]) for i, j in PAIRS]
 
-    return covariance.map(inverse)
+@F.pandas_udf(ESTIMATE)
+def estimated(n: pd.Series, mean: pd.Series, covariance: pd.Series, prior_mean: pd.Series, prior: pd.Series) -> pd.DataFrame:
+    rows = [estimate_of(*x) for x in zip(n, mean, covariance, prior_mean, prior, strict=True)]
+    return pd.DataFrame(rows, columns=["mean", "covariance", "precision", "log_det"])
 
 
 def _distance() -> Column:
@@ -136,43 +162,91 @@ def _distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-def estimates(vectors: DataFrame, support: float, steps: int) -> DataFrame:
-    """grp, mean and precision (inverse of the consistent covariance) of each group of vectors (grp, f0..)."""
-    middle = vectors.groupBy("grp").agg(*(F.percentile_approx(f"f{i}", F.lit(0.5), F.lit(1000)).alias(f"m{i}") for i in range(DIM)))
-    start = vectors.join(middle, "grp").groupBy("grp", *(f"m{i}" for i in range(DIM))).agg(*(F.percentile_approx(F.abs(F.col(f"f{i}") - F.col(f"m{i}")), F.lit(0.5), F.lit(1000)).alias(f"d{i}") for i in range(DIM)))
-    spread = F.array(*(F.pow(1.4826 * F.col(f"d{i}"), F.lit(2.0)) if i == j else F.lit(0.0) for i, j in PAIRS))
-    now = materialize(start.select("grp", F.array(*(F.col(f"m{i}") for i in range(DIM))).alias("mean"), precision_of(spread).alias("precision")), "estimates")
-    up_to = Window.partitionBy("grp").orderBy("bin")
+def with_estimates(vectors: DataFrame, now: DataFrame, few: bool) -> DataFrame:
+    """vectors with each estimate of their group; now has the number n of a group's vectors. few: there are MOST_BROADCAST_GROUPS at most."""
+    return vectors.join(F.broadcast(now.drop("n")), "grp") if few else join_counted(vectors, now, "grp")
+
+
+def drawn(sums: DataFrame) -> DataFrame:
+    """(grp, n, start, e: estimate) of (grp, lang_grp, start, n, m, mean, covariance), where m documents of n have the mean and covariance."""
+    fixed = F.array(*(F.lit(PRIOR[i] if i == j else 0.0) for i, j in PAIRS))
+    of_lang = sums.filter("grp = lang_grp").withColumn("e", estimated("m", "mean", "covariance", F.lit(None).cast("array<double>"), fixed))
+    prior = of_lang.select(F.col("grp").alias("lang_grp"), "start", F.col("e.mean").alias("p"), F.col("e.covariance").alias("q"))
+    own = sums.filter("grp <> lang_grp").join(prior, ["lang_grp", "start"]).withColumn("e", estimated("m", "mean", "covariance", "p", "q"))
+    return of_lang.select("grp", "start", "n", "e").union(own.select("grp", "start", "n", "e"))
+
+
+def starts(vectors: DataFrame) -> tuple[DataFrame, bool]:
+    """Sums for drawn() of three starts for each group of vectors (grp, lang_grp, f0..), and whether there are few groups."""
+    f, dims = [F.col(f"f{i}") for i in range(DIM)], range(DIM)
+    key = ["grp", "lang_grp"]
+    middle = vectors.groupBy(*key).agg(F.array(*(F.percentile_approx(x, F.lit(0.5), F.lit(1000)) for x in f)).alias("mid"), F.count(F.lit(1)).alias("n"))
+    middle = materialize(middle, "medians")
+    few = middle.count() <= MOST_BROADCAST_GROUPS
+    off = [F.abs(f[i] - F.get("mid", F.lit(i))) for i in dims]
+    spread = with_estimates(vectors.drop("lang_grp"), middle, few).groupBy(*key, "mid").agg(F.array(*(1.4826 * F.percentile_approx(x, F.lit(0.5), F.lit(1000)) for x in off)).alias("mad"), F.count(F.lit(1)).alias("n"))
+    spread = materialize(spread, "spreads")
+    score = [F.tanh((f[i] - F.get("mid", F.lit(i))) / (F.get("mad", F.lit(i)) + F.lit(0.1))) for i in dims]
+    both = with_estimates(vectors.drop("lang_grp"), spread, few).groupBy(*key, "mid", "mad").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*(F.avg(x) for x in f)).alias("mean"), F.array(*(F.covar_pop(f[i], f[j]) for i, j in PAIRS)).alias("classic"), *(F.covar_pop(score[i], score[j]).alias(f"r{i}{j}") for i, j in PAIRS)
+    )
+    mad = [F.get("mad", F.lit(i)) for i in dims]
+    plain = F.array(*(mad[i] * mad[i] if i == j else F.lit(0.0) for i, j in PAIRS))
+    like = lambda i, j: F.coalesce(F.try_divide(F.col(f"r{i}{j}"), F.sqrt(F.col(f"r{i}{i}") * F.col(f"r{j}{j}"))), F.lit(0.0))  # noqa: E731  constant scores have none
+    scores = F.array(*(mad[i] * mad[i] if i == j else like(i, j) * mad[i] * mad[j] for i, j in PAIRS))
+    entry = lambda k, mean, covariance: F.struct(F.lit(k).alias("start"), mean.alias("mean"), covariance.alias("covariance"))
+    return both.select(*key, "n", F.col("n").alias("m"), F.inline(F.array(entry(0, F.col("mid"), plain), entry(1, F.col("mean"), F.col("classic")), entry(2, F.col("mid"), scores)))), few
+
+
+def concentrated(vectors: DataFrame, now: DataFrame, support: float, few: bool) -> DataFrame:
+    """One concentration step: sums for drawn() of each group's nearest documents, for each of its estimates (grp, start, n, e)."""
     factor = gamma_p(DIM / 2 + 1, chi_square_quantile(support, DIM) / 2) / support
-    for _ in range(steps):
-        binned = vectors.join(now, "grp").withColumn("bin", F.floor(32 * F.log2(_distance() + 1e-9)))
-        bins = binned.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n"))
-        cut = bins.withColumn("below", F.sum("n").over(up_to) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("grp"))).filter(F.col("below") < F.lit(support) * F.col("all")).groupBy("grp").agg(F.max("bin").alias("last"))
-        near = binned.join(cut, "grp").filter("bin <= last")
-        sums = near.groupBy("grp").agg(*(F.avg(f"f{i}").alias(f"a{i}") for i in range(DIM)), *(F.avg(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"c{i}{j}") for i, j in PAIRS))
-        covariance = F.array(*((F.col(f"c{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")) / F.lit(factor) for i, j in PAIRS))
-        now = materialize(sums.select("grp", F.array(*(F.col(f"a{i}") for i in range(DIM))).alias("mean"), precision_of(covariance).alias("precision")), "estimates")
-    return now
-
-
-def judge(docs: DataFrame, support: float = 0.75, steps: int = 3, tail: float = 1e-6, least_group: int = 200) -> DataFrame:
-    """Counts and verdicts of each (doc_id, text, lang, source); `distance` is null for documents that fail the base rules."""
-    rows = materialize(with_counts(docs), "counts")
+    placed = with_estimates(vectors, now.select("grp", "start", "n", "e.mean", "e.precision"), few)
+    bins = placed.withColumn("bin", F.floor(32 * F.log2(_distance() + 1e-9))).groupBy("grp", "lang_grp", "start", "bin").agg(
+        F.count(F.lit(1)).alias("k"), *(F.sum(f"f{i}").alias(f"s{i}") for i in range(DIM)), *(F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"c{i}{j}") for i, j in PAIRS)
+    )
+    up_to, whole = Window.partitionBy("grp", "start").orderBy("bin"), Window.partitionBy("grp", "start")
+    near = bins.withColumn("below", F.sum("k").over(up_to) - F.col("k")).withColumn("n", F.sum("k").over(whole)).filter(F.col("below") < F.lit(support) * F.col("n"))
+    sums = near.groupBy("grp", "lang_grp", "start", "n").agg(F.sum("k").alias("m"), *(F.sum(f"s{i}").alias(f"s{i}") for i in range(DIM)), *(F.sum(f"c{i}{j}").alias(f"c{i}{j}") for i, j in PAIRS))
+    mean = [F.col(f"s{i}") / F.col("m") for i in range(DIM)]
+    covariance = [(F.col(f"c{i}{j}") / F.col("m") - mean[i] * mean[j]) / F.lit(factor) for i, j in PAIRS]
+    return materialize(sums.select("grp", "lang_grp", "start", "n", "m", F.array(*mean).alias("mean"), F.array(*covariance).alias("covariance")), "concentrated")
+
+
+def estimates(vectors: DataFrame, support: float, most_steps: int, close: float = 1e-2) -> tuple[DataFrame, bool]:
+    """(grp, n, e: estimate) of each group of vectors (grp, lang_grp, f0..), at the least determinant, and whether there are few groups. Steps end when
+    no group's log determinant falls by `close`."""
+    sums, few = starts(vectors)
+    now = materialize(drawn(materialize(sums, "starts")), "estimates")
+    for _ in range(2):
+        now = materialize(drawn(concentrated(vectors, now, support, few)), "estimates")
+    least = Window.partitionBy("grp").orderBy("e.log_det", "start")  # three at most
+    now = materialize(now.withColumn("place", F.row_number().over(least)).filter("place = 1").select("grp", F.lit(0).alias("start"), "n", "e"), "estimates")
+    for _ in range(most_steps):
+        found = drawn(concentrated(vectors, now, support, few)).join(now.select("grp", F.col("e").alias("before")), "grp")
+        fell = F.col("before.log_det") - F.col("e.log_det")
+        found = materialize(found.select("grp", "start", "n", F.when(fell < 0, F.col("before")).otherwise(F.col("e")).alias("e"), fell.alias("fell")), "estimates")
+        now = found.drop("fell")
+        if (found.agg(F.max("fell")).first()[0] or 0) < close:
+            break
+    return now, few
+
+
+def judge(docs: DataFrame, support: float = 0.75, most_steps: int = 10, tail: float = 1e-6, carry: list[str] | None = None) -> DataFrame:
+    """Counts and verdicts of each (doc_id, text, lang, source), with the carried columns; `distance` is null for documents that fail the base rules."""
+    carry = carry or []
+    rows = materialize(with_counts(docs, carry), "counts")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed).withColumn("lang_key", F.coalesce("lang", F.lit(""))).withColumn("source_key", F.coalesce("source", F.lit("")))
-    fit = rows.filter("not base_failed")
-    by_source = fit.groupBy("lang_key", "source_key").agg(F.count(F.lit(1)).alias("n"))
-    small = by_source.filter(F.col("n") < least_group).groupBy("lang_key").agg(F.sum("n").alias("n_small"))
-    named = lambda *x: F.to_json(F.array(*x))
-    group = F.when(F.col("n") >= least_group, named(F.col("lang_key"), F.col("source_key"))).when(F.col("n_small") >= least_group, named(F.col("lang_key"))).otherwise(named())
-    groups = materialize(by_source.join(small, "lang_key", "left").select("lang_key", "source_key", group.alias("grp")), "groups")
-    vectors = materialize(fit.join(groups, ["lang_key", "source_key"]).select("grp", *(x.alias(f"f{i}") for i, x in enumerate(features()))), "vectors")
-    fitted = groups.join(estimates(vectors, support, steps), "grp")
-    judged = rows.join(fitted, ["lang_key", "source_key"], "left")
-    judged = judged.select("*", *(x.alias(f"f{i}") for i, x in enumerate(features())))
-    distance = F.when(~F.col("base_failed"), _distance())
-    kept = ~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= F.lit(chi_square_quantile(1 - tail, DIM)))
-    return judged.select("doc_id", *COUNTS[:5], "base_failed", kept.alias("kept"), distance.alias("distance"), "lang", "source")
+    rows = rows.withColumn("base_failed", failed)
+    fit = rows.filter("not base_failed").withColumn("grp", F.to_json(F.array("lang", "source"))).withColumn("lang_grp", F.to_json(F.array("lang")))
+    f = [x.alias(f"f{i}") for i, x in enumerate(features())]
+    vectors = fit.select("lang_grp", F.explode(F.array("lang_grp", "grp")).alias("grp"), *f)
+    fitted, few = estimates(materialize(vectors, "vectors"), support, most_steps)
+    judged = with_estimates(fit.select(*rows.columns, "grp", *f), fitted.select("grp", "n", "e.mean", "e.precision"), few)
+    kept = _distance() <= F.lit(chi_square_quantile(1 - tail, DIM))
+    columns = ["doc_id", *COUNTS[:5], "base_failed"]
+    passed = judged.select(*columns, kept.alias("kept"), _distance().alias("distance"), "lang", "source", *carry)
+    return passed.unionByName(rows.filter("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"), "lang", "source", *carry))
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -23,10 +23,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, slices
+from .common import join_counted, materialize, read_table, slices, text_or_empty
 from .components import connected_components
 from .shingles import shingle_hashes, words_of
 
@@ -45,12 +46,8 @@ def _rehashed(hashes: np.ndarray, count: int) -> np.ndarray:
     return x
 
 
-def fingerprint_words(text: str, words_in_shingle: int, count: int, seed: int = 42) -> np.ndarray:
-    """A fingerprint of 64 * count bits; the first 64 are those of a fingerprint of 64."""
-    words = words_of(text)
-    if not words:
-        return np.zeros(count, np.uint64)
-    hashes = shingle_hashes(words, words_in_shingle, seed)
+def fingerprint_of(hashes: np.ndarray, count: int) -> np.ndarray:
+    """64 * count bits, each set where over half of the hashes have it; the first 64 are those of a fingerprint of 64."""
     ones, block = np.zeros(BITS * count, np.int64), max(64, 4096 // count)
     for at in range(0, len(hashes), block):
         own = hashes[at : at + block]
@@ -59,34 +56,55 @@ def fingerprint_words(text: str, words_in_shingle: int, count: int, seed: int =
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
 
 
+def fingerprint_words(text: str, words_in_shingle: int, count: int, seed: int = 42) -> np.ndarray:
+    """The fingerprint of a text's shingles, repeats included."""
+    words = words_of(text)
+    return fingerprint_of(shingle_hashes(words, words_in_shingle, seed), count) if words else np.zeros(count, np.uint64)
+
+
 def fingerprint(text: str, words_in_shingle: int, seed: int = 42) -> int:
     return int(fingerprint_words(text, words_in_shingle, 1, seed)[0])
 
 
-def with_fingerprints(docs: DataFrame, words_in_shingle: int, count: int = 1) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long. With a count over 1, words holds all 64 * count bits."""
-    more = count > 1
+def with_fingerprints(docs: DataFrame, words_in_shingle: int) -> DataFrame:
+    """(doc_id, fp): fp holds the 64 bits as a signed long."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches):
+            fps = np.array([fingerprint(x, words_in_shingle) for x in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, fp long")
+
+
+def shingle_set(text: str, words_in_shingle: int) -> np.ndarray:
+    """The distinct shingles' hashes, ascending."""
+    words = words_of(text)
+    return np.unique(shingle_hashes(words, words_in_shingle)) if words else np.empty(0, np.uint64)
+
+
+def with_set_fingerprints(docs: DataFrame, words_in_shingle: int, count: int) -> DataFrame:
+    """(doc_id, digest, words): 128 bits of a hash of the whole set of shingles, and a fingerprint of 64 * count bits, each shingle once."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            words = np.array([fingerprint_words(x, words_in_shingle, count) for x in texts], np.uint64).reshape(-1, count).view(np.int64)
-            columns = [part.column("doc_id"), pa.array(words[:, 0])]
-            if more:
-                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, words.size + 1, count), pa.int32()), pa.array(words.ravel())))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "words"][: len(columns)])
+            sets = [shingle_set(x, words_in_shingle) for x in texts]
+            words = np.array([fingerprint_of(x, count) for x in sets], np.uint64).reshape(-1, count).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, words.size + 1, count), pa.int32()), pa.array(words.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), lists], ["doc_id", "digest", "words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, fp long" + ", words array<long>" * more)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, digest binary, words array<long>")
 
 
-def correlated_partitions(sample: np.ndarray, partitions: int) -> list[list[int]]:
-    """Bits in groups of like size, each grown by the bit that correlates most with those it has."""
+def correlated_partitions(sample: np.ndarray, partitions: int, width: int | None = None) -> list[list[int]]:
+    """Bits in groups of like size (or of the width, some bits are left out then), each grown by the bit that correlates most with those it has."""
     bits = np.unpackbits(sample.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(float)
     spread = bits.std(axis=0)
     z = (bits - bits.mean(axis=0)) / np.where(spread > 0, spread, 1)
     like = np.abs(z.T @ z) / max(1, len(sample))
     free, out = list(range(BITS)), []
     for k in range(partitions):
-        size = len(free) // (partitions - k)
+        size = width or len(free) // (partitions - k)
         own = [free.pop(0)]
         while len(own) < size:
             best = max(free, key=lambda b: (like[b, own].sum(), -b))
@@ -181,20 +199,21 @@ def links(fps: DataFrame, most_bits: int, partitions: int | None = None, most_in
 
 
 def words_for(rows: int, similarity: float, recall: float) -> tuple[int, int]:
-    """(partitions in 64 bits, fingerprint words): partitions are as wide as the number of fingerprints asks for (its log2 less four bits, in whole
-    fractions of 64), and there are as many as bring pairs of the similarity together with the recall, at every number of rows: two
-    fingerprints agree in a bit with the probability 1 - angle / pi, where the angle's cosine is that of sets with the Jaccard similarity."""
-    partitions = max(2, min(4, int(BITS / max(1.0, np.log2(max(2, rows)) - 4))))
-    agree = (1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi) ** (BITS / partitions)
-    return partitions, max(2, int(np.ceil(np.log(1 - recall) / np.log1p(-agree) / partitions)))
-
-
-def wide_buckets(fps: DataFrame, partitions: int, count: int, rows: int, sample_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """As buckets, for (fp, words): each word has its own partitions, and the thresholds of all of them sum to 0, so all pairs with fewer
-    differing bits than there are partitions come up. Each fingerprint is read once."""
+    """(width of a partition in bits, words of a fingerprint). The width is log2 of the number of rows, so that a value of a partition has few
+    fingerprints by chance; there are as many partitions as bring pairs of the similarity together with the recall, whatever the width: two
+    fingerprints agree in a bit with the probability 1 - angle / pi, where the angle's cosine is that of sets with the Jaccard similarity. Twice
+    the rows take about 1.2 times the partitions."""
+    width = min(BITS // 2, max(12, int(np.ceil(np.log2(max(2, rows))))))
+    agree = (1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi) ** width
+    return width, max(2, int(np.ceil(np.log(1 - recall) / np.log1p(-agree) / (BITS // width))))
+
+
+def wide_buckets(fps: DataFrame, width: int, count: int, rows: int, sample_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """As buckets, for (fp, words), where fp only names the row: each word has its own partitions, and the thresholds of all of them sum to 0, so
+    all pairs with fewer differing bits than there are partitions come up. `first` is the fingerprint's first word. Each row is read once."""
     share = min(1.0, 4 * sample_rows / max(1, rows))
     sample = np.array([r[0] for r in fps.select("words").sample(share, seed=1).limit(sample_rows).collect()] or [[0] * count], np.int64)
-    parts = [[BITS * k + b for b in own] for k in range(count) for own in correlated_partitions(sample[:, k], partitions)]
+    parts = [[BITS * k + b for b in own] for k in range(count) for own in correlated_partitions(sample[:, k], BITS // width, width)]
     limits = thresholds(sample, parts, len(parts) - 1, max(1, rows), most_each=2)
     entry = lambda i, value: F.struct(F.lit(i).alias("part"), value.alias("value"))
     probes = lambda i, value, flips: F.transform(flips, lambda m: entry(i, value.bitwiseXOR(m)))
@@ -206,18 +225,14 @@ def wide_buckets(fps: DataFrame, partitions: int, count: int, rows: int, sample_
         value = F.get("words", F.lit(own[0] // BITS)).bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))).cast("long"))
         held.append(entry(i, value))
         probed.append(probes(i, value, F.expr(f"array({','.join(f'{m}L' for m in _flips(bits, t))})")))
-    return tuple(fps.select("fp", F.inline(entries)).select("part", "value", "fp") for entries in (F.array(*held), F.flatten(F.array(*probed))))
+    rows_of = lambda entries: fps.select("fp", F.get("words", F.lit(0)).alias("first"), F.inline(entries)).select("part", "value", "fp", "first")
+    return rows_of(F.array(*held)), rows_of(F.flatten(F.array(*probed)))
 
 
 def _apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _near_first(most_share: float) -> Column:
-    """One word says less than all: a third of its bits may differ before a pair (a, b) is left out."""
-    return (F.col("a") != F.col("b")) & (_apart(F.col("a"), F.col("b")) <= max(BITS // 3, int(BITS * most_share)))
-
-
 def _near_all(pairs: DataFrame, fps: DataFrame, count: int, most_share: float) -> DataFrame:
     """The pairs (a, b), the lesser first, that differ in most_share of all bits of (fp, words) at most."""
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
@@ -226,22 +241,23 @@ def _near_all(pairs: DataFrame, fps: DataFrame, count: int, most_share: float) -
     return wide.filter(total <= int(BITS * count * most_share)).select("a", "b")
 
 
-def candidates(fps: DataFrame, partitions: int, count: int, most_share: float, most_in_bucket: int = 1024) -> tuple[DataFrame, DataFrame]:
+def candidates(fps: DataFrame, width: int, count: int, most_share: float, most_in_bucket: int = 1024) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of (fp, words) that a partition brings together and that differ in most_share of all bits at most, for a later check of
     the texts, and the members (part, value, fp, own) of the buckets with over most_in_bucket pairs of a holder and a prober, own for the
-    holders. Of those only pairs with the least holder and pairs within two bits of the first word are there; crowd_links does the rest."""
-    held, probed = wide_buckets(fps, partitions, count, fps.count())
+    holders. Of those only pairs with the least holder are there; crowd_links does the rest."""
+    held, probed = wide_buckets(fps, width, count, fps.count())
     probers = probed.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
     holders = held.groupBy("part", "value").agg(F.count(F.lit(1)).alias("k"), F.min("fp").alias("least"))
     sizes = materialize(holders.join(probers, ["part", "value"]).filter("n > 1"), "buckets")
     small, large = sizes.filter(F.col("n") * F.col("k") <= most_in_bucket).select("part", "value"), sizes.filter(F.col("n") * F.col("k") > most_in_bucket).select("part", "value", "least")
-    near = held.join(small, ["part", "value"], "left_semi").select("part", "value", F.col("fp").alias("a"))
-    pairs = near.join(probed.withColumnRenamed("fp", "b"), ["part", "value"]).filter(_near_first(most_share))
+    near = held.join(small, ["part", "value"], "left_semi").select("part", "value", F.col("fp").alias("a"), F.col("first").alias("x"))
+    # one word says less than all: a third of its bits may differ before a pair is left out
+    close = (F.col("a") != F.col("b")) & (_apart(F.col("x"), F.col("y")) <= max(BITS // 3, int(BITS * most_share)))
+    pairs = near.join(probed.withColumnsRenamed({"fp": "b", "first": "y"}), ["part", "value"]).filter(close)
     tagged = held.withColumn("own", F.lit(True)).union(probed.withColumn("own", F.lit(False))).join(large, ["part", "value"])
     members = materialize(tagged.groupBy("part", "value", "fp").agg(F.max("own").alias("own"), F.min("least").alias("least")), "crowds")
-    crowd = members.select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct().filter(_near_first(most_share))
-    found = pairs.select("a", "b").union(crowd).union(star_links(members.select("fp").distinct(), 2))
-    return _near_all(found, fps, count, most_share), members.select("part", "value", "fp", "own")
+    crowd = members.select(F.col("least").alias("a"), F.col("fp").alias("b")).filter("a <> b").distinct()
+    return _near_all(pairs.select("a", "b").union(crowd), fps, count, most_share), members.select("part", "value", "fp", "own")
 
 
 def crowd_links(fps: DataFrame, members: DataFrame, edges: DataFrame, verified: Callable[[DataFrame], DataFrame], count: int, most_share: float, rounds: int = 4, block: int = 512) -> DataFrame:
@@ -271,7 +287,7 @@ def crowd_links(fps: DataFrame, members: DataFrame, edges: DataFrame, verified:
             own = heads.select("part", "value", F.col("a").alias("fp"))
             seen = own if seen is None else seen.union(own)
             pairs = now.select("part", "value", F.col("fp").alias("b"), F.col("component").alias("cb")).join(heads, ["part", "value"]).filter("ca <> cb")
-        more = verified(_near_all(pairs.filter(_near_first(most_share)).select("a", "b"), fps, count, most_share))
+        more = verified(_near_all(pairs.select("a", "b"), fps, count, most_share))
         edges = materialize(edges.union(more).distinct(), "links")
     return edges
 
@@ -290,8 +306,8 @@ def components_of(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
     """doc_id, fingerprint (hex) and component_id (the least doc_id that links reach) of rows (doc_id, fp)."""
     grouped = nodes.join(connected_components(edges), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = materialize(grouped.join(ids, "component").select("fp", "component_id"), "components")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialize(grouped.join(ids, "component").join(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "fp").select("fp", "component_id", "n"), "components")
+    return join_counted(rows, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_duplicates(docs: DataFrame, words_in_shingle: int = 3, most_bits: int = 2) -> DataFrame:
@@ -302,32 +318,39 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 3, most_bits: int =
 
 
 def near_duplicates_verified(docs: DataFrame, words_in_shingle: int = 5, similarity: float = 0.8, recall: float = 0.95, most_share: float = 0.22, most_in_bucket: int = 1024) -> DataFrame:
-    """Components of documents whose sets of shingles have the Jaccard similarity: candidates by fingerprints long enough for the recall at
-    that similarity (closer pairs are found more often), verified on the texts of the least document of each fingerprint. Documents with
-    the same first 64 bits are one group."""
-    partitions, count = words_for(docs.count(), similarity, recall)
-    rows = materialize(with_fingerprints(docs, words_in_shingle, count), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min_by("words", "doc_id").alias("words")), "nodes")
+    """(doc_id, component_id) of documents (doc_id, text), whose ids are distinct and not null, in components of those whose sets of shingles have the Jaccard
+    similarity: equal sets by the digest of the whole set, others by fingerprints long enough to find pairs at that similarity with the recall
+    (closer pairs more often), all of them verified on the texts."""
+    width, count = words_for(docs.count(), similarity, recall)
+    rows = materialize(with_set_fingerprints(docs, words_in_shingle, count), "fingerprints")
+    nodes = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("fp"), F.first("words").alias("words")), "nodes")
     fps = nodes.select("fp", "words")
-    pairs, members = candidates(fps, partitions, count, most_share, most_in_bucket)
+    pairs, members = candidates(fps, width, count, most_share, most_in_bucket)
 
     @F.pandas_udf("boolean")
     def alike(left: pd.Series, right: pd.Series) -> pd.Series:
-        sets = {x: np.unique(shingle_hashes(w, words_in_shingle)) if (w := words_of(x)) else np.empty(0, np.uint64) for x in {*left, *right}}
-        same = lambda x, y: len(np.intersect1d(sets[x], sets[y], assume_unique=True)) if x != y else len(sets[x])
-        return pd.Series([x == y or (n := same(x, y)) >= similarity * (len(sets[x]) + len(sets[y]) - n) for x, y in zip(left, right, strict=True)])
+        sets: dict[str, np.ndarray] = {}
+        out = []
+        for x, y in zip(left, right, strict=True):
+            if sum(map(len, sets.values())) > 1_000_000:
+                sets.clear()
+            a, b = (sets[t] if t in sets else sets.setdefault(t, shingle_set(t, words_in_shingle)) for t in (x, y))
+            n = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(n >= similarity * (len(a) + len(b) - n))
+        return pd.Series(out, dtype=bool)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "candidates")
-        wanted = materialize(pairs.select("a").union(pairs.select("b")).distinct().join(nodes, F.col("a") == F.col("fp")).select("fp", F.col("least").alias("doc_id")), "wanted")
+        wanted = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
         few = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST_IDS else wanted
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id").groupBy("fp").agg(F.min("text").alias("text"))
-        texts = materialize(texts, "texts")
+        texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(few, "doc_id"), "texts")
         with_texts = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
         return materialize(with_texts.filter(alike("left", "right")).select("a", "b"), "links")
 
     edges = crowd_links(fps, members, verified(pairs), verified, count, most_share)
-    return components_of(rows.select("doc_id", "fp"), nodes, edges)
+    parts = nodes.join(connected_components(edges), F.col("fp") == F.col("node"), "left").select("digest", F.coalesce("component", "fp").alias("component_id"))
+    named = materialize(parts.join(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "digest"), "components")
+    return join_counted(rows.select("digest", "doc_id"), named, "digest").select("doc_id", "component_id")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -114,7 +114,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             n = len(rows)
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([shard] * n, pa.int64()), pa.array([writer.path] * n), pa.array(range(n), pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array([total] * n, pa.int64())], ["doc_id", "shard", "path", "place", "start_in_shard", "n_tokens", "shard_tokens"])
 
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, most_chars=4_000_000):
             for doc_id, own, ids in zip(part.column("doc_id").to_pylist(), part.column("range_id").to_pylist(), encode(texts), strict=True):
                 if own != shard:
                     if writer:
