@@ -1,14 +1,17 @@
 """Main text of web pages by tag-path ratios (operator 9).
 
-A page is cut into blocks, each with its root-to-leaf path of structural tags (inline tags don't count, a paragraph ends where the next block
-begins, unclosed tags end with their parent). Subtrees that by tag, role, class or id hold no article text (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, comments) are left out. For the rest, text length without links and punctuation are
-added up for each path and divided by its number of blocks; the two ratios, smoothed over the page's order of blocks, are multiplied.
-The element that holds most of this score is the content root: its blocks are kept whole, and blocks elsewhere where the fused
-ratio passes the threshold.
-
-Null html is empty and gives an empty text, as does a page without blocks. Pages are independent, so repeated rows give repeated rows;
-other columns are ignored. A page is read whole, whatever its length.
+A page is cut into blocks, each with its root-to-leaf path of structural tags and classes (inline tags don't count, a paragraph ends where the
+next block begins, unclosed tags end with their parent); scripts, styles, forms and the like are no blocks. Text length without links and
+punctuation are added up for each path and divided by its number of blocks. The two ratios, smoothed over the page's order of blocks,
+are multiplied. Paths with telling names (menus, headers, footers, sidebars, notices, adverts, comments) count a fraction of that; a name that is
+part of a compound only where its element holds less than half of the page's text, so that a wrapper called "with-sidebar" stays.
+
+Paths whose fused ratio reaches the threshold are content paths. The deepest element that holds most of their score is the content node;
+its blocks are kept where their own ratio reaches a lower threshold (headings and lists of the article do, lists of links don't), and
+blocks elsewhere where their path is a content path.
+
+Null html is empty and gives an empty text, as does a page without blocks; of equal ratios all are kept; an empty table gives no rows. Pages are
+independent, so repeated rows give repeated rows; other columns are ignored. A page is read whole, whatever its length.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import html as entities
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +34,9 @@ TOKEN = re.compile(
 )
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NOT_CONTENT = frozenset("head nav header footer aside form button select menu dialog".split())
+NO_BLOCKS = frozenset("head form button select".split())
+NOT_CONTENT = frozenset("nav header footer aside menu dialog".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote caption figcaption".split())
 ROOTS = frozenset(("article", "main"))
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo sidebar menu nav navbar navigation footer header masthead breadcrumb breadcrumbs comment comments "
@@ -42,23 +48,46 @@ WORD = re.compile(r"[a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؛،]")
 
 
-def _no_content(tag: str, attributes: str) -> bool:
-    if tag in NOT_CONTENT:
-        return True
-    return tag not in ROOTS and tag not in ("html", "body") and any(w in NAMES for m in NAMED.finditer(attributes) for w in WORD.findall("".join(x or "" for x in m.groups()).lower()))
+#: What a path with a telling name counts.
+LOWERED = 0.002
 
 
-def blocks_of(page: str) -> list[tuple[tuple[tuple[str, int], ...], str, int]]:
-    """(path of (tag, element number), text, characters in links) of each block outside of what holds no content, in page order."""
-    out, stack, held = [], [], []  # stack: (tag, number, left out)
+class Element(NamedTuple):
+    label: str  # tag and classes
+    number: int
+    left_out: bool
+    telling: bool  # by its tag or a whole name
+    hinting: bool  # by a part of a name
+
+
+def element_of(tag: str, attributes: str, number: int) -> Element:
+    names = [x for m in NAMED.finditer(attributes) for x in "".join(y or "" for y in m.groups()).lower().split()] if attributes else []
+    judged = tag not in ROOTS and tag not in ("html", "body")
+    telling = tag in NOT_CONTENT or (judged and any(x in NAMES for x in names))
+    return Element(".".join([tag, *names]), number, tag in NO_BLOCKS, telling, judged and any(w in NAMES for x in names for w in WORD.findall(x)))
+
+
+class Block(NamedTuple):
+    path: tuple[Element, ...]
+    text: str
+    linked: int  # characters in links
+
+    def containers(self) -> tuple[Element, ...]:
+        """The path without the paragraph that the block is."""
+        return self.path[:-1] if self.path and self.path[-1].label.split(".")[0] in PARAGRAPHS else self.path
+
+
+def blocks_of(page: str) -> list[Block]:
+    """All blocks in page order."""
+    out, stack, held = [], [], []  # stack: (tag, element)
     link = linked = number = 0
 
     def flush() -> None:
         nonlocal linked
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
-            if text and not any(x[2] for x in stack):
-                out.append((tuple((t, n) for t, n, _ in stack), text, min(linked, len(text))))
+            if text and not any(e.left_out for _, e in stack):
+                out.append(Block(tuple(e for _, e in stack), text, min(linked, len(text))))
             held.clear()
         linked = 0
 
@@ -76,7 +105,7 @@ def blocks_of(page: str) -> list[tuple[tuple[tuple[str, int], ...], str, int]]:
             held.append(" ")
         elif m["end"]:
             flush()
-            if any(t == tag for t, _, _ in stack):
+            if any(t == tag for t, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
         else:
@@ -85,47 +114,77 @@ def blocks_of(page: str) -> list[tuple[tuple[tuple[str, int], ...], str, int]]:
             if tag in VOID:
                 continue
             if tag in ROOTS:  # an article is not inside a menu or header that was never closed
-                while any(x[0] in NOT_CONTENT for x in stack):
+                while any(t in NOT_CONTENT or t in NO_BLOCKS for t, _ in stack):
                     stack.pop()
             while stack and (stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or (stack[-1][0] == tag and tag in ("li", "dt", "dd", "td", "th", "tr", "option"))):
                 stack.pop()
             number += 1
-            stack.append((tag, number, _no_content(tag, m["attributes"] or "")))
+            stack.append((tag, element_of(tag, m["attributes"] or "", number)))
     held.append(page[at:])
     flush()
     return out
 
 
-def main_text(page: str, threshold: float = 0.1) -> str:
-    """threshold: share of the page's mean fused ratio (weighted by text) that a block outside the content root has to reach."""
+def path_ratios(blocks: list[Block]) -> dict[tuple[str, ...], tuple[float, float]]:
+    """Text length without links, and punctuation (with one to begin with), by the number of blocks, for each path."""
+    sums: dict[tuple, list[float]] = defaultdict(lambda: [0, 1, 0])
+    for block in blocks:
+        s = sums[tuple(e.label for e in block.path)]
+        s[0] += len(block.text) - block.linked
+        s[1] += len(PUNCTUATION.findall(block.text))
+        s[2] += 1
+    return {path: (s[0] / s[2], s[1] / s[2]) for path, s in sums.items()}
+
+
+def smoothed(x: list[float], kernel: tuple[float, ...] = (1, 4, 1)) -> list[float]:
+    k = len(kernel) // 2
+    y = [*x[:1] * k, *x, *x[-1:] * k]
+    return [sum(w * y[i + j] for j, w in enumerate(kernel)) / sum(kernel) for i in range(len(x))]
+
+
+def fused_ratios(blocks: list[Block]) -> tuple[list[float], list[bool]]:
+    """Each block's smoothed and multiplied ratios, lowered for telling names, and whether it has one. Blocks with telling names are smoothed among themselves, so
+    that what lies beside the text neither gains nor takes from it."""
+    own = path_ratios(blocks)
+    plain = [len(b.text) - b.linked for b in blocks]
+    held: dict[int, int] = defaultdict(int)
+    for block, n in zip(blocks, plain, strict=True):
+        for e in block.path:
+            held[e.number] += n
+    low = [any(e.telling or (e.hinting and 2 * held[e.number] < sum(plain)) for e in b.path) for b in blocks]
+    out = [0.0] * len(blocks)
+    for kind in (False, True):
+        at = [i for i, x in enumerate(low) if x == kind]
+        ratios = [own[tuple(e.label for e in blocks[i].path)] for i in at]
+        for i, x, y in zip(at, smoothed([r[0] for r in ratios]), smoothed([r[1] for r in ratios]), strict=True):
+            out[i] = x * y * (LOWERED if kind else 1)
+    return out, low
+
+
+def main_text(page: str, threshold: float = 0.2, inner: float = 0.02, most: float = 0.8) -> str:
+    """threshold and inner: shares of the mean fused ratio of blocks without telling names (weighted by text) that a content path and a block of the content node have to
+    reach; most: the share of the content paths' score that the content node holds."""
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    sums: dict[tuple, list[float]] = defaultdict(lambda: [0, 0, 0])
-    paths = [tuple(t for t, _ in path) for path, _, _ in blocks]
-    for path, (_, text, linked) in zip(paths, blocks, strict=True):
-        s = sums[path]
-        s[0] += len(text) - linked
-        s[1] += len(PUNCTUATION.findall(text))
-        s[2] += 1
-    ratios = [(sums[p][0] / sums[p][2], (1 + sums[p][1]) / sums[p][2]) for p in paths]
-
-    def smooth(x: list[float]) -> list[float]:
-        y = [x[0], *x, x[-1]]
-        return [(y[i] + 2 * y[i + 1] + y[i + 2]) / 4 for i in range(len(x))]
-
-    fused = [a * b for a, b in zip(smooth([r[0] for r in ratios]), smooth([r[1] for r in ratios]), strict=True)]
-    sizes = [len(text) for _, text, _ in blocks]
-    mean = sum(f * n for f, n in zip(fused, sizes, strict=True)) / sum(sizes)
-    held: dict[tuple[str, int], float] = defaultdict(float)
-    for (path, text, linked), f in zip(blocks, fused, strict=True):
-        for element in path:
-            held[element] += f * (len(text) - linked)
-    roots = {e for path, _, _ in blocks for e in path if e[0] in ROOTS} or {e for path, _, _ in blocks for e in path if e[0] not in ("html", "body", "p", "li", "td")}
-    root = max(roots, key=lambda e: (held[e], e[1]), default=None)
-    if root and held[root] < 0.5 * sum(f * (n - linked) for f, n, (_, _, linked) in zip(fused, sizes, blocks, strict=True)):
-        root = None
-    return "\n".join(text for (path, text, _), f in zip(blocks, fused, strict=True) if (root in path) or f >= threshold * mean)
+    fused, low = fused_ratios(blocks)
+    plain = [len(b.text) - b.linked for b in blocks]
+    measure = [(f, n) for f, n, x in zip(fused, plain, low, strict=True) if not x and n] or list(zip(fused, plain, strict=True))
+    mean = sum(f * n for f, n in measure) / max(1, sum(n for _, n in measure))
+    by_path: dict[tuple, list[float]] = defaultdict(list)
+    for block, f in zip(blocks, fused, strict=True):
+        by_path[tuple(e.label for e in block.path)].append(f)
+    content = {path for path, f in by_path.items() if sum(f) / len(f) >= threshold * mean > 0}
+    chosen = [tuple(e.label for e in b.path) in content for b in blocks]
+    score: dict[int, float] = defaultdict(float)
+    for block, f, n, ok in zip(blocks, fused, plain, chosen, strict=True):
+        for e in block.containers() if ok else ():
+            score[e.number] += f * n
+    total = sum(f * n for f, n, ok in zip(fused, plain, chosen, strict=True) if ok)
+    nodes = [number for number, x in score.items() if x >= most * total]
+    node = max(nodes, default=None)  # elements are numbered as they open, so of those that hold most the last is the deepest
+    inside = [any(e.number == node for e in b.path) for b in blocks]
+    return "\n".join(b.text for b, f, ok, within in zip(blocks, fused, chosen, inside, strict=True) if ok or (within and f >= inner * mean > 0))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
