@@ -3,15 +3,17 @@
 The pieces of an existing vocabulary are the arcs of a lattice over each word (with the vocabulary's word mark before it), and a
 text's probability is the sum over all its segmentations of the product of their pieces' probabilities, times that of an end
 piece. Pieces never cross a word's start, so the sum over a text is the product of the words' sums; each is a forward recursion in log
-space. A character that is no piece has one arc, its UTF-8 bytes' pieces.
+space. A character that is no piece has one arc, its UTF-8 bytes' pieces. Words of like length are scored together; a word over LONG
+characters is scored for itself, in memory that grows with its length alone.
 
 Piece probabilities start from the vocabulary's scores (it ranks its pieces; weight 1 / (10 - score)) and are estimated again
 from the training documents' words by expectation maximisation: expected uses of each piece over all segmentations, with the first
 weights as a prior of `prior` uses.
 
-A word's probability then is (c + V * lattice) / (N + V), with its training count c, all training tokens N and the number of
-distinct ones V (Witten-Bell): a whole word that was seen is one more segmentation, weighted by how often it was, and the lattice
-has the share of new words. Without training documents it is the lattice alone.
+lattice_score is that marginal alone. For score, a word's probability is (c + V * lattice) / (N + V), with its training count c, all training
+tokens N and the number of distinct ones V (Witten-Bell): a whole word that was seen is one more segmentation, weighted by how often it
+was, and the lattice has the share of new words. Without training documents both are the lattice. No file of unigram scores is at hand: the
+vocabulary is that of a BPE model, whose scores are ranks.
 
 Word counts, and what each word adds to the two scores, are tables that grow with the corpus. Texts are scored where they lie with
 the `hot` most frequent words, a bounded list; all other words go through a join by word and a sum by document. Both ways are exact.
@@ -26,6 +28,7 @@ import math
 import random
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,7 @@ from .tokens import tokenizer_path
 
 MARK = "▁"
 FOLDS, HELD_OUT_FOLD = 7, 2
+LONG = 200
 LOG10 = math.log(10)
 
 
@@ -61,16 +65,46 @@ class Lattice:
     def _groups(self, words: list[str]) -> Iterator[tuple[int, list[int], list[tuple[int, int]]]]:
         by_length = defaultdict(list)
         for k, w in enumerate(words):
-            by_length[len(w)].append(k)
+            if len(w) <= LONG:
+                by_length[len(w)].append(k)
         for size, own in by_length.items():
             spans = [(i, j) for j in range(1, size + 1) for i in range(max(0, j - self.longest), j)]
             step = max(1, 1_000_000 // len(spans))
             for at in range(0, len(own), step):
                 yield size, own[at : at + step], spans
 
+    def _long(self, word: str, log_p: np.ndarray, weight: float | None, used: np.ndarray | None) -> float:
+        """As run, for one word: forward probabilities by position, and with a weight the expected uses on the way back."""
+        get, letters = self.index.get, {c: [self.bytes + b for b in c.encode("utf-8", "surrogatepass")] for c in set(word) if c not in self.index}
+        spelt = {c: float(log_p[x].sum()) for c, x in letters.items()}
+
+        def arcs(j: int) -> list[tuple[int, int, float]]:
+            """(start, piece or -1, log probability) of the arcs that end at j."""
+            found = [(i, p, log_p[p]) for i in range(max(0, j - self.longest), j) if (p := get(word[i:j], -1)) >= 0]
+            return found if word[j - 1] not in spelt else [*found, (j - 1, -1, spelt[word[j - 1]])]
+
+        ahead = np.full(len(word) + 1, -np.inf)
+        ahead[0] = 0
+        for j in range(1, len(word) + 1):
+            own = arcs(j)
+            ahead[j] = np.logaddexp.reduce([ahead[i] + x for i, _, x in own])
+        if used is not None:
+            behind = np.full(len(word) + 1, -np.inf)
+            behind[-1] = 0
+            for j in range(len(word), 0, -1):
+                for i, piece, x in arcs(j):
+                    share = weight * math.exp(ahead[i] + x + behind[j] - ahead[-1])
+                    for at in [piece] if piece >= 0 else letters[word[i]]:
+                        used[at] += share
+                    behind[i] = np.logaddexp(behind[i], x + behind[j])
+        return float(ahead[-1])
+
     def run(self, words: list[str], log_p: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each word (marked), and with weights the expected uses of each piece."""
         out, used, get = np.zeros(len(words)), None if weights is None else np.zeros(self.n), self.index.get
+        for k, w in enumerate(words):
+            if len(w) > LONG:
+                out[k] = self._long(w, log_p, None if weights is None else weights[k], used)
         for size, own, spans in self._groups(words):
             group = [words[k] for k in own]
             ids = np.array([[get(w[i:j], -1) for i, j in spans] for w in group], np.int64).reshape(len(group), len(spans))
@@ -162,7 +196,7 @@ def with_word_arc(lattice: np.ndarray, c: np.ndarray, total: int, distinct: int)
         return np.logaddexp(np.log(c.astype(float)), math.log(distinct) + lattice * LOG10) / LOG10 - math.log10(total + distinct)
 
 
-SCORED = "k1 long, k2 long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>"
+SCORED = "k1 long, k2 long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lattice double, score double, rare array<string>"
 
 
 def score_documents(docs: DataFrame, model_path: str, rounds: int = 1, prior: float = 1000.0, hot: int = 150_000) -> DataFrame:
@@ -181,18 +215,26 @@ def score_documents(docs: DataFrame, model_path: str, rounds: int = 1, prior: fl
     def add_lattice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(shared.value)
         for batch in batches:
-            found = with_word_arc(lattice.run([MARK + w for w in batch.column("word").to_pylist()], log_p)[0] / LOG10, batch.column("c").to_numpy(), total, distinct)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("word", "c", "n")), pa.array(found)], ["word", "c", "n", "score"])
-
-    words = materialize(counts.mapInArrow(add_lattice, "word string, c long, n long, score double"), "scored-words")
-    top = words.orderBy(F.desc("n"), "word").limit(hot).toPandas()
-    table = spark.sparkContext.broadcast((dict(zip((w.encode() for w in top["word"]), range(len(top)), strict=True)), top["c"].to_numpy(), top["score"].to_numpy()))
+            alone = lattice.run([MARK + w for w in batch.column("word").to_pylist()], log_p)[0] / LOG10
+            found = with_word_arc(alone, batch.column("c").to_numpy(), total, distinct)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("word", "c", "n")), pa.array(alone), pa.array(found)], ["word", "c", "n", "lattice", "score"])
+
+    words = materialize(counts.mapInArrow(add_lattice, "word string, c long, n long, lattice double, score double"), "scored-words")
+    # the frequent words are those of as many whole octaves' eighths of counts as fit into the list
+    octave = F.floor(8 * F.log2("n"))
+    sizes = sorted(words.filter("n > 0").groupBy(octave.alias("octave")).count().collect(), reverse=True)  # a few hundred rows
+    fits = [at for (at, _), held in zip(sizes, accumulate(x for _, x in sizes), strict=True) if held <= hot]
+    top = words.filter((F.col("n") > 0) & (octave >= F.lit(fits[-1] if fits else sizes[0][0] + 1 if sizes else 0))).select("word", "c", "lattice", "score").toArrow()
+    index = {w.encode(): i for i, w in enumerate(top["word"].to_pylist())}
+    table = spark.sparkContext.broadcast((index, *(top[x].to_numpy() for x in ("c", "lattice", "score"))))
+    del top, index
+    end_lattice = float(log_p[-1]) / LOG10
     norm, end_base, end_score, end_known = total + distinct + 1, math.log10((ends + 1) / (total + distinct + 1)), float(with_word_arc(log_p[-1:] / LOG10, np.array([ends]), total, distinct)[0]), int(ends > 0)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, c, score = table.value
+        index, c, alone, score = table.value
         known, base_of, get = np.append(c > 0, False).astype(np.int64), np.append(np.log10((c + 1) / norm), 0.0), index.get
-        score_of, nowhere = np.append(score, 0.0), len(c)
+        lattice_of, score_of, nowhere = np.append(alone, 0.0), np.append(score, 0.0), len(c)
         k1, k2 = random.SystemRandom().getrandbits(62), 0  # names each row of the table that is written from this
         for part, texts in slices(batches):
             rows = []
@@ -200,17 +242,17 @@ def score_documents(docs: DataFrame, model_path: str, rounds: int = 1, prior: fl
                 words = words_of(text)
                 at = np.fromiter((get(w, nowhere) for w in words), np.int64, len(words))
                 rare = [words[i].decode() for i in np.flatnonzero(at == nowhere)]
-                rows.append((k1, k2, doc_id, held, len(words) + 1, int(known[at].sum()) + end_known, float(base_of[at].sum()) + end_base, float(score_of[at].sum()) + end_score, rare))
+                rows.append((k1, k2, doc_id, held, len(words) + 1, int(known[at].sum()) + end_known, float(base_of[at].sum()) + end_base, float(lattice_of[at].sum()) + end_lattice, float(score_of[at].sum()) + end_score, rare))
                 k2 += 1
-            types = [pa.int64()] * 3 + [pa.bool_()] + [pa.int64()] * 2 + [pa.float64()] * 2 + [pa.list_(pa.string())]
+            types = [pa.int64()] * 3 + [pa.bool_()] + [pa.int64()] * 2 + [pa.float64()] * 3 + [pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in SCORED.split(", ")])
 
     scanned = materialize(docs.mapInArrow(scan, SCORED), "scanned")
-    rare = scanned.select("k1", "k2", F.explode("rare").alias("word")).join(words.select("word", "c", "score"), "word")
-    sums = rare.groupBy("k1", "k2").agg(F.count_if(F.col("c") > 0).alias("more_known"), F.sum(base(F.col("c"))).alias("more_base"), F.sum("score").alias("more_score"))
+    rare = scanned.select("k1", "k2", F.explode("rare").alias("word")).join(words.select("word", "c", "lattice", "score"), "word")
+    sums = rare.groupBy("k1", "k2").agg(F.count_if(F.col("c") > 0).alias("more_known"), F.sum(base(F.col("c"))).alias("more_base"), F.sum("lattice").alias("more_lattice"), F.sum("score").alias("more_score"))
     plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
     out = scanned.drop("rare").join(sums, ["k1", "k2"], "left")
-    return out.select("doc_id", "held_out", "n_tokens", plus("n_known", "more_known"), F.lit(total).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), plus("score", "more_score"))
+    return out.select("doc_id", "held_out", "n_tokens", plus("n_known", "more_known"), F.lit(total).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), plus("score", "more_score"), plus("lattice", "more_lattice").alias("lattice_score"))
 
 
 def op7_lattice_score(spark, sf_dir: str) -> DataFrame:
