@@ -77,8 +77,8 @@ def posteriors(docs: DataFrame, labels: DataFrame, carry: list[str], most_labell
     return logits.select("doc_id", *carry, "n_tokens", *((F.exp(F.col(f"s{k}") - best) / total).alias(f"p{k}") for k in dims))
 
 
-#: Lengths of a step that are tried at once.
-LENGTHS = (0.0, 0.02, 0.1, 0.3, 0.6, 1.0, 1.5)
+#: Lengths of a step that are tried at once, by the curvature of the free documents and of all.
+LENGTHS, MORE_LENGTHS = (0.0, 0.02, 0.1, 0.3, 0.6, 1.0, 1.5), (0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
 
 
 def fit_rates(rows: DataFrame, targets: list[float] | None, multiples: list[float] | None, most_rate: float, close: float, most_steps: int) -> Column:
@@ -112,11 +112,11 @@ def fit_rates(rows: DataFrame, targets: list[float] | None, multiples: list[floa
         gap = now - goal
         if np.abs(gap).max() <= close * tokens or not every.any():
             break
-        step = np.linalg.pinv(gram + 1e-6 * every, rcond=1e-12, hermitian=True) @ gap
-        points = [moved + length * step for length in LENGTHS]
+        step, slow = (np.linalg.pinv(x, rcond=1e-12, hermitian=True) @ gap for x in (gram + 1e-6 * every, every))
+        points = [moved + x * step for x in LENGTHS] + [moved + x * slow for x in MORE_LENGTHS]
         tried = measured(points)
         best = min(range(len(points)), key=lambda k: float(((tried[k][0] - goal) ** 2).sum()))
-        nearer = ((tried[best][0] - goal) ** 2).sum() < (1 - 1e-4) * (gap**2).sum()
+        nearer = ((tried[best][0] - goal) ** 2).sum() < (1 - 1e-5) * (gap**2).sum()
         moved, (now, gram) = points[best], tried[best]
         if not nearer:
             break

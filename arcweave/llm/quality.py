@@ -121,7 +121,7 @@ PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
 #: Documents that the prior of an estimate's covariance and of its centre counts as.
 DRAWN, DRAWN_CENTRE = 50.0, 5.0
 #: Spreads that languages of few documents are drawn towards, in the order of features().
-PRIOR = (0.05, 1.0, 1.0, 1.0, 2.0, 1.0)
+PRIOR = (0.01, 0.25, 0.25, 0.25, 0.5, 0.25)
 MOST_BROADCAST_GROUPS = 50_000
 _LIST = T.ArrayType(T.DoubleType())
 ESTIMATE = T.StructType([T.StructField("mean", _LIST), T.StructField("covariance", _LIST), T.StructField("precision", _LIST), T.StructField("log_det", T.DoubleType())])
