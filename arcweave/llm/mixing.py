@@ -81,23 +81,24 @@ def posteriors(docs: DataFrame, labels: DataFrame, carry: list[str], most_labell
 LENGTHS, MORE_LENGTHS = (0.0, 0.02, 0.1, 0.3, 0.6, 1.0, 1.5), (0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
 
 
-def fit_rates(rows: DataFrame, targets: list[float] | None, multiples: list[float] | None, most_rate: float, close: float, most_steps: int) -> Column:
+def fit_rates(rows: DataFrame, targets: list[float] | None, multiples: list[float] | None, most_rate: float, close: float, most_steps: int, nearer_by: float = 1e-3) -> Column:
     """A column over rows (n_tokens, p0..): the rate. targets: shares of all tokens; multiples: of what each domain has at rate 1."""
     dims = range(len(DOMAINS))
     p, t = [F.col(f"p{k}") for k in dims], F.col("n_tokens")
     pairs = [(i, j) for i in dims for j in dims if i <= j]
-    free_rate = lambda moved: F.lit(1.0) - reduce(add, (x * float(m) for x, m in zip(p, moved, strict=True)))
-    rate = lambda moved: F.least(F.greatest(free_rate(moved), F.lit(0.0)), F.lit(float(most_rate)))
 
     def measured(points: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The domains' tokens and the curvature at each point, from one aggregation."""
-        sums = []
-        for moved in points:
-            inside = F.when((free_rate(moved) >= 0) & (free_rate(moved) <= float(most_rate)), t).otherwise(0)
-            sums += [F.sum(rate(moved) * t * x) for x in p] + [F.sum(inside * p[i] * p[j]) for i, j in pairs]
-        values = np.array(rows.agg(*(F.coalesce(x, F.lit(0.0)) for x in sums)).first(), float).reshape(len(points), -1)
+        """The domains' tokens and the curvature at each point, from one aggregation. Points are a constant array, so that Spark compiles it once."""
+        at = F.from_json(F.lit(json.dumps([list(map(float, x)) for x in points])), "array<array<double>>")
+        free = F.lit(1.0) - reduce(add, (x * F.get("point", F.lit(k)) for k, x in enumerate(p)))
+        placed = rows.select("n_tokens", *p, F.posexplode(at).alias("at", "point")).select("at", t.alias("t"), *p, free.alias("free"))
+        rate = F.least(F.greatest("free", F.lit(0.0)), F.lit(float(most_rate)))
+        inside = F.when((F.col("free") >= 0) & (F.col("free") <= float(most_rate)), F.col("t")).otherwise(0)
+        sums = [F.sum(rate * F.col("t") * x) for x in p] + [F.sum(inside * p[i] * p[j]) for i, j in pairs]
+        found = {r[0]: np.array(r[1:], float) for r in placed.groupBy("at").agg(*sums).collect()}  # a row for each point
         out = []
-        for v in values:
+        for k in range(len(points)):
+            v = found.get(k, np.zeros(len(sums)))
             gram = np.zeros((len(p), len(p)))
             for (i, j), x in zip(pairs, v[len(p) :], strict=True):
                 gram[i, j] = gram[j, i] = x
@@ -116,13 +117,14 @@ def fit_rates(rows: DataFrame, targets: list[float] | None, multiples: list[floa
         points = [moved + x * step for x in LENGTHS] + [moved + x * slow for x in MORE_LENGTHS]
         tried = measured(points)
         best = min(range(len(points)), key=lambda k: float(((tried[k][0] - goal) ** 2).sum()))
-        nearer = ((tried[best][0] - goal) ** 2).sum() < (1 - 1e-5) * (gap**2).sum()
+        nearer = ((tried[best][0] - goal) ** 2).sum() < (1 - nearer_by) * (gap**2).sum()
         moved, (now, gram) = points[best], tried[best]
         if not nearer:
             break
     if (miss := np.abs(now - goal).max() / tokens) > 100 * close:
         warnings.warn(f"the rates that come nearest miss a target by {miss:.2%} of all tokens", stacklevel=2)
-    return rate(moved)
+    free = F.lit(1.0) - reduce(add, (x * float(m) for x, m in zip(p, moved, strict=True)))
+    return F.least(F.greatest(free, F.lit(0.0)), F.lit(float(most_rate)))
 
 
 def mix(
