@@ -49,7 +49,7 @@ def verb_of_method(name: Column) -> Column:
 
 def is_route_like(text: Column) -> Column:
     """Has a slash or a placeholder, no white space, and is no media type."""
-    return text.rlike(r"[/{]") & ~text.rlike(r"\s") & ~text.rlike(r"(?i)^(application|text|image|audio|video|multipart)/")
+    return text.rlike(r"[/{]") & ~text.rlike(r"\s") & ~text.rlike(r"(?i)^(application|text|multipart|image)/")
 
 
 def glob_match(text: Column, pattern: str) -> Column:

@@ -21,6 +21,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Fixed value: the order of edge kinds.
+KINDS = ("references", "produces", "targets", "invokes", "accepts", "returns", "fieldOf", "dependsOn")
+
+
+def kind_rank(kind: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, KINDS)), kind)
+
+
 def hops(edges: DataFrame) -> DataFrame:
     """(src, dst, kind, confidence): dependent and dependency; a produces edge is turned round."""
     turned = F.col("kind") == "produces"
@@ -53,9 +61,10 @@ def widest(roots: DataFrame, hop: DataFrame, nodes: DataFrame | None = None, up:
 
 def trace(roots: DataFrame, hop: DataFrame, nodes: DataFrame, depth: int, up: bool) -> DataFrame:
     """(root, node, depth, via, via_kind, confidence, visit): breadth-first, each node once, neighbours in order of id; confidence is the
-    least along the tree path, visit the path of ids by which a level is ordered. Unknown nodes are passed over."""
+    least along the tree path, visit the path of ids by which a level is ordered. Unknown nodes are passed over; of parallel edges the first
+    by kind counts, of those of one kind the surest."""
     near, far = ("dst", "src") if up else ("src", "dst")
-    steps = written(hop.select(F.col(near).alias("at"), F.col(far).alias("next"), "kind", F.col("confidence").alias("edge")).groupBy("at", "next").agg(F.min_by(F.struct("kind", "edge"), "kind").alias("e")).select("at", "next", "e.*").join(nodes.select(F.col("id").alias("next")).distinct(), "next", "left_semi"))
+    steps = written(hop.select(F.col(near).alias("at"), F.col(far).alias("next"), "kind", F.col("confidence").alias("edge")).groupBy("at", "next").agg(F.min_by(F.struct("kind", "edge"), F.struct(kind_rank(F.col("kind")), -F.col("edge"))).alias("e")).select("at", "next", "e.*").join(nodes.select(F.col("id").alias("next")).distinct(), "next", "left_semi"))
     start = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("via_kind"), F.lit(3).alias("confidence"), F.array("root").alias("visit"))
     seen = frontier = written(start)
     for level in range(1, max(1, min(10, depth)) + 1):
@@ -69,18 +78,16 @@ def trace(roots: DataFrame, hop: DataFrame, nodes: DataFrame, depth: int, up: bo
 
 
 def roll_up(reached: DataFrame, owners: DataFrame) -> DataFrame:
-    """Adds the owners (id, owner) of reached nodes with at least the node's confidence; not the root itself nor its own owners."""
+    """Adds the owners (id, owner) of reached nodes with at least the node's confidence; not the root itself."""
     own = reached.join(owners, reached["node"] == owners["id"]).select("root", F.col("owner").alias("node"), "confidence")
-    of_root = owners.select(F.col("id").alias("root"), F.col("owner").alias("node"))
-    own = own.filter("root <> node").join(of_root, ["root", "node"], "left_anti")
-    return reached.select("root", "node", "confidence").union(own).groupBy("root", "node").agg(F.max("confidence").alias("confidence"))
+    return reached.select("root", "node", "confidence").union(own.filter("root <> node")).groupBy("root", "node").agg(F.max("confidence").alias("confidence"))
 
 
 def strong_components(pairs: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(node, component) of the strongly connected components over one node of (src, dst); component is the least node. Nodes without both a way in
+    """(node, component) of the strongly connected components over one node of (src, dst); component is the least node, and it is an error if most_rounds don't do. Nodes without both a way in
     and out are trimmed first; then least labels spread forward, and what each label's node is reached back from, within its colour, is a component."""
     left, done = written(pairs.filter("src <> dst").select("src", "dst").distinct()), None
-    for _ in range(most_rounds):
+    for _ in range(most_rounds):  # a round at least finds the component of the least node that is left
         while True:  # trim
             kept = written(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
             same, left = kept.count() == left.count(), kept
@@ -107,6 +114,8 @@ def strong_components(pairs: DataFrame, most_rounds: int = 100) -> DataFrame:
             reach = written(reach.union(back))
         done = reach if done is None else done.union(reach)
         left = written(left.join(reach.select(F.col("node").alias("src")), "src", "left_anti").join(reach.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    else:
+        raise RuntimeError("components did not end in most_rounds")
     if done is None:
         return pairs.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
     many = done.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -11,11 +11,11 @@ from ..functions.routes import route_suffixes
 
 def link_clients(methods: DataFrame, endpoints: DataFrame) -> DataFrame:
     """(method_id, endpoint_id, confidence, strategy, matches) of client methods (id, repo, verb, norm, strategy, confidence) and endpoints (id, repo, verb,
-    norm). Equal routes win over routes of which one is a suffix of the other, which are of confidence 0; several matches are all kept at 0;
+    norm). Equal routes (the root route, which is empty, too) win over routes of which one is a suffix of the other, which are of confidence 0; several matches are all kept at 0;
     a method without one has a null endpoint."""
     method = methods.select(F.col("id").alias("method_id"), "repo", F.lower("verb").alias("v"), "norm", "strategy", "confidence")
     point = endpoints.select(F.col("id").alias("endpoint_id"), "repo", F.lower("verb").alias("v"), F.col("norm").alias("endpoint_norm"))
-    found = method.filter("v is not null and norm <> ''")
+    found = method.filter("v is not null and norm is not null")
     exact = found.join(point.withColumnRenamed("endpoint_norm", "norm"), ["repo", "v", "norm"]).select("method_id", "endpoint_id", "strategy", "confidence")
     rest = found.join(exact.select("method_id").distinct(), "method_id", "left_anti")
     longer = rest.select("*", F.explode(route_suffixes(F.col("norm"))).alias("endpoint_norm")).join(point, ["repo", "v", "endpoint_norm"])

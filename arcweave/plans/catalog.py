@@ -10,15 +10,23 @@ from pyspark.sql import functions as F
 from ..functions import routes
 from ..operators import details, findings, graph, linking
 from ..sources import documents
-from .estate import ESTATE_SQL, Estate
+from .estate import ESTATE_SQL, Estate, _lookup_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEARCHES = ("part 1", "stel", "zzz")
 
 
+MEDIA = ("application/json", "audio/mpeg", "Image/png", "video/mp4", "text/html", "multipart/form-data")
+
+
+def _candidate():
+    """The route, or a media type for six pages in 13."""
+    return F.coalesce(F.get(F.array(*map(F.lit, MEDIA)), (F.col("page_id") % 13).cast("int")), F.col("route"))
+
+
 def route_rules(spark: SparkSession, folder: str) -> DataFrame:
     e = Estate(spark, folder).endpoints()
-    return e.select("page_id", "norm", "lookup", routes.combine_routes(F.lit("api/v1"), F.col("norm")).alias("combined"), routes.is_route_like(F.col("route")).alias("route_like"), routes.glob_match(F.col("route"), "*.example.com*").alias("com_host"), routes.verb_of_method(F.concat(F.initcap(F.lower("verb")), F.lit("Order"))).alias("verb"))
+    return e.select("page_id", "norm", "lookup", routes.combine_routes(F.concat(F.lit("api/v"), (F.col("page_id") % 3).cast("string")), F.col("norm")).alias("combined"), routes.is_route_like(_candidate()).alias("route_like"), routes.glob_match(F.col("route"), "*.example.com*").alias("com_host"), routes.verb_of_method(F.concat(F.initcap(F.lower("verb")), F.lit("Order"))).alias("verb"))
 
 
 def client_links(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,29 +77,24 @@ def link_findings(spark: SparkSession, folder: str) -> DataFrame:
     return client_links(spark, folder).select("method_id", kind.alias("kind")).filter("kind is not null").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _blocks(e: Estate) -> DataFrame:
-    pairs = linking.repo_dependencies(e.references(), _produced(e)).select("from_repo", "to_repo")
-    a, b = (e.repos().select(F.col("repo").alias(r), F.col("n_nationkey").alias(n)) for r, n in (("from_repo", "a"), ("to_repo", "b")))
-    return pairs.join(a, "from_repo").join(b, "to_repo")
+def _depends(e: Estate) -> DataFrame:
+    return linking.repo_dependencies(e.references(), _produced(e)).select(F.concat(F.lit("repo:"), "from_repo").alias("src"), F.concat(F.lit("repo:"), "to_repo").alias("dst"), F.lit("dependsOn").alias("kind"), "confidence")
 
 
 def cycles(spark: SparkSession, folder: str) -> DataFrame:
-    inside = _blocks(Estate(spark, folder)).filter("a div 5 = b div 5")
-    return graph.strong_components(inside.select(F.col("from_repo").alias("src"), F.col("to_repo").alias("dst")))
-
-
-def _forward(e: Estate) -> DataFrame:
-    return _blocks(e).filter("a < b and b - a <= 4").select(F.concat(F.lit("repo:"), "from_repo").alias("src"), F.concat(F.lit("repo:"), "to_repo").alias("dst"), F.lit("dependsOn").alias("kind"), F.lit(3).alias("confidence"))
+    return graph.strong_components(_depends(Estate(spark, folder)).select("src", "dst"))
 
 
 def neighbors_up(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.neighbors(_forward(Estate(spark, folder)), up=True)
+    return graph.neighbors(reference_hops(Estate(spark, folder)).unionByName(_depends(Estate(spark, folder))), up=True)
 
 
 def trace_down(spark: SparkSession, folder: str) -> DataFrame:
-    e = Estate(spark, folder)
-    found = graph.trace(e.repos().select(F.col("id").alias("root")), _forward(e), e.repos(), depth=2, up=False)
-    return found.select("root", "node", "depth", "via", "confidence", F.array_join("visit", ">").alias("visit"))
+    """What each api project depends on in two steps: packages, and the projects that make them."""
+    e, hop = Estate(spark, folder), reference_hops(Estate(spark, folder))
+    nodes = hop.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    found = graph.trace(e.apis().select(F.col("project_id").alias("root")), hop, nodes, depth=2, up=False)
+    return found.select("root", "node", "depth", "via", "via_kind", "confidence", F.array_join("visit", ">").alias("visit"))
 
 
 def reference_hops(e: Estate) -> DataFrame:
@@ -115,7 +118,7 @@ def impact_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 def repo_summary(spark: SparkSession, folder: str) -> DataFrame:
     e = Estate(spark, folder)
-    depends = _blocks(e).filter("a < b and b - a <= 4").select("from_repo", "to_repo")
+    depends = linking.repo_dependencies(e.references(), _produced(e)).select("from_repo", "to_repo")
     return findings.repo_summary(e.repos(), {"n_clients": e.clients(), "n_apis": e.apis(), "n_endpoints": e.endpoints(), "n_methods": e.methods()}, depends)
 
 
@@ -130,17 +133,20 @@ def fuzzy_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def resolve_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Repositories in lower case, endpoints by verb and route in two forms, ids, and words that nothing has."""
     e = Estate(spark, folder)
-    nodes = e.repos().select("id", F.lit("repo").alias("kind"), F.col("repo").alias("label")).union(e.endpoints().select("id", F.lit("endpoint"), F.concat("verb", F.lit(" /"), "norm")))
-    names = e.endpoints().select(F.concat("verb", F.lit(" /"), "norm").alias("name")).union(e.repos().select("repo")).union(e.methods().select("id"))
-    return findings.resolve(names, nodes)
+    none = F.lit(None).cast("string")
+    nodes = e.repos().select("id", F.lit("repo").alias("kind"), F.col("repo").alias("label"), none.alias("verb"), none.alias("route"), none.alias("norm"))
+    nodes = nodes.union(e.endpoints().select("id", F.lit("endpoint"), F.concat("verb", F.lit(" "), "route"), "verb", "route", "norm"))
+    ask = e.endpoints().select(F.explode(F.array(F.concat(F.lower("verb"), F.lit(" "), F.upper("route")), F.concat("verb", F.lit(" /"), "norm", F.lit("/?q=1")), F.col("id"))).alias("name"))
+    return findings.resolve(ask.union(e.repos().select(F.lower("repo"))).union(e.methods().select("id")), nodes)
 
 
 def integrity(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids that several endpoints have, and packages that are referenced but no node, since nobody makes them."""
     e = Estate(spark, folder)
-    nodes = e.endpoints().filter("page_id % 11 <> 0").select("id").union(e.methods().filter("page_id % 13 = 0").select("id")).union(e.endpoints().filter("page_id % 50 = 1").select("id"))
-    edges = client_links(spark, folder).filter("endpoint_id is not null").select(F.col("method_id").alias("from"), F.col("endpoint_id").alias("to"))
-    return findings.dangling(nodes, edges)
+    nodes = e.endpoints().select(F.concat_ws(":", F.lit("ep"), "repo", "verb", "norm").alias("id")).union(e.apis().select("project_id")).union(_produced(e).select(F.concat(F.lit("pkg:"), "package_key")).distinct())
+    return findings.dangling(nodes, e.references().select(F.col("project_id").alias("from"), F.concat(F.lit("pkg:"), "package_key").alias("to")))
 
 
 def unique_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -179,19 +185,20 @@ ref AS (SELECT project_id, package_key, max(CASE WHEN starts_with(version, 'unre
 reach AS (SELECT project_id AS root, 'pkg:' || package_key AS node, confidence FROM produced
   UNION ALL SELECT p.project_id, r.project_id, max(least(p.confidence, r.confidence)) FROM produced p JOIN ref r USING (package_key) GROUP BY ALL),
 owner AS (SELECT project_id AS id, 'repo:' || repo AS owner FROM clients UNION ALL SELECT project_id, 'repo:' || repo FROM apis),
-rolled AS (SELECT root, node, confidence FROM reach UNION ALL SELECT root, owner, confidence FROM reach JOIN owner ON node = id WHERE (root, owner) NOT IN (SELECT id, owner FROM owner)),
+rolled AS (SELECT root, node, confidence FROM reach UNION ALL SELECT root, owner, confidence FROM reach JOIN owner ON node = id),
 impact AS (SELECT root, node, max(confidence) AS confidence FROM rolled GROUP BY ALL)
 """
-_STEPS = """, steps AS (SELECT 'repo:' || from_repo AS src, 'repo:' || to_repo AS dst FROM blocks WHERE a < b AND b - a <= 4)"""
+_HOPS = """, hops AS (SELECT project_id AS src, 'pkg:' || package_key AS dst, 'references' AS kind, CASE WHEN starts_with(version, 'unresolved(') THEN 1 ELSE 3 END AS edge FROM refs
+  UNION ALL SELECT 'pkg:' || package_key, project_id, 'produces', confidence FROM produced), step AS (SELECT src, dst, kind, max(edge) AS edge FROM hops GROUP BY ALL)"""
 _CALLERS = "SELECT endpoint_id, count(*) AS callers FROM links WHERE endpoint_id IS NOT NULL GROUP BY 1"
 
 _BODIES = {
-    "route_rules": r"SELECT page_id, norm, lookup, '/api/v1' || CASE WHEN norm = '' THEN '' ELSE '/' || norm END AS combined, regexp_matches(route, '[/{]') AND NOT regexp_matches(route, '\s') AS route_like, route ILIKE '%.example.com%' AS com_host, verb FROM endpoints",
+    "route_rules": r"SELECT page_id, norm, lookup, '/api/v' || (page_id % 3) || CASE WHEN norm = '' THEN '' ELSE '/' || norm END AS combined, CASE WHEN page_id % 13 IN (0, 2, 4, 5) THEN false WHEN page_id % 13 IN (1, 3) THEN true ELSE regexp_matches(route, '[/{]') AND NOT regexp_matches(route, '\s') END AS route_like, route ILIKE '%.example.com%' AS com_host, verb FROM endpoints",
     "client_links": "SELECT * FROM links",
     "repo_dependencies": "SELECT * FROM depends",
     "ambiguous_producers": "SELECT package_key, count(*) AS producers, string_agg(project_id, ',' ORDER BY project_id) AS projects FROM produced WHERE confidence = 0 GROUP BY 1",
     "version_drift": """, good AS (SELECT *, [CAST(x AS int) FOR x IN string_split(version, '.')] AS k FROM refs WHERE NOT starts_with(version, 'unresolved(')),
-        latest AS (SELECT package_key, coalesce(min(p.version), arg_max(g.version, g.k)) AS latest FROM produced p LEFT JOIN good g USING (package_key) GROUP BY 1),
+        latest AS (SELECT package_key, coalesce(min(p.version) FILTER (WHERE NOT starts_with(p.version, 'unresolved(')), arg_max(g.version, g.k)) AS latest FROM produced p LEFT JOIN good g USING (package_key) GROUP BY 1),
         behind AS (SELECT DISTINCT package_key, latest, project_id || ' ' || version AS b FROM good JOIN latest USING (package_key) WHERE version <> latest)
         SELECT package_key, latest, string_agg(b, ', ' ORDER BY b) AS behind, count(*) AS n_behind FROM behind GROUP BY 1, 2""",
     "unused_endpoints": "SELECT id, repo FROM endpoints WHERE repo IN (SELECT repo FROM methods) AND id NOT IN (SELECT endpoint_id FROM links WHERE endpoint_id IS NOT NULL)",
@@ -199,14 +206,14 @@ _BODIES = {
     "endpoint_callers": _CALLERS,
     "hotspots": f"{_CALLERS} ORDER BY callers DESC, endpoint_id LIMIT 5",
     "link_findings": "SELECT CASE WHEN matches = 0 THEN 'unresolvedRoute' ELSE 'ambiguousRoute' END AS kind, count(DISTINCT method_id) AS n FROM links WHERE matches <> 1 GROUP BY 1",
-    "cycles": """, step AS (SELECT from_repo AS s, to_repo AS d FROM blocks WHERE a // 5 = b // 5), closure AS (SELECT s, d FROM step UNION SELECT c.s, t.d FROM closure c JOIN step t ON c.d = t.s),
+    "cycles": """, step AS (SELECT 'repo:' || from_repo AS s, 'repo:' || to_repo AS d FROM depends), closure AS (SELECT s, d FROM step UNION SELECT c.s, t.d FROM closure c JOIN step t ON c.d = t.s),
         mutual AS (SELECT x.s AS node, x.d AS other FROM closure x JOIN closure y ON x.s = y.d AND x.d = y.s WHERE x.s <> x.d) SELECT node, least(node, min(other)) AS component FROM mutual GROUP BY node""",
-    "neighbors_up": f"{_STEPS} SELECT DISTINCT dst AS node, src AS neighbor FROM steps",
-    "trace_down": f"""{_STEPS}, one AS (SELECT src AS root, dst AS node, 1 AS depth, src AS via, 3 AS confidence, src || '>' || dst AS visit FROM steps),
-        two AS (SELECT root, dst AS node, 2, min(node), 3, min(visit || '>' || dst) FROM one JOIN steps ON node = src WHERE (root, dst) NOT IN (SELECT root, node FROM one) AND root <> dst GROUP BY root, dst) SELECT * FROM one UNION ALL SELECT * FROM two""",
+    "neighbors_up": f"{_HOPS} SELECT dst AS node, src AS neighbor FROM hops UNION SELECT 'repo:' || to_repo, 'repo:' || from_repo FROM depends",
+    "trace_down": f"""{_HOPS}, one AS (SELECT src AS root, dst AS node, 1 AS depth, src AS via, kind AS via_kind, edge AS confidence, src || '>' || dst AS visit FROM step WHERE kind = 'references'),
+        two AS (SELECT root, dst AS node, 2 AS depth, min(node) AS via, 'produces' AS via_kind, arg_min(least(confidence, edge), node) AS confidence, arg_min(visit || '>' || dst, node) AS visit FROM one JOIN step ON node = src GROUP BY root, dst) SELECT * FROM one UNION ALL SELECT * FROM two""",
     "impact": f"{_IMPACT} SELECT * FROM impact",
     "impact_totals": f"{_IMPACT} SELECT root, string_split(node, ':')[1] AS kind, count(*) AS n, min(confidence) AS least FROM impact GROUP BY ALL",
-    "repo_summary": """, d AS (SELECT from_repo, to_repo FROM blocks WHERE a < b AND b - a <= 4)
+    "repo_summary": """, d AS (SELECT from_repo, to_repo FROM depends)
         SELECT repo, (SELECT count(*) FROM clients c WHERE c.repo = r.repo) AS n_clients, (SELECT count(*) FROM apis c WHERE c.repo = r.repo) AS n_apis, (SELECT count(*) FROM endpoints c WHERE c.repo = r.repo) AS n_endpoints, (SELECT count(*) FROM methods c WHERE c.repo = r.repo) AS n_methods,
         coalesce((SELECT string_agg(to_repo, ',' ORDER BY to_repo) FROM d WHERE from_repo = r.repo), '') AS depends_on, coalesce((SELECT string_agg(from_repo, ',' ORDER BY from_repo) FROM d WHERE to_repo = r.repo), '') AS depended_on_by FROM repos r""",
     "repo_packages": """, first AS (SELECT package_key, arg_min(repo, project_id) AS producer_repo FROM produced GROUP BY 1)
@@ -214,9 +221,14 @@ _BODIES = {
         UNION ALL SELECT repo, 'consumes', package_key, version, project_id, producer_repo FROM refs JOIN first USING (package_key) WHERE producer_repo <> repo""",
     "fuzzy_search": f""", n AS (SELECT 'pkg:Part' || p_partkey AS id, lower('pkg:Part' || p_partkey) AS a, lower(p_name) AS b FROM part), q AS (SELECT unnest({list(SEARCHES)}) AS query),
         ranked AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY CASE WHEN contains(a, query) OR contains(b, query) THEN 0 ELSE 1 END, least(levenshtein(a, query), levenshtein(b, query)), id) AS int) AS rank, id FROM n, q) SELECT * FROM ranked WHERE rank <= 5""",
-    "resolve_names": """, nodes AS (SELECT id, repo AS label FROM repos UNION ALL SELECT id, verb || ' /' || norm FROM endpoints), names AS (SELECT verb || ' /' || norm AS name FROM endpoints UNION SELECT repo FROM repos UNION SELECT id FROM methods)
-        SELECT name, CASE count(DISTINCT id) WHEN 0 THEN 'not_found' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS status, coalesce(string_agg(DISTINCT id, ',' ORDER BY id), '') AS candidates FROM names LEFT JOIN nodes ON label = name GROUP BY name""",
-    "integrity": """, nodes AS (SELECT id FROM endpoints WHERE page_id % 11 <> 0 UNION ALL SELECT id FROM methods WHERE page_id % 13 = 0 UNION ALL SELECT id FROM endpoints WHERE page_id % 50 = 1), ends AS (SELECT method_id AS id FROM links WHERE endpoint_id IS NOT NULL UNION SELECT endpoint_id FROM links WHERE endpoint_id IS NOT NULL)
+    "resolve_names": f""", names AS (SELECT unnest([lower(verb) || ' ' || upper(route), verb || ' /' || norm || '/?q=1', id]) AS name FROM endpoints UNION SELECT lower(repo) FROM repos UNION SELECT id FROM methods),
+        hits AS (SELECT name, id, 0 AS rule FROM names JOIN endpoints ON id = name UNION ALL SELECT name, min(r.id), 1 FROM names JOIN repos r ON lower(repo) = lower(name) GROUP BY name
+          UNION ALL SELECT name, id, 2 FROM names JOIN endpoints ON upper(split_part(name, ' ', 1)) = verb AND lower(split_part(name, ' ', 2)) = lower(route)
+          UNION ALL SELECT name, id, 3 FROM names JOIN endpoints ON ends_with(name, '/?q=1') AND name = verb || ' /' || norm || '/?q=1'
+          UNION ALL SELECT name, id, 3 FROM names JOIN endpoints ON NOT ends_with(name, '/?q=1') AND contains(name, ' ') AND upper(split_part(name, ' ', 1)) = verb AND norm = {_lookup_sql("split_part(name, ' ', 2)")}),
+        best AS (SELECT name, id FROM hits QUALIFY rule = min(rule) OVER (PARTITION BY name))
+        SELECT name, CASE count(DISTINCT id) WHEN 0 THEN 'not_found' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS status, coalesce(string_agg(DISTINCT id, ',' ORDER BY id), '') AS candidates FROM names LEFT JOIN best USING (name) GROUP BY name""",
+    "integrity": """, nodes AS (SELECT 'ep:' || repo || ':' || verb || ':' || norm AS id FROM endpoints UNION ALL SELECT project_id FROM apis UNION ALL SELECT DISTINCT 'pkg:' || package_key FROM produced), ends AS (SELECT project_id AS id FROM refs UNION SELECT 'pkg:' || package_key FROM refs)
         SELECT 'duplicate' AS problem, id FROM nodes GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'dangling', id FROM ends WHERE id NOT IN (SELECT id FROM nodes)""",
     "unique_ids": """, r AS (SELECT 'ep:' || repo || ':' || verb || ':' || norm AS id, page_id AS seq, row_number() OVER (PARTITION BY repo, verb, norm ORDER BY page_id) AS n FROM endpoints) SELECT CASE WHEN n = 1 THEN id ELSE id || '#' || n END AS id, seq FROM r""",
     "changed_files": """SELECT 'src/' || source || '/' || doc_id || '.cs' AS path, CASE doc_id % 10 WHEN 3 THEN 'added' WHEN 7 THEN 'removed' ELSE 'changed' END AS change FROM documents WHERE doc_id % 10 IN (3, 5, 7)""",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from arcweave.functions import routes
 from arcweave.operators import findings, graph, linking
-from arcweave.plans import catalog
+from arcweave.plans import catalog, overview
 from arcweave.sources import documents
 
 FOLDER = "/root/testdata/sf0.001"
@@ -26,9 +26,12 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+QUERIES, ORACLES = {**catalog.QUERIES, **overview.QUERIES}, {**catalog.ORACLES, **overview.ORACLES}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_match_sql(spark, duck, name):
-    got, want = catalog.QUERIES[name](spark, FOLDER).toPandas(), duck.sql(catalog.ORACLES[name]).df()
+    got, want = QUERIES[name](spark, FOLDER).toPandas(), duck.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.astype(object).where(got.notna(), None)) == rows(want.astype(object).where(want.notna(), None))
 
@@ -60,6 +63,38 @@ def test_links(spark):
     assert got == {("m1", "e1", "s", 3, 1), ("m2", "e1", "s+suffix", 0, 1), ("m3", None, "s", 3, 0), ("m4", None, "s", 3, 0)}
 
 
+def test_root_route_links_exactly(spark):
+    methods = spark.createDataFrame([("m", "r", "GET", "", "s", 2), ("n", "r", "GET", None, "s", 2)], "id string, repo string, verb string, norm string, strategy string, confidence int")
+    points = spark.createDataFrame([("e", "r", "GET", ""), ("f", "r", "GET", "a")], "id string, repo string, verb string, norm string")
+    assert {(r["method_id"], r["endpoint_id"], r["confidence"]) for r in linking.link_clients(methods, points).collect()} == {("m", "e", 2), ("n", None, 2)}
+
+
+def test_drift_passes_over_unresolved_producers(spark):
+    used = spark.createDataFrame([("p", "k", "1.9.0"), ("q", "k", "1.10.0")], "project_id string, package_key string, version string")
+    made = spark.createDataFrame([("a", "k", "unresolved($(V))"), ("b", "k", "2.0")], "project_id string, package_key string, version string")
+    assert findings.version_drift(used, made).first()["latest"] == "2.0" and findings.version_drift(used, made.filter("project_id = 'a'")).first()["latest"] == "1.10.0"
+
+
+def test_own_repo_is_affected_through_others(spark):
+    reached = spark.createDataFrame([("proj:a", "proj:b", 2), ("proj:a", "pkg:x", 3)], "root string, node string, confidence int")
+    owners = spark.createDataFrame([("proj:a", "repo:r"), ("proj:b", "repo:r"), ("proj:b", "proj:a")], "id string, owner string")
+    assert {(r["node"], r["confidence"]) for r in graph.roll_up(reached, owners).collect()} == {("proj:b", 2), ("pkg:x", 3), ("repo:r", 2)}
+
+
+def test_media_types_are_no_routes(spark):
+    texts = ["application/json", "Text/html", "multipart/x", "image/png", "audio/mp3", "video/x", "a b/c", "a/{b}", "plain"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(routes.is_route_like(F.col("t"))).collect()]
+    assert got == [False] * 4 + [True, True, False, True, False]
+
+
+def test_too_many_rounds_are_an_error(spark):
+    pairs = [(f"{i}a", f"{i}b") for i in range(5)] + [(f"{i}b", f"{i}a") for i in range(5)] + [(f"{i}b", f"{i + 1}a") for i in range(4)]
+    df = spark.createDataFrame(pairs, "src string, dst string")
+    with pytest.raises(RuntimeError):
+        graph.strong_components(df, most_rounds=2).count()
+    assert graph.strong_components(df).select("component").distinct().count() == 5
+
+
 def test_number_ids_passes_taken_numbers(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("a#2", 4), ("b", 5)], "id string, seq int")
     assert {r["seq"]: r["id"] for r in linking.number_ids(df).collect()} == {1: "a", 2: "a#3", 3: "a#4", 4: "a#2", 5: "b"}
@@ -87,7 +122,12 @@ def test_documents_round_trip(spark, tmp_path):
 
 
 def test_resolve_and_fuzzy(spark):
-    nodes = spark.createDataFrame([("repo:o", "repo", "orders"), ("model:a:X.Dto", "model", "X.Dto"), ("model:b:Y.Dto", "model", "Y.Dto")], "id string, kind string, label string")
-    names = spark.createDataFrame([("orders",), ("Dto",), ("none",), ("repo:o",)], "name string")
-    assert {r["name"]: r["status"] for r in findings.resolve(names, nodes).collect()} == {"orders": "found", "Dto": "ambiguous", "none": "not_found", "repo:o": "found"}
+    columns = "id string, kind string, label string, verb string, route string, norm string"
+    own = [("repo:o", "repo", "orders", None, None, None), ("repo:p", "repo", "Orders", None, None, None), ("model:a:X.Dto", "model", "X.Dto", None, None, None), ("model:b:Y.Dto", "model", "Y.Dto", None, None, None)]
+    own += [("ep:1", "endpoint", "", "GET", "/api/A/{id}", "api/a/{}"), ("ep:2", "endpoint", "", "GET", "/api/a/{key}", "api/a/{}")]
+    nodes = spark.createDataFrame(own, columns)
+    names = spark.createDataFrame([("ORDERS",), ("Dto",), ("none",), ("repo:o",), ("get /API/a/{id}",), ("GET api/a/{other}?x=1",), ("POST /api/a/{id}",)], "name string")
+    got = {r["name"]: (r["status"], r["candidates"]) for r in findings.resolve(names, nodes).collect()}
+    assert got["ORDERS"] == ("found", "repo:o") and got["Dto"][0] == "ambiguous" and got["none"] == ("not_found", "") and got["repo:o"] == ("found", "repo:o")
+    assert got["get /API/a/{id}"] == ("found", "ep:1") and got["GET api/a/{other}?x=1"] == ("ambiguous", "ep:1,ep:2") and got["POST /api/a/{id}"][0] == "not_found"
     assert findings.fuzzy(["order"], nodes, 1).first()["id"] == "repo:o"
