@@ -30,12 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import join_counted, materialize, read_table, slices
-from .shingles import shingle_hashes, words_of
+from .shingles import words_of
 
 K, WINDOW = 8, 12
 #: Three matched seeds at this distance in words: less can't be a passage of LEAST_WORDS words.
@@ -48,6 +49,21 @@ MARGIN, GRID = 128, 64
 MOST_BROADCAST_IDS = 2_000_000
 
 
+def joined(values: np.ndarray, places: range | list[int]) -> np.ndarray:
+    """One hash for each place of values: of the values at `places` after it, in order."""
+    n = len(values) - places[-1]
+    out = np.zeros(n, np.uint64)
+    for at in places:
+        out = out * np.uint64(0x9E3779B97F4A7C15) + values[at : at + n]
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(29))
+
+
+def seed_hashes(words: list[bytes]) -> np.ndarray:
+    """Hashes of all runs of K words, from one hash a word."""
+    return joined(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), range(K))
+
+
 def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Positions of the seeds; of equal hashes in a row only the first is one."""
     n = len(hashes)
@@ -67,7 +83,7 @@ def seeds(docs: DataFrame) -> DataFrame:
                 words = words_of(text)
                 if len(words) < K:
                     continue
-                hashes = shingle_hashes(words, K)
+                hashes = seed_hashes(words)
                 at = winnow(hashes)
                 own = hashes[at].view(np.int64)
                 first = np.zeros(len(at), bool)
@@ -80,33 +96,41 @@ def seeds(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id is not null").mapInArrow(scan, "seed long, doc_id long, pos int, first boolean")
 
 
-def matches(docs: DataFrame) -> DataFrame:
-    """(doc_id, matches: array of (other, other_pos, pos)) of documents with seeds that an earlier one holds."""
+def held_seeds(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All seeds, and (seed, other, other_pos, n) of those that two documents hold: the first holder, its place, and the seed's rows."""
     found = materialize(seeds(docs), "seeds")
     holders = found.groupBy("seed").agg(F.min(F.when(F.col("first"), F.struct("doc_id", "pos"))).alias("holder"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
     holders = holders.filter("holder.doc_id < last").select("seed", F.col("holder.doc_id").alias("other"), F.col("holder.pos").alias("other_pos"), "n")
-    pairs = join_counted(found.drop("first"), materialize(holders, "holders"), "seed").filter("doc_id <> other")
-    return pairs.groupBy("doc_id").agg(F.collect_list(F.struct("other", "other_pos", "pos")).alias("matches"))
+    return found, materialize(holders, "holders")
 
 
-def runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, pos, words, whole) of all runs of LEAST_WORDS words, and of two and three seeds in a row (not whole: words between may differ)."""
-    n = len(words) - LEAST_WORDS + 1
-    found = [(shingle_hashes(words, LEAST_WORDS, 50), np.arange(n), np.full(n, LEAST_WORDS), np.ones(n, bool))] if n > 0 else []
-    if len(words) >= K:
-        hashes = shingle_hashes(words, K)
-        at = winnow(hashes)
-        own = mixed = hashes[at]
-        for m in (1, 2):
-            mixed = mixed[: len(own) - m] * np.uint64(0x9E3779B97F4A7C15) ^ own[m:]
-            found.append((mixed, at[: len(mixed)], at[m:] - at[: len(mixed)] + K, np.zeros(len(mixed), bool)))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.zeros(0, t) for t in (np.uint64, int, int, bool))
+def matches(found: DataFrame, holders: DataFrame) -> DataFrame:
+    """(doc_id, matches: array of (other, other_pos, pos)) of documents with seeds that an earlier one holds."""
+    pairs = join_counted(found.drop("first"), holders, "seed").filter("doc_id <> other")
+    return pairs.groupBy("doc_id").agg(F.collect_list(F.struct("other", "other_pos", "pos")).alias("matches"))
 
 
-def open_runs(words: list[bytes], matched: list[int], spans: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, pos, shift) of the runs that an earlier document may have and no passage covers; shift leads to a word outside of passages. In
+def runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, pos, words, whole, seed) of all runs of LEAST_WORDS words, and of two and three seeds in a row (not whole: words between may differ).
+    seed: one that every document with the run holds."""
+    if len(words) < K + 1:
+        return tuple(np.zeros(0, t) for t in (np.uint64, int, int, bool, np.uint64))
+    hashes, n = seed_hashes(words), len(words) - LEAST_WORDS + 1
+    at, found = winnow(hashes), []
+    if n > 0:
+        least = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW).min(axis=1)[:n]
+        found.append((joined(hashes, [*range(0, LEAST_WORDS - K, K), LEAST_WORDS - K]), np.arange(n), np.full(n, LEAST_WORDS), np.ones(n, bool), least))
+    own = mixed = hashes[at]
+    for m in (1, 2):
+        mixed = mixed[: len(own) - m] * np.uint64(0x9E3779B97F4A7C15) ^ own[m:]
+        found.append((mixed, at[: len(mixed)], at[m:] - at[: len(mixed)] + K, np.zeros(len(mixed), bool), own[: len(mixed)]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def open_runs(words: list[bytes], matched: list[int], spans: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, pos, shift, seed) of the runs that an earlier document may have and no passage covers; shift leads to a word outside of passages. In
     equal words every window has a matched seed, so runs with a wider gap between matched places are left out."""
-    hashes, pos, size, whole = runs(words)
+    hashes, pos, size, whole, seed = runs(words)
     n = len(words)
     close, covered = np.zeros(n + 2, int), np.zeros(n + 1, bool)
     at = np.array(matched)
@@ -119,23 +143,26 @@ def open_runs(words: list[bytes], matched: list[int], spans: list[dict]) -> tupl
     after = np.minimum.accumulate(np.where(covered, n, np.arange(n + 1))[::-1])[::-1]
     shift = np.where(whole, after[pos] - pos, np.where(covered[pos], size - K, 0))
     ok = (far[pos + size - K + 1] == far[pos]) & (shift < size) & ~covered[np.minimum(pos + shift, n)]
-    return hashes[ok], pos[ok], shift[ok]
+    return hashes[ok], pos[ok], shift[ok], seed[ok]
 
 
-def run_matches(docs: DataFrame, matched: DataFrame, passages: DataFrame) -> DataFrame:
-    """As matches, of the runs in documents (doc_id, places) with matched places that the passages don't cover."""
+def run_matches(docs: DataFrame, found: DataFrame, holders: DataFrame, matched: DataFrame, passages: DataFrame) -> DataFrame:
+    """As matches, of the runs in documents (doc_id, places) with matched places that the passages don't cover. Texts are hashed again only where
+    they hold a seed of such a run."""
     spans = passages.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
     asking = docs.join(matched.join(spans, "doc_id", "left"), "doc_id").select("doc_id", "text", "places", F.coalesce("spans", F.array().cast("array<struct<start_word:int,end_word:int>>")).alias("spans"))
-    names, types = ["run", "doc_id", "pos", "shift"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    names, types = ["run", "doc_id", "pos", "shift", "seed"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             for doc_id, places, spans, text in zip(part.column("doc_id").to_pylist(), part.column("places").to_pylist(), part.column("spans").to_pylist(), texts, strict=True):
-                own, pos, shift = open_runs(words_of(text), places, spans)
+                own, pos, shift, seed = open_runs(words_of(text), places, spans)
                 if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((own.view(np.int64), np.full(len(own), doc_id), pos, shift), types, strict=True)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((own.view(np.int64), np.full(len(own), doc_id), pos, shift, seed.view(np.int64)), types, strict=True)], names)
 
-    asked = materialize(asking.mapInArrow(ask, "run long, doc_id long, pos int, shift int"), "asked-runs")
+    asked = materialize(asking.mapInArrow(ask, "run long, doc_id long, pos int, shift int, seed long"), "asked-runs")
+    keys = materialize(asked.select("seed").distinct().join(holders.select("seed", "n"), "seed"), "run-seeds")
+    holding = only(join_counted(found.select("seed", "doc_id"), keys, "seed", "left_semi").select("doc_id"))
     wanted = materialize(asked.select("run").distinct(), "runs")
     few = wanted.count() <= MOST_BROADCAST_RUNS
     known = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toPandas()["run"].to_numpy(np.int64))) if few else None
@@ -153,7 +180,7 @@ def run_matches(docs: DataFrame, matched: DataFrame, passages: DataFrame) -> Dat
                 if len(own):
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((own, np.full(len(own), doc_id), pos), types[:3], strict=True)], names[:3])
 
-    held = docs.filter("doc_id is not null").mapInArrow(hold, "run long, doc_id long, pos int")
+    held = docs.join(holding, "doc_id", "left_semi").mapInArrow(hold, "run long, doc_id long, pos int")
     held = held if few else held.join(wanted, "run", "left_semi")
     first = held.groupBy("run").agg(F.min(F.struct("doc_id", "pos")).alias("first")).select("run", F.col("first.doc_id").alias("other"), F.col("first.pos").alias("other_pos"))
     pairs = asked.join(first, "run").filter("other < doc_id").select("doc_id", "other", (F.col("other_pos") + F.col("shift")).alias("other_pos"), (F.col("pos") + F.col("shift")).alias("pos"))
@@ -284,7 +311,8 @@ def repeated_passages(docs: DataFrame, distinct_ids: bool = False) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if not distinct_ids and docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # repeated rows of an id count as one document
         docs = docs.groupBy("doc_id").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
-    matched = materialize(matches(docs), "matches")
+    all_seeds, holders = held_seeds(docs)
+    matched = materialize(matches(all_seeds, holders), "matches")
     linked = materialize(find_chains(matched), "chains")
     one = lambda df: df.select("doc_id", F.explode("own").alias("c")).select("doc_id", "c.other", "c.low", "c.high", "c.pairs")
     first = materialize(align_chains(docs, materialize(one(linked.select("doc_id", F.filter("chains", lambda c: c["leads"]).alias("own"))), "leading")), "passages")
@@ -294,18 +322,20 @@ def repeated_passages(docs: DataFrame, distinct_ids: bool = False) -> DataFrame:
     left = F.when(F.col("spans").isNull(), F.col("others")).otherwise(F.filter("others", lambda c: F.exists(c["pairs"], outside)))
     rest = materialize(one(rest.select("doc_id", left.alias("own"))), "other-chains")
     found = materialize(first.union(align_chains(docs, rest)), "passages")
-    again = run_matches(docs, matched.select("doc_id", F.col("matches.pos").alias("places")), found)
+    again = run_matches(docs, all_seeds, holders, matched.select("doc_id", F.col("matches.pos").alias("places")), found)
     return found.union(align_chains(docs, materialize(one(find_chains(again, 1).withColumnRenamed("chains", "own")), "run-chains")))
 
 
+def only(ids: DataFrame) -> DataFrame:
+    """Distinct ids, written, and marked for broadcast where there are few."""
+    ids = materialize(ids.distinct(), "ids")
+    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids
+
+
 def align_chains(docs: DataFrame, linked: DataFrame) -> DataFrame:
     """Passages that the texts confirm for chains (doc_id, other, low, high, pairs)."""
     parts = materialize(linked.groupBy("other").agg(F.collect_set(F.struct("low", "high")).alias("parts")), "parts")
 
-    def only(ids: DataFrame) -> DataFrame:
-        ids = materialize(ids.distinct(), "ids")
-        return F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             rows = []
