@@ -96,31 +96,34 @@ def seeds(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id is not null").mapInArrow(scan, "seed long, doc_id long, pos int, first boolean")
 
 
-def held_seeds(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All seeds, and (seed, other, other_pos, n) of those that two documents hold: the first holder, its place, and the seed's rows."""
+def matches(docs: DataFrame) -> DataFrame:
+    """(doc_id, matches: array of (other, other_pos, pos)) of documents with seeds that an earlier one holds."""
     found = materialize(seeds(docs), "seeds")
     holders = found.groupBy("seed").agg(F.min(F.when(F.col("first"), F.struct("doc_id", "pos"))).alias("holder"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
     holders = holders.filter("holder.doc_id < last").select("seed", F.col("holder.doc_id").alias("other"), F.col("holder.pos").alias("other_pos"), "n")
-    return found, materialize(holders, "holders")
+    pairs = join_counted(found.drop("first"), materialize(holders, "holders"), "seed").filter("doc_id <> other")
+    return pairs.groupBy("doc_id").agg(F.collect_list(F.struct("other", "other_pos", "pos")).alias("matches"))
 
 
-def matches(found: DataFrame, holders: DataFrame) -> DataFrame:
-    """(doc_id, matches: array of (other, other_pos, pos)) of documents with seeds that an earlier one holds."""
-    pairs = join_counted(found.drop("first"), holders, "seed").filter("doc_id <> other")
-    return pairs.groupBy("doc_id").agg(F.collect_list(F.struct("other", "other_pos", "pos")).alias("matches"))
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the values are in a sorted list."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
 
 
-def runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(words: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, pos, words, whole, seed) of all runs of LEAST_WORDS words, and of two and three seeds in a row (not whole: words between may differ).
-    seed: one that every document with the run holds."""
+    seed: one that every document with the run holds; without a seed among the sorted `wanted` ones there are no runs."""
+    none = tuple(np.zeros(0, t) for t in (np.uint64, int, int, bool, np.uint64))
     if len(words) < K + 1:
-        return tuple(np.zeros(0, t) for t in (np.uint64, int, int, bool, np.uint64))
-    hashes, n = seed_hashes(words), len(words) - LEAST_WORDS + 1
-    at, found = winnow(hashes), []
+        return none
+    hashes, n, found = seed_hashes(words), len(words) - LEAST_WORDS + 1, []
+    at = winnow(hashes)
+    own = mixed = hashes[at]
+    if wanted is not None and not among(own, wanted).any():
+        return none
     if n > 0:
         least = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW).min(axis=1)[:n]
         found.append((joined(hashes, [*range(0, LEAST_WORDS - K, K), LEAST_WORDS - K]), np.arange(n), np.full(n, LEAST_WORDS), np.ones(n, bool), least))
-    own = mixed = hashes[at]
     for m in (1, 2):
         mixed = mixed[: len(own) - m] * np.uint64(0x9E3779B97F4A7C15) ^ own[m:]
         found.append((mixed, at[: len(mixed)], at[m:] - at[: len(mixed)] + K, np.zeros(len(mixed), bool), own[: len(mixed)]))
@@ -146,9 +149,8 @@ def open_runs(words: list[bytes], matched: list[int], spans: list[dict]) -> tupl
     return hashes[ok], pos[ok], shift[ok], seed[ok]
 
 
-def run_matches(docs: DataFrame, found: DataFrame, holders: DataFrame, matched: DataFrame, passages: DataFrame) -> DataFrame:
-    """As matches, of the runs in documents (doc_id, places) with matched places that the passages don't cover. Texts are hashed again only where
-    they hold a seed of such a run."""
+def run_matches(docs: DataFrame, matched: DataFrame, passages: DataFrame) -> DataFrame:
+    """As matches, of the runs in documents (doc_id, places) with matched places that the passages don't cover."""
     spans = passages.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
     asking = docs.join(matched.join(spans, "doc_id", "left"), "doc_id").select("doc_id", "text", "places", F.coalesce("spans", F.array().cast("array<struct<start_word:int,end_word:int>>")).alias("spans"))
     names, types = ["run", "doc_id", "pos", "shift", "seed"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
@@ -161,27 +163,22 @@ def run_matches(docs: DataFrame, found: DataFrame, holders: DataFrame, matched:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((own.view(np.int64), np.full(len(own), doc_id), pos, shift, seed.view(np.int64)), types, strict=True)], names)
 
     asked = materialize(asking.mapInArrow(ask, "run long, doc_id long, pos int, shift int, seed long"), "asked-runs")
-    keys = materialize(asked.select("seed").distinct().join(holders.select("seed", "n"), "seed"), "run-seeds")
-    holding = only(join_counted(found.select("seed", "doc_id"), keys, "seed", "left_semi").select("doc_id"))
-    wanted = materialize(asked.select("run").distinct(), "runs")
+    wanted = materialize(asked.select("run", "seed").distinct(), "runs")
     few = wanted.count() <= MOST_BROADCAST_RUNS
-    known = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toPandas()["run"].to_numpy(np.int64))) if few else None
+    known = docs.sparkSession.sparkContext.broadcast([np.unique(wanted.select(x).toArrow()[x].to_numpy().view(np.uint64)) for x in ("run", "seed")]) if few else None
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             for doc_id, text in zip(part.column("doc_id").to_pylist(), texts, strict=True):
-                own, pos = (x for x in runs(words_of(text))[:2])
-                own = own.view(np.int64)
+                own, pos = runs(words_of(text), None if known is None else known.value[1])[:2]
                 if known is not None:
-                    if not len(known.value):
-                        continue
-                    ok = known.value[np.minimum(np.searchsorted(known.value, own), len(known.value) - 1)] == own
+                    ok = among(own, known.value[0])
                     own, pos = own[ok], pos[ok]
                 if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((own, np.full(len(own), doc_id), pos), types[:3], strict=True)], names[:3])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((own.view(np.int64), np.full(len(own), doc_id), pos), types[:3], strict=True)], names[:3])
 
-    held = docs.join(holding, "doc_id", "left_semi").mapInArrow(hold, "run long, doc_id long, pos int")
-    held = held if few else held.join(wanted, "run", "left_semi")
+    held = docs.filter("doc_id is not null").mapInArrow(hold, "run long, doc_id long, pos int")
+    held = held if few else held.join(wanted.select("run"), "run", "left_semi")
     first = held.groupBy("run").agg(F.min(F.struct("doc_id", "pos")).alias("first")).select("run", F.col("first.doc_id").alias("other"), F.col("first.pos").alias("other_pos"))
     pairs = asked.join(first, "run").filter("other < doc_id").select("doc_id", "other", (F.col("other_pos") + F.col("shift")).alias("other_pos"), (F.col("pos") + F.col("shift")).alias("pos"))
     return pairs.groupBy("doc_id").agg(F.collect_set(F.struct("other", "other_pos", "pos")).alias("matches"))
@@ -311,8 +308,7 @@ def repeated_passages(docs: DataFrame, distinct_ids: bool = False) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if not distinct_ids and docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # repeated rows of an id count as one document
         docs = docs.groupBy("doc_id").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
-    all_seeds, holders = held_seeds(docs)
-    matched = materialize(matches(all_seeds, holders), "matches")
+    matched = materialize(matches(docs), "matches")
     linked = materialize(find_chains(matched), "chains")
     one = lambda df: df.select("doc_id", F.explode("own").alias("c")).select("doc_id", "c.other", "c.low", "c.high", "c.pairs")
     first = materialize(align_chains(docs, materialize(one(linked.select("doc_id", F.filter("chains", lambda c: c["leads"]).alias("own"))), "leading")), "passages")
@@ -322,7 +318,7 @@ def repeated_passages(docs: DataFrame, distinct_ids: bool = False) -> DataFrame:
     left = F.when(F.col("spans").isNull(), F.col("others")).otherwise(F.filter("others", lambda c: F.exists(c["pairs"], outside)))
     rest = materialize(one(rest.select("doc_id", left.alias("own"))), "other-chains")
     found = materialize(first.union(align_chains(docs, rest)), "passages")
-    again = run_matches(docs, all_seeds, holders, matched.select("doc_id", F.col("matches.pos").alias("places")), found)
+    again = run_matches(docs, matched.select("doc_id", F.col("matches.pos").alias("places")), found)
     return found.union(align_chains(docs, materialize(one(find_chains(again, 1).withColumnRenamed("chains", "own")), "run-chains")))
 
 
