@@ -391,6 +391,24 @@ def test_passage_whose_pieces_come_first(spark):
     assert {(r["doc_id"], r["other_doc_id"], r["start_word"], r["end_word"], r["other_start_word"]) for r in found} == {(1, 0, 40, 110, 140)}
 
 
+def test_holders_of_a_run_hold_its_seed():
+    """Also among few different words, where hashes are equal in a row."""
+    dice = np.random.default_rng(5)
+    for kinds in (1, 2, 3, 500):
+        for _ in range(40):
+            draw = lambda n: [b"w%d" % x for x in dice.integers(0, kinds, n)]  # noqa: B023, E731
+            shared = draw(60)
+            one, other = (draw(dice.integers(0, 40)) + shared + draw(dice.integers(0, 40)) for _ in range(2))
+            hashes = passages.seed_hashes(other)
+            held = set(hashes[passages.winnow(hashes)].tolist())
+            theirs = set(passages.runs(other)[0].tolist())
+            asked = [(run, seed) for run, seed in zip(*(x.tolist() for x in passages.runs(one)[::4]), strict=True) if run in theirs]
+            assert asked and all(seed in held for _, seed in asked)
+            wanted = np.unique(np.array([seed for _, seed in asked], np.uint64))
+            assert {run for run, _ in asked} <= set(passages.runs(other, wanted)[0].tolist())
+    assert len(passages.runs(draw(80), np.array([1], np.uint64))[0]) == 0
+
+
 def test_chains_are_collinear():
     r = random.Random(4)
     own = [(i * 9, i * 9 + 500) for i in range(20)] + [(r.randint(0, 900), r.randint(0, 900)) for _ in range(30)]
