@@ -149,6 +149,30 @@ def open_runs(words: list[bytes], matched: list[int], spans: list[dict]) -> tupl
     return hashes[ok], pos[ok], shift[ok], seed[ok]
 
 
+class FirstHolders:
+    """The least doc_id and its first place for each of the sorted `wanted` runs that a task's documents hold: a run leaves the task once, however many
+    documents share it. Memory is bounded by the number of wanted runs."""
+
+    def __init__(self, wanted: np.ndarray):
+        self.wanted = wanted
+        self.held, self.doc, self.pos = np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int32)
+
+    def add(self, doc_id: int, own: np.ndarray, pos: np.ndarray) -> None:
+        ok = among(own, self.wanted)
+        at, pos = np.searchsorted(self.wanted, own[ok]), pos[ok]
+        better = ~self.held[at] | (doc_id < self.doc[at])
+        at, pos = at[better], pos[better]
+        at, first = np.unique(at[order := np.argsort(pos, kind="stable")], return_index=True)
+        self.held[at], self.doc[at], self.pos[at] = True, doc_id, pos[order][first]
+
+    def parts(self, rows: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(run, doc_id, pos) in parts of `rows` rows."""
+        found = np.flatnonzero(self.held)
+        for start in range(0, len(found), rows):
+            at = found[start : start + rows]
+            yield self.wanted[at].view(np.int64), self.doc[at], self.pos[at]
+
+
 def run_matches(docs: DataFrame, matched: DataFrame, passages: DataFrame) -> DataFrame:
     """As matches, of the runs in documents (doc_id, places) with matched places that the passages don't cover."""
     spans = passages.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
@@ -168,14 +192,16 @@ def run_matches(docs: DataFrame, matched: DataFrame, passages: DataFrame) -> Dat
     known = docs.sparkSession.sparkContext.broadcast([np.unique(wanted.select(x).toArrow()[x].to_numpy().view(np.uint64)) for x in ("run", "seed")]) if few else None
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = None if known is None else FirstHolders(known.value[0])
         for part, texts in slices(batches):
             for doc_id, text in zip(part.column("doc_id").to_pylist(), texts, strict=True):
                 own, pos = runs(words_of(text), None if known is None else known.value[1])[:2]
-                if known is not None:
-                    ok = among(own, known.value[0])
-                    own, pos = own[ok], pos[ok]
-                if len(own):
+                if firsts is not None:
+                    firsts.add(doc_id, own, pos)
+                elif len(own):
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((own.view(np.int64), np.full(len(own), doc_id), pos), types[:3], strict=True)], names[:3])
+        for columns in firsts.parts() if firsts is not None else ():
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types[:3], strict=True)], names[:3])
 
     held = docs.filter("doc_id is not null").mapInArrow(hold, "run long, doc_id long, pos int")
     held = held if few else held.join(wanted.select("run"), "run", "left_semi")

@@ -391,6 +391,22 @@ def test_passage_whose_pieces_come_first(spark):
     assert {(r["doc_id"], r["other_doc_id"], r["start_word"], r["end_word"], r["other_start_word"]) for r in found} == {(1, 0, 40, 110, 140)}
 
 
+def test_first_holders_are_the_least_of_all():
+    """Whatever the order of documents, each wanted run has the least doc_id that holds it and that document's first place."""
+    draw = np.random.default_rng(5)
+    for _ in range(50):
+        wanted = np.unique(draw.integers(0, 40, 15).astype(np.uint64))
+        own = {int(d): draw.integers(0, 40, draw.integers(0, 30)).astype(np.uint64) for d in draw.permutation(12) - 3}
+        firsts, want = passages.FirstHolders(wanted), {}
+        for doc_id, values in own.items():
+            firsts.add(doc_id, values, np.arange(len(values)))
+            for pos, run in enumerate(values.tolist()):
+                if run in wanted.tolist():
+                    want[run] = min(want.get(run, (doc_id, pos)), (doc_id, pos))
+        got = [row for part in firsts.parts(4) for row in zip(*(x.tolist() for x in part), strict=True)]
+        assert len(got) == len(want) and {r: (d, p) for r, d, p in got} == want
+
+
 def test_holders_of_a_run_hold_its_seed():
     """Also among few different words, where hashes are equal in a row."""
     dice = np.random.default_rng(5)
