@@ -378,7 +378,7 @@ def align_chains(docs: DataFrame, linked: DataFrame) -> DataFrame:
             for doc_id, own, text in zip(part.column("doc_id").to_pylist(), part.column("chains").to_pylist(), texts, strict=True):
                 words = words_of(text)
                 covered = np.zeros(len(words) + 1, bool)
-                for c in sorted(own, key=lambda c: (-len(c["pairs"]), c["other"], c["low"])):
+                for c in sorted(own, key=lambda c: (-len(c["pairs"]), c["other"], [(p["a"], p["b"]) for p in c["pairs"]])):
                     pairs = [(p["a"], p["b"]) for p in c["pairs"]]
                     if all(covered[min(b, len(words))] for _, b in pairs):
                         continue  # the passage is found already
