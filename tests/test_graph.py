@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from arcweave.functions import routes
-from arcweave.operators import findings, graph, linking
+from arcweave.operators import findings, graph, linking, models
 from arcweave.plans import catalog, overview
+from arcweave.plans import models as model_plans
 from arcweave.sources import documents
 
 FOLDER = "/root/testdata/sf0.001"
@@ -26,7 +27,7 @@ def duck():
     return con
 
 
-QUERIES, ORACLES = {**catalog.QUERIES, **overview.QUERIES}, {**catalog.ORACLES, **overview.ORACLES}
+QUERIES, ORACLES = {**catalog.QUERIES, **overview.QUERIES, **model_plans.QUERIES}, {**catalog.ORACLES, **overview.ORACLES, **model_plans.ORACLES}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -131,3 +132,20 @@ def test_resolve_and_fuzzy(spark):
     assert got["ORDERS"] == ("found", "repo:o") and got["Dto"][0] == "ambiguous" and got["none"] == ("not_found", "") and got["repo:o"] == ("found", "repo:o")
     assert got["get /API/a/{id}"] == ("found", "ep:1") and got["GET api/a/{other}?x=1"] == ("ambiguous", "ep:1,ep:2") and got["POST /api/a/{id}"][0] == "not_found"
     assert findings.fuzzy(["order"], nodes, 1).first()["id"] == "repo:o"
+
+
+def test_model_tree_usages_and_unused(spark):
+    """A cycle ends in a stub, the last level gives no types, containers of containers count, and a field of another repository is marked."""
+    own = spark.createDataFrame([("a", "r", "p"), ("b", "r", "p"), ("c", "q", "p"), ("d", "q", "p")], "id string, repo string, project_id string")
+    fields = spark.createDataFrame([("a", "b", "b", 3), ("b", "a", "a", 2), ("b", "c", "c", 1), ("a", "n", None, 3)], "owner string, field string, type_id string, confidence int")
+    got = {(r["path"], r["field"], r["type_id"], r["cross_repo"], r["stub"]) for r in models.tree(own, fields, 2).filter("root = 'a'").collect()}
+    assert got == {("a", "b", "b", False, False), ("a", "n", None, False, False), ("a>b=b", "a", "a", False, True), ("a>b=b", "c", "c", True, False)}
+    assert {(r["field"], r["type_id"]) for r in models.tree(own, fields, 0).filter("root = 'b'").collect()} == {("a", None), ("c", None)}
+    uses = spark.createDataFrame([("e", "accepts", "a", 3), ("e", "returns", "b", 2), ("f", "returns", "c", 3)], "endpoint_id string, relation string, model_id string, confidence int")
+    used = models.usages(own, fields, uses)
+    assert {(r["endpoint_id"], r["relation"], r["via"], r["confidence"]) for r in used.filter("model = 'c'").collect()} == {("e", "accepts", "a", 1), ("e", "returns", "b", 1), ("f", "returns", "c", 3)}
+    points, callers = spark.createDataFrame([("e", "r"), ("f", "")], "id string, repo string"), spark.createDataFrame([("f", "q")], "endpoint_id string, repo string")
+    assert {r["repo"] for r in models.consumers(used, points, callers).filter("model = 'c'").collect()} == {"r", "q"}
+    clients = own.select("project_id")
+    assert [r["id"] for r in models.unused(own, clients, fields, uses).collect()] == ["d"]
+    assert models.tree(own.limit(0), fields.limit(0)).count() == 0 and models.usages(own.limit(0), fields.limit(0), uses).count() == 0
