@@ -26,6 +26,18 @@ def _seen_from(projects: DataFrame) -> DataFrame:
     return projects.select("project_id", "repo", F.posexplode(folders_above(F.col("folder"))).alias("up", "folder"))
 
 
+def owners(files: DataFrame, repos: DataFrame, projects: DataFrame) -> DataFrame:
+    """(file_id, repo, project_id) of files (file_id, folder): the innermost of repos (repo, folder) and of projects (project_id, folder) at or above the file, null where there is none. A repository
+    inside a project takes its files from it. Of several in one folder the least counts."""
+    dirs = repos.select("folder", F.lit("repo").alias("what"), F.col("repo").alias("owner")).unionByName(projects.select("folder", F.lit("project").alias("what"), F.col("project_id").alias("owner")))
+    dirs = dirs.groupBy("folder", "what").agg(F.min("owner").alias("owner"))
+    seen = files.select("file_id", F.posexplode(folders_above(F.col("folder"))).alias("up", "folder")).join(dirs, "folder")
+    nearest = lambda what: F.min(F.when(F.col("what") == what, F.struct("up", "owner"))).alias(what)
+    found = files.select("file_id").distinct().join(seen.groupBy("file_id").agg(nearest("repo"), nearest("project")), "file_id", "left")
+    inside = F.col("repo.up").isNull() | (F.col("project.up") <= F.col("repo.up"))
+    return found.select("file_id", F.col("repo.owner").alias("repo"), F.when(inside, F.col("project.owner")).alias("project_id"))
+
+
 def inherited_properties(projects: DataFrame, properties: DataFrame, own: DataFrame | None = None) -> DataFrame:
     """(project_id, name_key, value): of properties (repo, folder, name, value, seq) at or above a project (project_id, repo, folder) the nearest
     folder's first; a project's own (project_id, name, value, seq) win over all, the last of each name. Names are compared in lower case."""

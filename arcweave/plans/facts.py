@@ -63,6 +63,16 @@ def central_versions(spark: SparkSession, folder: str) -> DataFrame:
     return projects.central_versions(_project_folders(e), _files(e).select("repo", "folder", F.col("name").alias("package_id"), F.col("value").alias("version"), "seq"))
 
 
+def file_owners(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as files, nations and a third of the suppliers as repositories, which lie inside others, the other suppliers as projects."""
+    e = Estate(spark, folder)
+    files = e.raw("customer").select(F.col("c_custkey").alias("file_id"), _text("n?/area?/group?/p?", "c_nationkey", "c_custkey % 3", "c_custkey % 4", "c_custkey").alias("folder"))
+    nested = e.raw("supplier").filter("s_suppkey % 3 = 1").select(F.col("s_name").alias("repo"), _text("n?/area?/group?", "s_nationkey", "s_suppkey % 2", "s_suppkey % 4").alias("folder"))
+    repos = e.raw("nation").select(F.col("n_name").alias("repo"), _text("n?", "n_nationkey").alias("folder")).union(nested)
+    at = F.when(F.col("s_suppkey") % 3 == 0, _text("n?/area?", "s_nationkey", "s_suppkey % 2")).otherwise(_text("n?/area?/group?", "s_nationkey", "s_suppkey % 2", "s_suppkey % 4"))
+    return projects.owners(files, repos, e.raw("supplier").filter("s_suppkey % 3 <> 1").select(F.col("s_name").alias("project_id"), at.alias("folder")))
+
+
 def _reach(e: Estate) -> DataFrame:
     return e.raw("lineitem").select((F.col("l_orderkey") % 50).alias("project_id"), (F.col("l_suppkey") % 10).alias("target_id"), (F.col("l_suppkey") % 10).alias("rank")).filter("(project_id + target_id) % 2 = 0").distinct()
 
@@ -99,7 +109,7 @@ def merged_types(spark: SparkSession, folder: str) -> DataFrame:
     return declarations.merge_parts(parts).select("project_id", "full_name", F.array_join(F.transform("fields", lambda f: f["name"]), ",").alias("fields"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (type_names, endpoint_facts, inherited_properties, central_versions, type_declarations, call_links, project_kinds, merged_types)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (type_names, endpoint_facts, inherited_properties, central_versions, file_owners, type_declarations, call_links, project_kinds, merged_types)}
 _SEEN = """folders AS (SELECT c_custkey AS project_id, c_nationkey AS repo, 'area' || c_custkey % 3 || '/group' || c_custkey % 4 || '/p' || c_custkey AS folder FROM customer),
 files AS (SELECT s_nationkey AS repo, CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'area' || s_suppkey % 2 ELSE 'area' || s_suppkey % 2 || '/group' || s_suppkey % 4 END AS folder, 'prop' || s_suppkey % 2 AS name_key, 'v' || s_suppkey AS value, s_suppkey AS seq FROM supplier),
 seen AS (SELECT project_id, f.* FROM folders p JOIN files f ON p.repo = f.repo AND (f.folder = '' OR starts_with(p.folder, f.folder || '/')))"""
@@ -113,6 +123,12 @@ ORACLES = {
         mine AS (SELECT c_custkey AS project_id, 'prop1' AS name_key, coalesce('own-' || n.value, 'unresolved($(prop0))') AS value FROM customer LEFT JOIN near n ON c_custkey = n.project_id AND n.name_key = 'prop0' WHERE c_custkey % 10 = 0)
         SELECT * FROM near WHERE NOT (name_key = 'prop1' AND project_id % 10 = 0) UNION ALL SELECT * FROM mine""",
     "central_versions": f"WITH {_SEEN}, near AS (SELECT * FROM seen QUALIFY length(folder) = max(length(folder)) OVER (PARTITION BY project_id)) SELECT project_id, name_key AS package_key, arg_max(value, seq) AS version FROM near GROUP BY ALL",
+    "file_owners": """WITH fs AS (SELECT c_custkey AS file_id, 'n' || c_nationkey || '/area' || c_custkey % 3 || '/group' || c_custkey % 4 || '/p' || c_custkey AS folder FROM customer),
+        s AS (SELECT s_suppkey % 3 AS k, s_name, 'n' || s_nationkey || '/area' || s_suppkey % 2 AS area, '/group' || s_suppkey % 4 AS grp FROM supplier),
+        rs AS (SELECT n_name AS repo, 'n' || n_nationkey AS folder FROM nation UNION ALL SELECT s_name, area || grp FROM s WHERE k = 1), ps AS (SELECT s_name AS project_id, CASE WHEN k = 0 THEN area ELSE area || grp END AS folder FROM s WHERE k <> 1),
+        r AS (SELECT file_id, repo, length(rs.folder) AS n FROM fs JOIN rs ON starts_with(fs.folder || '/', rs.folder || '/') QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY length(rs.folder) DESC, repo) = 1),
+        p AS (SELECT file_id, project_id, length(ps.folder) AS n FROM fs JOIN ps ON starts_with(fs.folder || '/', ps.folder || '/') QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY length(ps.folder) DESC, project_id) = 1)
+        SELECT file_id, repo, CASE WHEN r.n IS NULL OR p.n >= r.n THEN project_id END AS project_id FROM fs LEFT JOIN r USING (file_id) LEFT JOIN p USING (file_id)""",
     "type_declarations": f"""WITH {_REACH}, r AS (SELECT DISTINCT l_orderkey || '-' || l_linenumber AS ref_id, l_partkey // 4 AS n, l_linenumber % 3 AS arity, l_orderkey % 50 AS p FROM lineitem), d AS (SELECT p_partkey AS decl_id, p_partkey // 4 AS n, p_partkey % 2 AS arity, p_partkey % 20 AS p FROM part),
         every AS (SELECT r.ref_id, d.decl_id, d.arity = r.arity AS same, CASE WHEN d.p = r.p THEN 0 WHEN t.target_id IS NOT NULL THEN 100 + d.p WHEN d.p % 5 = r.p % 5 THEN 200 ELSE 300 END AS lvl FROM r JOIN d USING (n) LEFT JOIN reach t ON t.project_id = r.p AND t.target_id = d.p),
         fit AS (SELECT * FROM every QUALIFY same OR NOT bool_or(same) OVER (PARTITION BY ref_id)), best AS (SELECT * FROM fit QUALIFY lvl = min(lvl) OVER (PARTITION BY ref_id))

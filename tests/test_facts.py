@@ -75,3 +75,12 @@ def test_links_with_nulls_and_empty_tables(spark):
     to = spark.createDataFrame([("p", "t"), ("p", "t")], "project_id string, target_id string")
     assert [tuple(r) for r in declarations.link_calls(calls, methods, to).collect()] == [("s", "m", 2)]
     assert declarations.link_calls(calls.limit(0), methods, to).count() == 0
+
+
+def test_innermost_owners(spark):
+    files = spark.createDataFrame([(1, "a/b/c"), (2, "a/x"), (3, "ab"), (4, "a/b"), (5, "")], "file_id int, folder string")
+    repos = spark.createDataFrame([("r", "a"), ("inner", "a/b/c")], "repo string, folder string")
+    own = spark.createDataFrame([("q", "a/b"), ("p", "a/b"), ("top", "a")], "project_id string, folder string")
+    got = {r["file_id"]: (r["repo"], r["project_id"]) for r in projects.owners(files, repos, own).collect()}
+    assert got == {1: ("inner", None), 2: ("r", "top"), 3: (None, None), 4: ("r", "p"), 5: (None, None)}
+    assert projects.owners(files.limit(0), repos, own).count() == 0
