@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import fingerprints, html_text, language_id, lattice, mixing, packing, passages, quality, simhash, token_files, url_filter
+from . import fingerprints, html_text, language_id, lattice, mixing, packing, passages, prefix_trie, quality, simhash, token_files, url_filter
 
 
 def queries() -> dict:
@@ -19,10 +19,11 @@ def queries() -> dict:
         "op8_simhash": simhash.op8_simhash,
         "op9_html_text": html_text.op9_html_text,
         "op10_fingerprints": fingerprints.op10_fingerprints,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
         "op13_language_id": language_id.op13_language_id,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.OP3_SQL}
+    return {"op3_url_filter": url_filter.OP3_SQL, "op11_prefix_trie": prefix_trie.OP11_SQL}
