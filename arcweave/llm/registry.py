@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import fingerprints, html_text, language_id, lattice, mixing, packing, passages, prefix_trie, quality, simhash, token_files, url_filter
+from . import fingerprints, html_text, language_id, lattice, mixing, packing, passages, prefix_trie, quality, repair, simhash, token_files, url_filter
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op9_html_text": html_text.op9_html_text,
         "op10_fingerprints": fingerprints.op10_fingerprints,
         "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op12_conversation_repair": repair.op12_conversation_repair,
         "op13_language_id": language_id.op13_language_id,
         "pipeline": corpus_pipeline.run,
     }
