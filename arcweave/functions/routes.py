@@ -8,29 +8,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)(?<!\s)\s+\z", "")
+
+
 def _segments(path: Column) -> Column:
-    return F.filter(F.transform(F.split(path, "/"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(path, "/"), stripped), lambda s: s != "")
 
 
 def normalize_route(route: Column) -> Column:
     """Scheme, host, leading tilde, query and fragment go; placeholders become {} before the query is cut, so {id?} survives."""
-    text = F.regexp_replace(F.trim(F.coalesce(route, F.lit(""))), r"(?s)^.*?://[^/]*", "")
-    text = F.regexp_replace(F.regexp_replace(text, "^~+", ""), r"\{[^}]*\}", "{}")
+    text = F.regexp_replace(stripped(F.coalesce(route, F.lit(""))), r"(?s)^.*?://[^/]*", "")
+    text = F.regexp_replace(F.regexp_replace(text, "^~+", ""), r"\{[^{}]*\}", "{}")
     return F.lower(F.array_join(_segments(F.regexp_replace(text, r"(?s)[?#].*", "")), "/"))
 
 
 def lookup_route(route: Column) -> Column:
     """The form in which a query names a route: the query is cut before placeholders are read; no scheme or tilde."""
-    text = F.regexp_replace(F.trim(F.coalesce(route, F.lit(""))), r"(?s)[?#].*", "")
-    return F.lower(F.array_join(_segments(F.regexp_replace(text, r"\{[^}]*\}", "{}")), "/"))
+    text = F.regexp_replace(stripped(F.coalesce(route, F.lit(""))), r"(?s)[?#].*", "")
+    return F.lower(F.array_join(_segments(F.regexp_replace(text, r"\{[^{}]*\}", "{}")), "/"))
 
 
 def combine_routes(prefix: Column, template: Column) -> Column:
     """A rooted template (/x or ~/x) stands alone; else prefix and template; always with one leading slash."""
-    own = F.trim(F.coalesce(template, F.lit("")))
+    own = stripped(F.coalesce(template, F.lit("")))
     rooted = own.startswith("/") | own.startswith("~/")
     joined = F.when(rooted, F.regexp_replace(own, "^~", "")).otherwise(F.concat_ws("/", F.coalesce(prefix, F.lit("")), own))
-    return F.concat(F.lit("/"), F.array_join(_segments(joined), "/"))
+    return F.concat(F.lit("/"), F.array_join(F.filter(F.split(joined, "/"), lambda s: s != ""), "/"))
 
 
 def replace_tokens(template: Column, controller: Column, action: Column) -> Column:

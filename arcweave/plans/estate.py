@@ -49,6 +49,7 @@ class Estate:
     def endpoints(self) -> DataFrame:
         pages = self.raw("pages").select("page_id", "url").join(F.broadcast(self.repos()), F.col("page_id") % 25 == F.col("n_nationkey"))
         route = F.regexp_replace("url", "[0-9]+", "{id}")
+        route = F.when(F.col("page_id") % 9 == 4, F.concat(F.lit("\t"), route, F.lit("/{n:regex(^{2,3}$)}/x\n"))).otherwise(route)
         verb = F.get(F.array(*map(F.lit, VERBS)), (F.col("page_id") % 5).cast("int"))
         return pages.select(F.concat(F.lit("ep:"), "page_id").alias("id"), "page_id", "repo", verb.alias("verb"), route.alias("route"), normalize_route(route).alias("norm"), lookup_route(route).alias("lookup"))
 
@@ -66,17 +67,20 @@ class Estate:
         return self.raw("documents").select("doc_id", F.concat(F.lit("src/"), "source", F.lit("/"), "doc_id", F.lit(".cs")).alias("path"), "text")
 
 
+_WHITE = "' ' || chr(9) || chr(10) || chr(13)"
+
+
 def _norm_sql(x: str) -> str:
-    text = f"regexp_replace(trim(coalesce({x}, '')), '^.*?://[^/]*', '', 's')"
-    return _segments_sql(rf"regexp_replace(regexp_replace(regexp_replace({text}, '^~+', ''), '\{{[^}}]*\}}', '{{}}', 'g'), '[?#].*', '', 's')")
+    text = f"regexp_replace(trim(coalesce({x}, ''), {_WHITE}), '^.*?://[^/]*', '', 's')"
+    return _segments_sql(rf"regexp_replace(regexp_replace(regexp_replace({text}, '^~+', ''), '\{{[^{{}}]*\}}', '{{}}', 'g'), '[?#].*', '', 's')")
 
 
 def _lookup_sql(x: str) -> str:
-    return _segments_sql(rf"regexp_replace(regexp_replace(trim(coalesce({x}, '')), '[?#].*', '', 's'), '\{{[^}}]*\}}', '{{}}', 'g')")
+    return _segments_sql(rf"regexp_replace(regexp_replace(trim(coalesce({x}, ''), {_WHITE}), '[?#].*', '', 's'), '\{{[^{{}}]*\}}', '{{}}', 'g')")
 
 
 def _segments_sql(x: str) -> str:
-    return f"lower(array_to_string([trim(s) FOR s IN string_split({x}, '/') IF trim(s) <> ''], '/'))"
+    return f"lower(array_to_string([trim(s, {_WHITE}) FOR s IN string_split({x}, '/') IF trim(s, {_WHITE}) <> ''], '/'))"
 
 
 ESTATE_SQL = rf"""
@@ -88,7 +92,7 @@ made AS (SELECT project_id, repo, 'part' || p_partkey AS package_key, CASE WHEN
 produced AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY package_key) > 1 THEN 0 ELSE 3 END AS confidence FROM made),
 refs AS (SELECT DISTINCT project_id, repo, 'part' || l_partkey AS package_key, CASE WHEN l_returnflag = 'R' THEN 'unresolved($(V))' ELSE '1.' || l_linenumber || '.' || CAST(trunc(l_quantity) AS int) END AS version
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN apis ON o_custkey = c_custkey),
-routes AS (SELECT page_id, url, repo, ['GET', 'POST', 'PUT', 'DELETE', 'PATCH'][page_id % 5 + 1] AS verb, regexp_replace(url, '[0-9]+', '{{id}}', 'g') AS route FROM pages JOIN repos ON page_id % 25 = n_nationkey),
+routes AS (SELECT page_id, url, repo, ['GET', 'POST', 'PUT', 'DELETE', 'PATCH'][page_id % 5 + 1] AS verb, CASE WHEN page_id % 9 = 4 THEN chr(9) || regexp_replace(url, '[0-9]+', '{{id}}', 'g') || '/{{n:regex(^{{2,3}}$)}}/x' || chr(10) ELSE regexp_replace(url, '[0-9]+', '{{id}}', 'g') END AS route FROM pages JOIN repos ON page_id % 25 = n_nationkey),
 endpoints AS (SELECT 'ep:' || page_id AS id, page_id, repo, verb, route, {_norm_sql("route")} AS norm, {_lookup_sql("route")} AS lookup FROM routes),
 methods AS (SELECT 'cm:' || page_id AS id, page_id, repo, 'proj' || (page_id % 10) AS project_id, 'Call' || (page_id % 40) AS method_name, CASE WHEN page_id % 7 <> 0 THEN verb END AS verb,
   CASE WHEN page_id % 4 = 0 THEN regexp_replace(norm, '^[^/]*/', '') ELSE norm END AS norm FROM endpoints),
