@@ -1,7 +1,8 @@
-"""Graph operators over hops (src depends on dst): iterative joins whose frontier alone is shuffled."""
+"""Graph operators over hops (src depends on dst): iterative joins of a frontier; each round writes what it found."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,8 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^,]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors reach")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
@@ -41,7 +44,7 @@ def neighbors(hop: DataFrame, up: bool) -> DataFrame:
     return hop.select(F.col(near).alias("node"), F.col(far).alias("neighbor")).distinct()
 
 
-def widest(roots: DataFrame, hop: DataFrame, nodes: DataFrame | None = None, up: bool = True, top: int = 3, most_rounds: int = 50) -> DataFrame:
+def widest(roots: DataFrame, hop: DataFrame, nodes: DataFrame | None = None, up: bool = True, top: int = 3) -> DataFrame:
     """(root, node, confidence): for all that reach the root (up) or that it reaches, the greatest over paths of the least edge
     confidence. nodes (id) limits the walk to known ones. Only pairs that got better are joined in the next round."""
     near, far = ("dst", "src") if up else ("src", "dst")
@@ -50,13 +53,12 @@ def widest(roots: DataFrame, hop: DataFrame, nodes: DataFrame | None = None, up:
         steps = steps.join(nodes.select(F.col("id").alias("next")).distinct(), "next", "left_semi")
     steps = written(steps)
     best = frontier = written(roots.select("root", F.col("root").alias("node"), F.lit(top).alias("confidence")).distinct())
-    for _ in range(most_rounds):
+    while True:  # confidences only rise, so it ends
         reached = frontier.join(steps, frontier["node"] == steps["at"]).groupBy("root", F.col("next").alias("node")).agg(F.max(F.least("confidence", "edge")).alias("new"))
         frontier = written(reached.join(best, ["root", "node"], "left").filter("confidence is null or new > confidence").select("root", "node", F.col("new").alias("confidence")))
         if frontier.isEmpty():
             return best.filter("root <> node")
         best = written(best.union(frontier).groupBy("root", "node").agg(F.max("confidence").alias("confidence")))
-    raise RuntimeError("the graph is deeper than most_rounds")
 
 
 def trace(roots: DataFrame, hop: DataFrame, nodes: DataFrame, depth: int, up: bool) -> DataFrame:

@@ -54,3 +54,23 @@ def number_ids(rows: DataFrame, key: str = "id", order: str = "seq") -> DataFram
     taken = rows.select(base.alias(key), number.alias("_k")).filter("_k >= 2").distinct().groupBy(key).agg(F.sort_array(F.collect_set("_k")).alias("_taken"))
     shifted = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_n"), lambda n, k: F.when(k <= n, n + 1).otherwise(n))
     return ranked.join(taken, key, "left").withColumn(key, F.when(F.col("_n") == 1, F.col(key)).otherwise(F.concat(key, F.lit("#"), shifted.cast("string")))).drop("_n", "_taken")
+
+
+def number_sites(sites: DataFrame) -> DataFrame:
+    """sites (id, scan, ...), one row for each id of a scan, with old_id and an id that no other scan's site has: the first scan keeps it."""
+    return number_ids(sites.withColumn("old_id", F.col("id")), "id", "scan")
+
+
+def rename_ends(edges: DataFrame, renamed: DataFrame, end: str = "from") -> DataFrame:
+    """edges (scan, from, to, ...) with the ids that their own scan's sites (scan, old_id, id) have now."""
+    new = renamed.filter("id <> old_id").select("scan", F.col("old_id").alias(end), F.col("id").alias("_new"))
+    return edges.join(new, ["scan", end], "left").withColumn(end, F.coalesce("_new", end)).select(*edges.columns)
+
+
+def rename_in_arrays(rows: DataFrame, renamed: DataFrame, key: str, ids: str = "node_ids") -> DataFrame:
+    """rows (scan, key, ids array<string>) with the ids inside the arrays renamed, in their order; arrays without a renamed id aren't taken apart."""
+    new = renamed.filter("id <> old_id").select("scan", F.col("old_id").alias("_id"), F.col("id").alias("_new"))
+    parts = rows.select("scan", key, F.posexplode(ids).alias("_at", "_id"))
+    touched = parts.join(new, ["scan", "_id"]).groupBy("scan", key).agg(F.map_from_entries(F.collect_set(F.struct("_id", "_new"))).alias("_names"))
+    found = rows.join(touched, ["scan", key], "left")
+    return found.withColumn(ids, F.when(F.col("_names").isNull(), F.col(ids)).otherwise(F.transform(ids, lambda i: F.coalesce(F.try_element_at("_names", i), i)))).select(*rows.columns)

@@ -105,11 +105,18 @@ def reference_hops(e: Estate) -> DataFrame:
 
 
 def impact(spark: SparkSession, folder: str) -> DataFrame:
-    """What a change of each client project reaches: packages, api projects and their repositories, with the best path's confidence."""
+    """What a change of each client project reaches: api projects and the repositories of projects and packages, with the best path's confidence. References are those of every 40th customer, so that
+    most packages have no user and most repositories aren't reached."""
     e = Estate(spark, folder)
-    reached = graph.widest(e.clients().select(F.col("project_id").alias("root")), reference_hops(e))
-    projects = e.clients().select("project_id", "repo").union(e.apis().select("project_id", "repo"))
-    return graph.roll_up(reached, projects.select(F.col("project_id").alias("id"), F.concat(F.lit("repo:"), "repo").alias("owner")))
+    few = e.apis().filter("c_custkey % 40 = 1").select("project_id")
+    used = e.references().join(few, "project_id", "left_semi").select(F.col("project_id").alias("from"), F.concat(F.lit("pkg:"), "package_key").alias("to"), F.lit("references").alias("kind"), F.when(F.startswith("version", F.lit("unresolved(")), 1).otherwise(3).alias("confidence"))
+    made = _produced(e)
+    hop = graph.hops(used.union(made.select(F.col("project_id").alias("from"), F.concat(F.lit("pkg:"), "package_key").alias("to"), F.lit("produces").alias("kind"), "confidence")))
+    reached = graph.widest(e.clients().select(F.col("project_id").alias("root")), hop)
+    projects = e.clients().select("project_id", "repo").union(e.apis().select("project_id", "repo")).select(F.col("project_id").alias("id"), "repo")
+    packages = made.groupBy("package_key").agg(F.min_by("repo", "project_id").alias("repo")).select(F.concat(F.lit("pkg:"), "package_key").alias("id"), "repo")
+    owners = projects.union(packages).select("id", F.concat(F.lit("repo:"), "repo").alias("owner"))
+    return graph.roll_up(reached, owners).filter("not startswith(node, 'pkg:')")
 
 
 def impact_totals(spark: SparkSession, folder: str) -> DataFrame:
@@ -181,11 +188,11 @@ QUERIES: dict[str, Query] = {
 }
 
 _IMPACT = """,
-ref AS (SELECT project_id, package_key, max(CASE WHEN starts_with(version, 'unresolved(') THEN 1 ELSE 3 END) AS confidence FROM refs GROUP BY ALL),
+ref AS (SELECT project_id, package_key, max(CASE WHEN starts_with(version, 'unresolved(') THEN 1 ELSE 3 END) AS confidence FROM refs JOIN apis USING (project_id) WHERE c_custkey % 40 = 1 GROUP BY ALL),
 reach AS (SELECT project_id AS root, 'pkg:' || package_key AS node, confidence FROM produced
   UNION ALL SELECT p.project_id, r.project_id, max(least(p.confidence, r.confidence)) FROM produced p JOIN ref r USING (package_key) GROUP BY ALL),
-owner AS (SELECT project_id AS id, 'repo:' || repo AS owner FROM clients UNION ALL SELECT project_id, 'repo:' || repo FROM apis),
-rolled AS (SELECT root, node, confidence FROM reach UNION ALL SELECT root, owner, confidence FROM reach JOIN owner ON node = id),
+owner AS (SELECT project_id AS id, 'repo:' || repo AS owner FROM clients UNION ALL SELECT project_id, 'repo:' || repo FROM apis UNION ALL SELECT 'pkg:' || package_key, 'repo:' || arg_min(repo, project_id) FROM produced GROUP BY package_key),
+rolled AS (SELECT root, node, confidence FROM reach WHERE NOT starts_with(node, 'pkg:') UNION ALL SELECT root, owner, confidence FROM reach JOIN owner ON node = id),
 impact AS (SELECT root, node, max(confidence) AS confidence FROM rolled GROUP BY ALL)
 """
 _HOPS = """, hops AS (SELECT project_id AS src, 'pkg:' || package_key AS dst, 'references' AS kind, CASE WHEN starts_with(version, 'unresolved(') THEN 1 ELSE 3 END AS edge FROM refs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import linking, models
+from ..operators import linking, models, nodes
 from .estate import ESTATE_SQL, Estate
 
 
@@ -74,7 +74,17 @@ def unused_models(spark: SparkSession, folder: str) -> DataFrame:
     return models.unused(known, e.clients(), _fields(e, known), _uses(e, known)).select("id", "project_id")
 
 
-QUERIES = {f.__name__: f for f in (model_tree, model_containers, model_usages, model_consumers, unused_models)}
+def how_to_call(spark: SparkSession, folder: str) -> DataFrame:
+    """Client methods as those of the suppliers' projects."""
+    e = Estate(spark, folder)
+    n, known = e.raw("supplier").count(), _models(e)
+    kind = F.when(F.col("page_id") % 3 == 0, "IClient").when(F.col("page_id") % 3 == 1, "Items").otherwise("Api")
+    methods = e.methods().withColumn("s_suppkey", F.col("page_id") * 3 % n).drop("project_id").join(e.clients().select("s_suppkey", "project_id"), "s_suppkey").select("id", "project_id", kind.alias("type_name"), "method_name")
+    makers = linking.produces(e.made()).filter("substring(package_key, -1) not in ('1', '3')")
+    return nodes.how_to_call(e.endpoints(), linking.link_clients(e.methods(), e.endpoints()), methods, makers, _uses(e, known))
+
+
+QUERIES = {f.__name__: f for f in (model_tree, model_containers, model_usages, model_consumers, unused_models, how_to_call)}
 
 _MODELS = """, models AS (SELECT 'model:part' || p_partkey AS id, repo, project_id FROM part JOIN clients ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier)
   UNION ALL SELECT 'model:order' || o_orderkey, repo, project_id FROM orders JOIN apis ON c_custkey = o_custkey),
@@ -89,6 +99,14 @@ _REACHED = """, ways AS (SELECT id AS model, id AS node, 3 AS confidence FROM mo
 reached AS (SELECT model, node, max(confidence) AS confidence FROM ways GROUP BY ALL),
 usages AS (SELECT model, endpoint_id, relation, node AS via, least(r.confidence, u.confidence) AS confidence FROM reached r JOIN uses u ON u.model_id = r.node)"""
 _BODIES = {
+    "how_to_call": """, made1 AS (SELECT project_id, min(package_key) AS package_key, arg_min(version, package_key) AS v, arg_min(coalesce(version, ''), package_key) AS v0 FROM produced WHERE right(package_key, 1) NOT IN ('1', '3') GROUP BY 1),
+        own AS (SELECT m.id AS method_id, c.project_id, CASE page_id % 3 WHEN 0 THEN 'IClient' WHEN 1 THEN 'Items' ELSE 'Api' END AS type_name, method_name FROM methods m JOIN clients c ON s_suppkey = page_id * 3 % (SELECT count(*) FROM supplier)),
+        opt AS (SELECT endpoint_id, CAST(row_number() OVER (PARTITION BY endpoint_id ORDER BY type_name <> 'IClient', project_id || ':' || type_name || '.' || method_name, method_id) AS int) AS place, package_key, nullif(v0, '') AS version, project_id, type_name, method_name, confidence
+          FROM links JOIN own USING (method_id) JOIN made1 USING (project_id) WHERE endpoint_id IS NOT NULL),
+        mod AS (SELECT endpoint_id, coalesce(string_agg(DISTINCT model_id, ',' ORDER BY model_id) FILTER (relation = 'accepts'), '') AS request, coalesce(string_agg(DISTINCT model_id, ',' ORDER BY model_id) FILTER (relation = 'returns'), '') AS response
+          FROM uses WHERE model_id IN (SELECT id FROM models) GROUP BY 1)
+        SELECT id AS endpoint_id, place, package_key, version, project_id, type_name, method_name, opt.confidence, coalesce(request, '') AS request, coalesce(response, '') AS response, CASE WHEN place IS NULL THEN 'no package has a method for it' END AS hint
+        FROM endpoints LEFT JOIN opt ON opt.endpoint_id = id LEFT JOIN mod ON mod.endpoint_id = id""",
     "model_tree": """, fld AS (SELECT owner, field, type_id, coalesce(bool_or(t.repo <> o.repo) OVER (PARTITION BY owner, field), false) AS cross_repo FROM fields JOIN models o ON o.id = owner LEFT JOIN models t ON t.id = type_id),
         walk AS (SELECT id AS root, id AS owner, [id] AS ids, id AS path, 0 AS level FROM models UNION ALL SELECT root, type_id, list_append(ids, type_id), path || '>' || field || '=' || type_id, level + 1
         FROM walk JOIN fld USING (owner) WHERE level < 2 AND type_id IS NOT NULL AND NOT list_contains(ids, type_id))

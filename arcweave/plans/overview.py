@@ -106,7 +106,24 @@ def endpoint_details(spark: SparkSession, folder: str) -> DataFrame:
     return nodes.endpoint_details(e.endpoints(), linking.link_clients(e.methods(), e.endpoints()), e.methods(), e.invoked())
 
 
-QUERIES = {f.__name__: f for f in (node_universe, graph_totals, package_universe, diagnostics, diagnostics_by_kind, diagnostics_of_repo, call_counts, impact_capped, endpoint_page, trace_both, reachable_projects, endpoint_details)}
+def _sites(e: Estate) -> DataFrame:
+    """Calls of fifty scans, whose sites have the same ids in several of them."""
+    at = F.concat(F.lit("cs:"), (F.col("l_suppkey") % 5).cast("string"), F.lit("/"), (F.col("l_partkey") % 60).cast("string"))
+    return e.raw("lineitem").select((F.col("l_orderkey") % 50).alias("scan"), at.alias("id"), F.col("l_linenumber").alias("line"))
+
+
+def renamed_sites(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges from call sites, and findings with their ids in arrays, by the ids that the sites have in the whole graph."""
+    sites = _sites(Estate(spark, folder))
+    renamed = linking.number_sites(sites.select("scan", "id").distinct())
+    edges = sites.select("scan", F.col("id").alias("from"), F.concat(F.lit("cm:"), "line").alias("to")).distinct()
+    findings = sites.groupBy("scan", "line").agg(F.array(F.max("id"), F.concat(F.lit("cm:"), F.first("line")), F.min("id")).alias("node_ids"))
+    ends = linking.rename_ends(edges, renamed).select("scan", F.lit("edge").alias("kind"), F.concat_ws(">", "from", "to").alias("ids"))
+    lists = linking.rename_in_arrays(findings, renamed, "line").select("scan", F.lit("finding").alias("kind"), F.concat_ws("|", F.col("line").cast("string"), F.array_join("node_ids", ",")).alias("ids"))
+    return ends.unionByName(lists)
+
+
+QUERIES = {f.__name__: f for f in (renamed_sites, node_universe, graph_totals, package_universe, diagnostics, diagnostics_by_kind, diagnostics_of_repo, call_counts, impact_capped, endpoint_page, trace_both, reachable_projects, endpoint_details)}
 
 _NODES = """, listed AS (SELECT id, 'repo' AS kind, 1 AS rank, repo AS label, repo FROM repos
   UNION ALL SELECT project_id, 'project', 2, string_split(project_id, '/')[-1], repo FROM (SELECT project_id, repo FROM clients UNION ALL SELECT project_id, repo FROM apis)
@@ -119,6 +136,11 @@ _FOUND = """, found AS (SELECT 'ambiguousRoute' AS kind, 'warning' AS severity,
   UNION SELECT 'ambiguousProducer', 'warning', 'pkg:' || package_key, 'several producers' FROM produced WHERE confidence = 0
   UNION SELECT 'unresolvedVersion', 'warning', project_id, package_key || ' ' || version FROM refs WHERE starts_with(version, 'unresolved('))"""
 _BODIES = {
+    "renamed_sites": """, s AS (SELECT l_orderkey % 50 AS scan, 'cs:' || l_suppkey % 5 || '/' || l_partkey % 60 AS id, l_linenumber AS line FROM lineitem),
+        r AS (SELECT scan, id, id || CASE WHEN n > 1 THEN '#' || n ELSE '' END AS new FROM (SELECT scan, id, row_number() OVER (PARTITION BY id ORDER BY scan) AS n FROM (SELECT DISTINCT scan, id FROM s))),
+        f AS (SELECT scan, line, max(id) AS most, min(id) AS least FROM s GROUP BY ALL)
+        SELECT DISTINCT scan, 'edge' AS kind, new || '>cm:' || line AS ids FROM s JOIN r USING (scan, id)
+        UNION ALL SELECT f.scan, 'finding', line || '|' || a.new || ',cm:' || line || ',' || b.new FROM f JOIN r a ON a.scan = f.scan AND a.id = most JOIN r b ON b.scan = f.scan AND b.id = least""",
     "node_universe": f"{_NODES} SELECT * FROM nodes",
     "graph_totals": f"{_NODES} SELECT kind, count(*) AS n FROM nodes GROUP BY kind",
     "package_universe": """, seen AS (SELECT upper(package_key) AS package_id, 0 AS list FROM refs UNION SELECT 'Part' || p_partkey, 1 FROM maker JOIN clients USING (s_suppkey))

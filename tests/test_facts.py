@@ -22,6 +22,7 @@ def test_queries_match_sql(spark, name):
     assert found and found == sorted(want.fetchall(), key=repr)
 
 
+# Published cases of type texts, and some of our own behind them.
 @pytest.mark.parametrize(
     ("text", "names"),
     [("Task<ActionResult<List<OrderDto>>>", "OrderDto*"), ("OrderDto?", "OrderDto"), ("Acme.Orders.OrderDto[]", "OrderDto*"), ("Results<Ok<OrderDto>, NotFound>", "OrderDto"), ("PagedResult<OrderDto>", "PagedResult OrderDto"), ("Dictionary<string, OrderLineDto>", "OrderLineDto*"), ("Task<IActionResult>", ""), ("Guid", ""), ("int?", ""), ("IAsyncEnumerable<OrderDto>", "OrderDto"), ("global::A.B<C.D, E[]?>", "B D E*"), (None, ""), ("", ""), ("(a, b)", "")],

@@ -37,6 +37,7 @@ def test_queries_match_sql(spark, duck, name):
     assert rows(got.astype(object).where(got.notna(), None)) == rows(want.astype(object).where(want.notna(), None))
 
 
+# Published cases of routes, here and for combined ones.
 @pytest.mark.parametrize(
     ("route", "normal"),
     [("/api/orders/{id}", "api/orders/{}"), ("api/Orders/{id:int}", "api/orders/{}"), ("api/orders/{orderId}/lines/{lineId?}", "api/orders/{}/lines/{}"), ("api/files/{*path}", "api/files/{}"), ("api/orders?page={p}&size=10", "api/orders"), ("https://orders.internal:5001/api/orders/{id}", "api/orders/{}"), ("~/api//orders/", "api/orders"), ("  /api/orders#frag ", "api/orders"), ("api/orders/{id}.json", "api/orders/{}.json"), ("", ""), (None, "")],
