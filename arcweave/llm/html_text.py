@@ -1,35 +1,40 @@
 """Main text of web pages by tag-path ratios (operator 9).
 
 A page is cut into blocks, each with its root-to-leaf path of structural tags and classes (inline tags don't count, a paragraph ends where the
-next block begins, unclosed tags end with their parent); scripts, styles, forms and the like are no blocks. Text length without links and
-punctuation are added up for each path and divided by its number of blocks. The two ratios, smoothed over the page's order of blocks,
-are multiplied. Paths with telling names (menus, headers, footers, sidebars, notices, adverts, comments) count a fraction of that; a name that is
-part of a compound only where its element holds less than half of the page's text, so that a wrapper called "with-sidebar" stays.
+next block begins, unclosed tags end with their parent); scripts, styles, forms and the like are no blocks. For each path the lengths of its blocks' texts without links, and their
+punctuation marks, are added up. The ratio of text is the sum times the mean of a block (many long blocks), that of punctuation the sum. Both are smoothed over the page's order of blocks and
+multiplied; that is a block's fused ratio.
 
-Paths whose fused ratio reaches the threshold are content paths. The deepest element that holds most of their score is the content node;
-its blocks are kept where their own ratio reaches a lower threshold (headings and lists of the article do, lists of links don't), and
-blocks elsewhere where their path is a content path.
+Paths whose mean fused ratio reaches a share of the page's mean are content paths. The deepest element that holds most of their blocks' fused ratios is the content node. Its blocks are kept where their own
+ratio reaches a low threshold (headings and lists of the article do, lists of links don't), and blocks elsewhere where their path is a content path that the content node has too.
 
-Null html is empty and gives an empty text, as does a page without blocks; of equal ratios all are kept; an empty table gives no rows. Pages are
-independent, so repeated rows give repeated rows; other columns are ignored. A page is read whole, whatever its length.
+Telling names (of menus, headers, footers, sidebars, notices, adverts, comments) don't change a ratio. They count in two places alone: inside the content node a block with such a name has to reach the page's mean, and
+on pages with less than SHORT characters of text, where ratios of a sentence or two say little, blocks with such a name are left out if there are others. A name that is part of a compound counts only where its
+element holds less than half of the page's text, so that a wrapper called "with-sidebar" stays.
+
+Reading is linear in the page's length: each character is read a bounded number of times, elements point to their parents, and what a path is called is a number. Null html is empty and gives an empty text, as does a page without
+blocks; a tag that isn't closed ends at the next one; of equal ratios all are kept; an empty table gives no rows. Pages are independent, so repeated rows give repeated rows; other columns are ignored. A page is read whole, whatever its length.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import read_table, slices
 
+_ATTRIBUTES = r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+"
+_END = r"(?:>|(?=<)|\Z)"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|title|object)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|title|object)\b{_ATTRIBUTES}{_END}.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^<>]*{_END}"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attributes>{_ATTRIBUTES}){_END}",
     re.DOTALL | re.IGNORECASE,
 )
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -45,146 +50,179 @@ NAMES = frozenset(
 )
 NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
-PUNCTUATION = re.compile(r"[.,;:!?…。，、؛،]")
-
-
-#: What a path with a telling name counts.
-LOWERED = 0.002
-
-
-class Element(NamedTuple):
-    label: str  # tag and classes
-    number: int
-    left_out: bool
-    telling: bool  # by its tag or a whole name
-    hinting: bool  # by a part of a name
-
-
-def element_of(tag: str, attributes: str, number: int) -> Element:
-    names = [x for m in NAMED.finditer(attributes) for x in "".join(y or "" for y in m.groups()).lower().split()] if attributes else []
-    judged = tag not in ROOTS and tag not in ("html", "body")
-    telling = tag in NOT_CONTENT or (judged and any(x in NAMES for x in names))
-    return Element(".".join([tag, *names]), number, tag in NO_BLOCKS, telling, judged and any(w in NAMES for x in names for w in WORD.findall(x)))
+#: A mark counts at the end of a word, so that those of numbers and addresses don't.
+PUNCTUATION = re.compile(r"[.,;:!?…](?=\s|$)|[。，、؛،]")
+#: Pages with fewer characters of text outside links have ratios that say little.
+SHORT = 500
 
 
 class Block(NamedTuple):
-    path: tuple[Element, ...]
+    element: int
     text: str
     linked: int  # characters in links
-
-    def containers(self) -> tuple[Element, ...]:
-        """The path without the paragraph that the block is."""
-        return self.path[:-1] if self.path and self.path[-1].label.split(".")[0] in PARAGRAPHS else self.path
-
-
-def blocks_of(page: str) -> list[Block]:
-    """All blocks in page order."""
-    out, stack, held = [], [], []  # stack: (tag, element)
-    link = linked = number = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if held:
-            text = " ".join(entities.unescape("".join(held)).split())
-            if text and not any(e.left_out for _, e in stack):
-                out.append(Block(tuple(e for _, e in stack), text, min(linked, len(text))))
-            held.clear()
-        linked = 0
-
-    at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            held.append(piece := page[at : m.start()])
-            linked += len(piece) if link else 0
-        at, tag = m.end(), (m["tag"] or "").lower()
-        if not tag:
-            continue
-        if tag in INLINE:
-            link = max(0, link + (-1 if m["end"] else 1)) if tag == "a" else link
-        elif tag == "br":
-            held.append(" ")
-        elif m["end"]:
-            flush()
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
-        else:
-            flush()
-            link = 0
-            if tag in VOID:
+    marks: int  # punctuation
+
+    @property
+    def plain(self) -> int:
+        return len(self.text) - self.linked
+
+
+class Page:
+    """The elements of a page in the order in which they open (0: the page itself), each with its parent, and the blocks in page order."""
+
+    def __init__(self, source: str):
+        self.tags, self.parents, self.paths = [""], [-1], [0]
+        self.left_out, self.telling, self.hinting = [False], [False], [False]
+        self.labels: list[tuple[int, str]] = [(-1, "")]  # of each path: the path before its last label
+        self.blocks: list[Block] = []
+        self._read(source)
+
+    def _open(self, parent: int, tag: str, attributes: str, numbers: dict[tuple[int, str], int]) -> int:
+        names = [x for m in NAMED.finditer(attributes) for x in "".join(y or "" for y in m.groups()).lower().split()] if attributes else []
+        label = (self.paths[parent], ".".join([tag, *names]))
+        path = numbers.setdefault(label, len(self.labels))
+        if path == len(self.labels):
+            self.labels.append(label)
+        judged = tag not in ROOTS and tag not in ("html", "body")
+        self.tags.append(tag)
+        self.parents.append(parent)
+        self.paths.append(path)
+        self.left_out.append(self.left_out[parent] or tag in NO_BLOCKS)
+        self.telling.append(self.telling[parent] or tag in NOT_CONTENT or (judged and any(x in NAMES for x in names)))
+        self.hinting.append(judged and any(w in NAMES for x in names for w in WORD.findall(x)))
+        return len(self.tags) - 1
+
+    def _read(self, source: str) -> None:
+        stack, held, numbers = [0], [], {}
+        opened: Counter = Counter()
+        link = linked = at = 0
+
+        def flush() -> None:
+            nonlocal linked
+            if held:
+                text = " ".join(entities.unescape("".join(held)).split())
+                if text and not self.left_out[stack[-1]]:
+                    self.blocks.append(Block(stack[-1], text, min(linked, len(text)), len(PUNCTUATION.findall(text))))
+                held.clear()
+            linked = 0
+
+        def close() -> str:
+            tag = self.tags[stack.pop()]
+            opened[tag] -= 1
+            return tag
+
+        for m in TOKEN.finditer(source):
+            if m.start() > at:
+                held.append(piece := source[at : m.start()])
+                linked += len(piece) if link else 0
+            at, tag = m.end(), (m["tag"] or "").lower()
+            if not tag:
                 continue
-            if tag in ROOTS:  # an article is not inside a menu or header that was never closed
-                while any(t in NOT_CONTENT or t in NO_BLOCKS for t, _ in stack):
-                    stack.pop()
-            while stack and (stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or (stack[-1][0] == tag and tag in ("li", "dt", "dd", "td", "th", "tr", "option"))):
-                stack.pop()
-            number += 1
-            stack.append((tag, element_of(tag, m["attributes"] or "", number)))
-    held.append(page[at:])
-    flush()
-    return out
-
-
-def path_ratios(blocks: list[Block]) -> dict[tuple[str, ...], tuple[float, float]]:
-    """Text length without links, and punctuation (with one to begin with), by the number of blocks, for each path."""
-    sums: dict[tuple, list[float]] = defaultdict(lambda: [0, 1, 0])
-    for block in blocks:
-        s = sums[tuple(e.label for e in block.path)]
-        s[0] += len(block.text) - block.linked
-        s[1] += len(PUNCTUATION.findall(block.text))
+            if tag in INLINE:
+                link = max(0, link + (-1 if m["end"] else 1)) if tag == "a" else link
+            elif tag == "br":
+                held.append(" ")
+            elif m["end"]:
+                flush()
+                if opened[tag] > 0:
+                    while close() != tag:
+                        pass
+            else:
+                flush()
+                link = 0
+                if tag in VOID:
+                    continue
+                if tag in ROOTS:  # an article is not inside a menu or header that was never closed
+                    while any(opened[t] > 0 for t in SHUT):
+                        close()
+                while len(stack) > 1 and ((last := self.tags[stack[-1]]) in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or (last == tag and tag in ("li", "dt", "dd", "td", "th", "tr", "option"))):
+                    close()
+                stack.append(self._open(stack[-1], tag, m["attributes"] or "", numbers))
+                opened[tag] += 1
+        held.append(source[at:])
+        flush()
+
+    def path_names(self, path: int) -> tuple[str, ...]:
+        out = []
+        while path:
+            path, label = self.labels[path]
+            out.append(label)
+        return tuple(reversed(out))
+
+    def above(self, amounts: dict[int, float]) -> list[float]:
+        """The amounts of elements, added up over all that an element holds."""
+        out = [amounts.get(e, 0) for e in range(len(self.tags))]
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parents[e]] += out[e]
+        return out
+
+    def named(self) -> list[bool]:
+        """Whether an element has, or is in one that has, a telling name."""
+        own: dict[int, float] = defaultdict(float)
+        for b in self.blocks:
+            own[b.element] += b.plain
+        text = self.above(own)
+        out = [False] * len(text)
+        for e in range(1, len(out)):
+            out[e] = out[self.parents[e]] or self.telling[e] or (self.hinting[e] and 2 * text[e] < text[0])
+        return out
+
+
+SHUT = NOT_CONTENT | NO_BLOCKS
+
+
+def path_ratios(page: Page, blocks: list[Block]) -> dict[int, tuple[float, float]]:
+    """The ratios of text and of punctuation (with one to begin with) of each path that blocks have."""
+    sums: dict[int, list[int]] = defaultdict(lambda: [0, 1, 0])
+    for b in blocks:
+        s = sums[page.paths[b.element]]
+        s[0] += b.plain
+        s[1] += b.marks
         s[2] += 1
-    return {path: (s[0] / s[2], s[1] / s[2]) for path, s in sums.items()}
+    return {path: (s[0] * s[0] / s[2], float(s[1])) for path, s in sums.items()}
 
 
-def smoothed(x: list[float], kernel: tuple[float, ...] = (1, 4, 1)) -> list[float]:
+def smoothed(x: list[float], kernel: tuple[float, ...] = (1, 4, 1)) -> np.ndarray:
     k = len(kernel) // 2
-    y = [*x[:1] * k, *x, *x[-1:] * k]
-    return [sum(w * y[i + j] for j, w in enumerate(kernel)) / sum(kernel) for i in range(len(x))]
-
-
-def fused_ratios(blocks: list[Block]) -> tuple[list[float], list[bool]]:
-    """Each block's smoothed and multiplied ratios, lowered for telling names, and whether it has one. Blocks with telling names are smoothed among themselves, so
-    that what lies beside the text neither gains nor takes from it."""
-    own = path_ratios(blocks)
-    plain = [len(b.text) - b.linked for b in blocks]
-    held: dict[int, int] = defaultdict(int)
-    for block, n in zip(blocks, plain, strict=True):
-        for e in block.path:
-            held[e.number] += n
-    low = [any(e.telling or (e.hinting and 2 * held[e.number] < sum(plain)) for e in b.path) for b in blocks]
-    out = [0.0] * len(blocks)
-    for kind in (False, True):
-        at = [i for i, x in enumerate(low) if x == kind]
-        ratios = [own[tuple(e.label for e in blocks[i].path)] for i in at]
-        for i, x, y in zip(at, smoothed([r[0] for r in ratios]), smoothed([r[1] for r in ratios]), strict=True):
-            out[i] = x * y * (LOWERED if kind else 1)
-    return out, low
-
-
-def main_text(page: str, threshold: float = 0.2, inner: float = 0.02, most: float = 0.8) -> str:
-    """threshold and inner: shares of the mean fused ratio of blocks without telling names (weighted by text) that a content path and a block of the content node have to
-    reach; most: the share of the content paths' score that the content node holds."""
-    blocks = blocks_of(page)
+    return np.convolve(np.pad(np.array(x), k, mode="edge"), np.array(kernel) / sum(kernel), mode="valid")
+
+
+def main_text(source: str, threshold: float = 0.3, inner: float = 0.01, most: float = 0.65, short: int = SHORT) -> str:
+    """threshold and inner: shares of the mean fused ratio (weighted by text) that a content path and a block of the content node have to reach; most: the share of the
+    content paths' ratios that the content node holds."""
+    page = Page(source)
+    named, blocks = page.named(), page.blocks
+    if sum(b.plain for b in blocks) < short:
+        blocks = [b for b in blocks if not named[b.element]] or blocks
     if not blocks:
         return ""
-    fused, low = fused_ratios(blocks)
-    plain = [len(b.text) - b.linked for b in blocks]
-    measure = [(f, n) for f, n, x in zip(fused, plain, low, strict=True) if not x and n] or list(zip(fused, plain, strict=True))
-    mean = sum(f * n for f, n in measure) / max(1, sum(n for _, n in measure))
-    by_path: dict[tuple, list[float]] = defaultdict(list)
-    for block, f in zip(blocks, fused, strict=True):
-        by_path[tuple(e.label for e in block.path)].append(f)
-    content = {path for path, f in by_path.items() if sum(f) / len(f) >= threshold * mean > 0}
-    chosen = [tuple(e.label for e in b.path) in content for b in blocks]
-    score: dict[int, float] = defaultdict(float)
-    for block, f, n, ok in zip(blocks, fused, plain, chosen, strict=True):
-        for e in block.containers() if ok else ():
-            score[e.number] += f * n
-    total = sum(f * n for f, n, ok in zip(fused, plain, chosen, strict=True) if ok)
-    nodes = [number for number, x in score.items() if x >= most * total]
-    node = max(nodes, default=None)  # elements are numbered as they open, so of those that hold most the last is the deepest
-    inside = [any(e.number == node for e in b.path) for b in blocks]
-    return "\n".join(b.text for b, f, ok, within in zip(blocks, fused, chosen, inside, strict=True) if ok or (within and f >= inner * mean > 0))
+    ratios = path_ratios(page, blocks)
+    paths = [page.paths[b.element] for b in blocks]
+    fused = (smoothed([ratios[p][0] for p in paths]) * smoothed([ratios[p][1] for p in paths])).tolist()
+    mean = sum(f * b.plain for f, b in zip(fused, blocks, strict=True)) / max(1, sum(b.plain for b in blocks))
+    by_path: dict[int, list[float]] = defaultdict(lambda: [0.0, 0])
+    for p, f in zip(paths, fused, strict=True):
+        by_path[p][0] += f
+        by_path[p][1] += 1
+    content = {p for p, (f, n) in by_path.items() if f >= threshold * mean * n > 0}
+    amounts: dict[int, float] = defaultdict(float)
+    for b, p, f in zip(blocks, paths, fused, strict=True):
+        if p in content:  # a paragraph is no node
+            amounts[page.parents[b.element] if page.tags[b.element] in PARAGRAPHS else b.element] += f
+    held = page.above(amounts)
+    # most is over a half, so the elements that hold it lie one in the other, and the last to open is the deepest
+    node = max((e for e, f in enumerate(held) if f >= most * held[0] > 0), default=0)
+    inside = [False] * len(held)
+    for e in range(len(inside)):
+        inside[e] = e == node or (e > node and inside[page.parents[e]])
+    shared = {p for b, p in zip(blocks, paths, strict=True) if inside[b.element]} & content
+
+    def kept(b: Block, p: int, f: float) -> bool:
+        if not inside[b.element]:
+            return p in shared
+        return f >= mean if named[b.element] else f >= inner * mean > 0
+
+    return "\n".join(b.text for b, p, f in zip(blocks, paths, fused, strict=True) if kept(b, p, f))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

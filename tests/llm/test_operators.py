@@ -1,10 +1,12 @@
 """The corpus operators against brute force on small tables, and on nulls, empty texts, repeated rows and empty tables."""
 
 import hashlib
+import html
 import itertools
 import math
 import random
 import re
+import time
 import unicodedata
 import zlib
 
@@ -472,25 +474,51 @@ def test_main_text(spark):
     assert [(r["text"], r["n_chars"]) for r in rows] == [("", 0), ("", 0)]
 
 
-def test_ratios_choose_the_text():
+def test_ratios_choose_the_text(monkeypatch):
     """Without telling names, the ratios keep the paragraphs and drop the rest; without the ratios everything stays."""
     text = "".join(f"<p>{prose(i, 40).capitalize()}, {prose(i + 90, 30)}. {prose(i + 50, 20)}.</p>" for i in range(6))
     links = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in WORDS)
-    page = f"<body><div><ul>{links}</ul></div><div><div><h2>Heading</h2>{text}</div><div><span>top</span></div></div><div>Call 12 34</div></body>"
-    blocks = html_text.blocks_of(page)
-    got = html_text.main_text(page).split("\n")
+    source = f"<body><div><ul>{links}</ul></div><div><div><h2>Heading</h2>{text}</div><div><span>top</span></div></div><div>Call 12 34</div></body>"
+    page = html_text.Page(source)
+    got = html_text.main_text(source).split("\n")
     assert len(got) == 7 and got[0] == "Heading"
+    names = lambda b: page.path_names(page.paths[b.element])
     sums = {}
-    for b in blocks:  # path sums, plainly
-        path = tuple(e.label for e in b.path)
-        own = [x for x in blocks if tuple(e.label for e in x.path) == path]
-        sums[path] = (sum(len(x.text) - x.linked for x in own) / len(own), (1 + sum(len(re.findall(r"[.,;:!?]", x.text)) for x in own)) / len(own))
-    assert html_text.path_ratios(blocks) == sums
-    keep, html_text.fused_ratios = html_text.fused_ratios, lambda blocks: ([1.0] * len(blocks), [False] * len(blocks))
-    try:
-        assert len(html_text.main_text(page).split("\n")) > 20
-    finally:
-        html_text.fused_ratios = keep
+    for b in page.blocks:  # path sums, plainly
+        own = [x for x in page.blocks if names(x) == names(b)]
+        plain = sum(len(x.text) - x.linked for x in own)
+        sums[names(b)] = (plain * plain / len(own), 1 + sum(len(re.findall(r"[.,;:!?](?=\s|$)", x.text)) for x in own))
+    assert {page.path_names(p): r for p, r in html_text.path_ratios(page, page.blocks).items()} == sums
+    monkeypatch.setattr(html_text, "path_ratios", lambda page, blocks: dict.fromkeys(page.paths, (1.0, 1.0)))
+    assert len(html_text.main_text(source).split("\n")) > 20
+
+
+def articles(spark):
+    """The given pages and the texts of their articles, which no other part of them has."""
+    sources = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    return sources, ["\n".join(b.text for b in html_text.Page(re.search(r"<article>.*?</article>", x, re.DOTALL)[0]).blocks) for x in sources]
+
+
+def test_articles_of_given_pages(spark, monkeypatch):
+    """All are found; without the names nearly all; and without the ratios most come out otherwise."""
+    sources, wanted = articles(spark)
+    plain = [re.sub(r"\s+", "", html.unescape(re.sub(r"<[^>]*>", "", re.search(r"<article>(.*?)</article>", x, re.DOTALL)[1]))) for x in sources]
+    assert [re.sub(r"\s+", "", x) for x in wanted] == plain
+    assert [html_text.main_text(x) for x in sources] == wanted
+    right = lambda: sum(html_text.main_text(x) == y for x, y in zip(sources, wanted, strict=True)) / len(sources)
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "NAMES", frozenset())
+        m.setattr(html_text, "NOT_CONTENT", frozenset())
+        assert right() > 0.95
+    monkeypatch.setattr(html_text, "path_ratios", lambda page, blocks: dict.fromkeys(page.paths, (1.0, 1.0)))
+    assert right() < 0.4
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a 'x>'", "<div>x", "<div class='c'><p>x", "<li>", "</b>x", "</x><y>", "<!", "<script", "<!--", "&amp", '<a title="<b>">x'])
+def test_long_and_broken_pages_take_linear_time(piece):
+    began = time.process_time()
+    html_text.main_text("<p>Start, here.</p>" + piece * (2_000_000 // len(piece)))
+    assert time.process_time() - began < 30
 
 
 def test_names_inside_compounds_keep_the_article(spark):
