@@ -13,6 +13,7 @@ from ..sources import documents
 from .estate import ESTATE_SQL, Estate, _lookup_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
+LARGE = 50
 SEARCHES = ("part 1", "stel", "zzz")
 
 
@@ -72,6 +73,11 @@ def hotspots(spark: SparkSession, folder: str) -> DataFrame:
     return endpoint_callers(spark, folder).orderBy(F.desc("callers"), "endpoint_id").limit(5)
 
 
+def repo_hotspots(spark: SparkSession, folder: str) -> DataFrame:
+    """The five repositories on which most others depend."""
+    return _depends(Estate(spark, folder)).groupBy(F.col("dst").alias("repo_id")).agg(F.count_distinct("src").alias("dependents")).orderBy(F.desc("dependents"), "repo_id").limit(5)
+
+
 def link_findings(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.when(F.col("matches") == 0, "unresolvedRoute").when(F.col("matches") > 1, "ambiguousRoute")
     return client_links(spark, folder).select("method_id", kind.alias("kind")).filter("kind is not null").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
@@ -105,11 +111,10 @@ def reference_hops(e: Estate) -> DataFrame:
 
 
 def impact(spark: SparkSession, folder: str) -> DataFrame:
-    """What a change of each client project reaches: api projects and the repositories of projects and packages, with the best path's confidence. References are those of every 40th customer, so that
-    most packages have no user and most repositories aren't reached."""
+    """What a change of each client project reaches: api projects and the repositories of projects and packages, with the best path's confidence. References are those of the lines of the largest quantity, so that
+    many packages have no user and a project doesn't reach every repository."""
     e = Estate(spark, folder)
-    few = e.apis().filter("c_custkey % 40 = 1").select("project_id")
-    used = e.references().join(few, "project_id", "left_semi").select(F.col("project_id").alias("from"), F.concat(F.lit("pkg:"), "package_key").alias("to"), F.lit("references").alias("kind"), F.when(F.startswith("version", F.lit("unresolved(")), 1).otherwise(3).alias("confidence"))
+    used = e.references(LARGE).select(F.col("project_id").alias("from"), F.concat(F.lit("pkg:"), "package_key").alias("to"), F.lit("references").alias("kind"), F.when(F.startswith("version", F.lit("unresolved(")), 1).otherwise(3).alias("confidence"))
     made = _produced(e)
     hop = graph.hops(used.union(made.select(F.col("project_id").alias("from"), F.concat(F.lit("pkg:"), "package_key").alias("to"), F.lit("produces").alias("kind"), "confidence")))
     reached = graph.widest(e.clients().select(F.col("project_id").alias("root")), hop)
@@ -184,11 +189,11 @@ def endpoint_search(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (route_rules, client_links, repo_dependencies, ambiguous_producers, version_drift, unused_endpoints, unused_methods, endpoint_callers, hotspots, link_findings, cycles, neighbors_up, trace_down, impact, impact_totals, repo_summary, fuzzy_search, resolve_names, integrity, unique_ids, changed_files, file_snippets, endpoint_search, repo_packages)
+    for f in (route_rules, client_links, repo_dependencies, ambiguous_producers, version_drift, unused_endpoints, unused_methods, endpoint_callers, hotspots, repo_hotspots, link_findings, cycles, neighbors_up, trace_down, impact, impact_totals, repo_summary, fuzzy_search, resolve_names, integrity, unique_ids, changed_files, file_snippets, endpoint_search, repo_packages)
 }
 
 _IMPACT = """,
-ref AS (SELECT project_id, package_key, max(CASE WHEN starts_with(version, 'unresolved(') THEN 1 ELSE 3 END) AS confidence FROM refs JOIN apis USING (project_id) WHERE c_custkey % 40 = 1 GROUP BY ALL),
+ref AS (SELECT project_id, 'part' || l_partkey AS package_key, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 3 END) AS confidence FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN apis ON o_custkey = c_custkey WHERE l_quantity >= 50 GROUP BY ALL),
 reach AS (SELECT project_id AS root, 'pkg:' || package_key AS node, confidence FROM produced
   UNION ALL SELECT p.project_id, r.project_id, max(least(p.confidence, r.confidence)) FROM produced p JOIN ref r USING (package_key) GROUP BY ALL),
 owner AS (SELECT project_id AS id, 'repo:' || repo AS owner FROM clients UNION ALL SELECT project_id, 'repo:' || repo FROM apis UNION ALL SELECT 'pkg:' || package_key, 'repo:' || arg_min(repo, project_id) FROM produced GROUP BY package_key),
@@ -212,6 +217,7 @@ _BODIES = {
     "unused_methods": "SELECT id, project_id, method_name FROM methods WHERE verb IS NOT NULL AND (project_id, method_name) NOT IN (SELECT project_id, method_name FROM methods WHERE id IN (SELECT method_id FROM invoked))",
     "endpoint_callers": _CALLERS,
     "hotspots": f"{_CALLERS} ORDER BY callers DESC, endpoint_id LIMIT 5",
+    "repo_hotspots": "SELECT 'repo:' || to_repo AS repo_id, count(DISTINCT from_repo) AS dependents FROM depends GROUP BY to_repo ORDER BY dependents DESC, repo_id LIMIT 5",
     "link_findings": "SELECT CASE WHEN matches = 0 THEN 'unresolvedRoute' ELSE 'ambiguousRoute' END AS kind, count(DISTINCT method_id) AS n FROM links WHERE matches <> 1 GROUP BY 1",
     "cycles": """, step AS (SELECT 'repo:' || from_repo AS s, 'repo:' || to_repo AS d FROM depends), closure AS (SELECT s, d FROM step UNION SELECT c.s, t.d FROM closure c JOIN step t ON c.d = t.s),
         mutual AS (SELECT x.s AS node, x.d AS other FROM closure x JOIN closure y ON x.s = y.d AND x.d = y.s WHERE x.s <> x.d) SELECT node, least(node, min(other)) AS component FROM mutual GROUP BY node""",

@@ -40,9 +40,9 @@ class Estate:
         makers = part.withColumn("s_suppkey", F.explode(F.when(F.col("p_partkey") % 10 == 0, F.array(F.col("p_partkey") % n, (F.col("p_partkey") + 1) % n)).otherwise(F.array(F.col("p_partkey") % n))))
         return makers.join(self.clients(), "s_suppkey").select(F.col("project_id").alias("id"), "repo", "package_id", "version")
 
-    def references(self) -> DataFrame:
-        """(project_id, repo, package_key, version), distinct."""
-        lines = self.raw("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", F.when(F.col("l_returnflag") == "R", F.lit("unresolved($(V))")).otherwise(F.concat_ws(".", F.lit("1"), F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string"))).alias("version"))
+    def references(self, least_quantity: float = 0) -> DataFrame:
+        """(project_id, repo, package_key, version), distinct, of lines of a quantity."""
+        lines = self.raw("lineitem").filter(F.col("l_quantity") >= least_quantity).select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", F.when(F.col("l_returnflag") == "R", F.lit("unresolved($(V))")).otherwise(F.concat_ws(".", F.lit("1"), F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string"))).alias("version"))
         used = lines.join(self.raw("orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")), "o_orderkey").select("c_custkey", "l_partkey", "version").distinct()
         return used.join(self.apis(), "c_custkey").select("project_id", "repo", F.concat(F.lit("part"), "l_partkey").alias("package_key"), "version")
 

@@ -84,7 +84,47 @@ def how_to_call(spark: SparkSession, folder: str) -> DataFrame:
     return nodes.how_to_call(e.endpoints(), linking.link_clients(e.methods(), e.endpoints()), methods, makers, _uses(e, known))
 
 
-QUERIES = {f.__name__: f for f in (model_tree, model_containers, model_usages, model_consumers, unused_models, how_to_call)}
+def _sites(e: Estate) -> DataFrame:
+    """Events as calls of methods from a site for each user and type."""
+    n = e.raw("pages").count()
+    return e.raw("events").select(F.concat(F.lit("cs:"), "user_id", F.lit(":"), "event_type").alias("site_id"), F.concat(F.lit("cm:"), F.col("event_id") * F.col("event_id") % n).alias("method_id"), (F.col("user_id") % 25).alias("n_nationkey")).distinct()
+
+
+def _owned_methods(e: Estate) -> DataFrame:
+    """Client methods in the projects of suppliers."""
+    n = e.raw("supplier").count()
+    return e.methods().withColumn("s_suppkey", F.col("page_id") * 3 % n).drop("project_id", "repo").join(e.clients(), "s_suppkey").select("id", "project_id", "repo")
+
+
+def model_impact(spark: SparkSession, folder: str) -> DataFrame:
+    """What a change of each part's model reaches, as totals by kind: containers, endpoints that use them, client methods, call sites, and their projects and repositories."""
+    e = Estate(spark, folder)
+    known = _models(e)
+    hop = lambda df, src, dst: df.select(F.col(src).alias("src"), F.col(dst).alias("dst"), "confidence").filter("dst is not null")
+    links = linking.link_clients(e.methods(), e.endpoints())
+    sites = _sites(e).withColumn("confidence", F.lit(2))
+    hops = hop(_fields(e, known), "owner", "type_id").union(hop(_uses(e, known), "endpoint_id", "model_id")).union(hop(links, "method_id", "endpoint_id")).union(hop(sites, "site_id", "method_id"))
+    none = F.lit(None).cast("string")
+    row = lambda df, kind, project="project_id": df.select("id", F.lit(kind).alias("kind"), (F.col(project) if project else none).alias("project_id"), "repo")
+    placed = sites.select(F.col("site_id").alias("id"), "n_nationkey").distinct().join(e.repos().select("n_nationkey", "repo"), "n_nationkey")
+    projects = e.clients().select(F.col("project_id").alias("id"), "repo").union(e.apis().select(F.col("project_id").alias("id"), "repo"))
+    every = [row(known, "model"), row(e.endpoints(), "endpoint", None), row(_owned_methods(e), "clientMethod"), row(placed, "callSite", None), row(projects, "project", None), row(e.repos(), "repo", None)]
+    table = every[0]
+    for more in every[1:]:
+        table = table.unionByName(more)
+    roots = known.filter("startswith(id, 'model:part')").select(F.col("id").alias("root"))
+    found = models.impact(roots, hops, table)
+    return found.groupBy("root", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("confidence").alias("least"), F.max("confidence").alias("most"), F.min("node").alias("first"))
+
+
+def endpoint_parts(spark: SparkSession, folder: str) -> DataFrame:
+    e = Estate(spark, folder)
+    detail = F.when(F.col("relation") == "accepts", "body").otherwise("200")
+    uses = _uses(e, _models(e)).withColumn("detail", detail)
+    return nodes.endpoint_parts(e.endpoints(), uses, linking.link_clients(e.methods(), e.endpoints()), _owned_methods(e), linking.produces(e.made()), _sites(e).withColumn("confidence", F.lit(2)))
+
+
+QUERIES = {f.__name__: f for f in (model_impact, endpoint_parts, model_tree, model_containers, model_usages, model_consumers, unused_models, how_to_call)}
 
 _MODELS = """, models AS (SELECT 'model:part' || p_partkey AS id, repo, project_id FROM part JOIN clients ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier)
   UNION ALL SELECT 'model:order' || o_orderkey, repo, project_id FROM orders JOIN apis ON c_custkey = o_custkey),
@@ -98,7 +138,20 @@ uses AS (SELECT id AS endpoint_id, 'accepts' AS relation, 'model:part' || (page_
 _REACHED = """, ways AS (SELECT id AS model, id AS node, 3 AS confidence FROM models UNION SELECT model, owner, least(w.confidence, t.confidence) FROM ways w JOIN typed t ON t.type_id = w.node),
 reached AS (SELECT model, node, max(confidence) AS confidence FROM ways GROUP BY ALL),
 usages AS (SELECT model, endpoint_id, relation, node AS via, least(r.confidence, u.confidence) AS confidence FROM reached r JOIN uses u ON u.model_id = r.node)"""
+_SITES = """, sites AS (SELECT DISTINCT 'cs:' || user_id || ':' || event_type AS site_id, 'cm:' || (event_id * event_id % (SELECT count(*) FROM pages)) AS method_id, user_id % 25 AS n_nationkey FROM events),
+owned AS (SELECT m.id, c.project_id, c.repo FROM methods m JOIN clients c ON s_suppkey = page_id * 3 % (SELECT count(*) FROM supplier)), used AS (SELECT * FROM uses WHERE model_id IN (SELECT id FROM models))"""
 _BODIES = {
+    "model_impact": f"""{_SITES}, hops AS (SELECT owner AS src, type_id AS dst, confidence FROM typed UNION ALL SELECT endpoint_id, model_id, confidence FROM used UNION ALL SELECT method_id, endpoint_id, confidence FROM links WHERE endpoint_id IS NOT NULL UNION ALL SELECT site_id, method_id, 2 FROM sites),
+        step AS (SELECT src, dst, max(confidence) AS c FROM hops GROUP BY ALL), n AS (SELECT id, 'model' AS kind, project_id, repo FROM models UNION ALL SELECT id, 'endpoint', NULL, repo FROM endpoints UNION ALL SELECT id, 'clientMethod', project_id, repo FROM owned
+          UNION ALL SELECT DISTINCT site_id, 'callSite', NULL, repo FROM sites JOIN repos USING (n_nationkey) UNION ALL SELECT project_id, 'project', NULL, repo FROM clients UNION ALL SELECT project_id, 'project', NULL, repo FROM apis UNION ALL SELECT id, 'repo', NULL, repo FROM repos),
+        walk AS (SELECT id AS root, id AS node, 3 AS c FROM models WHERE starts_with(id, 'model:part') UNION SELECT root, src, least(w.c, s.c) FROM walk w JOIN step s ON s.dst = w.node),
+        best AS (SELECT root, node, max(c) AS c FROM walk WHERE root <> node GROUP BY ALL), rolled AS (SELECT root, node, c FROM best UNION ALL SELECT root, project_id, c FROM best JOIN n ON id = node WHERE project_id IS NOT NULL UNION ALL SELECT root, 'repo:' || repo, c FROM best JOIN n ON id = node),
+        last AS (SELECT root, node, max(c) AS c FROM rolled GROUP BY ALL)
+        SELECT root, kind, count(*) AS n, min(c) AS least, max(c) AS most, min(node) AS first FROM last JOIN n ON id = node GROUP BY ALL""",
+    "endpoint_parts": f"""{_SITES}, pack AS (SELECT project_id, min(package_key) AS package_key FROM produced GROUP BY 1), l AS (SELECT * FROM links WHERE endpoint_id IS NOT NULL)
+        SELECT DISTINCT endpoint_id, relation AS part, model_id AS item, CASE relation WHEN 'accepts' THEN 'body' ELSE '200' END AS detail, confidence FROM used
+        UNION SELECT endpoint_id, 'clientMethod', method_id, strategy || coalesce(' ' || package_key, ''), confidence FROM l JOIN owned ON owned.id = method_id LEFT JOIN pack USING (project_id)
+        UNION SELECT endpoint_id, 'caller', site_id, method_id, 2 FROM l JOIN sites USING (method_id)""",
     "how_to_call": """, made1 AS (SELECT project_id, min(package_key) AS package_key, arg_min(version, package_key) AS v, arg_min(coalesce(version, ''), package_key) AS v0 FROM produced WHERE right(package_key, 1) NOT IN ('1', '3') GROUP BY 1),
         own AS (SELECT m.id AS method_id, c.project_id, CASE page_id % 3 WHEN 0 THEN 'IClient' WHEN 1 THEN 'Items' ELSE 'Api' END AS type_name, method_name FROM methods m JOIN clients c ON s_suppkey = page_id * 3 % (SELECT count(*) FROM supplier)),
         opt AS (SELECT endpoint_id, CAST(row_number() OVER (PARTITION BY endpoint_id ORDER BY type_name <> 'IClient', project_id || ':' || type_name || '.' || method_name, method_id) AS int) AS place, package_key, nullif(v0, '') AS version, project_id, type_name, method_name, confidence

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from arcweave.functions import routes
-from arcweave.operators import findings, graph, linking, nodes
+from arcweave.operators import findings, graph, linking, models, nodes
 from arcweave.plans import catalog
 
 
@@ -57,3 +57,31 @@ def test_routes_with_nested_braces_and_white_space(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(routes.normalize_route(F.col("t")).alias("n")).collect()
     assert [r["n"] for r in rows] == [r"api/{id:regex(^\d{}$)}/x", "api/x", "api/{}/b", "{{}}", "api/{}"]
     assert spark.range(1).select(routes.combine_routes(F.lit("a b/ c "), F.lit(" /x y/")), routes.combine_routes(F.lit("a/ c"), F.lit("d"))).first()[:] == ("/x y", "/a/ c/d")
+
+
+def test_impact_of_models_by_kind(spark):
+    hop = spark.createDataFrame([("ep", "order", 2), ("line", "lost", 3), ("order", "line", 3), ("cm", "ep", 1), ("cs", "cm", 3), ("cs", "ghost", 3), ("pkg:x", "line", 3)], "src string, dst string, confidence int").withColumn("kind", F.lit("x"))
+    table = spark.createDataFrame([("order", "model", "proj:r/a", "r"), ("line", "model", "proj:s/b", "s"), ("ep", "endpoint", "proj:r/a", "r"), ("cm", "clientMethod", "proj:s/b", "s"), ("cs", "callSite", None, "t"), ("pkg:x", "package", None, "u"), ("proj:r/a", "project", None, "r"), ("proj:s/b", "project", None, "s"), ("repo:r", "repo", None, "r"), ("repo:s", "repo", None, "s"), ("repo:t", "repo", None, ""), ("repo:u", "repo", None, None)], "id string, kind string, project_id string, repo string")
+    got = {(r["node"], r["kind"]): r["confidence"] for r in models.impact(spark.createDataFrame([("line",)], "root string"), hop, table).collect()}
+    assert got == {("order", "model"): 3, ("ep", "endpoint"): 2, ("cm", "clientMethod"): 1, ("cs", "callSite"): 1, ("proj:r/a", "project"): 3, ("proj:s/b", "project"): 1, ("repo:r", "repo"): 3, ("repo:s", "repo"): 1, ("repo:t", "repo"): 1, ("repo:u", "repo"): 3}
+    assert models.impact(spark.createDataFrame([], "root string"), hop, table).count() == 0
+
+
+def test_targets_name_a_model_or_one_of_its_fields(spark):
+    known = spark.createDataFrame([("m1", "Acme.Order"), ("m2", "Acme.Line"), ("m3", "Acme.Line"), ("m4", None)], "id string, full_name string")
+    fields = spark.createDataFrame([("m1", "Id"), ("m1", "Id"), ("m2", "No")], "owner string, field string")
+    names = spark.createDataFrame([("m1",), ("Acme.Order",), ("Acme.Order.Id",), ("Acme.Order.Lost",), ("Acme.Line",), ("Acme.Line.No",), ("Nothing",), ("m1.Id",), (None,)], "name string")
+    got = {r["name"]: tuple(r)[1:] for r in models.field_targets(names, known, fields).collect()}
+    assert got["m1"] == ("m1", None, "model") == got["Acme.Order"] and got["Acme.Order.Id"] == ("m1", "Id", "field") == got["m1.Id"]
+    assert {got[x][2] for x in ("Acme.Order.Lost", "Nothing", None)} == {"not_found"} and got["Acme.Line"] == (None, None, "ambiguous") == got["Acme.Line.No"]
+
+
+def test_endpoint_parts(spark):
+    points = spark.createDataFrame([("e1",), ("e2",)], "id string")
+    uses = spark.createDataFrame([("e1", "accepts", "m", "body", 3), ("e1", "returns", "m", "200", 2), ("gone", "returns", "m", "200", 2)], "endpoint_id string, relation string, model_id string, detail string, confidence int")
+    links = spark.createDataFrame([("c1", "e1", "refit", 2), ("c2", None, "refit", 2), ("c3", "e2", "refit", 0)], "method_id string, endpoint_id string, strategy string, confidence int")
+    methods = spark.createDataFrame([("c1", "p"), ("c3", "q")], "id string, project_id string")
+    made = spark.createDataFrame([("p", "b"), ("p", "a")], "project_id string, package_key string")
+    calls = spark.createDataFrame([("s", "c1", 2), ("s", "c1", 2)], "site_id string, method_id string, confidence int")
+    got = {tuple(r) for r in nodes.endpoint_parts(points, uses, links, methods, made, calls).collect()}
+    assert got == {("e1", "accepts", "m", "body", 3), ("e1", "returns", "m", "200", 2), ("e1", "clientMethod", "c1", "refit a", 2), ("e2", "clientMethod", "c3", "refit", 0), ("e1", "caller", "s", "c1", 2)}
