@@ -220,7 +220,7 @@ def main_text(source: str, threshold: float = 0.3, inner: float = 0.01, most: fl
     def kept(b: Block, p: int, f: float) -> bool:
         if not inside[b.element]:
             return p in shared
-        return f >= mean if named[b.element] else f >= inner * mean > 0
+        return f >= mean * (1 - 1e-9) if named[b.element] else f >= inner * mean > 0  # as much as the mean, but for rounding
 
     return "\n".join(b.text for b, p, f in zip(blocks, paths, fused, strict=True) if kept(b, p, f))
 
