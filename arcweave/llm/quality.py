@@ -23,6 +23,7 @@ empty table gives no rows; other columns are ignored or carried along as they ar
 from __future__ import annotations
 
 import math
+import warnings
 from operator import eq
 
 import numpy as np
@@ -215,7 +216,7 @@ def concentrated(vectors: DataFrame, now: DataFrame, support: float, few: bool)
 
 def estimates(vectors: DataFrame, support: float, most_steps: int, close: float = 1e-2) -> tuple[DataFrame, bool]:
     """(grp, n, e: estimate) of each group of vectors (grp, lang_grp, f0..), at the least determinant, and whether there are few groups. Steps end when
-    no group's log determinant falls by `close`."""
+    no group's log determinant falls by `close`; a warning says so where most_steps don't do."""
     sums, few = starts(vectors)
     now = materialize(drawn(materialize(sums, "starts")), "estimates")
     for _ in range(2):
@@ -227,8 +228,10 @@ def estimates(vectors: DataFrame, support: float, most_steps: int, close: float
         fell = F.col("before.log_det") - F.col("e.log_det")
         found = materialize(found.select("grp", "start", "n", F.when(fell < 0, F.col("before")).otherwise(F.col("e")).alias("e"), fell.alias("fell")), "estimates")
         now = found.drop("fell")
-        if (found.agg(F.max("fell")).first()[0] or 0) < close:
+        if (fallen := found.agg(F.max("fell")).first()[0] or 0) < close:
             break
+    else:
+        warnings.warn(f"after {most_steps} steps the log determinant of some group still falls by {fallen:.3g}", stacklevel=2)
     return now, few
 
 
