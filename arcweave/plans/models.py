@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import linking, models, nodes
+from ..operators import graph, linking, models, nodes
 from .estate import ESTATE_SQL, Estate
 
 
@@ -96,6 +96,40 @@ def _owned_methods(e: Estate) -> DataFrame:
     return e.methods().withColumn("s_suppkey", F.col("page_id") * 3 % n).drop("project_id", "repo").join(e.clients(), "s_suppkey").select("id", "project_id", "repo")
 
 
+def all_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of all seven kinds."""
+    e = Estate(spark, folder)
+    known, made = _models(e), linking.produces(e.made())
+    packages = made.groupBy("package_key").agg(F.min_by("repo", "project_id").alias("repo"))
+    projects = e.clients().select("project_id", "repo").union(e.apis().select("project_id", "repo"))
+    sites = _sites(e).select("site_id", "n_nationkey").distinct().join(e.repos().select("n_nationkey", "repo"), "n_nationkey")
+    typed = F.concat(F.lit("Client"), (F.col("page_id") % 10).cast("string"), F.lit("."), F.col("method_name"))
+    return nodes.node_universe(
+        {
+            "repo": e.repos().select("id", F.col("repo").alias("label"), "repo"),
+            "project": projects.select(F.col("project_id").alias("id"), F.substring_index("project_id", "/", -1).alias("label"), "repo"),
+            "package": packages.select(F.concat(F.lit("pkg:"), "package_key").alias("id"), F.col("package_key").alias("label"), "repo"),
+            "endpoint": e.endpoints().select("id", F.concat("verb", F.lit(" "), "route").alias("label"), "repo"),
+            "clientMethod": e.methods().select("id", typed.alias("label"), "repo"),
+            "callSite": sites.select(F.col("site_id").alias("id"), F.substring_index("site_id", ":", -1).alias("label"), "repo"),
+            "model": known.select("id", F.substring_index("id", ":", -1).alias("label"), F.nullif("repo", F.lit("")).alias("repo")),
+        }
+    )
+
+
+def trace_models(spark: SparkSession, folder: str) -> DataFrame:
+    """From each model that an endpoint uses three steps up: endpoints, client methods, call sites."""
+    e = Estate(spark, folder)
+    uses = _uses(e, _models(e))
+    links = linking.link_clients(e.methods(), e.endpoints()).filter("endpoint_id is not null")
+    sites = _sites(e).select("site_id", "method_id").distinct()
+    hop = uses.select(F.col("endpoint_id").alias("src"), F.col("model_id").alias("dst"), F.col("relation").alias("kind"), "confidence")
+    hop = hop.union(links.select("method_id", "endpoint_id", F.lit("targets"), "confidence")).union(sites.select("site_id", "method_id", F.lit("invokes"), F.lit(2)))
+    every = hop.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    found = graph.trace(uses.select(F.col("model_id").alias("root")).distinct(), hop, every, depth=3, up=True)
+    return found.select("root", "node", "depth", "via", "via_kind", "confidence")
+
+
 def model_impact(spark: SparkSession, folder: str) -> DataFrame:
     """What a change of each part's model reaches, as totals by kind: containers, endpoints that use them, client methods, call sites, and their projects and repositories."""
     e = Estate(spark, folder)
@@ -124,7 +158,7 @@ def endpoint_parts(spark: SparkSession, folder: str) -> DataFrame:
     return nodes.endpoint_parts(e.endpoints(), uses, linking.link_clients(e.methods(), e.endpoints()), _owned_methods(e), linking.produces(e.made()), _sites(e).withColumn("confidence", F.lit(2)))
 
 
-QUERIES = {f.__name__: f for f in (model_impact, endpoint_parts, model_tree, model_containers, model_usages, model_consumers, unused_models, how_to_call)}
+QUERIES = {f.__name__: f for f in (model_impact, endpoint_parts, all_nodes, trace_models, model_tree, model_containers, model_usages, model_consumers, unused_models, how_to_call)}
 
 _MODELS = """, models AS (SELECT 'model:part' || p_partkey AS id, repo, project_id FROM part JOIN clients ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier)
   UNION ALL SELECT 'model:order' || o_orderkey, repo, project_id FROM orders JOIN apis ON c_custkey = o_custkey),
@@ -148,6 +182,16 @@ _BODIES = {
         best AS (SELECT root, node, max(c) AS c FROM walk WHERE root <> node GROUP BY ALL), rolled AS (SELECT root, node, c FROM best UNION ALL SELECT root, project_id, c FROM best JOIN n ON id = node WHERE project_id IS NOT NULL UNION ALL SELECT root, 'repo:' || repo, c FROM best JOIN n ON id = node),
         last AS (SELECT root, node, max(c) AS c FROM rolled GROUP BY ALL)
         SELECT root, kind, count(*) AS n, min(c) AS least, max(c) AS most, min(node) AS first FROM last JOIN n ON id = node GROUP BY ALL""",
+    "all_nodes": f"""{_SITES}, listed AS (SELECT id, 'repo' AS kind, 1 AS rank, repo AS label, repo FROM repos
+        UNION ALL SELECT project_id, 'project', 2, string_split(project_id, '/')[-1], repo FROM (SELECT project_id, repo FROM clients UNION ALL SELECT project_id, repo FROM apis)
+        UNION ALL SELECT 'pkg:' || package_key, 'package', 3, package_key, arg_min(repo, project_id) FROM produced GROUP BY package_key UNION ALL SELECT id, 'endpoint', 4, verb || ' ' || route, repo FROM endpoints
+        UNION ALL SELECT id, 'clientMethod', 5, 'Client' || page_id % 10 || '.' || method_name, repo FROM methods UNION ALL SELECT site_id, 'callSite', 6, string_split(site_id, ':')[-1], repo FROM sites JOIN repos USING (n_nationkey)
+        UNION ALL SELECT id, 'model', 7, string_split(id, ':')[-1], repo FROM models) SELECT id, kind, label, repo FROM listed QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank, label, repo) = 1""",
+    "trace_models": f"""{_SITES}, one AS (SELECT model_id AS root, endpoint_id AS node, 1 AS depth, model_id AS via, arg_min(relation, relation) AS via_kind, arg_min(confidence, relation) AS confidence, endpoint_id AS v1 FROM used GROUP BY model_id, endpoint_id),
+        l AS (SELECT method_id, endpoint_id, max(confidence) AS c FROM links WHERE endpoint_id IS NOT NULL GROUP BY ALL),
+        two AS (SELECT root, method_id AS node, 2 AS depth, arg_min(node, v1) AS via, 'targets' AS via_kind, arg_min(least(confidence, c), v1) AS confidence, min(v1) AS v1 FROM one JOIN l ON endpoint_id = node GROUP BY root, method_id),
+        three AS (SELECT root, site_id AS node, 3 AS depth, arg_min(node, (v1, node)) AS via, 'invokes' AS via_kind, arg_min(least(confidence, 2), (v1, node)) AS confidence FROM two JOIN (SELECT DISTINCT site_id, method_id FROM sites) ON method_id = node GROUP BY root, site_id)
+        SELECT root, node, depth, via, via_kind, confidence FROM one UNION ALL SELECT root, node, depth, via, via_kind, confidence FROM two UNION ALL SELECT * FROM three""",
     "endpoint_parts": f"""{_SITES}, pack AS (SELECT project_id, min(package_key) AS package_key FROM produced GROUP BY 1), l AS (SELECT * FROM links WHERE endpoint_id IS NOT NULL)
         SELECT DISTINCT endpoint_id, relation AS part, model_id AS item, CASE relation WHEN 'accepts' THEN 'body' ELSE '200' END AS detail, confidence FROM used
         UNION SELECT endpoint_id, 'clientMethod', method_id, strategy || coalesce(' ' || package_key, ''), confidence FROM l JOIN owned ON owned.id = method_id LEFT JOIN pack USING (project_id)
