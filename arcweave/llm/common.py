@@ -29,6 +29,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of the tables that this session has written, in order.
+WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a new folder (tests) and a
     cluster an error."""
@@ -47,9 +51,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = bounded_batches(df.sparkSession)
     path = f"{shared_dir(spark)}/arcweave-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove written tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    WRITTEN[:] = [path for path in WRITTEN if path not in set(paths)]
+
+
 def join_counted(big: DataFrame, keyed: DataFrame, on: str, how: str = "inner", n: str = "n") -> DataFrame:
     """big joined with keyed (inner or left_semi), which is written already and has one row for each key with the number n of its rows in big. Hot
     keys go by broadcast, at most HOT_SHARE rows by their definition, so that no task gets all rows of one; the others are shuffled."""
