@@ -99,3 +99,44 @@ def _names(text: str, collection: bool) -> Iterator[tuple[str, bool, int]]:
 def unwrap_types(text: pd.Series) -> pd.Series:
     """The distinct type names that a type text is about, with a collection mark and the number of type arguments; wrappers and plain types go."""
     return text.map(lambda t: [{"name": n, "collection": c, "arity": a} for n, c, a in dict.fromkeys(_names((t or "").replace("global::", ""), False))])
+
+
+LIMITS = T.StructType([T.StructField("min_args", T.IntegerType()), T.StructField("max_args", T.IntegerType())])
+
+
+def _parameters(text: str) -> list[str] | None:
+    """The parameters of a list that begins behind its opening bracket; None where it isn't closed. Commas and brackets inside strings don't count."""
+    out, depth, at, quote, i = [], 0, 0, "", 0
+    while i < len(text):
+        c = text[i]
+        if quote:
+            i += c == "\\"
+            quote = "" if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif c == ")" and depth == 0:
+            return [p.strip() for p in [*out, text[at:i]] if p.strip()]
+        elif c == "," and depth == 0:
+            out.append(text[at:i])
+            at = i + 1
+        else:
+            depth += (c in "<([{") - (c in ">)]}")
+        i += 1
+    return None
+
+
+def _limits(signature: str | None, method: str | None) -> tuple[int, int | None]:
+    start = (signature or "").find(f" {method}(") if method else -1
+    found = _parameters(signature[start + len(method) + 2 :]) if start >= 0 else None
+    if found is None:
+        return 0, None
+    open_ended = [re.match(r"(\[.*?\]\s*)*(this\s+)?params\s", p) is not None for p in found]
+    required = sum("=" not in re.sub(r"^(\[.*?\]\s*)+", "", p) and not o for p, o in zip(found, open_ended, strict=True))
+    return required, None if any(open_ended) else len(found)
+
+
+@F.pandas_udf(LIMITS)
+def argument_limits(signature: pd.Series, method: pd.Series) -> pd.DataFrame:
+    """The least and the greatest number of arguments (null: any) that a method of a signature takes; one that can't be read takes any."""
+    found = [_limits(s, m) for s, m in zip(signature, method, strict=True)]
+    return pd.DataFrame({"min_args": pd.array([a for a, _ in found], "Int32"), "max_args": pd.array([b for _, b in found], "Int32")})

@@ -8,6 +8,9 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.routes import any_glob
+from .linking import number_ids
+
 #: Fixed values of the build system and its naming habits.
 TEST_SDK, WEB_SDK = "microsoft.net.test.sdk", "microsoft.net.sdk.web"
 TEST_SUFFIXES = (".tests", ".unittests", ".integrationtests", ".test")
@@ -94,3 +97,16 @@ def describe_projects(projects: DataFrame, overrides: DataFrame | None = None) -
     known = F.create_map(*(F.lit(x) for k in KINDS for x in (k.lower(), k)))
     forced = overrides.select("name", F.try_element_at(known, F.lower("kind")).alias("_forced")).dropDuplicates(["name"])
     return out.join(forced, "name", "left").withColumn("kind", F.coalesce("_forced", kind)).drop("_forced")
+
+
+def discover(repos: DataFrame, include: list[str], exclude: list[str], seq: str = "path") -> DataFrame:
+    """repos (name, path, ...) whose name some include glob fits and no exclude glob, with old_name and a name that no other has in any case: of several the first by name and path keeps it, later ones get #2, #3, ..."""
+    kept = repos.filter(any_glob(F.col("name"), include) & ~any_glob(F.col("name"), exclude))
+    keyed = kept.withColumns({"old_name": F.col("name"), "_id": F.lower("name"), "_seq": F.struct("name", seq)})
+    numbered = number_ids(keyed, "_id", "_seq")
+    return numbered.withColumn("name", F.concat("old_name", F.col("_id").substr(F.length("old_name") + 1, F.length("_id")))).drop("_id", "_seq")
+
+
+def without_ignored(projects: DataFrame, ignore: list[str]) -> DataFrame:
+    """projects (name, ...) whose name no glob fits."""
+    return projects.filter(~any_glob(F.col("name"), ignore))
