@@ -38,21 +38,26 @@ def generic_hits(calls: DataFrame, methods: DataFrame) -> DataFrame:
     return first.select("method_id", *_hit(F.col("h.verb"), F.col("h.route"), "generic-http", 1))
 
 
-def _runs(pattern: Column) -> Column:
-    return F.filter(F.split(pattern, "[*?]+"), lambda s: s != "")
+def _grams(text: Column, sizes: Column) -> Column:
+    """All pieces of a text of the sizes."""
+    fit = F.filter(sizes, lambda k: k <= F.length(text))
+    return F.flatten(F.transform(fit, lambda k: F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.substring(text, i, k))))
 
 
 def match_globs(texts: DataFrame, globs: DataFrame) -> DataFrame:
-    """(text, pattern) of distinct texts (text) that globs (pattern) match, anchored and in any case. A glob is found by the first GRAM letters of its longest literal run, which each text it matches holds; so
-    only texts and globs that share them meet. Globs without literal letters meet all texts, as they match nearly all."""
-    longest = F.aggregate(_runs(F.lower("pattern")), F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
-    keyed = globs.select("pattern").distinct().withColumn("gram", F.left(longest, F.lit(GRAM)))
-    sizes = F.sequence(F.lit(1), F.lit(GRAM))
-    starts = lambda size: F.sequence(F.lit(1), F.length("low") - size + 1)
-    grams = F.flatten(F.transform(F.filter(sizes, lambda k: k <= F.length("low")), lambda k: F.transform(starts(k), lambda i: F.substring(F.col("low"), i, k))))
+    """(text, pattern) of distinct texts (text) that globs (pattern) match, anchored and in any case. A glob without wildcards is found by its whole text. Any other is found by the piece of its literal runs, of GRAM letters where a run has
+    as many, that the fewest texts hold, as each text that it matches holds them all; so texts and globs that share a common beginning don't meet. Globs without literal letters meet all texts, as they match nearly all."""
     low = texts.select("text").filter("text is not null").distinct().withColumn("low", F.lower("text"))
-    pieces = low.select("text", F.explode(F.array_append(F.array_distinct(grams), F.lit(""))).alias("gram"))
-    pairs = pieces.join(keyed, "gram")
+    sizes = F.sequence(F.lit(1), F.lit(GRAM))
+    pieces = low.select("text", F.explode(F.array_distinct(F.concat(_grams(F.col("low"), sizes), F.array(F.lit(""), F.concat(F.lit("="), "low"))))).alias("gram"))
+    held = pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    runs = F.filter(F.split(F.lower("pattern"), "[*?]+"), lambda s: s != "")
+    longest = F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r))), F.lit(0))
+    size = F.array(F.least(longest, F.lit(GRAM)))
+    asked = F.when(~F.col("pattern").rlike("[*?]"), F.array(F.concat(F.lit("="), F.lower("pattern")))).when(longest == 0, F.array(F.lit(""))).otherwise(F.flatten(F.transform(runs, lambda r: _grams(r, size))))
+    keys = globs.select("pattern").distinct().select("pattern", F.explode(F.array_distinct(asked)).alias("gram"))
+    rarest = keys.join(held, "gram", "left").groupBy("pattern").agg(F.min_by("gram", F.struct(F.coalesce("held", F.lit(0)), "gram")).alias("gram"))
+    pairs = pieces.join(rarest, "gram")
     meta = F.regexp_replace("pattern", r"([^\p{L}\p{N}*?])", r"\\$1")
     regex = F.concat(F.lit("(?is)^"), F.replace(F.replace(meta, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
     return pairs.filter(F.rlike("text", regex)).select("text", "pattern")
