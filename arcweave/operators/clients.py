@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.routes import combine_routes, is_route_like, normalize_route, verb_of_method
+from .graph import written
 
 #: Calls that look like HTTP calls and are none, the wait types, and strategies from the first to be asked to the last.
 NO_RECEIVERS = ("Path", "File", "Directory", "Environment")
@@ -104,13 +105,14 @@ def first_strategy(*found: DataFrame) -> DataFrame:
 def lend_hits(methods: DataFrame, hits: DataFrame) -> DataFrame:
     """hits with those that methods take over: one of a class that calls its own name takes the hit of the first overload of its owner that has one; then one of an interface that of a class of its project that lists
     the interface and has a method of its name with a hit, with as many parameters if there is such, the first in the source if there are several. The first holder of each key is chosen before it meets those who ask, so no join has all pairs of a name."""
+    hits = written(hits)  # read many times below
     hit = F.struct("verb", "route", "strategy", "confidence")
     order = F.struct("seq", "method_id")
     with_hits = methods.join(hits, "method_id")
     lonely = methods.join(hits.select("method_id"), "method_id", "left_anti")
     overload = with_hits.groupBy("owner_id", "method").agg(F.min_by(hit, order).alias("h"))
     taken = lonely.filter("owner_kind = 'class' and calls_own_name").join(overload, ["owner_id", "method"]).select("method_id", "h.*")
-    known = hits.unionByName(taken)
+    known = hits.unionByName(written(taken))
     classes = methods.filter("owner_kind = 'class'").join(known, "method_id")
     lenders = classes.select("*", F.explode(F.array_distinct(F.transform("base_types", lambda b: F.substring_index(b, "<", 1)))).alias("face"))
     by_count = lenders.groupBy("project_id", "face", "method", "n_params").agg(F.min_by(hit, order).alias("same"))
@@ -124,6 +126,7 @@ def collapse_overloads(methods: DataFrame, hits: DataFrame, prefixes: DataFrame)
     """(id, method_id, project_id, seq, verb, route, norm, strategy, confidence) of client methods: those with a hit, and of the others the ones that wait and whose owner has some hit. Methods of one id are taken in the order of the source: each verb and
     route once; one without a hit only where nothing holds the id, and a later hit takes its place. So of an id with hits what is left are its distinct verbs and routes by their first method, the first on the place of a waiting method before it,
     and of an id without hits its first waiting method; which is a grouping, not a fold. prefixes (project_name, prefix) lead the routes of their projects."""
+    hits = written(hits)
     base = F.concat(F.lit("cm:"), F.col("project_name"), F.lit(":"), F.col("owner"), F.lit("."), F.col("method"))
     held = methods.join(hits.select("method_id", "verb", "route", "strategy", "confidence"), "method_id", "left").join(prefixes, "project_name", "left")
     owners = methods.join(hits.select("method_id"), "method_id", "left_semi").select("owner_id").distinct()
