@@ -61,12 +61,14 @@ def widest(roots: DataFrame, hop: DataFrame, nodes: DataFrame | None = None, up:
         best = written(best.union(frontier).groupBy("root", "node").agg(F.max("confidence").alias("confidence")))
 
 
-def trace(roots: DataFrame, hop: DataFrame, nodes: DataFrame, depth: int, up: bool) -> DataFrame:
+def trace(roots: DataFrame, hop: DataFrame, nodes: DataFrame, depth: int, up: bool, order: tuple[str, ...] = ()) -> DataFrame:
     """(root, node, depth, via, via_kind, confidence, visit): breadth-first, each node once, neighbours in order of id; confidence is the
     least along the tree path, visit the path of ids by which a level is ordered. Unknown nodes are passed over; of parallel edges the first
-    by kind counts, of those of one kind the surest."""
+    by kind counts, of those of one kind the first by the columns of order (as source, status and field; nulls first), then the surest."""
     near, far = ("dst", "src") if up else ("src", "dst")
-    steps = written(hop.select(F.col(near).alias("at"), F.col(far).alias("next"), "kind", F.col("confidence").alias("edge")).groupBy("at", "next").agg(F.min_by(F.struct("kind", "edge"), F.struct(kind_rank(F.col("kind")), -F.col("edge"))).alias("e")).select("at", "next", "e.*").join(nodes.select(F.col("id").alias("next")).distinct(), "next", "left_semi"))
+    place = F.struct(kind_rank(F.col("kind")), *order, -F.col("confidence"))
+    first = hop.groupBy(F.col(near).alias("at"), F.col(far).alias("next")).agg(F.min_by(F.struct("kind", F.col("confidence").alias("edge")), place).alias("e"))
+    steps = written(first.select("at", "next", "e.*").join(nodes.select(F.col("id").alias("next")).distinct(), "next", "left_semi"))
     start = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("via_kind"), F.lit(3).alias("confidence"), F.array("root").alias("visit"))
     seen = frontier = written(start)
     for level in range(1, max(1, min(10, depth)) + 1):

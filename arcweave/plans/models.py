@@ -130,6 +130,21 @@ def trace_models(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("root", "node", "depth", "via", "via_kind", "confidence")
 
 
+def trace_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """From each order two steps down over fields to parts and to the parts that they are built on; several fields often have one type, of which the first by name counts."""
+    e = Estate(spark, folder)
+    part = e.raw("part")
+    n = part.agg(F.count(F.lit(1)).alias("n"))
+    field = lambda df, owner, typed, name, sure: df.select(F.expr(owner).alias("src"), F.expr(typed).alias("dst"), F.lit("fieldOf").alias("kind"), F.expr(name).alias("field"), F.expr(sure).cast("int").alias("confidence"))
+    lines = field(e.raw("lineitem").join(F.broadcast(n)), "'order' || l_orderkey", "'part' || (l_partkey * l_partkey % n)", "'Line' || l_linenumber", "l_linenumber % 4")
+    later = part.filter("p_partkey >= 4")
+    core = [field(later, "'part' || p_partkey", "'part' || (p_partkey div 4)", name, sure) for name, sure in (("'Core'", "p_partkey % 4"), ("'Base'", "3 - p_partkey % 4"))]
+    hop = lines.union(core[0]).union(core[1])
+    every = hop.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    roots = e.raw("lineitem").select(F.expr("'order' || l_orderkey").alias("root")).distinct()
+    return graph.trace(roots, hop, every, depth=2, up=False, order=("field",)).select("root", "node", "depth", "via", "via_kind", "confidence")
+
+
 def model_impact(spark: SparkSession, folder: str) -> DataFrame:
     """What a change of each part's model reaches, as totals by kind: containers, endpoints that use them, client methods, call sites, and their projects and repositories."""
     e = Estate(spark, folder)
@@ -158,7 +173,7 @@ def endpoint_parts(spark: SparkSession, folder: str) -> DataFrame:
     return nodes.endpoint_parts(e.endpoints(), uses, linking.link_clients(e.methods(), e.endpoints()), _owned_methods(e), linking.produces(e.made()), _sites(e).withColumn("confidence", F.lit(2)))
 
 
-QUERIES = {f.__name__: f for f in (model_impact, endpoint_parts, all_nodes, trace_models, model_tree, model_containers, model_usages, model_consumers, unused_models, how_to_call)}
+QUERIES = {f.__name__: f for f in (model_impact, endpoint_parts, all_nodes, trace_models, trace_fields, model_tree, model_containers, model_usages, model_consumers, unused_models, how_to_call)}
 
 _MODELS = """, models AS (SELECT 'model:part' || p_partkey AS id, repo, project_id FROM part JOIN clients ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier)
   UNION ALL SELECT 'model:order' || o_orderkey, repo, project_id FROM orders JOIN apis ON c_custkey = o_custkey),
@@ -192,6 +207,11 @@ _BODIES = {
         two AS (SELECT root, method_id AS node, 2 AS depth, arg_min(node, v1) AS via, 'targets' AS via_kind, arg_min(least(confidence, c), v1) AS confidence, min(v1) AS v1 FROM one JOIN l ON endpoint_id = node GROUP BY root, method_id),
         three AS (SELECT root, site_id AS node, 3 AS depth, arg_min(node, (v1, node)) AS via, 'invokes' AS via_kind, arg_min(least(confidence, 2), (v1, node)) AS confidence FROM two JOIN (SELECT DISTINCT site_id, method_id FROM sites) ON method_id = node GROUP BY root, site_id)
         SELECT root, node, depth, via, via_kind, confidence FROM one UNION ALL SELECT root, node, depth, via, via_kind, confidence FROM two UNION ALL SELECT * FROM three""",
+    "trace_fields": f""", said_by AS (SELECT 'order' || l_orderkey AS a, 'part' || (l_partkey * l_partkey % (SELECT count(*) FROM part)) AS b, 'Line' || l_linenumber AS field, CAST(l_linenumber % 4 AS int) AS c FROM lineitem
+          UNION ALL SELECT 'part' || p_partkey, 'part' || (p_partkey // 4), 'Core', CAST(p_partkey % 4 AS int) FROM part WHERE p_partkey >= 4 UNION ALL SELECT 'part' || p_partkey, 'part' || (p_partkey // 4), 'Base', CAST(3 - p_partkey % 4 AS int) FROM part WHERE p_partkey >= 4),
+        step AS (SELECT a, b, arg_min(c, field) AS c FROM said_by GROUP BY ALL), one AS (SELECT a AS root, b AS node, 1 AS depth, a AS via, 'fieldOf' AS via_kind, c AS confidence FROM step WHERE starts_with(a, 'order')),
+        two AS (SELECT root, b AS node, 2 AS depth, min(node) AS via, 'fieldOf' AS via_kind, arg_min(least(confidence, c), node) AS confidence FROM one JOIN step ON a = node WHERE NOT EXISTS (FROM one AS o WHERE o.root = one.root AND o.node = b) GROUP BY root, b)
+        SELECT * FROM one UNION ALL SELECT * FROM two""",
     "endpoint_parts": f"""{_SITES}, pack AS (SELECT project_id, min(package_key) AS package_key FROM produced GROUP BY 1), l AS (SELECT * FROM links WHERE endpoint_id IS NOT NULL)
         SELECT DISTINCT endpoint_id, relation AS part, model_id AS item, CASE relation WHEN 'accepts' THEN 'body' ELSE '200' END AS detail, confidence FROM used
         UNION SELECT endpoint_id, 'clientMethod', method_id, strategy || coalesce(' ' || package_key, ''), confidence FROM l JOIN owned ON owned.id = method_id LEFT JOIN pack USING (project_id)

@@ -112,6 +112,17 @@ def test_components_widest_and_trace(spark):
     assert [(r["node"], r["depth"], r["confidence"]) for r in graph.trace(root, hop, nodes, 3, up=True).collect()] == [("a", 1, 1)]
 
 
+def test_parallel_edges_count_by_kind_then_order(spark):
+    rows = [("a", "b", "returns", None, 404, None, 3), ("a", "b", "returns", None, 200, None, 1), ("a", "b", "returns", None, 200, None, 2), ("a", "c", "returns", None, 200, None, 3), ("a", "c", "accepts", "query", None, None, 2), ("a", "c", "accepts", "body", None, None, 1), ("b", "d", "fieldOf", None, None, "Y", 2), ("b", "d", "fieldOf", None, None, "X", 0), ("c", "d", "fieldOf", None, None, "A", 3), ("c", "e", "fieldOf", None, None, "Z", 3), ("c", "e", "fieldOf", None, None, None, 1)]
+    hop = spark.createDataFrame(rows, "src string, dst string, kind string, source string, status int, field string, confidence int")
+    root = spark.createDataFrame([("a",)], "root string")
+    nodes = spark.createDataFrame([(n,) for n in "abcde"], "id string")
+    got = lambda order: sorted((r["node"], r["depth"], r["via"], r["via_kind"], r["confidence"]) for r in graph.trace(root, hop, nodes, 2, up=False, order=order).collect())
+    assert got(("source", "status", "field")) == [("b", 1, "a", "returns", 2), ("c", 1, "a", "accepts", 1), ("d", 2, "b", "fieldOf", 0), ("e", 2, "c", "fieldOf", 1)]
+    assert got(()) == [("b", 1, "a", "returns", 3), ("c", 1, "a", "accepts", 2), ("d", 2, "b", "fieldOf", 2), ("e", 2, "c", "fieldOf", 2)]
+    assert graph.trace(root.limit(0), hop, nodes, 2, up=False, order=("source",)).count() == 0
+
+
 def test_documents_round_trip(spark, tmp_path):
     source = tmp_path / "graph.json"
     source.write_text('﻿{"schemaVersion": 1, "repos": [{"id": "repo:a", "name": "a", "path": "a", "dirty": false}], "edges": [{"kind": "references", "from": "x", "to": "y", "confidence": "certain"}, {"kind": "dependsOn", "from": "a", "to": "b", "confidence": "low", "viaPackages": ["p"]}]}', encoding="utf-8")
