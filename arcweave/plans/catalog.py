@@ -181,6 +181,22 @@ def file_snippets(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("node_id", "line", F.sha2("text", 256).alias("sha256"))
 
 
+def snippet_refusals(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files, of which every ninth is lost; files of more than 10,000 bytes count as too large."""
+    files = Estate(spark, folder).files()
+    places = files.select(F.col("path").alias("node_id"), "path")
+    return documents.snippet_refusals(places, files.filter("doc_id % 9 <> 4"), most_bytes=10_000)
+
+
+def workspace_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """What makes a workspace out of date: files, heads of repositories (one in four moved, one is new) and the version of the rules."""
+    e = Estate(spark, folder)
+    heads = lambda moved: e.repos().select("repo", "n_nationkey", F.when(F.col("n_nationkey") % 4 == 1, moved).otherwise(F.col("n_nationkey").cast("string")).alias("head"))
+    was = documents.manifest(e.files().filter("doc_id % 10 <> 3"), heads("old").filter("n_nationkey <> 7"), {"rules": "1", "schema": "1"})
+    now = documents.manifest(e.files().filter("doc_id % 10 <> 7"), heads("new"), {"rules": "2", "schema": "1"})
+    return documents.manifest_changes(was, now)
+
+
 def endpoint_search(spark: SparkSession, folder: str) -> DataFrame:
     e = Estate(spark, folder)
     found = e.endpoints().filter(F.contains(F.lower("route"), F.lit("blog")) & graph.any_of(F.col("verb"), ["get", "put"]))
@@ -189,7 +205,7 @@ def endpoint_search(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (route_rules, client_links, repo_dependencies, ambiguous_producers, version_drift, unused_endpoints, unused_methods, endpoint_callers, hotspots, repo_hotspots, link_findings, cycles, neighbors_up, trace_down, impact, impact_totals, repo_summary, fuzzy_search, resolve_names, integrity, unique_ids, changed_files, file_snippets, endpoint_search, repo_packages)
+    for f in (route_rules, client_links, repo_dependencies, ambiguous_producers, version_drift, unused_endpoints, unused_methods, endpoint_callers, hotspots, repo_hotspots, link_findings, cycles, neighbors_up, trace_down, impact, impact_totals, repo_summary, fuzzy_search, resolve_names, integrity, unique_ids, changed_files, workspace_changes, file_snippets, snippet_refusals, endpoint_search, repo_packages)
 }
 
 _IMPACT = """,
@@ -247,6 +263,9 @@ _BODIES = {
     "changed_files": """SELECT 'src/' || source || '/' || doc_id || '.cs' AS path, CASE doc_id % 10 WHEN 3 THEN 'added' WHEN 7 THEN 'removed' ELSE 'changed' END AS change FROM documents WHERE doc_id % 10 IN (3, 5, 7)""",
     "file_snippets": r""", f AS (SELECT 'src/' || source || '/' || doc_id || '.cs' AS node_id, string_split_regex(text, '\r?\n') AS l, least(doc_id % 7 + 1, len(string_split_regex(text, '\r?\n'))) AS t FROM documents WHERE text <> ''), x AS (SELECT node_id, l, unnest(range(greatest(t - 1, 1), least(t + 1, len(l)) + 1)) AS i FROM f)
         SELECT node_id, CAST(i AS int) AS line, sha256(lpad(CAST(i AS varchar), 5, ' ') || '| ' || CASE WHEN length(l[i]) > 1999 THEN substr(l[i], 1, 1999) || '…' ELSE l[i] END) AS sha256 FROM x""",
+    "snippet_refusals": """, f AS (SELECT 'src/' || source || '/' || doc_id || '.cs' AS path, CASE WHEN doc_id % 9 = 4 THEN 'missing' WHEN text IS NULL THEN 'unreadable' WHEN strlen(text) > 10000 THEN 'too large' END AS problem FROM documents) SELECT path AS node_id, path, problem FROM f WHERE problem IS NOT NULL""",
+    "workspace_changes": """SELECT 'src/' || source || '/' || doc_id || '.cs' AS path, CASE doc_id % 10 WHEN 3 THEN 'added' ELSE 'removed' END AS change FROM documents WHERE doc_id % 10 IN (3, 7)
+        UNION ALL SELECT 'repo:' || repo, CASE n_nationkey WHEN 7 THEN 'added' ELSE 'changed' END FROM repos WHERE n_nationkey = 7 OR n_nationkey % 4 = 1 UNION ALL SELECT 'rules', 'changed'""",
     "endpoint_search": f", c AS ({_CALLERS}) SELECT id, verb, route, coalesce(callers, 0) AS callers FROM endpoints LEFT JOIN c ON id = endpoint_id WHERE contains(lower(route), 'blog') AND verb IN ('GET', 'PUT') ORDER BY id LIMIT 500",
 }
 ORACLES = {k: f"WITH RECURSIVE {ESTATE_SQL}{v if v.lstrip().startswith(',') else ' ' + v}" for k, v in _BODIES.items()}

@@ -123,6 +123,28 @@ def test_parallel_edges_count_by_kind_then_order(spark):
     assert graph.trace(root.limit(0), hop, nodes, 2, up=False, order=("source",)).count() == 0
 
 
+def test_snippets_lines_limits_and_refusals(spark):
+    files = spark.createDataFrame([("a", "x\r\ny\rz\n"), ("b", ""), ("c", None), ("d", "é" * 6), ("e", "\n"), ("f", "\n".join(map(str, range(200))))], "path string, text string")
+    places = spark.createDataFrame([("1", "a", None), ("2", "a", 99), ("3", "b", 1), ("4", "c", 1), ("5", "d", 1), ("6", "e", 5), ("7", "lost", 1), ("8", None, 1)], "node_id string, path string, line int")
+    got = sorted(tuple(r) for r in documents.snippets(places, files, context=0, most_bytes=11).collect())
+    assert got == [("1", 1, "    1| x"), ("2", 3, "    3| z"), ("6", 1, "    1| ")]
+    assert documents.snippets(places, files, context=-3, most_chars=2).filter("node_id = '5'").first()["text"] == "    1| éé…"
+    middle = spark.createDataFrame([("m", "f", 100)], "node_id string, path string, line int")
+    assert documents.snippets(middle, files, context=70).count() == 101
+    refused = {r["node_id"]: r["problem"] for r in documents.snippet_refusals(places, files, most_bytes=11).collect()}
+    assert refused == {"4": "unreadable", "5": "too large", "7": "missing", "8": "missing"}
+    assert documents.snippet_refusals(places.limit(0), files).count() == 0
+
+
+def test_manifest_holds_heads_and_versions(spark):
+    files = spark.createDataFrame([("a", "x"), ("b", None)], "path string, text string")
+    repos = spark.createDataFrame([("r", "abc"), ("s", None)], "repo string, head string")
+    was = documents.manifest(files, repos, {"rules": "1"})
+    assert {r["path"]: r["sha256"] for r in was.filter("path <> 'a'").collect()} == {"b": "unreadable", "repo:r": "abc", "repo:s": "", "rules": "1"}
+    now = documents.manifest(files, repos.filter("repo = 's'"), {"rules": "2", "schema": "1"})
+    assert {tuple(r) for r in documents.manifest_changes(was, now).collect()} == {("repo:r", "removed"), ("rules", "changed"), ("schema", "added")}
+
+
 def test_documents_round_trip(spark, tmp_path):
     source = tmp_path / "graph.json"
     source.write_text('﻿{"schemaVersion": 1, "repos": [{"id": "repo:a", "name": "a", "path": "a", "dirty": false}], "edges": [{"kind": "references", "from": "x", "to": "y", "confidence": "certain"}, {"kind": "dependsOn", "from": "a", "to": "b", "confidence": "low", "viaPackages": ["p"]}]}', encoding="utf-8")
