@@ -29,10 +29,11 @@ def link_clients(methods: DataFrame, endpoints: DataFrame) -> DataFrame:
 
 def produces(projects: DataFrame, pins: DataFrame | None = None) -> DataFrame:
     """(package_key, project_id, repo, version, confidence) of packages (by lower-cased id) and the projects (id, repo, package_id, version) that make
-    them; several producers are all of confidence 0 unless a pin (package_key, repo) settles it."""
+    them; several producers are all of confidence 0 unless a pin (package_key, repo; both in any case) settles it. A pin to a repo without a producer leaves none; of several pins of a package the least repo counts."""
     made = projects.filter("package_id is not null").select(F.lower("package_id").alias("package_key"), F.col("id").alias("project_id"), "repo", "version")
     if pins is not None:
-        made = made.join(pins.select("package_key", F.col("repo").alias("pin")), "package_key", "left").filter("pin is null or lower(pin) = lower(repo)").drop("pin")
+        pinned = pins.groupBy(F.lower("package_key").alias("package_key")).agg(F.min(F.lower("repo")).alias("pin"))
+        made = made.join(pinned, "package_key", "left").filter("pin is null or pin = lower(repo)").drop("pin")
     several = F.count(F.lit(1)).over(Window.partitionBy("package_key")) > 1
     return made.withColumn("confidence", F.when(several, 0).otherwise(3))
 

@@ -50,6 +50,15 @@ def ambiguous_producers(spark: SparkSession, folder: str) -> DataFrame:
     return low.groupBy("package_key").agg(F.count(F.lit(1)).alias("producers"), F.array_join(F.sort_array(F.collect_set("project_id")), ",").alias("projects"))
 
 
+def pinned_producers(spark: SparkSession, folder: str) -> DataFrame:
+    """Producers where every second package is pinned to the repository of its last maker, and every seventh to one that makes nothing."""
+    made = Estate(spark, folder).made()
+    last = made.filter("package_id is not null").groupBy(F.upper("package_id").alias("package_key")).agg(F.max_by("repo", "id").alias("repo"))
+    number = F.substring("package_key", 5, 20).cast("int")
+    pins = last.select("package_key", F.when(number % 7 == 0, "nowhere").when(number % 2 == 0, F.lower("repo")).alias("repo")).filter("repo is not null")
+    return linking.produces(made, pins).select("package_key", "project_id", "confidence")
+
+
 def version_drift(spark: SparkSession, folder: str) -> DataFrame:
     e = Estate(spark, folder)
     return findings.version_drift(e.references(), _produced(e))
@@ -205,7 +214,7 @@ def endpoint_search(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (route_rules, client_links, repo_dependencies, ambiguous_producers, version_drift, unused_endpoints, unused_methods, endpoint_callers, hotspots, repo_hotspots, link_findings, cycles, neighbors_up, trace_down, impact, impact_totals, repo_summary, fuzzy_search, resolve_names, integrity, unique_ids, changed_files, workspace_changes, file_snippets, snippet_refusals, endpoint_search, repo_packages)
+    for f in (route_rules, client_links, repo_dependencies, ambiguous_producers, pinned_producers, version_drift, unused_endpoints, unused_methods, endpoint_callers, hotspots, repo_hotspots, link_findings, cycles, neighbors_up, trace_down, impact, impact_totals, repo_summary, fuzzy_search, resolve_names, integrity, unique_ids, changed_files, workspace_changes, file_snippets, snippet_refusals, endpoint_search, repo_packages)
 }
 
 _IMPACT = """,
@@ -225,6 +234,9 @@ _BODIES = {
     "client_links": "SELECT * FROM links",
     "repo_dependencies": "SELECT * FROM depends",
     "ambiguous_producers": "SELECT package_key, count(*) AS producers, string_agg(project_id, ',' ORDER BY project_id) AS projects FROM produced WHERE confidence = 0 GROUP BY 1",
+    "pinned_producers": """, pin AS (SELECT package_key, CAST(substr(package_key, 5) AS int) AS k, arg_max(repo, project_id) AS r FROM produced GROUP BY package_key),
+        kept AS (SELECT package_key, project_id FROM produced JOIN pin USING (package_key) WHERE CASE WHEN k % 7 = 0 THEN false WHEN k % 2 = 0 THEN repo = r ELSE true END)
+        SELECT package_key, project_id, CASE WHEN count(*) OVER (PARTITION BY package_key) > 1 THEN 0 ELSE 3 END AS confidence FROM kept""",
     "version_drift": """, good AS (SELECT *, [CAST(x AS int) FOR x IN string_split(version, '.')] AS k FROM refs WHERE NOT starts_with(version, 'unresolved(')),
         latest AS (SELECT package_key, coalesce(min(p.version) FILTER (WHERE NOT starts_with(p.version, 'unresolved(')), arg_max(g.version, g.k)) AS latest FROM produced p LEFT JOIN good g USING (package_key) GROUP BY 1),
         behind AS (SELECT DISTINCT package_key, latest, project_id || ' ' || version AS b FROM good JOIN latest USING (package_key) WHERE version <> latest)

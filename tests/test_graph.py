@@ -145,6 +145,13 @@ def test_manifest_holds_heads_and_versions(spark):
     assert {tuple(r) for r in documents.manifest_changes(was, now).collect()} == {("repo:r", "removed"), ("rules", "changed"), ("schema", "added")}
 
 
+def test_pins_settle_who_makes_a_package(spark):
+    made = spark.createDataFrame([("p1", "R1", "A"), ("p2", "R2", "a"), ("p3", "R1", "B"), ("p4", "R2", "b"), ("p5", "R1", "C"), ("p6", "R1", None), ("p7", "R1", "D"), ("p8", "R1", "d"), ("p9", "R2", "d")], "id string, repo string, package_id string").selectExpr("*", "'1' as version")
+    pins = spark.createDataFrame([("a", "r2"), ("C", "lost"), ("D", "R1"), ("e", "R1"), ("a", "z"), ("b", None)], "package_key string, repo string")
+    assert sorted((r["package_key"], r["project_id"], r["confidence"]) for r in linking.produces(made, pins).collect()) == [("a", "p2", 3), ("b", "p3", 0), ("b", "p4", 0), ("d", "p7", 0), ("d", "p8", 0)]
+    assert linking.produces(made, pins.limit(0)).count() == linking.produces(made).count() == 8
+
+
 def test_documents_round_trip(spark, tmp_path):
     source = tmp_path / "graph.json"
     source.write_text('﻿{"schemaVersion": 1, "repos": [{"id": "repo:a", "name": "a", "path": "a", "dirty": false}], "edges": [{"kind": "references", "from": "x", "to": "y", "confidence": "certain"}, {"kind": "dependsOn", "from": "a", "to": "b", "confidence": "low", "viaPackages": ["p"]}]}', encoding="utf-8")
