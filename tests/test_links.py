@@ -85,3 +85,28 @@ def test_endpoint_parts(spark):
     calls = spark.createDataFrame([("s", "c1", 2), ("s", "c1", 2)], "site_id string, method_id string, confidence int")
     got = {tuple(r) for r in nodes.endpoint_parts(points, uses, links, methods, made, calls).collect()}
     assert got == {("e1", "accepts", "m", "body", 3), ("e1", "returns", "m", "200", 2), ("e1", "clientMethod", "c1", "refit a", 2), ("e2", "clientMethod", "c3", "refit", 0), ("e1", "caller", "s", "c1", 2)}
+
+
+def small_lines(spark, tmp_path):
+    """The smallest tables with the lines of small quantities alone, and what a change of each client project reaches of api projects: {(root, node): confidence}."""
+    base, folder = "/root/testdata/sf0.001", f"{tmp_path}/small"
+    for name in ("nation", "supplier", "part", "customer", "orders", "lineitem"):
+        table = spark.read.parquet(f"{base}/{name}.parquet")
+        (table.filter("l_quantity < 50") if name == "lineitem" else table).write.parquet(f"{folder}/{name}.parquet")
+    rows = {name: spark.read.parquet(f"{folder}/{name}.parquet").collect() for name in ("nation", "supplier", "part", "customer", "orders", "lineitem")}
+    repo, n = {r["n_nationkey"]: r["n_name"] for r in rows["nation"]}, len(rows["supplier"])
+    client = {r["s_suppkey"]: f"proj:{repo[r['s_nationkey']]}/{r['s_name']}" for r in rows["supplier"]}
+    api = {r["c_custkey"]: f"proj:{repo[r['c_nationkey']]}/{r['c_name']}" for r in rows["customer"]}
+    made = {p: [client[s] for s in ([p % n, (p + 1) % n] if p % 10 == 0 else [p % n]) if s in client] for p in (r["p_partkey"] for r in rows["part"])}
+    custom, reached = {r["o_orderkey"]: r["o_custkey"] for r in rows["orders"]}, {}
+    for line in rows["lineitem"]:
+        for root in made[line["l_partkey"]]:
+            key = (root, api[custom[line["l_orderkey"]]])
+            reached[key] = max(reached.get(key, 0), min(3 if len(made[line["l_partkey"]]) == 1 else 0, 1 if line["l_returnflag"] == "R" else 3))
+    return folder, reached
+
+
+def test_impact_follows_lines_of_any_quantity(spark, tmp_path):
+    folder, reached = small_lines(spark, tmp_path)
+    got = {(r["root"], r["node"]): r["confidence"] for r in catalog.impact(spark, folder).filter("startswith(node, 'proj:')").collect()}
+    assert len(reached) > 1000 and got == reached
