@@ -110,3 +110,9 @@ def test_impact_follows_lines_of_any_quantity(spark, tmp_path):
     folder, reached = small_lines(spark, tmp_path)
     got = {(r["root"], r["node"]): r["confidence"] for r in catalog.impact(spark, folder).filter("startswith(node, 'proj:')").collect()}
     assert len(reached) > 1000 and got == reached
+
+
+def test_impact_totals_count_lines_of_any_quantity(spark, tmp_path):
+    folder, reached = small_lines(spark, tmp_path)
+    got = {r["root"]: (r["n"], r["least"]) for r in catalog.impact_totals(spark, folder).filter("kind = 'proj'").collect()}
+    assert got == {root: (len(own), min(own)) for root in {r for r, _ in reached} for own in [[c for (r, _), c in reached.items() if r == root]]}
