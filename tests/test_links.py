@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from arcweave.functions import routes
 from arcweave.operators import findings, graph, linking, models, nodes
-from arcweave.plans import catalog
+from arcweave.plans import catalog, overview
 
 
 def test_renames_reach_edges_and_arrays(spark):
@@ -116,3 +116,10 @@ def test_impact_totals_count_lines_of_any_quantity(spark, tmp_path):
     folder, reached = small_lines(spark, tmp_path)
     got = {r["root"]: (r["n"], r["least"]) for r in catalog.impact_totals(spark, folder).filter("kind = 'proj'").collect()}
     assert got == {root: (len(own), min(own)) for root in {r for r, _ in reached} for own in [[c for (r, _), c in reached.items() if r == root]]}
+
+
+def test_capped_impact_ranks_lines_of_any_quantity(spark, tmp_path):
+    folder, reached = small_lines(spark, tmp_path)
+    got = {(r["root"], r["rank"]): (r["node"], r["confidence"], r["total"], r["truncated"]) for r in overview.impact_capped(spark, folder).filter("kind = 'proj'").collect()}
+    own = {root: sorted(n for r, n in reached if r == root) for root in {r for r, _ in reached}}
+    assert got == {(root, i + 1): (n, reached[root, n], len(nodes), len(nodes) > 3) for root, nodes in own.items() for i, n in enumerate(nodes[:3])}
