@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_counted, materialize, read_table, slices, text_or_empty
@@ -260,24 +260,43 @@ def candidates(fps: DataFrame, width: int, count: int, most_share: float, most_i
     return _near_all(pairs.select("a", "b").union(crowd), fps, count, most_share), members.select("part", "value", "fp", "own")
 
 
-def crowd_links(fps: DataFrame, members: DataFrame, edges: DataFrame, verified: Callable[[DataFrame], DataFrame], count: int, most_share: float, rounds: int = 4, block: int = 512) -> DataFrame:
+def prefix_pairs(sets: DataFrame, similarity: float, block: int = 512) -> DataFrame:
+    """Pairs (a, b) of (fp, component, size, shingle), one row for each of the `size` shingles of a set, that take in all of different components
+    with the Jaccard similarity. Shingles that one component alone has bring nothing together: they come first in the order of all shingles, the
+    others by the number of sets that have them, rare ones first. Alike sets of n and m shingles share s / (1 + s) * (n + m) at least, so the first
+    one that they share lies as early in both as leaves room for these; sets whose shingles are mostly their component's own have none so early.
+    Holders of a frequent shingle are dealt in blocks."""
+    counts = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("shingle", "n")
+    held = sets.join(counts, "shingle").select("fp", "component", "size", "shingle", "n", F.count(F.lit(1)).over(Window.partitionBy("fp")).alias("shared"))
+    least = lambda x: F.ceil(x - F.lit(1e-6))
+    held = held.filter(F.col("shared") >= least(similarity * F.col("size")))
+    place = F.row_number().over(Window.partitionBy("fp").orderBy("n", "shingle"))
+    # what is left of a set from a shingle on, itself included
+    early = held.withColumn("left", F.col("shared") - place + 1).filter(F.col("left") >= least(similarity * F.col("size")))
+    early = materialize(early.select("fp", "component", "size", "shingle", "left"), "prefixes")
+    blocks = early.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("shingle", "blocks")
+    rows = early.join(blocks, "shingle")
+    one = rows.select("shingle", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("at"), F.col("fp").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"), F.col("left").alias("la"))
+    two = rows.select("shingle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"), F.col("fp").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"), F.col("left").alias("lb"))
+    room = F.least("la", "lb") >= least(similarity / (1 + similarity) * (F.col("na") + F.col("nb")))
+    return one.join(two, ["shingle", "at"]).filter((F.col("ca") < F.col("cb")) & room).select("a", "b").distinct()
+
+
+def crowd_links(fps: DataFrame, members: DataFrame, edges: DataFrame, verified: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], similarity: float, count: int, most_share: float, rounds: int = 4) -> DataFrame:
     """edges (a, b) with those that the members (part, value, fp, own) of large buckets lack, so that components are those of all pairs of a
     bucket. In a round each bucket with several components takes a new representative from its largest one and verifies the members of the
-    others against it; a star of edits is done when its base comes up. After the rounds, or when one finds nothing, all pairs of different
-    components that are left are verified, whatever their number, in blocks so that no bucket is one task's work."""
+    others against it; a star of edits is done when its base comes up. After the rounds all pairs of different components that are left are found by
+    the shingles (sets) of the members, and verified: exact, and without the pairs that share a bucket by chance."""
     seen = None
     for last in [False] * rounds + [True]:
         parts = connected_components(edges).withColumnRenamed("node", "fp")
         now = members.join(parts, "fp", "left").select("part", "value", "fp", "own", F.coalesce("component", "fp").alias("component"))
-        several = now.groupBy("part", "value").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count_if("own").alias("k")).filter("x < y").select("part", "value", "k")
+        several = now.groupBy("part", "value").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("part", "value")
         now = materialize(now.join(several, ["part", "value"]), "crowds")
         if now.isEmpty():
             break
         if last:
-            blocks = F.ceil(F.col("k") / block).cast("int")
-            left = now.filter("own").select("part", "value", F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("at"), F.col("fp").alias("a"), F.col("component").alias("ca"))
-            right = now.select("part", "value", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("at"), F.col("fp").alias("b"), F.col("component").alias("cb"))
-            pairs = left.join(right, ["part", "value", "at"]).filter("ca <> cb")
+            more = verified(prefix_pairs(sets(now.select("fp", "component").distinct()), similarity))
         else:
             fresh = now.filter("own") if seen is None else now.filter("own").join(seen, ["part", "value", "fp"], "left_anti")
             sizes = now.groupBy("part", "value", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -287,7 +306,7 @@ def crowd_links(fps: DataFrame, members: DataFrame, edges: DataFrame, verified:
             own = heads.select("part", "value", F.col("a").alias("fp"))
             seen = own if seen is None else seen.union(own)
             pairs = now.select("part", "value", F.col("fp").alias("b"), F.col("component").alias("cb")).join(heads, ["part", "value"]).filter("ca <> cb")
-        more = verified(_near_all(pairs.select("a", "b"), fps, count, most_share))
+            more = verified(_near_all(pairs.select("a", "b"), fps, count, most_share))
         edges = materialize(edges.union(more).distinct(), "links")
     return edges
 
@@ -339,15 +358,28 @@ def near_duplicates_verified(docs: DataFrame, words_in_shingle: int = 5, similar
             out.append(n >= similarity * (len(a) + len(b) - n))
         return pd.Series(out, dtype=bool)
 
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        wanted = materialize(wanted, "wanted")
+        few = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST_IDS else wanted
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(few, "doc_id")
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, texts in slices(batches):
+                found = [shingle_set(x, words_in_shingle).view(np.int64) for x in texts]
+                ends = np.cumsum([0, *map(len, found)])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("component"), pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(found))).cast(pa.list_(pa.int64()))], ["fp", "component", "shingles"])
+
+        rows = texts_of(wanted.withColumnRenamed("fp", "doc_id")).select("doc_id", "component", "text").mapInArrow(scan, "fp long, component long, shingles array<long>")
+        return rows.select("fp", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "candidates")
-        wanted = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
-        few = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST_IDS else wanted
-        texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(few, "doc_id"), "texts")
+        texts = materialize(texts_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), "texts")
         with_texts = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
         return materialize(with_texts.filter(alike("left", "right")).select("a", "b"), "links")
 
-    edges = crowd_links(fps, members, verified(pairs), verified, count, most_share)
+    edges = crowd_links(fps, members, verified(pairs), verified, sets, similarity, count, most_share)
     parts = nodes.join(connected_components(edges), F.col("fp") == F.col("node"), "left").select("digest", F.coalesce("component", "fp").alias("component_id"))
     named = materialize(parts.join(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "digest"), "components")
     return join_counted(rows.select("digest", "doc_id"), named, "digest").select("doc_id", "component_id")

@@ -553,3 +553,18 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
         assert now.columns == docs.columns
     assert sorted(r[0] for r in now.select("doc_id").collect()) == list(range(60))
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == 60
+
+
+def test_prefix_pairs_take_in_alike_sets_and_leave_out_chance(spark):
+    """Sets around one base in a component, strays of it in their own, and unrelated sets: of 125,000 pairs of different components few come up, and all that are alike."""
+    random.seed(3)
+    sets, component = {}, {}
+    for i in range(500):
+        edits = 0 if i == 0 else random.randint(1, 24) if i < 200 else 100
+        sets[i] = set(range(edits, 100)) | {1000 * (i + 1) + k for k in range(edits)}
+        component[i] = 0 if i < 200 and edits <= 8 else i
+    rows = [(i, component[i], len(s), x) for i, s in sets.items() for x in s]
+    pairs = [tuple(r) for r in simhash.prefix_pairs(spark.createDataFrame(rows, "fp long, component long, size int, shingle long"), 0.8, block=16).collect()]
+    got = {(min(p), max(p)) for p in pairs}
+    want = {(a, b) for a in sets for b in range(a + 1, 500) if component[a] != component[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(got) == len(pairs) and want and want <= got and len(got) < 20_000 and all(component[a] != component[b] and max(a, b) < 200 for a, b in got)
