@@ -61,6 +61,15 @@ class Lattice:
         self.n, self.bytes = len(pieces), len(pieces) - 257
         self.index = {p: i for i, p in enumerate(pieces[: self.bytes])}
         self.longest = max(map(len, self.index))
+        # a trie of the pieces as arrays: keys hold a state and the code of a character, to the state that follows, found its piece or -1
+        self.code = np.zeros(0x110000, np.int32)
+        letters = sorted(set().union(*self.index))
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.codes = len(letters) + 1
+        state = {"": 0} | {p: k for k, p in enumerate(sorted({p[:k] for p in self.index for k in range(1, len(p) + 1)}), 1)}
+        keys = np.array([state[p[:-1]] * self.codes + int(self.code[ord(p[-1])]) for p in state if p], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.to, self.found = keys[order], (order + 1).astype(np.int32), np.array([self.index.get(p, -1) for p in state], np.int32)
 
     def _groups(self, words: list[str]) -> Iterator[tuple[int, list[int], list[tuple[int, int]]]]:
         by_length = defaultdict(list)
@@ -73,6 +82,26 @@ class Lattice:
             for at in range(0, len(own), step):
                 yield size, own[at : at + step], spans
 
+    def _ids(self, group: list[str], size: int, spans: list[tuple[int, int]]) -> np.ndarray:
+        """The piece of each span (row) of words of one size (column), -1 where there is none."""
+        out = np.full((len(spans), len(group)), -1, np.int64)
+        text = self.code[np.array(group, f"<U{size}").view(np.uint32).reshape(len(group), size)]
+        row_of = np.full((size, size + 1), -1)
+        row_of[tuple(np.array(spans).T)] = np.arange(len(spans))
+        word, start = map(np.ravel, np.indices(text.shape, np.int32))
+        state = np.zeros(len(word), np.int32)
+        for end in range(1, min(size, self.longest) + 1):
+            fits = start + end <= size
+            word, start, state = word[fits], start[fits], state[fits]
+            key = state * np.int64(self.codes) + text[word, start + end - 1]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            on = self.keys[at] == key
+            word, start, state = word[on], start[on], self.to[at[on]]
+            piece = self.found[state]
+            hit = piece >= 0
+            out[row_of[start[hit], start[hit] + end], word[hit]] = piece[hit]
+        return out
+
     def _long(self, word: str, log_p: np.ndarray, weight: float | None, used: np.ndarray | None) -> float:
         """As run, for one word: forward probabilities by position, and with a weight the expected uses on the way back."""
         get, letters = self.index.get, {c: [self.bytes + b for b in c.encode("utf-8", "surrogatepass")] for c in set(word) if c not in self.index}
@@ -101,18 +130,18 @@ class Lattice:
 
     def run(self, words: list[str], log_p: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each word (marked), and with weights the expected uses of each piece."""
-        out, used, get = np.zeros(len(words)), None if weights is None else np.zeros(self.n), self.index.get
+        out, used = np.zeros(len(words)), None if weights is None else np.zeros(self.n)
         for k, w in enumerate(words):
             if len(w) > LONG:
                 out[k] = self._long(w, log_p, None if weights is None else weights[k], used)
         for size, own, spans in self._groups(words):
             group = [words[k] for k in own]
-            ids = np.array([[get(w[i:j], -1) for i, j in spans] for w in group], np.int64).reshape(len(group), len(spans))
-            arcs = np.where(ids >= 0, log_p[ids], -np.inf).T
+            ids = self._ids(group, size, spans)
+            arcs = np.where(ids >= 0, log_p[ids], -np.inf)
             spelt = []
             for s, (i, j) in enumerate(spans):
                 if j - i == 1:
-                    for k in np.flatnonzero(ids[:, s] < 0):
+                    for k in np.flatnonzero(ids[s] < 0):
                         letters = [self.bytes + b for b in group[k][i].encode("utf-8", "surrogatepass")]
                         arcs[s, k] = log_p[letters].sum()
                         spelt.append((s, k, letters))
@@ -133,7 +162,7 @@ class Lattice:
                 behind[i] = np.logaddexp(behind[i], arcs[s] + behind[j])
             starts, ends = np.array(spans).T
             share = np.exp(ahead[starts] + arcs + behind[ends] - ahead[size]) * weights[own]
-            used += np.bincount(np.where(ids >= 0, ids, self.n).T.ravel(), share.ravel(), self.n + 1)[: self.n]
+            used += np.bincount(np.where(ids >= 0, ids, self.n).ravel(), share.ravel(), self.n + 1)[: self.n]
             for s, k, letters in spelt:
                 np.add.at(used, letters, share[s, k])
         return out, used

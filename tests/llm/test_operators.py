@@ -568,3 +568,15 @@ def test_prefix_pairs_take_in_alike_sets_and_leave_out_chance(spark):
     got = {(min(p), max(p)) for p in pairs}
     want = {(a, b) for a in sets for b in range(a + 1, 500) if component[a] != component[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert len(got) == len(pairs) and want and want <= got and len(got) < 20_000 and all(component[a] != component[b] and max(a, b) < 200 for a, b in got)
+
+
+def test_lattice_pieces_of_all_spans_by_arrays():
+    """Words of like length at once give what a look at each span gives: with unknown letters, ones outside the basic plane, a zero and a piece inside others."""
+    pieces, weights = lattice.vocabulary(tokens.tokenizer_path("piece_bpe_32k.model"))
+    own = lattice.Lattice(pieces)
+    by_size = {}
+    for word in ["a", "the", "information", "internationalisation", "Straße", "naïve", "\U0001f600x", "x\U0001f600", "ab\0", "\0ab", "日本語", "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz", *pieces[:500]]:
+        by_size.setdefault(len(word) + 1, []).append("▁" + word)
+    for size, words in by_size.items():
+        for _, at, spans in own._groups(words):
+            assert own._ids([words[k] for k in at], size, spans).T.tolist() == [[own.index.get(words[k][i:j], -1) for i, j in spans] for k in at]
