@@ -7,9 +7,10 @@ pair within most_bits is within t_i in one partition at least. Thresholds, -1 (p
 programming over estimated candidate counts. Each fingerprint goes under its own value of a partition and probes all values
 within t_i; candidates are verified on all bits.
 
-Two fingerprints that share a bucket are only paired there while the bucket is small. Buckets over `most_in_bucket` go another exact way,
-linear in their size: a bit flipped at a time, fingerprints within two bits always share a 1-bit neighbour, and all that share one
-are within two bits of each other, so each neighbour value links its holders to the least of them.
+Two fingerprints that share a bucket are only paired there while the bucket is small. Fingerprints of buckets over `most_in_bucket` are dealt anew by
+more bits: of six groups of bits a pair within two differs in two at most, so it agrees in all bits of one choice of four. Those whose narrow
+buckets are over `most_in_bucket` too go another exact way, linear in their number: a bit flipped at a time, fingerprints within two bits
+always share a 1-bit neighbour, and all that share one are within two bits of each other, so each neighbour value links its holders to the least of them.
 For an even most_bits of 2r the same holds of neighbours within r bits; most_bits has to be even. No bucket is capped and no
 link between different fingerprints is lost; components are those of all links.
 
@@ -19,6 +20,7 @@ Null and empty texts, and any without words, have the fingerprint zero and link
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -182,11 +184,8 @@ def buckets(fps: DataFrame, most_bits: int, partitions: int, rows: int, sample_r
     return held, materialize(probed, "probes") if max(limits) > 0 else probed
 
 
-def links(fps: DataFrame, most_bits: int, partitions: int | None = None, most_in_bucket: int = 24, sample_rows: int = 4096) -> DataFrame:
-    """Edges (a, b) over distinct fingerprints (fp) whose components are those of all pairs within most_bits."""
-    if most_bits % 2:
-        raise ValueError("most_bits has to be even")
-    held, probed = buckets(fps, most_bits, partitions or most_bits + 1, fps.count(), sample_rows)
+def _paired(held: DataFrame, probed: DataFrame, most_bits: int, most_in_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) within most_bits that buckets of up to most_in_bucket bring together, and the fingerprints (fp) of larger ones."""
     sizes = probed.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("least"), F.max("fp").alias("greatest")).filter("n > 1 and least < greatest")
     sizes = materialize(sizes.select("part", "value", "n"), "buckets")
     small, large = sizes.filter(F.col("n") <= most_in_bucket), sizes.filter(F.col("n") > most_in_bucket)
@@ -194,8 +193,29 @@ def links(fps: DataFrame, most_bits: int, partitions: int | None = None, most_in
     other = probed.join(small, ["part", "value"], "left_semi").select("part", "value", F.col("fp").alias("b"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most_bits
     pairs = near.join(other, ["part", "value"]).filter((F.col("a") != F.col("b")) & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crowd = probed.join(large, ["part", "value"], "left_semi").select("fp").distinct()
-    return pairs.union(star_links(crowd, most_bits)).distinct()
+    return pairs, materialize(probed.join(large, ["part", "value"], "left_semi").select("fp").distinct(), "crowd")
+
+
+def narrow_buckets(fps: DataFrame, most_bits: int, sample_rows: int, spare: int = 4) -> DataFrame:
+    """(part, value, fp): of most_bits + spare groups of bits a pair within most_bits has `spare` without a difference, so each fingerprint goes under its
+    bits in each choice of that many groups."""
+    sample = np.array([r[0] for r in fps.limit(sample_rows).collect()] or [0], np.int64)
+    masks = [_signed(sum(1 << b for own in chosen for b in own)) for chosen in combinations(correlated_partitions(sample, most_bits + spare), spare)]
+    entries = F.transform(_longs(masks), lambda m: F.struct(m.alias("part"), F.col("fp").bitwiseAND(m).alias("value")))
+    return fps.select("fp", F.inline(entries)).select("part", "value", "fp")
+
+
+def links(fps: DataFrame, most_bits: int, partitions: int | None = None, most_in_bucket: int = 24, sample_rows: int = 4096) -> DataFrame:
+    """Edges (a, b) over distinct fingerprints (fp) whose components are those of all pairs within most_bits."""
+    if most_bits % 2:
+        raise ValueError("most_bits has to be even")
+    held, probed = buckets(fps, most_bits, partitions or most_bits + 1, fps.count(), sample_rows)
+    pairs, crowd = _paired(held, probed, most_bits, most_in_bucket)
+    if crowd.isEmpty():
+        return pairs.distinct()
+    narrow = narrow_buckets(crowd, most_bits, sample_rows)
+    more, crowd = _paired(narrow, narrow, most_bits, most_in_bucket)
+    return pairs.union(more).union(star_links(crowd, most_bits)).distinct()
 
 
 def words_for(rows: int, similarity: float, recall: float) -> tuple[int, int]:

@@ -284,6 +284,30 @@ def test_simhash_links(spark, crowd):
     assert got == want
 
 
+def test_crowded_fingerprints_are_dealt_by_more_bits(spark, monkeypatch):
+    """A crowd that agrees in 22 bits and has few pairs within two: only its dense part is flipped bit by bit."""
+    r, flipped, star = np.random.default_rng(5), [], simhash.star_links
+    crowd = {int(x) << 22 for x in r.integers(2**41, size=300)}
+    dense = next(iter(crowd))
+    crowd |= {dense ^ 1 << int(a) ^ 1 << int(b) for a, b in r.integers(22, 63, (100, 2))} | {x ^ 3 for x in list(crowd)[:50]}
+    fps = crowd | {int(x) for x in r.integers(2**62, size=4000)}
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    monkeypatch.setattr(simhash, "star_links", lambda crowd, bits: flipped.append(crowd.count()) or star(crowd, bits))
+    got = simhash.connected_components(simhash.links(df, 2)).toPandas().set_index("node").component.to_dict()
+    assert 0 < flipped[0] < 200 < len(crowd)
+    parent = {x: x for x in fps}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    values = np.array(sorted(fps))
+    for i, a in enumerate(values):
+        for b in values[i + 1 :][np.bitwise_count(values[i + 1 :] ^ a) <= 2]:
+            x, y = sorted((root(int(a)), root(int(b))))
+            parent[y] = x
+    assert {x: got.get(x, x) for x in fps} == {x: root(x) for x in fps}
+
+
 def test_verified_copies(spark):
     base = prose(9, 400).split()
     near = base.copy()
