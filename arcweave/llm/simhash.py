@@ -228,25 +228,25 @@ def words_for(rows: int, similarity: float, recall: float) -> tuple[int, int]:
     return width, max(2, int(np.ceil(np.log(1 - recall) / np.log1p(-agree) / (BITS // width))))
 
 
-def wide_buckets(fps: DataFrame, width: int, count: int, rows: int, sample_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """As buckets, for (fp, words), where fp only names the row: each word has its own partitions, and the thresholds of all of them sum to 0, so
-    all pairs with fewer differing bits than there are partitions come up. `first` is the fingerprint's first word. Each row is read once."""
+def wide_buckets(fps: DataFrame, width: int, count: int, rows: int, sample_rows: int = 4096) -> DataFrame:
+    """(part, value, own, fp, first) of all values that (fp, words) probe, own where it holds the value itself; fp only names the row. Each word has
+    its own partitions, and the thresholds of all of them sum to 0, so all pairs with fewer differing bits than there are partitions come up.
+    `first` has the fingerprint's first two words. Each row is read once."""
     share = min(1.0, 4 * sample_rows / max(1, rows))
     sample = np.array([r[0] for r in fps.select("words").sample(share, seed=1).limit(sample_rows).collect()] or [[0] * count], np.int64)
     parts = [[BITS * k + b for b in own] for k in range(count) for own in correlated_partitions(sample[:, k], BITS // width, width)]
     limits = thresholds(sample, parts, len(parts) - 1, max(1, rows), most_each=2)
-    entry = lambda i, value: F.struct(F.lit(i).alias("part"), value.alias("value"))
-    probes = lambda i, value, flips: F.transform(flips, lambda m: entry(i, value.bitwiseXOR(m)))
-    held, probed = [], []
+    probes = lambda i, value, flips: F.transform(flips, lambda m: F.struct(F.lit(i).alias("part"), value.bitwiseXOR(m).alias("value"), (m == 0).alias("own")))
+    probed = []
     for i, (own, t) in enumerate(zip(parts, limits, strict=True)):
         if t < 0:
             continue
         bits = [b % BITS for b in own]
         value = F.get("words", F.lit(own[0] // BITS)).bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))).cast("long"))
-        held.append(entry(i, value))
-        probed.append(probes(i, value, F.expr(f"array({','.join(f'{m}L' for m in _flips(bits, t))})")))
-    rows_of = lambda entries: fps.select("fp", F.get("words", F.lit(0)).alias("first"), F.inline(entries)).select("part", "value", "fp", "first")
-    return rows_of(F.array(*held)), rows_of(F.flatten(F.array(*probed)))
+        flips = F.expr(f"array({','.join(f'{m}L' for m in _flips(bits, t))})")
+        probed.append(probes(i, value, flips))
+    first = F.struct(*(F.get("words", F.lit(k)).alias(f"w{k}") for k in range(2)))
+    return fps.select("fp", first.alias("first"), F.inline(F.flatten(F.array(*probed)))).select("part", "value", "own", "fp", "first")
 
 
 def _apart(a: Column, b: Column) -> Column:
@@ -261,23 +261,50 @@ def _near_all(pairs: DataFrame, fps: DataFrame, count: int, most_share: float) -
     return wide.filter(total <= int(BITS * count * most_share)).select("a", "b")
 
 
-def candidates(fps: DataFrame, width: int, count: int, most_share: float, most_in_bucket: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of (fp, words) that a partition brings together and that differ in most_share of all bits at most, for a later check of
-    the texts, and the members (part, value, fp, own) of the buckets with over most_in_bucket pairs of a holder and a prober, own for the
-    holders. Of those only pairs with the least holder are there; crowd_links does the rest."""
-    held, probed = wide_buckets(fps, width, count, fps.count())
-    probers = probed.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
-    holders = held.groupBy("part", "value").agg(F.count(F.lit(1)).alias("k"), F.min("fp").alias("least"))
-    sizes = materialize(holders.join(probers, ["part", "value"]).filter("n > 1"), "buckets")
-    small, large = sizes.filter(F.col("n") * F.col("k") <= most_in_bucket).select("part", "value"), sizes.filter(F.col("n") * F.col("k") > most_in_bucket).select("part", "value", "least")
-    near = held.join(small, ["part", "value"], "left_semi").select("part", "value", F.col("fp").alias("a"), F.col("first").alias("x"))
-    # one word says less than all: a third of its bits may differ before a pair is left out
-    close = (F.col("a") != F.col("b")) & (_apart(F.col("x"), F.col("y")) <= max(BITS // 3, int(BITS * most_share)))
-    pairs = near.join(probed.withColumnsRenamed({"fp": "b", "first": "y"}), ["part", "value"]).filter(close)
-    tagged = held.withColumn("own", F.lit(True)).union(probed.withColumn("own", F.lit(False))).join(large, ["part", "value"])
-    members = materialize(tagged.groupBy("part", "value", "fp").agg(F.max("own").alias("own"), F.min("least").alias("least")), "crowds")
-    crowd = members.select(F.col("least").alias("a"), F.col("fp").alias("b")).filter("a <> b").distinct()
-    return _near_all(pairs.select("a", "b").union(crowd), fps, count, most_share), members.select("part", "value", "fp", "own")
+def wide_entries(fps: DataFrame, width: int, count: int) -> DataFrame:
+    """(part, value, own, fp, first, least, work) of (fp, words): the entries of buckets that a holder (own) shares with another, with the least holder
+    (fp, first) and the number of pairs of a holder and a prober."""
+    probed = wide_buckets(fps, width, count, fps.count())
+    own = F.when(F.col("own"), F.struct("fp", "first"))
+    sizes = probed.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"), F.count(own).alias("k"), F.min(own).alias("least")).filter("n > 1 and k > 0")
+    sizes = materialize(sizes.select("part", "value", "least", (F.col("n") * F.col("k")).alias("work")), "buckets")
+    return materialize(probed.join(sizes, ["part", "value"]), "entries")
+
+
+def _words_apart(x: str, y: str) -> Column:
+    return _apart(F.col(f"{x}.w0"), F.col(f"{y}.w0")) + _apart(F.col(f"{x}.w1"), F.col(f"{y}.w1"))
+
+
+def _close(x: str, y: str, most_share: float) -> Column:
+    """Two words say less than all: somewhat more of their bits may differ before a pair is left out."""
+    return _words_apart(x, y) <= int(2 * BITS * (most_share + 0.0625))
+
+
+def nearest_pairs(entries: DataFrame, most_share: float) -> DataFrame:
+    """Pairs (a, b) of each fingerprint b with two of the least holders of its buckets that it is close to: the least and the nearest."""
+    found = entries.filter((F.col("fp") != F.col("least.fp")) & _close("first", "least.first", most_share))
+    near = F.min(F.struct(_words_apart("first", "least.first").alias("apart"), F.col("least.fp").alias("a")))
+    both = found.groupBy(F.col("fp").alias("b")).agg(F.min("least.fp").alias("least"), near.alias("near"))
+    return both.select(F.explode(F.array("least", "near.a")).alias("a"), "b")
+
+
+def with_components(entries: DataFrame, parts: DataFrame) -> DataFrame:
+    """The entries with the component of each (parts: node, component)."""
+    return entries.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
+def split_entries(entries: DataFrame, parts: DataFrame) -> DataFrame:
+    """The entries of buckets with several components, with the component of each."""
+    now = with_components(entries, parts)
+    several = now.groupBy("part", "value").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("part", "value")
+    return now.join(several, ["part", "value"])
+
+
+def cross_pairs(entries: DataFrame, most_share: float) -> DataFrame:
+    """All pairs (a, b) of a holder and a prober of a bucket that are in different components and close."""
+    a = entries.filter("own").select("part", "value", F.col("fp").alias("a"), F.col("first").alias("x"), F.col("component").alias("ca"))
+    b = entries.select("part", "value", F.col("fp").alias("b"), F.col("first").alias("y"), F.col("component").alias("cb"))
+    return a.join(b, ["part", "value"]).filter((F.col("ca") != F.col("cb")) & _close("x", "y", most_share)).select("a", "b")
 
 
 def prefix_pairs(sets: DataFrame, similarity: float, block: int = 512) -> DataFrame:
@@ -302,33 +329,50 @@ def prefix_pairs(sets: DataFrame, similarity: float, block: int = 512) -> DataFr
     return one.join(two, ["shingle", "at"]).filter((F.col("ca") < F.col("cb")) & room).select("a", "b").distinct()
 
 
-def crowd_links(fps: DataFrame, members: DataFrame, edges: DataFrame, verified: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], similarity: float, count: int, most_share: float, rounds: int = 4) -> DataFrame:
-    """edges (a, b) with those that the members (part, value, fp, own) of large buckets lack, so that components are those of all pairs of a
-    bucket. In a round each bucket with several components takes a new representative from its largest one and verifies the members of the
-    others against it; a star of edits is done when its base comes up. After the rounds all pairs of different components that are left are found by
-    the shingles (sets) of the members, and verified: exact, and without the pairs that share a bucket by chance."""
-    seen = None
-    for last in [False] * rounds + [True]:
-        parts = connected_components(edges).withColumnRenamed("node", "fp")
-        now = members.join(parts, "fp", "left").select("part", "value", "fp", "own", F.coalesce("component", "fp").alias("component"))
-        several = now.groupBy("part", "value").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("part", "value")
-        now = materialize(now.join(several, ["part", "value"]), "crowds")
-        if now.isEmpty():
+def early_shingles(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """The least hashes of a set (ascending), so many that alike sets share one of them, whatever the rest is."""
+    return hashes[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1]
+
+
+def settled(parts: DataFrame, more: DataFrame) -> DataFrame:
+    """The components (node, component) with the edges more (a, b), which are written already."""
+    return parts if more.isEmpty() else connected_components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
+
+
+def bucket_components(entries: DataFrame, near: Callable[[DataFrame], DataFrame], alike: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame, bool], DataFrame], similarity: float, most_share: float, most_in_bucket: int, rounds: int = 4) -> DataFrame:
+    """Components (node, component) of all verified pairs of a holder and a prober of a bucket. near verifies pairs by all bits and texts, alike by texts
+    alone. Each fingerprint is held against two others first; then only pairs of different components are left, of which groups of near copies
+    have few. Buckets of up to most_in_bucket pairs take all of these. In larger ones a new representative, from the largest component, is held
+    against the others, in rounds for as long as one joins a tenth of what is apart (a star of edits is done when its base comes up). All pairs
+    that are left there are found by their shingles (sets): exact, and without the pairs that share a bucket by chance."""
+    parts = connected_components(near(nearest_pairs(entries, most_share)))
+    pairs = cross_pairs(with_components(entries.filter(F.col("work") <= most_in_bucket), parts), most_share)
+    large = materialize(split_entries(entries.filter(F.col("work") > most_in_bucket), parts), "crowds")
+    apart, seen = float("inf"), None
+    for _ in range(rounds):
+        left = large.agg(F.count_distinct("component")).first()[0]
+        if not left or left > 0.9 * apart:
             break
-        if last:
-            more = verified(prefix_pairs(sets(now.select("fp", "component").distinct()), similarity))
-        else:
-            fresh = now.filter("own") if seen is None else now.filter("own").join(seen, ["part", "value", "fp"], "left_anti")
-            sizes = now.groupBy("part", "value", "component").agg(F.count(F.lit(1)).alias("n"))
-            heads = fresh.groupBy("part", "value", "component").agg(F.min("fp").alias("a"))
-            heads = heads.join(sizes, ["part", "value", "component"]).groupBy("part", "value").agg(F.max_by(F.struct("a", F.col("component").alias("ca")), F.struct("n", -F.col("component"))).alias("head"))
-            heads = materialize(heads.select("part", "value", "head.a", "head.ca"), "heads")
-            own = heads.select("part", "value", F.col("a").alias("fp"))
-            seen = own if seen is None else seen.union(own)
-            pairs = now.select("part", "value", F.col("fp").alias("b"), F.col("component").alias("cb")).join(heads, ["part", "value"]).filter("ca <> cb")
-            more = verified(_near_all(pairs.select("a", "b"), fps, count, most_share))
-        edges = materialize(edges.union(more).distinct(), "links")
-    return edges
+        apart = left
+        fresh = large.filter("own")
+        fresh = fresh if seen is None else fresh.join(seen, ["part", "value", "fp"], "left_anti")
+        sizes = large.groupBy("part", "value", "component").agg(F.count(F.lit(1)).alias("n"))
+        heads = fresh.groupBy("part", "value", "component").agg(F.min("fp").alias("a")).join(sizes, ["part", "value", "component"])
+        heads = heads.groupBy("part", "value").agg(F.max_by(F.struct("a", F.col("component").alias("ca")), F.struct("n", -F.col("component"))).alias("head"))
+        heads = materialize(heads.select("part", "value", "head.a", "head.ca"), "heads")
+        own = heads.select("part", "value", F.col("a").alias("fp"))
+        seen = own if seen is None else seen.union(own)
+        held = large.join(heads, ["part", "value"]).filter("component <> ca").select("a", F.col("fp").alias("b"))
+        parts = settled(parts, near(held if pairs is None else pairs.union(held)))
+        pairs, large = None, materialize(split_entries(large.drop("component"), parts), "crowds")
+    if pairs is not None:
+        parts = settled(parts, near(pairs))
+    if large.isEmpty():
+        return parts
+    early = materialize(sets(large.select("fp", "component").distinct(), True), "early")
+    shared = early.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("shingle")
+    some = early.join(shared, "shingle", "left_semi").select("fp", "component").distinct()
+    return settled(parts, alike(prefix_pairs(sets(some, False), similarity)))
 
 
 def star_links(fps: DataFrame, most_bits: int) -> DataFrame:
@@ -364,7 +408,6 @@ def near_duplicates_verified(docs: DataFrame, words_in_shingle: int = 5, similar
     rows = materialize(with_set_fingerprints(docs, words_in_shingle, count), "fingerprints")
     nodes = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("fp"), F.first("words").alias("words")), "nodes")
     fps = nodes.select("fp", "words")
-    pairs, members = candidates(fps, width, count, most_share, most_in_bucket)
 
     @F.pandas_udf("boolean")
     def alike(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -383,10 +426,11 @@ def near_duplicates_verified(docs: DataFrame, words_in_shingle: int = 5, similar
         few = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST_IDS else wanted
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(few, "doc_id")
 
-    def sets(wanted: DataFrame) -> DataFrame:
+    def sets(wanted: DataFrame, early: bool) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, texts in slices(batches):
-                found = [shingle_set(x, words_in_shingle).view(np.int64) for x in texts]
+                found = [shingle_set(x, words_in_shingle) for x in texts]
+                found = [(early_shingles(x, similarity) if early else x).view(np.int64) for x in found]
                 ends = np.cumsum([0, *map(len, found)])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("component"), pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(found))).cast(pa.list_(pa.int64()))], ["fp", "component", "shingles"])
 
@@ -399,8 +443,9 @@ def near_duplicates_verified(docs: DataFrame, words_in_shingle: int = 5, similar
         with_texts = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
         return materialize(with_texts.filter(alike("left", "right")).select("a", "b"), "links")
 
-    edges = crowd_links(fps, members, verified(pairs), verified, sets, similarity, count, most_share)
-    parts = nodes.join(connected_components(edges), F.col("fp") == F.col("node"), "left").select("digest", F.coalesce("component", "fp").alias("component_id"))
+    entries = wide_entries(fps, width, count)
+    found = bucket_components(entries, lambda pairs: verified(_near_all(pairs, fps, count, most_share)), verified, sets, similarity, most_share, most_in_bucket)
+    parts = nodes.join(found, F.col("fp") == F.col("node"), "left").select("digest", F.coalesce("component", "fp").alias("component_id"))
     named = materialize(parts.join(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "digest"), "components")
     return join_counted(rows.select("digest", "doc_id"), named, "digest").select("doc_id", "component_id")
 

@@ -308,6 +308,20 @@ def test_crowded_fingerprints_are_dealt_by_more_bits(spark, monkeypatch):
     assert {x: got.get(x, x) for x in fps} == {x: root(x) for x in fps}
 
 
+def test_near_copies_are_not_paired_with_one_another(spark, monkeypatch):
+    """A hundred near copies of one text: each is held against two others, and what is one component then is not paired again."""
+    base, texts, wanted, check = prose(77, 300).split(), [], [], simhash._near_all
+    for n in range(100):
+        own = base.copy()
+        own[3 * n % 300] = f"edit{n}"
+        texts.append(" ".join(own))
+    texts += [prose(500 + n, 60) for n in range(20)]
+    monkeypatch.setattr(simhash, "_near_all", lambda pairs, *rest: wanted.append(pairs.distinct().count()) or check(pairs, *rest))
+    got = simhash.near_duplicates_verified(table(spark, texts)).toPandas().set_index("doc_id").component_id.sort_index()
+    assert got.tolist() == brute_components(texts)
+    assert sum(wanted) < 1000
+
+
 def test_verified_copies(spark):
     base = prose(9, 400).split()
     near = base.copy()
