@@ -165,31 +165,37 @@ def _longs(values: list[int]) -> Column:
     return F.array(*(F.lit(v).cast("long") for v in values))
 
 
-def buckets(fps: DataFrame, most_bits: int, partitions: int, rows: int, sample_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(part, value, fp) of the fingerprints themselves, and of all values that they probe. sample_rows bounds what the grouping of bits
+def buckets(fps: DataFrame, most_bits: int, partitions: int, rows: int, sample_rows: int) -> DataFrame:
+    """(part, value, own, fp) of all values that the fingerprints probe, own where it holds the value itself. sample_rows bounds what the grouping of bits
     and the estimates are fitted on."""
     share = min(1.0, 4 * sample_rows / max(1, rows))
     sample = np.array([r[0] for r in fps.sample(share, seed=1).limit(sample_rows).collect()] or [0], np.int64)
     parts = correlated_partitions(sample, partitions)
     limits = thresholds(sample, parts, most_bits, rows)
-    held = probed = None
+    probed = None
     for i, (own, t) in enumerate(zip(parts, limits, strict=True)):
         if t < 0:
             continue
         mask = F.lit(_signed(sum(1 << b for b in own))).cast("long")
-        row = fps.select(F.lit(i).alias("part"), F.col("fp").bitwiseAND(mask).alias("value"), "fp")
+        row = fps.select(F.lit(i).alias("part"), F.col("fp").bitwiseAND(mask).alias("value"), F.lit(True).alias("own"), "fp")
         flips = F.explode(_longs(_flips(own, t)))
-        probe = row if t == 0 else row.select("part", "value", "fp", flips.alias("flip")).select("part", F.col("value").bitwiseXOR(F.col("flip")).alias("value"), "fp")
-        held, probed = row if held is None else held.union(row), probe if probed is None else probed.union(probe)
-    return held, materialize(probed, "probes") if max(limits) > 0 else probed
+        probe = row if t == 0 else row.select("part", "value", "fp", flips.alias("flip")).select("part", F.col("value").bitwiseXOR(F.col("flip")).alias("value"), (F.col("flip") == 0).alias("own"), "fp")
+        probed = probe if probed is None else probed.union(probe)
+    return materialize(probed, "probes") if max(limits) > 0 else probed
 
 
-def _paired(held: DataFrame, probed: DataFrame, most_bits: int, most_in_bucket: int) -> tuple[DataFrame, DataFrame]:
+def shared_buckets(probed: DataFrame) -> DataFrame:
+    """(part, value, n) of the buckets of (part, value, own, fp) that can pair: n entries of several fingerprints, one of which holds the value itself.
+    Values that are only probed pair none."""
+    sizes = probed.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("held"), F.min("fp").alias("least"), F.max("fp").alias("greatest"))
+    return sizes.filter("held and least < greatest").select("part", "value", "n")
+
+
+def _paired(probed: DataFrame, most_bits: int, most_in_bucket: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) within most_bits that buckets of up to most_in_bucket bring together, and the fingerprints (fp) of larger ones."""
-    sizes = probed.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("least"), F.max("fp").alias("greatest")).filter("n > 1 and least < greatest")
-    sizes = materialize(sizes.select("part", "value", "n"), "buckets")
+    sizes = materialize(shared_buckets(probed), "buckets")
     small, large = sizes.filter(F.col("n") <= most_in_bucket), sizes.filter(F.col("n") > most_in_bucket)
-    near = held.join(small, ["part", "value"], "left_semi").select("part", "value", F.col("fp").alias("a"))
+    near = probed.filter("own").join(small, ["part", "value"], "left_semi").select("part", "value", F.col("fp").alias("a"))
     other = probed.join(small, ["part", "value"], "left_semi").select("part", "value", F.col("fp").alias("b"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most_bits
     pairs = near.join(other, ["part", "value"]).filter((F.col("a") != F.col("b")) & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -197,24 +203,22 @@ def _paired(held: DataFrame, probed: DataFrame, most_bits: int, most_in_bucket:
 
 
 def narrow_buckets(fps: DataFrame, most_bits: int, sample_rows: int, spare: int = 4) -> DataFrame:
-    """(part, value, fp): of most_bits + spare groups of bits a pair within most_bits has `spare` without a difference, so each fingerprint goes under its
+    """(part, value, own, fp): of most_bits + spare groups of bits a pair within most_bits has `spare` without a difference, so each fingerprint goes under its
     bits in each choice of that many groups."""
     sample = np.array([r[0] for r in fps.limit(sample_rows).collect()] or [0], np.int64)
     masks = [_signed(sum(1 << b for own in chosen for b in own)) for chosen in combinations(correlated_partitions(sample, most_bits + spare), spare)]
     entries = F.transform(_longs(masks), lambda m: F.struct(m.alias("part"), F.col("fp").bitwiseAND(m).alias("value")))
-    return fps.select("fp", F.inline(entries)).select("part", "value", "fp")
+    return fps.select("fp", F.inline(entries)).select("part", "value", F.lit(True).alias("own"), "fp")
 
 
 def links(fps: DataFrame, most_bits: int, partitions: int | None = None, most_in_bucket: int = 24, sample_rows: int = 4096) -> DataFrame:
     """Edges (a, b) over distinct fingerprints (fp) whose components are those of all pairs within most_bits."""
     if most_bits % 2:
         raise ValueError("most_bits has to be even")
-    held, probed = buckets(fps, most_bits, partitions or most_bits + 1, fps.count(), sample_rows)
-    pairs, crowd = _paired(held, probed, most_bits, most_in_bucket)
+    pairs, crowd = _paired(buckets(fps, most_bits, partitions or most_bits + 1, fps.count(), sample_rows), most_bits, most_in_bucket)
     if crowd.isEmpty():
         return pairs.distinct()
-    narrow = narrow_buckets(crowd, most_bits, sample_rows)
-    more, crowd = _paired(narrow, narrow, most_bits, most_in_bucket)
+    more, crowd = _paired(narrow_buckets(crowd, most_bits, sample_rows), most_bits, most_in_bucket)
     return pairs.union(more).union(star_links(crowd, most_bits)).distinct()
 
 

@@ -284,6 +284,29 @@ def test_simhash_links(spark, crowd):
     assert got == want
 
 
+def test_values_that_are_only_probed_pair_none(spark, monkeypatch):
+    """Probes of several fingerprints that meet where none of them lies aren't joined with anything."""
+    r, seen, shared = np.random.default_rng(9), [], simhash.shared_buckets
+    fps = {int(x) << 20 | 5 for x in r.integers(2**10, size=900)}  # alike in 54 bits
+    fps |= {x ^ 1 << int(b) for x, b in zip(list(fps)[:60], r.integers(30, size=60), strict=True)}
+    monkeypatch.setattr(simhash, "thresholds", lambda sample, parts, most_bits, rows: [-1, 0, 1])
+    monkeypatch.setattr(simhash, "shared_buckets", lambda probed: seen.append((probed, shared(probed))) or seen[-1][1])
+    got = simhash.connected_components(simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), 2)).toPandas().set_index("node").component.to_dict()
+    probed, found = seen[0]
+    own = {tuple(x) for x in probed.filter("own").select("part", "value").collect()}
+    assert {tuple(x)[:2] for x in found.collect()} <= own and probed.select("part", "value").distinct().count() > len(own)
+    want = {x: x for x in fps}
+    for x in sorted(fps):  # breadth-first from the least that isn't reached
+        if want[x] == x:
+            todo = [x]
+            while todo:
+                at = todo.pop()
+                near = [y for y in fps if (at ^ y).bit_count() <= 2 and want[y] > x]
+                want.update(dict.fromkeys(near, x))
+                todo += near
+    assert all(got.get(x, x) == want[x] for x in fps)
+
+
 def test_crowded_fingerprints_are_dealt_by_more_bits(spark, monkeypatch):
     """A crowd that agrees in 22 bits and has few pairs within two: only its dense part is flipped bit by bit."""
     r, flipped, star = np.random.default_rng(5), [], simhash.star_links
