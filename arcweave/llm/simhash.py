@@ -311,31 +311,74 @@ def cross_pairs(entries: DataFrame, most_share: float) -> DataFrame:
     return a.join(b, ["part", "value"]).filter((F.col("ca") != F.col("cb")) & _close("x", "y", most_share)).select("a", "b")
 
 
-def prefix_pairs(sets: DataFrame, similarity: float, block: int = 512) -> DataFrame:
+def _least(x: Column) -> Column:
+    return F.ceil(x - F.lit(1e-6))
+
+
+def prefix_pairs(sets: DataFrame, similarity: float, block: int = 512, last: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of (fp, component, size, shingle), one row for each of the `size` shingles of a set, that take in all of different components
     with the Jaccard similarity. Shingles that one component alone has bring nothing together: they come first in the order of all shingles, the
     others by the number of sets that have them, rare ones first. Alike sets of n and m shingles share s / (1 + s) * (n + m) at least, so the first
     one that they share lies as early in both as leaves room for these; sets whose shingles are mostly their component's own have none so early.
-    Holders of a frequent shingle are dealt in blocks."""
+    Holders of a frequent shingle are dealt in blocks.
+
+    A column `after` counts a set's shingles that come after all that have rows; those of them that lie early enough are in last (fp, component, size,
+    shingle, left), with what is left of the set from each on."""
+    after = F.col("after") if "after" in sets.columns else F.lit(0)
     counts = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("shingle", "n")
-    held = sets.join(counts, "shingle").select("fp", "component", "size", "shingle", "n", F.count(F.lit(1)).over(Window.partitionBy("fp")).alias("shared"))
-    least = lambda x: F.ceil(x - F.lit(1e-6))
-    held = held.filter(F.col("shared") >= least(similarity * F.col("size")))
+    held = sets.join(counts, "shingle").select("fp", "component", "size", "shingle", "n", (F.count(F.lit(1)).over(Window.partitionBy("fp")) + after).alias("shared"))
+    held = held.filter(F.col("shared") >= _least(similarity * F.col("size")))
     place = F.row_number().over(Window.partitionBy("fp").orderBy("n", "shingle"))
     # what is left of a set from a shingle on, itself included
-    early = held.withColumn("left", F.col("shared") - place + 1).filter(F.col("left") >= least(similarity * F.col("size")))
-    early = materialize(early.select("fp", "component", "size", "shingle", "left"), "prefixes")
+    early = held.withColumn("left", F.col("shared") - place + 1).filter(F.col("left") >= _least(similarity * F.col("size")))
+    early = early.select("fp", "component", "size", "shingle", "left")
+    early = materialize(early if last is None else early.unionByName(last), "prefixes")
     blocks = early.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("shingle", "blocks")
     rows = early.join(blocks, "shingle")
     one = rows.select("shingle", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("at"), F.col("fp").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"), F.col("left").alias("la"))
     two = rows.select("shingle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"), F.col("fp").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"), F.col("left").alias("lb"))
-    room = F.least("la", "lb") >= least(similarity / (1 + similarity) * (F.col("na") + F.col("nb")))
+    room = F.least("la", "lb") >= _least(similarity / (1 + similarity) * (F.col("na") + F.col("nb")))
     return one.join(two, ["shingle", "at"]).filter((F.col("ca") < F.col("cb")) & room).select("a", "b").distinct()
 
 
-def early_shingles(hashes: np.ndarray, similarity: float) -> np.ndarray:
-    """The least hashes of a set (ascending), so many that alike sets share one of them, whatever the rest is."""
-    return hashes[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1]
+def frequent_shingles(sets: DataFrame, sample_sets: int = 256, sample_shingles: int = 4096) -> np.ndarray:
+    """Shingles of several of a bounded sample of sets (fp, shingles, ascending), the frequent ones last. They only give an order: no result hangs on them."""
+    some = sets.select("fp", F.slice("shingles", 1, sample_shingles).alias("shingles")).orderBy(F.xxhash64("fp")).limit(sample_sets)
+    counts = some.select(F.explode("shingles").alias("frequent")).groupBy("frequent").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return np.array([r[0] for r in counts.orderBy(F.desc("n"), "frequent").limit(sample_shingles).collect()][::-1], np.int64)
+
+
+def alike_sets(sets: DataFrame, similarity: float, frequent: np.ndarray) -> DataFrame:
+    """The pairs that prefix_pairs has of sets (fp, component, shingles), which are written already. Rare shingles come before the frequent ones, in the order of these. Alike sets
+    share one of their first shingles, whatever the order is: so only sets whose first ones are some other component's too, or frequent, get rows for
+    all their rare shingles, and a frequent shingle gets one only where it is among a set's first."""
+    ranks = np.argsort(frequent)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("shingles")
+            starts, values = column.offsets.to_numpy(), column.values.to_numpy()
+            sets = [values[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            places = [np.searchsorted(frequent, x, sorter=ranks) for x in sets]
+            ids = [ranks[np.minimum(p, len(ranks) - 1)] if len(ranks) else p for p in places]
+            often = [frequent[i] == x if len(ranks) else np.zeros(len(x), bool) for i, x in zip(ids, sets, strict=True)]
+            rare = [x[~f] for x, f in zip(sets, often, strict=True)]
+            last = [frequent[np.sort(i[f])] if len(ranks) else x[:0] for i, f, x in zip(ids, often, sets, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("component"), pa.array([len(x) for x in sets], pa.int32()), pa.array(rare, pa.list_(pa.int64())), pa.array(last, pa.list_(pa.int64()))], ["fp", "component", "size", "rare", "frequent"])
+
+    rows = sets.mapInArrow(split, "fp long, component long, size int, rare array<long>, frequent array<long>")
+    rows = materialize(rows.withColumn("first", (F.col("size") - _least(similarity * F.col("size")) + 1).cast("int")).withColumn("after", F.size("frequent")), "split")
+    own = ["fp", "component", "size", "after"]
+    early = materialize(rows.select(*own, F.explode(F.slice("rare", F.lit(1), F.col("first"))).alias("shingle")), "early")
+    shared = early.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("shingle")
+    some = early.join(shared, "shingle", "left_semi").select("fp").union(rows.filter(F.size("rare") < F.col("first")).select("fp")).distinct()
+    some = materialize(some, "some")
+    others = rows.filter(F.size("rare") > F.col("first")).join(some, "fp", "left_semi")
+    others = others.select(*own, F.explode(F.slice("rare", F.col("first") + 1, F.size("rare"))).alias("shingle"))
+    last = rows.filter(F.size("rare") < F.col("first")).select(*own, F.posexplode(F.slice("frequent", F.lit(1), F.col("first") - F.size("rare"))).alias("at", "shingle"))
+    last = last.select("fp", "component", "size", "shingle", (F.col("after") - F.col("at")).alias("left"))
+    held = materialize(early.join(some, "fp", "left_semi").union(others), "held")
+    return prefix_pairs(held, similarity, last=last)
 
 
 def settled(parts: DataFrame, more: DataFrame) -> DataFrame:
@@ -343,7 +386,7 @@ def settled(parts: DataFrame, more: DataFrame) -> DataFrame:
     return parts if more.isEmpty() else connected_components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
 
 
-def bucket_components(entries: DataFrame, near: Callable[[DataFrame], DataFrame], alike: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame, bool], DataFrame], similarity: float, most_share: float, most_in_bucket: int, rounds: int = 4) -> DataFrame:
+def bucket_components(entries: DataFrame, near: Callable[[DataFrame], DataFrame], alike: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], similarity: float, most_share: float, most_in_bucket: int, rounds: int = 4) -> DataFrame:
     """Components (node, component) of all verified pairs of a holder and a prober of a bucket. near verifies pairs by all bits and texts, alike by texts
     alone. Each fingerprint is held against two others first; then only pairs of different components are left, of which groups of near copies
     have few. Buckets of up to most_in_bucket pairs take all of these. In larger ones a new representative, from the largest component, is held
@@ -373,10 +416,8 @@ def bucket_components(entries: DataFrame, near: Callable[[DataFrame], DataFrame]
         parts = settled(parts, near(pairs))
     if large.isEmpty():
         return parts
-    early = materialize(sets(large.select("fp", "component").distinct(), True), "early")
-    shared = early.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("shingle")
-    some = early.join(shared, "shingle", "left_semi").select("fp", "component").distinct()
-    return settled(parts, alike(prefix_pairs(sets(some, False), similarity)))
+    left = materialize(sets(large.select("fp", "component").distinct()), "sets")
+    return settled(parts, alike(alike_sets(left, similarity, frequent_shingles(left))))
 
 
 def star_links(fps: DataFrame, most_bits: int) -> DataFrame:
@@ -430,16 +471,14 @@ def near_duplicates_verified(docs: DataFrame, words_in_shingle: int = 5, similar
         few = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST_IDS else wanted
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(few, "doc_id")
 
-    def sets(wanted: DataFrame, early: bool) -> DataFrame:
+    def sets(wanted: DataFrame) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, texts in slices(batches):
-                found = [shingle_set(x, words_in_shingle) for x in texts]
-                found = [(early_shingles(x, similarity) if early else x).view(np.int64) for x in found]
+                found = [np.sort(shingle_set(x, words_in_shingle).view(np.int64)) for x in texts]
                 ends = np.cumsum([0, *map(len, found)])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("component"), pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(found))).cast(pa.list_(pa.int64()))], ["fp", "component", "shingles"])
 
-        rows = texts_of(wanted.withColumnRenamed("fp", "doc_id")).select("doc_id", "component", "text").mapInArrow(scan, "fp long, component long, shingles array<long>")
-        return rows.select("fp", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+        return texts_of(wanted.withColumnRenamed("fp", "doc_id")).select("doc_id", "component", "text").mapInArrow(scan, "fp long, component long, shingles array<long>")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "candidates")

@@ -631,6 +631,36 @@ def test_prefix_pairs_take_in_alike_sets_and_leave_out_chance(spark):
     assert len(got) == len(pairs) and want and want <= got and len(got) < 20_000 and all(component[a] != component[b] and max(a, b) < 200 for a, b in got)
 
 
+@pytest.mark.parametrize("sample_sets", [2, 256])
+def test_frequent_shingles_get_rows_only_where_they_are_early(spark, sample_sets):
+    """As above, whatever sets the frequent shingles come from, and also with sets that are all frequent or of one shingle."""
+    random.seed(4)
+    sets, component = {}, {}
+    for i in range(300):
+        edits = 0 if i in (0, 7) else random.randint(1, 24) if i < 200 else 100
+        sets[i] = set(range(-50, 50 - edits)) | {1000 * (i + 1) + k for k in range(edits)}
+        component[i] = 0 if 7 < i < 200 and edits <= 8 else i
+    sets |= {300: {5}, 301: set(), 302: {5}, 303: {10**12}}
+    component |= {i: i for i in range(300, 304)}
+    table = materialize(spark.createDataFrame([(i, component[i], sorted(s)) for i, s in sets.items()], "fp long, component long, shingles array<long>"), "sets")
+    frequent = simhash.frequent_shingles(table, sample_sets)
+    assert sample_sets == 2 or len(frequent) >= 76
+    pairs = [tuple(r) for r in simhash.alike_sets(table, 0.8, frequent).collect()]
+    got = {(min(p), max(p)) for p in pairs}
+    want = {(a, b) for a in sets for b in sets if a < b and component[a] != component[b] and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(got) == len(pairs) and (300, 302) in want and want <= got and len(got) < 12_000
+
+
+def test_crowds_explode_few_shingles(spark, monkeypatch):
+    """Sixty edits of one text, too far from one another, crowd together: most of their shingles are common to all and get no rows."""
+    texts, rows, found = star_of_edits(500)[:-1], [], simhash.prefix_pairs
+    texts += [f"{texts[9]} more", *(prose(900 + i, 400) for i in range(20))]
+    monkeypatch.setattr(simhash, "prefix_pairs", lambda sets, *rest, **more: rows.append(sets.count()) or found(sets, *rest, **more))
+    got = simhash.near_duplicates_verified(table(spark, texts), most_in_bucket=1).toPandas().set_index("doc_id").component_id.sort_index()
+    assert got.tolist() == brute_components(texts)
+    assert 0 < rows[0] < 60 * 396 / 2
+
+
 def test_lattice_pieces_of_all_spans_by_arrays():
     """Words of like length at once give what a look at each span gives: with unknown letters, ones outside the basic plane, a zero and a piece inside others."""
     pieces, weights = lattice.vocabulary(tokens.tokenizer_path("piece_bpe_32k.model"))
