@@ -305,10 +305,10 @@ def split_entries(entries: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def cross_pairs(entries: DataFrame, most_share: float) -> DataFrame:
-    """All pairs (a, b) of a holder and a prober of a bucket that are in different components and close."""
-    a = entries.filter("own").select("part", "value", F.col("fp").alias("a"), F.col("first").alias("x"), F.col("component").alias("ca"))
-    b = entries.select("part", "value", F.col("fp").alias("b"), F.col("first").alias("y"), F.col("component").alias("cb"))
-    return a.join(b, ["part", "value"]).filter((F.col("ca") != F.col("cb")) & _close("x", "y", most_share)).select("a", "b")
+    """All pairs (a, b) of a holder and a prober of a bucket that are in different components, close, and not both in the crowd."""
+    a = entries.filter("own").select("part", "value", F.col("fp").alias("a"), F.col("first").alias("x"), F.col("component").alias("ca"), F.col("crowd").alias("wa"))
+    b = entries.select("part", "value", F.col("fp").alias("b"), F.col("first").alias("y"), F.col("component").alias("cb"), F.col("crowd").alias("wb"))
+    return a.join(b, ["part", "value"]).filter((F.col("ca") != F.col("cb")) & ~(F.col("wa") & F.col("wb")) & _close("x", "y", most_share)).select("a", "b")
 
 
 def _least(x: Column) -> Column:
@@ -386,37 +386,61 @@ def settled(parts: DataFrame, more: DataFrame) -> DataFrame:
     return parts if more.isEmpty() else connected_components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
 
 
-def bucket_components(entries: DataFrame, near: Callable[[DataFrame], DataFrame], alike: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], similarity: float, most_share: float, most_in_bucket: int, rounds: int = 4) -> DataFrame:
+def sized(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, component, size, degree) of parts (node, component): the component's number of nodes, and how many links (a, b) the node has."""
+    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    degrees = links.select("a").union(links.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("a", "node")
+    return parts.join(sizes, "component").join(degrees, "node", "left").select(F.col("node").alias("fp"), "component", "size", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def head_pairs(entries: DataFrame, nodes: DataFrame, parts: DataFrame, tried: DataFrame, most_share: float, most_in_bucket: int, many: int) -> DataFrame:
+    """Pairs (a, b), not tried yet, of each fingerprint b with two heads of its buckets that it is close to and not in one component with: that of the largest component and most links, and
+    the nearest. A bucket's head is the holder of the largest component and most links (nodes: fp, component, size, degree); a component has to have `many` nodes, in buckets over
+    most_in_bucket three."""
+    held = entries.filter("own").join(nodes.filter("size >= 3"), "fp").filter((F.col("size") >= many) | (F.col("work") > most_in_bucket))
+    best = F.max_by(F.struct("fp", "first", "component", "size", "degree"), F.struct("size", "degree", -F.col("fp")))
+    heads = materialize(held.groupBy("part", "value").agg(best.alias("head")), "heads")
+    found = with_components(entries.select("part", "value", "fp", "first"), parts).join(heads, ["part", "value"]).filter((F.col("component") != F.col("head.component")) & _close("first", "head.first", most_share))
+    found = found.select(F.col("head.fp").alias("a"), F.col("fp").alias("b"), "head.size", "head.degree", _words_apart("first", "head.first").alias("apart")).join(tried, ["a", "b"], "left_anti")
+    both = found.groupBy("b").agg(F.max_by("a", F.struct("size", "degree", -F.col("a"))).alias("most"), F.min(F.struct("apart", "a")).alias("near"))
+    return both.select(F.explode(F.array_distinct(F.array("most", "near.a"))).alias("a"), "b")
+
+
+def around(entries: DataFrame, nodes: DataFrame, parts: DataFrame, most_share: float) -> DataFrame:
+    """The nodes (fp), and the fingerprints that share a bucket with a close one of them in another component, one of the two as its holder: one row each, however many they are close to."""
+    sided = lambda df, side: with_components(df, parts).select("part", "value", *(F.col(x).alias(f"{side}_{x}") for x in ("fp", "own", "first", "component")))
+    plain = entries.select("part", "value", "fp", "own", "first")
+    a, b = sided(materialize(plain.join(nodes.select("fp"), "fp", "left_semi"), "inside"), "a"), sided(plain, "b")
+    meet = (F.col("a_component") != F.col("b_component")) & (F.col("a_own") | F.col("b_own")) & _close("a_first", "b_first", most_share)
+    near = b.join(a, (a["part"] == b["part"]) & (a["value"] == b["value"]) & meet, "left_semi").select(F.col("b_fp").alias("fp")).distinct()
+    return nodes.select("fp").union(near).distinct()
+
+
+def bucket_components(entries: DataFrame, near: Callable[[DataFrame], DataFrame], alike: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], similarity: float, most_share: float, most_in_bucket: int, rounds: int = 4, many: int = 32) -> DataFrame:
     """Components (node, component) of all verified pairs of a holder and a prober of a bucket. near verifies pairs by all bits and texts, alike by texts
-    alone. Each fingerprint is held against two others first; then only pairs of different components are left, of which groups of near copies
-    have few. Buckets of up to most_in_bucket pairs take all of these. In larger ones a new representative, from the largest component, is held
-    against the others, in rounds for as long as one joins a tenth of what is apart (a star of edits is done when its base comes up). All pairs
-    that are left there are found by their shingles (sets): exact, and without the pairs that share a bucket by chance."""
-    parts = connected_components(near(nearest_pairs(entries, most_share)))
-    pairs = cross_pairs(with_components(entries.filter(F.col("work") <= most_in_bucket), parts), most_share)
-    large = materialize(split_entries(entries.filter(F.col("work") > most_in_bucket), parts), "crowds")
-    apart, seen = float("inf"), None
+    alone. Each fingerprint is held against two others first. Then, in rounds for as long as a tenth of the pairs are links, what is close to a component of `many` nodes or
+    crowds in a bucket is held against two heads at most, the nodes with most links (the base of a star of edits has them). What is in or close to a component of
+    `many` nodes then, or apart in a bucket of over most_in_bucket pairs, is the crowd: all its pairs are found by their shingles (sets), exact, and without those that
+    share a bucket by chance or are somewhat too far apart. All other pairs, with one outside of the crowd, come from the smaller buckets."""
+    tried = materialize(nearest_pairs(entries, most_share), "tried")
+    links = near(tried)
+    parts = connected_components(links)
+    tried = tried.union(tried.select("b", "a"))
     for _ in range(rounds):
-        left = large.agg(F.count_distinct("component")).first()[0]
-        if not left or left > 0.9 * apart:
+        held = materialize(head_pairs(entries, materialize(sized(parts, links), "sizes"), parts, tried, most_share, most_in_bucket, many), "tried")
+        more = near(held)
+        tried, links, parts = tried.union(held).union(held.select("b", "a")), links.union(more), settled(parts, more)
+        if more.count() <= 0.1 * held.count():
             break
-        apart = left
-        fresh = large.filter("own")
-        fresh = fresh if seen is None else fresh.join(seen, ["part", "value", "fp"], "left_anti")
-        sizes = large.groupBy("part", "value", "component").agg(F.count(F.lit(1)).alias("n"))
-        heads = fresh.groupBy("part", "value", "component").agg(F.min("fp").alias("a")).join(sizes, ["part", "value", "component"])
-        heads = heads.groupBy("part", "value").agg(F.max_by(F.struct("a", F.col("component").alias("ca")), F.struct("n", -F.col("component"))).alias("head"))
-        heads = materialize(heads.select("part", "value", "head.a", "head.ca"), "heads")
-        own = heads.select("part", "value", F.col("a").alias("fp"))
-        seen = own if seen is None else seen.union(own)
-        held = large.join(heads, ["part", "value"]).filter("component <> ca").select("a", F.col("fp").alias("b"))
-        parts = settled(parts, near(held if pairs is None else pairs.union(held)))
-        pairs, large = None, materialize(split_entries(large.drop("component"), parts), "crowds")
-    if pairs is not None:
-        parts = settled(parts, near(pairs))
-    if large.isEmpty():
+    nodes = materialize(sized(parts, links), "sizes").filter(F.col("size") >= many)
+    small = entries.filter(F.col("work") <= most_in_bucket)
+    crowd = split_entries(entries.filter(F.col("work") > most_in_bucket), parts).select("fp")
+    crowd = materialize((crowd if nodes.isEmpty() else crowd.union(around(small, nodes, parts, most_share))).distinct(), "crowd")
+    flagged = with_components(small, parts).join(crowd.withColumn("crowd", F.lit(True)), "fp", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+    parts = settled(parts, near(cross_pairs(flagged, most_share)))
+    if crowd.isEmpty():
         return parts
-    left = materialize(sets(large.select("fp", "component").distinct()), "sets")
+    left = materialize(sets(with_components(crowd, parts).select("fp", "component")), "sets")
     return settled(parts, alike(alike_sets(left, similarity, frequent_shingles(left))))
 
 

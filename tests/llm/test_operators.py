@@ -345,6 +345,23 @@ def test_near_copies_are_not_paired_with_one_another(spark, monkeypatch):
     assert sum(wanted) < 1000
 
 
+def test_strays_of_near_copies_are_not_paired_with_each(spark, monkeypatch):
+    """Sixty near copies of one text, sixty strays too far from all of them and from one another, one edit that only the base is near to, and the base: few
+    pairs are verified in buckets of any size, and all links found."""
+    base, texts, wanted, check = prose(78, 300).split(), [], [], simhash._near_all
+    for n, edits in enumerate([1, 2, 3] * 20 + [9] * 60 + [6]):
+        own, r = base.copy(), random.Random(n)
+        for place in r.sample(range(6, 294, 6), edits):
+            own[place] = f"edit{n}x{place}"
+        texts.append(" ".join(own))
+    texts += [" ".join(base), *(prose(500 + n, 60) for n in range(20))]
+    monkeypatch.setattr(simhash, "_near_all", lambda pairs, *rest: wanted.append(pairs.distinct().count()) or check(pairs, *rest))
+    got = simhash.near_duplicates_verified(table(spark, texts), most_in_bucket=1_000_000).toPandas().set_index("doc_id").component_id.sort_index()
+    want = brute_components(texts)
+    assert got.tolist() == want and want[120] == 0 and len(set(want)) == 81
+    assert sum(wanted) < 1000
+
+
 def test_verified_copies(spark):
     base = prose(9, 400).split()
     near = base.copy()
