@@ -40,7 +40,7 @@ def package_universe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _diagnostics(e: Estate) -> DataFrame:
-    links = linking.link_clients(e.methods(), e.endpoints())
+    links = linking.link_counts(e.methods(), e.endpoints())
     made = linking.produces(e.made())
     unresolved = e.references().filter("startswith(version, 'unresolved(')")
     return nodes.diagnostics(
