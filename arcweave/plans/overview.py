@@ -103,7 +103,8 @@ def reachable_projects(spark: SparkSession, folder: str) -> DataFrame:
 
 def endpoint_details(spark: SparkSession, folder: str) -> DataFrame:
     e = Estate(spark, folder)
-    return nodes.endpoint_details(e.endpoints(), linking.link_clients(e.methods(), e.endpoints()), e.methods(), e.invoked())
+    calls = e.invoked().groupBy(F.col("method_id").alias("id")).agg(F.count(F.lit(1)).alias("calls"))
+    return nodes.endpoint_details(e.endpoints(), linking.link_totals(e.methods().join(calls, "id", "left").fillna(0, ["calls"]), e.endpoints()))
 
 
 def _sites(e: Estate) -> DataFrame:
